@@ -73,7 +73,7 @@ def publish_external_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     publish_external(orders, f"{db}.orders_ext", path)
     spark.sql(f"DROP TABLE {db}.orders_ext")
-    return spark.read.schema(orders.schema).parquet(path)
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
 
 
 def append_rows_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def optimized_write_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     path = scratch_path(spark, "optimized_orders")
     optimized_write(orders, path, ["o_orderstatus"])
-    return spark.read.schema(orders.schema).parquet(path)
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
 
 
 def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The input as it arrives: many small files per partition value.
     lineitem.write.option("maxRecordsPerFile", 2000).partitionBy("l_returnflag").parquet(small)
     compact(spark, small, out, partition_by=["l_returnflag"])
-    return spark.read.schema(lineitem.schema).parquet(out)
+    return spark.read.schema(lineitem.schema).parquet(out).select(*lineitem.columns)
 
 
 def overwrite_partitions_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def overwrite_partitions_case(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < ntz(MERGE_TARGET_END))
     ).withColumn("o_totalprice", F.col("o_totalprice") + 1)
     overwrite_partitions(restated, path, ["o_orderstatus"])
-    return spark.read.schema(orders.schema).parquet(path)
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
 
 
 def fold_batches_case(spark: SparkSession, sf_dir: str) -> DataFrame:

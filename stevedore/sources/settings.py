@@ -38,19 +38,19 @@ def extract_settings(
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, got {kind!r}")
     if kind == "xml":
+        # A fixed string schema: no inference pass over the files, and values such as
+        # "0010" or "true" stay exactly as written.
         rows = (
             spark.read.format("xml")
             .option("rowTag", "property")
             .option("mode", "PERMISSIVE")
+            .schema("name STRING, value STRING")
             .load(path)
         )
-        if "name" not in rows.columns:
-            raise ValueError(f"no <property><name> elements under {path}")
-        value = F.col("value").cast("string") if "value" in rows.columns else F.lit(None).cast("string")
         rows = rows.select(
             F.col("_metadata.file_path").alias("file"),
-            F.trim(F.col("name").cast("string")).alias("name"),
-            F.trim(value).alias("value"),
+            F.trim(F.col("name")).alias("name"),
+            F.trim(F.col("value")).alias("value"),
             *keep,
         )
     else:

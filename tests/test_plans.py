@@ -1,0 +1,59 @@
+"""The physical plans we rely on at scale (checked with explain, not timing)."""
+
+from __future__ import annotations
+
+import re
+
+from conftest import SF01
+
+from stevedore.plans import CASES
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_shuffles_each_side_once(spark):
+    plan = plan_of(CASES["merge_upsert"](spark, SF01))
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
+    assert plan.count("PushedFilters: [IsNotNull(o_orderdate)") == 2
+
+
+def test_snapshot_filters_at_scan_and_aggregates_partially(spark):
+    plan = plan_of(CASES["snapshot_as_of"](spark, SF01))
+    assert "PushedFilters: [IsNotNull(ts), LessThanOrEqual(ts," in plan
+    assert "partial_max_by" in plan
+    assert plan.count("Exchange") == 1
+
+
+def test_retention_filters_at_scan(spark):
+    plan = plan_of(CASES["retain_history"](spark, SF01))
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+
+
+def test_error_tail_limits_before_shuffle(spark):
+    plan = plan_of(CASES["error_tail"](spark, SF01))
+    assert re.search(r"WindowGroupLimit .*Partial", plan)
+
+
+def test_newest_days_broadcasts_the_day_list(spark):
+    plan = plan_of(CASES["keep_newest_days"](spark, SF01))
+    assert "LeftSemi" in plan and "BroadcastExchange" in plan
+    assert "TakeOrderedAndProject(limit=7" in plan
+
+
+def test_parse_is_a_narrow_projection(spark):
+    plan = plan_of(CASES["parse_logs"](spark, SF01))
+    assert "Exchange" not in plan and "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_fold_aggregates_partially(spark):
+    plan = plan_of(CASES["fold_batches"](spark, SF01))
+    assert "partial_max_by" in plan
+
+
+def test_no_python_in_any_plan(spark):
+    for name in ["merge_upsert", "reconcile", "error_verdict", "evolve_append", "fold_batches"]:
+        plan = plan_of(CASES[name](spark, SF01))
+        assert "Python" not in plan, name
