@@ -5,7 +5,8 @@ from stevedore.functions.layouts import (
     format_bracket,
     format_log4j_line,
     format_log4j_thread,
-    parse_log_line,
+    log_fields,
+    split_log_line,
 )
 from stevedore.functions.levels import SEVERITY_RANK, severity_rank
 from stevedore.functions.secrets import HIDDEN, SECRET_NAME_PATTERN, mask_secret
@@ -19,6 +20,7 @@ __all__ = [
     "format_log4j_line",
     "format_log4j_thread",
     "mask_secret",
-    "parse_log_line",
+    "log_fields",
     "severity_rank",
+    "split_log_line",
 ]

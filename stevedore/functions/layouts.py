@@ -32,27 +32,34 @@ _LAYOUT = _SEP.join([_MARK, "$1$4$9", "$2$5$10", "$6", "$7$11", "$12", "$3$8$13"
 LOG_FIELDS = ["ts", "level", "thread", "logger", "line_no", "message"]
 
 
-def parse_log_line(line: Column) -> Column:
-    """Struct of the parsed fields of one line; every field NULL when no layout matches.
+def split_log_line(line: Column) -> Column:
+    """The one regex pass: an array ``[mark, ts, level, thread, logger, line_no, message]``
+    for a matched line, ``[line]`` otherwise.  Select it as its own column and read
+    the fields from that column (``log_fields``): Catalyst then keeps the expensive
+    expression in one place instead of copying it into every field.
+    """
+    return F.split(F.regexp_replace(line, LINE_PATTERN, _LAYOUT), _SEP, -1)
+
+
+def log_fields(parts: Column, line: Column) -> list[Column]:
+    """The parsed fields (named as ``LOG_FIELDS``) read from ``split_log_line``'s array.
 
     ``ts`` is TIMESTAMP_NTZ: the wall-clock time as written, with no zone attached.
+    A line that matches no layout gets NULL in every field.
     """
-    # Catalyst evaluates the common ``rewritten`` once per row (subexpression elimination).
-    rewritten = F.regexp_replace(line, LINE_PATTERN, _LAYOUT)
-    parts = F.split(rewritten, _SEP, -1)
-    matched = rewritten.startswith(_MARK) & ~line.startswith(_MARK)
+    matched = (F.size(parts) == 7) & (F.try_element_at(parts, F.lit(1)) == F.lit(_MARK)) & ~line.startswith(_MARK)
 
     def field(i: int) -> Column:
         return F.when(matched, F.nullif(F.try_element_at(parts, F.lit(i + 1)), F.lit("")))
 
-    return F.struct(
+    return [
         field(1).try_cast("timestamp_ntz").alias("ts"),
         F.upper(field(2)).alias("level"),
         field(3).alias("thread"),
         field(4).alias("logger"),
         field(5).try_cast("int").alias("line_no"),
         F.when(matched, F.try_element_at(parts, F.lit(7))).alias("message"),
-    )
+    ]
 
 
 def format_bracket(ts: Column, level: Column, message: Column) -> Column:

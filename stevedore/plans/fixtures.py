@@ -55,9 +55,13 @@ def event_log_lines(events: DataFrame) -> DataFrame:
         .otherwise(format_log4j_line(F.col("ts"), level, F.lit(LOGGER), line_no, message))
     )
     trace = F.concat(F.lit("java.lang.IllegalStateException: event "), F.col("event_id").cast("string"), F.lit(" failed"))
-    lines = F.when(F.col("event_type") == "error", F.array(line, trace)).otherwise(F.array(line))
-    return events.select(
-        F.explode(lines).alias("value"),
+    # The formatted line is its own column first, so the explode below refers to it
+    # instead of carrying a copy of the formatting into each branch.
+    formatted = events.select(
+        line.alias("line"),
+        F.when(F.col("event_type") == "error", trace).alias("trace"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source"),
         F.col("ts").alias("ts_event"),
     )
+    lines = F.when(F.col("trace").isNotNull(), F.array("line", "trace")).otherwise(F.array("line"))
+    return formatted.select(F.explode(lines).alias("value"), "source", "ts_event")

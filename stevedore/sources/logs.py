@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stevedore.functions.layouts import LOG_FIELDS, parse_log_line
+from stevedore.functions.layouts import LOG_FIELDS, log_fields, split_log_line
 
 PARSED_COLUMNS = ["source", *LOG_FIELDS, "raw"]
 
@@ -29,9 +29,11 @@ def parse_logs(lines: DataFrame, *, value: str = "value", source: str = "source"
     A pure projection: no shuffle, runs inside whole-stage codegen.  Lines that match
     no layout are kept, with NULL parsed fields and the text in ``raw``.
     """
-    parsed = lines.select(
-        F.col(source).alias("source"),
-        parse_log_line(F.col(value)).alias("p"),
-        F.col(value).alias("raw"),
+    split = lines.select(
+        F.col(source).alias("source"), F.col(value).alias("raw"), split_log_line(F.col(value)).alias("_parts")
     )
-    return parsed.select("source", *[F.col(f"p.{c}").alias(c) for c in LOG_FIELDS], "raw")
+    # The fields come out of a one-row generator: Catalyst does not push a filter on a
+    # generated column below the generator, so a later filter on, say, ``level`` is
+    # applied to the parsed value instead of re-running the regex inside the filter.
+    fields = F.inline(F.array(F.struct(*log_fields(F.col("_parts"), F.col("raw")))))
+    return split.select("source", fields, "raw")
