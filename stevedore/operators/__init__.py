@@ -1,6 +1,6 @@
 """Table, change, history, log and reconcile jobs."""
 
-from stevedore.operators.changes import evolve_append, evolve_table, fold_batches, merge_upsert
+from stevedore.operators.changes import evolve_append, evolve_table, fold_batches, merge_into_path, merge_upsert
 from stevedore.operators.history import latest_per_key, retain_history, snapshot_as_of
 from stevedore.operators.logs import error_tail, error_verdict, filter_severity, keep_newest_days, write_daily
 from stevedore.operators.reconcile import reconcile, reconcile_summary
@@ -24,6 +24,7 @@ __all__ = [
     "fold_batches",
     "keep_newest_days",
     "latest_per_key",
+    "merge_into_path",
     "merge_upsert",
     "optimized_write",
     "overwrite_partitions",

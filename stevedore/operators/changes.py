@@ -195,3 +195,77 @@ def fold_batches(
         .agg(F.max_by(row, rank).alias("__win"), F.count_distinct(batch_col).alias("n_batches"))
         .select(*[F.col(f"__win.{c}").alias(c) for c in cols], "n_batches")
     )
+
+
+def _delete_paths(spark, paths: Sequence[str]) -> None:
+    """Remove folders through Hadoop's FileSystem (driver-side metadata calls only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(p)
+        hpath.getFileSystem(conf).delete(hpath, True)
+
+
+def merge_into_path(
+    spark,
+    path: str,
+    source: DataFrame,
+    keys: Sequence[str],
+    partition_by: Sequence[str],
+    *,
+    delete_when: Column | str | None = None,
+    max_listed_partitions: int = 10_000,
+) -> int:
+    """Upsert ``source`` into the partitioned Parquet table at ``path``, rewriting only
+    the partitions the source touches.  Returns the number of partitions rewritten.
+
+    Rows match on ``keys`` *and* the partition columns (a key is looked up within its
+    partition), with ``merge_upsert``'s rules otherwise.  Steps:
+
+    1. the touched partition values (at most ``max_listed_partitions``, checked) become
+       a literal filter on partition columns, so the scan lists and reads only those
+       folders; beyond the limit a semi join is used instead (correct, no pruning);
+    2. the merged rows of those partitions are staged under the scratch root, which
+       also cuts the lineage: nothing reads ``path`` while it is being written;
+    3. the staged partitions replace theirs by dynamic partition overwrite, and touched
+       partitions the merge emptied are removed.
+
+    Each partition is replaced at commit; the table as a whole is not swapped
+    atomically (no table format here).
+    """
+    from stevedore.operators.tables import overwrite_partitions
+    from stevedore.session import scratch_path
+
+    pcols, keys = list(partition_by), list(keys)
+    if not pcols:
+        raise ValueError("merge_into_path needs partition columns; use merge_upsert for a whole table")
+    target = spark.read.parquet(path)
+    check_keys(target, keys + pcols, "merge_into_path target")
+    types = {f.name: f.dataType for f in target.schema.fields}
+    part_key = F.to_json(F.struct(*[F.col(c) for c in pcols]))
+    src = source.withColumns({c: F.col(c).cast(types[c]) for c in pcols})
+
+    listed = [r[0] for r in src.select(part_key.alias("p")).distinct().limit(max_listed_partitions + 1).collect()]
+    if len(listed) <= max_listed_partitions:
+        touched = target.filter(part_key.isin(listed))
+    else:
+        parts = src.select(*pcols).distinct()
+        touched = target.join(parts, [target[c].eqNullSafe(parts[c]) for c in pcols], "left_semi")
+
+    merged = merge_upsert(touched, src, keys + pcols, delete_when=delete_when)
+    staged = scratch_path(spark, "merge_stage")
+    merged.write.partitionBy(*pcols).parquet(staged)
+    staged_df = spark.read.schema(target.schema).parquet(staged)
+
+    if len(listed) <= max_listed_partitions:
+        kept = {r[0] for r in staged_df.select(part_key.alias("p")).distinct().collect()}
+        emptied = [p for p in listed if p not in kept]
+        if emptied:
+            folders = (
+                target.filter(part_key.isin(emptied))
+                .select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("d"))
+                .distinct()
+            )
+            _delete_paths(spark, [r[0] for r in folders.collect()])
+    overwrite_partitions(staged_df, path, pcols)
+    return len(listed)

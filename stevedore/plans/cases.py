@@ -22,6 +22,7 @@ from stevedore.operators import (
     filter_severity,
     fold_batches,
     keep_newest_days,
+    merge_into_path,
     merge_upsert,
     optimized_write,
     overwrite_partitions,
@@ -101,6 +102,17 @@ def merge_upsert_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_upsert(target, source, ["o_orderkey"], delete_when=F.col("o_orderstatus") == "F")
 
 
+def merge_into_path_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate"))
+    path = scratch_path(spark, "orders_by_year")
+    overwrite_partitions(orders.filter(F.col("o_orderdate") < ntz(MERGE_TARGET_END)), path, ["o_year"])
+    source = orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE)).withColumn(
+        "o_totalprice", F.col("o_totalprice") + 1
+    )
+    merge_into_path(spark, path, source, ["o_orderkey"], ["o_year"], delete_when=F.col("o_orderstatus") == "F")
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
+
+
 def evolve_append_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     base = orders.filter(F.col("o_orderdate") < ntz(SPLIT_DATE)).drop("o_orderstatus")
@@ -259,6 +271,7 @@ CASES: dict[str, Case] = {
     "publish_external": publish_external_case,
     "append_rows": append_rows_case,
     "merge_upsert": merge_upsert_case,
+    "merge_into_path": merge_into_path_case,
     "evolve_append": evolve_append_case,
     "snapshot_as_of": snapshot_as_of_case,
     "retain_history": retain_history_case,

@@ -65,6 +65,13 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority
         FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}' AND o_orderstatus <> 'F'""",
+    "merge_into_path": f"""
+        SELECT {ORDERS}, CAST(year(o_orderdate) AS INTEGER) AS o_year
+        FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT_DATE}'
+        UNION ALL
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority,
+               CAST(year(o_orderdate) AS INTEGER) AS o_year
+        FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}' AND o_orderstatus <> 'F'""",
     "evolve_append": f"""
         SELECT o_orderkey, o_custkey,
                CASE WHEN o_orderdate < TIMESTAMP '{SPLIT_DATE}' THEN o_totalprice END AS o_totalprice,

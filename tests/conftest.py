@@ -26,6 +26,7 @@ def spark():
             "spark.sql.shuffle.partitions": "8",
             "spark.sql.warehouse.dir": warehouse,
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "10000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -99,3 +99,60 @@ def test_fold_batches_latest_writer_wins_and_counts(spark):
     assert rows(out) == sorted(
         [(1, 2, 1, "b", 2), (2, 1, 5, "d", 1), (None, 1, 1, "n1", 1), (None, 1, 1, "n2", 1)], key=repr
     )
+
+
+def _files_by_partition(path: str) -> dict[str, set[str]]:
+    import glob
+    import os
+
+    root = path.removeprefix("file:")
+    out: dict[str, set[str]] = {}
+    for f in glob.glob(os.path.join(root, "*", "*.parquet")):
+        out.setdefault(os.path.basename(os.path.dirname(f)), set()).add(os.path.basename(f))
+    return out
+
+
+def test_merge_into_path_rewrites_only_touched_partitions(spark, scratch):
+    from stevedore.operators import merge_into_path, overwrite_partitions
+
+    target = spark.createDataFrame(
+        [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", "z")], "k INT, v STRING, part STRING"
+    )
+    path = f"{scratch}/t"
+    overwrite_partitions(target, path, ["part"])
+    before = _files_by_partition(path)
+    source = spark.createDataFrame(
+        [(2, "B", "x", False), (5, "E", "x", False), (3, "c", "y", True)], "k INT, v STRING, part STRING, gone BOOLEAN"
+    )
+    n = merge_into_path(spark, path, source, ["k"], ["part"], delete_when="gone")
+    assert n == 2
+    after = _files_by_partition(path)
+    assert after["part=z"] == before["part=z"]  # untouched: same files
+    assert "part=y" not in after  # emptied by the delete
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "part").collect())
+    assert got == [(1, "a", "x"), (2, "B", "x"), (4, "d", "z"), (5, "E", "x")]
+
+
+def test_merge_into_path_reads_only_touched_partitions(spark, scratch):
+    from stevedore.operators import overwrite_partitions
+
+    orders = spark.read.parquet(f"{SF01}/orders.parquet")
+    path = f"{scratch}/by_status"
+    overwrite_partitions(orders, path, ["o_orderstatus"])
+    target = spark.read.parquet(path)
+    part_key = F.to_json(F.struct("o_orderstatus"))
+    plan = target.filter(part_key.isin(['{"o_orderstatus":"F"}']))._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
+    assert "PartitionFilters: [" in scan and "StructsToJson" in scan.split("PartitionFilters: [", 1)[1]
+
+
+def test_merge_into_path_falls_back_beyond_the_partition_limit(spark, scratch):
+    from stevedore.operators import merge_into_path, overwrite_partitions
+
+    target = spark.createDataFrame([(i, f"v{i}", i % 4) for i in range(20)], "k INT, v STRING, part INT")
+    path = f"{scratch}/t"
+    overwrite_partitions(target, path, ["part"])
+    source = spark.createDataFrame([(i, f"w{i}", i % 4) for i in range(0, 20, 2)], "k INT, v STRING, part INT")
+    merge_into_path(spark, path, source, ["k"], ["part"], max_listed_partitions=1)
+    got = dict((r.k, r.v) for r in spark.read.parquet(path).collect())
+    assert got == {i: (f"w{i}" if i % 2 == 0 else f"v{i}") for i in range(20)}
