@@ -19,6 +19,7 @@ from stevedore.operators import (
     error_tail,
     error_verdict,
     evolve_append,
+    evolve_table,
     filter_severity,
     fold_batches,
     keep_newest_days,
@@ -29,6 +30,7 @@ from stevedore.operators import (
     publish_external,
     publish_table,
     reconcile,
+    reconcile_summary,
     retain_history,
     snapshot_as_of,
     write_daily,
@@ -45,7 +47,7 @@ from stevedore.plans.fixtures import (
     table,
 )
 from stevedore.session import scratch_path
-from stevedore.sources.logs import parse_logs
+from stevedore.sources.logs import parse_logs, read_log_lines
 from stevedore.sources.settings import extract_settings
 from stevedore.streaming.follow import follow_logs, run_to_path
 
@@ -124,6 +126,18 @@ def evolve_append_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve_append(base, incoming)
 
 
+def evolve_table_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _run_database(spark)
+    orders = table(spark, sf_dir, "orders")
+    publish_table(orders.filter(F.col("o_orderdate") < ntz(SPLIT_DATE)).drop("o_orderstatus"), f"{db}.orders")
+    incoming = (
+        orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE))
+        .drop("o_totalprice")
+        .withColumn("o_custkey", F.col("o_custkey").cast("int"))
+    )
+    return evolve_table(incoming, f"{db}.orders")
+
+
 def snapshot_as_of_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return snapshot_as_of(events, ["user_id"], ["ts", "event_id"], AS_OF, deleted="event_type = 'error'")
@@ -178,6 +192,16 @@ def parse_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_logs(spark, sf_dir)
 
 
+def parse_log_files_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = event_log_lines(table(spark, sf_dir, "events"))
+    path = scratch_path(spark, "host_logs")
+    # One folder of log files per user, as collected from a fleet of hosts.
+    lines.select("value", "source").write.partitionBy("source").text(path)
+    parsed = parse_logs(read_log_lines(spark, path))
+    host = F.regexp_extract(F.col("source"), r"/source=([^/]+)/[^/]*$", 1)
+    return parsed.withColumn("source", host)
+
+
 def filter_severity_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _unranked = filter_severity(_event_logs(spark, sf_dir), "WARN")
     return kept
@@ -266,6 +290,10 @@ def reconcile_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(expected, actual, ["o_orderkey"])
 
 
+def reconcile_summary_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_summary(reconcile_case(spark, sf_dir))
+
+
 CASES: dict[str, Case] = {
     "publish_managed": publish_managed,
     "publish_external": publish_external_case,
@@ -273,6 +301,7 @@ CASES: dict[str, Case] = {
     "merge_upsert": merge_upsert_case,
     "merge_into_path": merge_into_path_case,
     "evolve_append": evolve_append_case,
+    "evolve_table": evolve_table_case,
     "snapshot_as_of": snapshot_as_of_case,
     "retain_history": retain_history_case,
     "optimized_write": optimized_write_case,
@@ -280,6 +309,7 @@ CASES: dict[str, Case] = {
     "overwrite_partitions": overwrite_partitions_case,
     "fold_batches": fold_batches_case,
     "parse_logs": parse_logs_case,
+    "parse_log_files": parse_log_files_case,
     "filter_severity": filter_severity_case,
     "error_tail": error_tail_case,
     "error_verdict": error_verdict_case,
@@ -289,4 +319,5 @@ CASES: dict[str, Case] = {
     "extract_settings_xml": extract_settings_xml_case,
     "extract_settings_kv": extract_settings_kv_case,
     "reconcile": reconcile_case,
+    "reconcile_summary": reconcile_summary_case,
 }

@@ -78,6 +78,12 @@ ORACLE_SQL: dict[str, str] = {
                o_orderdate, o_orderpriority,
                CASE WHEN o_orderdate >= TIMESTAMP '{SPLIT_DATE}' THEN o_orderstatus END AS o_orderstatus
         FROM orders""",
+    "evolve_table": f"""
+        SELECT o_orderkey, o_custkey,
+               CASE WHEN o_orderdate < TIMESTAMP '{SPLIT_DATE}' THEN o_totalprice END AS o_totalprice,
+               o_orderdate, o_orderpriority,
+               CASE WHEN o_orderdate >= TIMESTAMP '{SPLIT_DATE}' THEN o_orderstatus END AS o_orderstatus
+        FROM orders""",
     "snapshot_as_of": f"""
         SELECT {EVENTS} FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
@@ -106,6 +112,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.event_id, r.ts, r.user_id, r.event_type, r.value, r.props, r.batch, n.n_batches
         FROM r JOIN n ON r.user_id = n.user_id WHERE r.rn = 1""",
     "parse_logs": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed",
+    "parse_log_files": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed",
     "filter_severity": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed WHERE level IN ('WARN', 'ERROR')",
     "error_tail": f"""
         WITH {PARSED_LOGS}
@@ -161,3 +168,6 @@ ORACLE_SQL: dict[str, str] = {
            OR o_orderdate >= TIMESTAMP '{RECONCILE_EXPECTED_TO}'
            OR o_orderpriority IN ('5-LOW', '1-URGENT')""",
 }
+
+ORACLE_SQL["reconcile_summary"] = f"""
+    SELECT status, count(*) AS n FROM ({ORACLE_SQL["reconcile"]}) GROUP BY status"""
