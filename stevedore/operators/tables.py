@@ -4,7 +4,6 @@ optimized write and compaction (all Parquet)."""
 from __future__ import annotations
 
 import contextlib
-import math
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,28 +119,16 @@ def _norm(path: str) -> str:
     return path.rstrip("/").removeprefix("file:")
 
 
-def compact(
-    spark: SparkSession,
-    path_in: str,
-    path_out: str,
-    *,
-    partition_by: Sequence[str] = (),
-    target_bytes: int = 128 << 20,
-    mode: str = "errorifexists",
-) -> int:
-    """Rewrite the Parquet data at ``path_in`` into files of about ``target_bytes`` at ``path_out``.
+def compaction_plan(
+    spark: SparkSession, path_in: str, *, partition_by: Sequence[str] = (), target_bytes: int = 128 << 20
+) -> tuple[DataFrame, int]:
+    """The rows of ``path_in`` with their ``_bucket``, and the total number of buckets.
 
-    Rows are unchanged (as a multiset).  Per partition value, the number of output
-    files is ``ceil(bytes on disk / target_bytes)``, from the scan's own file metadata.
-    Each row goes to one of its partition's buckets by a hash of (file, row index):
-    deterministic, so a re-run task after a lost executor sends every row to the same
-    place.  Returns the number of buckets planned.
-
-    ``path_out`` must differ from ``path_in``: the job reads while it writes.
-    Swapping the compacted copy in is the caller's step.
+    Per partition value, ``ceil(bytes on disk / target_bytes)`` buckets, from the scan's
+    own file metadata (footers only).  A row's bucket is a hash of (file, row index):
+    the same on every run, so a re-run task after a lost executor sends every row to
+    the same place.
     """
-    if _norm(path_in) == _norm(path_out):
-        raise ValueError("compact: path_out must differ from path_in")
     pcols = list(partition_by)
     src = spark.read.parquet(path_in)
     missing = [c for c in pcols if c not in src.columns]
@@ -158,9 +145,7 @@ def compact(
     buckets = files.groupBy(*pcols).agg(
         F.greatest(F.lit(1), F.ceil(F.sum("_size") / F.lit(float(target_bytes)))).cast("int").alias("_nb")
     )
-    total = buckets.agg(F.sum("_nb")).first()[0]
-    if not total:
-        return 0
+    total = int(buckets.agg(F.sum("_nb")).first()[0] or 0)
 
     rows = src.select(*data_cols, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_ri"))
     if pcols:
@@ -171,13 +156,40 @@ def compact(
         cond = [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(pcols)]
         rows = rows.join(sizes, cond, "inner").select(*rows.columns, "_nb")
     else:
-        rows = rows.withColumn("_nb", F.lit(int(total)))
+        rows = rows.withColumn("_nb", F.lit(max(total, 1)))
     salted = rows.withColumn("_bucket", F.pmod(F.xxhash64("_file", "_ri"), F.col("_nb")))
-    # Range partitioning on (partition value, bucket) gives about one bucket per task,
-    # so one file per bucket; a partition value with many buckets spans many tasks.
-    out = salted.repartitionByRange(int(total), *pcols, "_bucket").select(*data_cols)
+    return salted.select(*data_cols, "_bucket"), total
+
+
+def compact(
+    spark: SparkSession,
+    path_in: str,
+    path_out: str,
+    *,
+    partition_by: Sequence[str] = (),
+    target_bytes: int = 128 << 20,
+    mode: str = "errorifexists",
+) -> int:
+    """Rewrite the Parquet data at ``path_in`` into files of about ``target_bytes`` at ``path_out``.
+
+    Rows are unchanged (as a multiset); buckets come from ``compaction_plan``.  Range
+    partitioning on (partition value, bucket) gives about one bucket per task, so one
+    file per bucket, and a partition value with many buckets spans many tasks.
+    Returns the number of buckets planned.
+
+    ``path_out`` must differ from ``path_in``: the job reads while it writes.
+    Swapping the compacted copy in is the caller's step.
+    """
+    if _norm(path_in) == _norm(path_out):
+        raise ValueError("compact: path_out must differ from path_in")
+    pcols = list(partition_by)
+    salted, total = compaction_plan(spark, path_in, partition_by=pcols, target_bytes=target_bytes)
+    if not total:
+        return 0
+    data_cols = [c for c in salted.columns if c != "_bucket"]
+    out = salted.repartitionByRange(total, *pcols, "_bucket").select(*data_cols)
     writer = out.write.mode(mode)
     if pcols:
         writer = writer.partitionBy(*pcols)
     writer.parquet(path_out)
-    return int(math.ceil(total))
+    return total

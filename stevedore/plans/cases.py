@@ -194,12 +194,11 @@ def parse_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_log_files_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = event_log_lines(table(spark, sf_dir, "events"))
-    path = scratch_path(spark, "host_logs")
-    # One folder of log files per user, as collected from a fleet of hosts.
-    lines.select("value", "source").write.partitionBy("source").text(path)
+    path = scratch_path(spark, "daily_log_files")
+    # One folder of rolled log files per day; ``source`` becomes the folder's day.
+    lines.select("value", F.to_date("ts_event").alias("day")).write.partitionBy("day").text(path)
     parsed = parse_logs(read_log_lines(spark, path))
-    host = F.regexp_extract(F.col("source"), r"/source=([^/]+)/[^/]*$", 1)
-    return parsed.withColumn("source", host)
+    return parsed.withColumn("source", F.regexp_extract(F.col("source"), r"/day=([^/]+)/[^/]*$", 1))
 
 
 def filter_severity_case(spark: SparkSession, sf_dir: str) -> DataFrame:

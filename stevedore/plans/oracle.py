@@ -25,12 +25,13 @@ ERROR_RE = "error|exception|failed"
 _level = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_LEVEL.items()) + " ELSE 'UNKNOWN' END"
 
 # The event-made log lines, parsed: what parse_logs must return.
-PARSED_LOGS = f"""parsed AS (
+def parsed_logs_cte(source_sql: str = "'user-' || CAST(user_id AS VARCHAR)") -> str:
+    return f"""parsed AS (
   WITH ev AS (
     SELECT event_id, ts, event_type,
            {_level} AS level,
            event_id % 3 AS layout,
-           'user-' || CAST(user_id AS VARCHAR) AS source,
+           {source_sql} AS source,
            event_type || ' event ' || CAST(event_id AS VARCHAR) || ' props ' || props AS message,
            'session-' || CAST(user_id AS VARCHAR) AS thread0,
            CAST(event_id % 997 + 1 AS INTEGER) AS line0
@@ -56,6 +57,9 @@ PARSED_LOGS = f"""parsed AS (
          'java.lang.IllegalStateException: event ' || CAST(event_id AS VARCHAR) || ' failed'
   FROM ev WHERE event_type = 'error')"""
 
+
+PARSED_LOGS = parsed_logs_cte()
+
 ORACLE_SQL: dict[str, str] = {
     "publish_managed": f"SELECT {ORDERS} FROM orders",
     "publish_external": f"SELECT {ORDERS} FROM orders",
@@ -112,7 +116,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.event_id, r.ts, r.user_id, r.event_type, r.value, r.props, r.batch, n.n_batches
         FROM r JOIN n ON r.user_id = n.user_id WHERE r.rn = 1""",
     "parse_logs": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed",
-    "parse_log_files": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed",
+    "parse_log_files": f"""
+        WITH {parsed_logs_cte("CAST(CAST(ts AS DATE) AS VARCHAR)")} SELECT {LOG_COLS} FROM parsed""",
     "filter_severity": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed WHERE level IN ('WARN', 'ERROR')",
     "error_tail": f"""
         WITH {PARSED_LOGS}
