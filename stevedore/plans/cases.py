@@ -160,7 +160,7 @@ def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = scratch_path(spark, "lineitem_small")
     out = scratch_path(spark, "lineitem_compact")
     # The input as it arrives: many small files per partition value.
-    lineitem.write.option("maxRecordsPerFile", 5000).partitionBy("l_returnflag").parquet(small)
+    lineitem.write.option("maxRecordsPerFile", 10000).partitionBy("l_returnflag").parquet(small)
     compact(spark, small, out, partition_by=["l_returnflag"])
     return spark.read.schema(lineitem.schema).parquet(out).select(*lineitem.columns)
 

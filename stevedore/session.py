@@ -18,12 +18,28 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str | None = None, app_name: str = "stevedore", conf: dict | None = None) -> SparkSession:
-    """Build (or fetch) a session with the defaults above; ``conf`` overrides them."""
+def get_session(
+    master: str | None = None,
+    app_name: str = "stevedore",
+    conf: dict | None = None,
+    *,
+    hive_metastore: str | None = None,
+) -> SparkSession:
+    """Build (or fetch) a session with the defaults above; ``conf`` overrides them.
+
+    ``hive_metastore`` switches the catalog to Hive: a ``thrift://host:port`` URI names
+    a shared metastore service; ``"embedded"`` keeps an in-process Derby metastore
+    (its files go where ``javax.jdo.option.ConnectionURL`` in ``conf`` points).
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULT_CONF, **(conf or {})}.items():
+    settings = {**DEFAULT_CONF, **(conf or {})}
+    if hive_metastore:
+        builder = builder.enableHiveSupport()
+        if hive_metastore != "embedded":
+            settings["spark.hadoop.hive.metastore.uris"] = hive_metastore
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
