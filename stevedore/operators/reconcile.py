@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stevedore.operators._keys import SPREAD, check_keys, spread_column
+from stevedore.operators._keys import SPREAD, any_key_null, check_keys, spread_column
 
 
 def reconcile(
@@ -18,7 +18,8 @@ def reconcile(
     ``status`` is ``missing`` (expected only), ``extra`` (actual only) or ``changed``;
     ``changed_columns`` lists, comma-separated in column order, the compared columns
     whose values differ null-safely (NULL equals NULL).  Equal keys produce no row.
-    Every difference is reported, not only the first.  NULL keys never match.
+    Every difference is reported, not only the first.  NULL keys never match; a
+    duplicated complete key on either side raises.
 
     Plan: one full outer join on the keys; each side is shuffled once.
     """
@@ -33,6 +34,12 @@ def reconcile(
     def side(df: DataFrame, tag: str, n: int) -> DataFrame:
         df = df.select(*keys, *columns)
         df = df.withColumn(SPREAD, spread_column(df, keys, side=n))
+        # Keys must be unique on each side, or the join would pair every duplicate with
+        # every other.  The count is a window on the join keys, so the join reuses its
+        # shuffle; a duplicate raises inside the job.
+        df = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, SPREAD)))
+        dup = (F.col("__n") > 1) & ~any_key_null(keys)
+        df = df.filter(F.when(dup, F.raise_error(F.lit(f"reconcile: duplicate key on the {'expected' if n == 1 else 'actual'} side"))).isNull())
         return df.select(
             *[F.col(c).alias(f"{tag}{c}") for c in [*keys, *columns, SPREAD]], F.lit(True).alias(f"{tag}present")
         )

@@ -120,17 +120,22 @@ def _norm(path: str) -> str:
 
 
 def compaction_plan(
-    spark: SparkSession, path_in: str, *, partition_by: Sequence[str] = (), target_bytes: int = 128 << 20
+    spark: SparkSession,
+    path_in: str,
+    *,
+    partition_by: Sequence[str] = (),
+    target_bytes: int = 128 << 20,
+    schema: str | None = None,
 ) -> tuple[DataFrame, int]:
     """The rows of ``path_in`` with their ``_bucket``, and the total number of buckets.
 
     Per partition value, ``ceil(bytes on disk / target_bytes)`` buckets, from the scan's
     own file metadata (footers only).  A row's bucket is a hash of (file, row index):
     the same on every run, so a re-run task after a lost executor sends every row to
-    the same place.
+    the same place.  ``schema`` (DDL) skips inference, and lets an empty folder through.
     """
     pcols = list(partition_by)
-    src = spark.read.parquet(path_in)
+    src = (spark.read.schema(schema) if schema else spark.read).parquet(path_in)
     missing = [c for c in pcols if c not in src.columns]
     if missing:
         raise ValueError(f"compact: partition columns {missing} not in {src.columns}")
@@ -169,6 +174,7 @@ def compact(
     partition_by: Sequence[str] = (),
     target_bytes: int = 128 << 20,
     mode: str = "errorifexists",
+    schema: str | None = None,
 ) -> int:
     """Rewrite the Parquet data at ``path_in`` into files of about ``target_bytes`` at ``path_out``.
 
@@ -183,7 +189,7 @@ def compact(
     if _norm(path_in) == _norm(path_out):
         raise ValueError("compact: path_out must differ from path_in")
     pcols = list(partition_by)
-    salted, total = compaction_plan(spark, path_in, partition_by=pcols, target_bytes=target_bytes)
+    salted, total = compaction_plan(spark, path_in, partition_by=pcols, target_bytes=target_bytes, schema=schema)
     if not total:
         return 0
     data_cols = [c for c in salted.columns if c != "_bucket"]

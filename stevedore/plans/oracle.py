@@ -94,8 +94,7 @@ ORACLE_SQL: dict[str, str] = {
           FROM events WHERE ts <= TIMESTAMP '{AS_OF}')
         WHERE r = 1 AND event_type <> 'error'""",
     "retain_history": f"""
-        WITH c AS (SELECT max(ts) - INTERVAL 168 HOUR AS cut FROM events),
-        h AS (SELECT e.*, e.ts < c.cut AS old FROM events e, c),
+        WITH h AS (SELECT *, ts < (SELECT max(ts) - INTERVAL 168 HOUR FROM events) AS old FROM events),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, old ORDER BY ts DESC, event_id DESC) AS rn FROM h)
         SELECT {EVENTS} FROM r WHERE NOT old OR rn = 1""",
     "optimized_write": f"SELECT {ORDERS} FROM orders",

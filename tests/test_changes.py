@@ -156,3 +156,18 @@ def test_merge_into_path_falls_back_beyond_the_partition_limit(spark, scratch):
     merge_into_path(spark, path, source, ["k"], ["part"], max_listed_partitions=1)
     got = dict((r.k, r.v) for r in spark.read.parquet(path).collect())
     assert got == {i: (f"w{i}" if i % 2 == 0 else f"v{i}") for i in range(20)}
+
+
+def test_reconcile_reports_every_difference_and_rejects_duplicates(spark):
+    from stevedore.operators import reconcile
+
+    exp = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (3, "c", 3.0), (None, "n", 0.0)], "k INT, s STRING, x DOUBLE")
+    act = spark.createDataFrame([(1, "a", 1.0), (2, "B", None), (4, "d", 4.0), (None, "n", 0.0)], "k INT, s STRING, x DOUBLE")
+    got = sorted(((r.k, r.status, r.changed_columns) for r in reconcile(exp, act, ["k"]).collect()), key=repr)
+    assert got == sorted(
+        [(2, "changed", "s"), (3, "missing", None), (4, "extra", None), (None, "missing", None), (None, "extra", None)],
+        key=repr,
+    )
+    dup = spark.createDataFrame([(1, "a", 1.0), (1, "z", 1.0)], "k INT, s STRING, x DOUBLE")
+    with pytest.raises(PySparkException, match="duplicate key"):
+        reconcile(exp, dup, ["k"]).collect()
