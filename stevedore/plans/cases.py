@@ -273,6 +273,37 @@ def extract_settings_kv_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_settings(spark, path, "kv", keep=("c_mktsegment",)).drop("file")
 
 
+def settings_drift_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intended settings (XML) against rendered ones (KEY=VALUE), both read back from files."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    intended, rendered = scratch_path(spark, "intended_xml"), scratch_path(spark, "rendered_kv")
+    (
+        orders.select(
+            "o_orderpriority",
+            F.concat(F.lit("order."), key, F.lit(".status")).alias("name"),
+            F.col("o_orderstatus").alias("value"),
+        )
+        .write.format("xml")
+        .option("rootTag", "configuration")
+        .option("rowTag", "property")
+        .partitionBy("o_orderpriority")
+        .save(intended)
+    )
+    # Rendering drift: orders before the reconcile window are missing, and one priority
+    # renders its status in lower case.
+    drifted = F.when(F.col("o_orderpriority") == "2-HIGH", F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))
+    (
+        orders.filter(F.col("o_orderdate") >= ntz(RECONCILE_ACTUAL_FROM))
+        .select("o_orderpriority", F.concat(F.lit("order."), key, F.lit(".status="), drifted).alias("value"))
+        .write.partitionBy("o_orderpriority")
+        .text(rendered)
+    )
+    expected = extract_settings(spark, intended, "xml", keep=("o_orderpriority",)).drop("file")
+    actual = extract_settings(spark, rendered, "kv", keep=("o_orderpriority",)).drop("file")
+    return reconcile(expected, actual, ["o_orderpriority", "name"])
+
+
 def reconcile_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     expected = orders.filter(F.col("o_orderdate") < ntz(RECONCILE_EXPECTED_TO))
@@ -318,5 +349,6 @@ CASES: dict[str, Case] = {
     "extract_settings_xml": extract_settings_xml_case,
     "extract_settings_kv": extract_settings_kv_case,
     "reconcile": reconcile_case,
+    "settings_drift": settings_drift_case,
     "reconcile_summary": reconcile_summary_case,
 }

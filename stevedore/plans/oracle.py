@@ -173,5 +173,12 @@ ORACLE_SQL: dict[str, str] = {
            OR o_orderpriority IN ('5-LOW', '1-URGENT')""",
 }
 
+ORACLE_SQL["settings_drift"] = f"""
+    SELECT o_orderpriority, 'order.' || CAST(o_orderkey AS VARCHAR) || '.status' AS name,
+           CASE WHEN o_orderdate < TIMESTAMP '{RECONCILE_ACTUAL_FROM}' THEN 'missing' ELSE 'changed' END AS status,
+           CASE WHEN o_orderdate >= TIMESTAMP '{RECONCILE_ACTUAL_FROM}' THEN 'value' END AS changed_columns
+    FROM orders
+    WHERE o_orderdate < TIMESTAMP '{RECONCILE_ACTUAL_FROM}' OR o_orderpriority = '2-HIGH'"""
+
 ORACLE_SQL["reconcile_summary"] = f"""
     SELECT status, count(*) AS n FROM ({ORACLE_SQL["reconcile"]}) GROUP BY status"""

@@ -21,8 +21,12 @@ def follow_logs(
     window: str = "1 hour",
     watermark: str = "10 minutes",
     max_files_per_trigger: int | None = None,
+    by: tuple[str, ...] = ("level",),
 ) -> DataFrame:
-    """Streaming counts ``(window_start, window_end, level, n)`` of the lines under ``path``.
+    """Streaming counts ``(window_start, window_end, *by, n)`` of the lines under ``path``.
+
+    ``by`` names parsed columns to count by, for example ``("source", "level")`` for
+    windows per file.
 
     Lines are parsed as ``parse_logs`` does; lines without a time (continuation lines)
     have no window and are not counted.  The watermark bounds the state: a window is
@@ -38,12 +42,12 @@ def follow_logs(
     timed = parse_logs(lines).filter(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp"))
     return (
         timed.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", window).alias("w"), "level")
+        .groupBy(F.window("ts", window).alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
             F.col("w.start").cast("timestamp_ntz").alias("window_start"),
             F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-            "level",
+            *by,
             "n",
         )
     )

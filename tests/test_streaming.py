@@ -67,3 +67,18 @@ def test_append_mode_emits_closed_windows_only(spark, scratch):
         ("2024-03-01 10:00:00", "INFO", 1),
         ("2024-03-01 11:00:00", "INFO", 1),
     ]
+
+
+def test_windows_per_source(spark, scratch):
+    logs, out = f"{scratch}/in", f"{scratch}/out"
+    _write(logs, "host-a/hive.log", DAY1)
+    _write(logs, "host-b/hive.log", DAY2)
+    stream = follow_logs(spark, logs, by=("source", "level"))
+    run_to_path(stream, out, f"{scratch}/ckpt", output_mode="complete").awaitTermination()
+    got = {(r.source.rsplit("/", 2)[-2], str(r.window_start), r.level): r.n for r in spark.read.parquet(out).collect()}
+    assert got == {
+        ("host-a", "2024-03-01 10:00:00", "INFO"): 1,
+        ("host-a", "2024-03-01 10:00:00", "ERROR"): 1,
+        ("host-a", "2024-03-01 11:00:00", "INFO"): 1,
+        ("host-b", "2024-03-02 08:00:00", "WARN"): 2,
+    }
