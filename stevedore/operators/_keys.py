@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPREAD = "__spread"
 
@@ -23,9 +24,16 @@ def any_key_null(keys: Sequence[str]) -> Column:
     return cond
 
 
+def _hashable(dt: T.DataType) -> bool:
+    """xxhash64 rejects maps (and variants), also when nested."""
+    text = dt.simpleString()
+    return "map<" not in text and "variant" not in text
+
+
 def spread_column(df: DataFrame, keys: Sequence[str], side: int = 0) -> Column:
     """0 for complete keys, otherwise a deterministic row hash (tagged by ``side``)."""
-    row_hash = F.xxhash64(F.lit(side), *[F.col(c) for c in df.columns])
+    cols = [F.col(f.name) for f in df.schema.fields if _hashable(f.dataType)]
+    row_hash = F.xxhash64(F.lit(side), *cols)
     # Never 0 for NULL-key rows, so they cannot collide with the complete-key group.
     return F.when(any_key_null(keys), F.when(row_hash == 0, F.lit(1)).otherwise(row_hash)).otherwise(F.lit(0)).cast(
         "long"

@@ -171,3 +171,13 @@ def test_reconcile_reports_every_difference_and_rejects_duplicates(spark):
     dup = spark.createDataFrame([(1, "a", 1.0), (1, "z", 1.0)], "k INT, s STRING, x DOUBLE")
     with pytest.raises(PySparkException, match="duplicate key"):
         reconcile(exp, dup, ["k"]).collect()
+
+
+def test_keyed_jobs_accept_map_columns(spark):
+    from stevedore.operators import reconcile, snapshot_as_of
+
+    df = spark.createDataFrame([(1, 1, {"a": 1}), (None, 2, {"b": 2})], "k INT, ver INT, m MAP<STRING, INT>")
+    assert merge_upsert(df, df.filter("k IS NOT NULL"), ["k"]).count() == 2
+    assert snapshot_as_of(df, ["k"], ["ver"], 5).count() == 2
+    assert fold_batches(df, ["k"], "ver", ["ver"]).count() == 2
+    assert reconcile(df.drop("m"), df.drop("m"), ["k"]).count() == 2  # the NULL-key row on each side
