@@ -219,11 +219,13 @@ def write_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "daily_logs")
     write_daily(logs, path)
     back = spark.read.schema(with_day(logs).schema).parquet(path)
-    return back.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    # Reported as the day's midnight (TIMESTAMP), the type the test tables use for dates.
+    return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def keep_newest_days_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_newest_days(_event_logs(spark, sf_dir), n=7)
+    # The kept lines; their ``day`` is derived from ``ts`` and left out of the result.
+    return keep_newest_days(_event_logs(spark, sf_dir), n=7).drop("day")
 
 
 def follow_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,10 +134,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM parsed GROUP BY source""",
     "write_daily": f"""
         WITH {PARSED_LOGS}
-        SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM parsed GROUP BY CAST(ts AS DATE)""",
+        SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n FROM parsed GROUP BY CAST(ts AS DATE)""",
     "keep_newest_days": f"""
         WITH {PARSED_LOGS}
-        SELECT {LOG_COLS}, CAST(ts AS DATE) AS day FROM parsed
+        SELECT {LOG_COLS} FROM parsed
         WHERE CAST(ts AS DATE) IN (
           SELECT DISTINCT CAST(ts AS DATE) FROM parsed WHERE ts IS NOT NULL ORDER BY 1 DESC LIMIT 7)""",
     "follow_logs": f"""
