@@ -225,8 +225,9 @@ def merge_into_path(
     1. the touched partition values (at most ``max_listed_partitions``, checked) become
        a literal filter on partition columns, so the scan lists and reads only those
        folders; beyond the limit a semi join is used instead (correct, no pruning);
-    2. the merged rows of those partitions are staged under the scratch root, which
-       also cuts the lineage: nothing reads ``path`` while it is being written;
+    2. the source is staged once (all passes see the same rows), and the merged rows
+       of the touched partitions are staged under the scratch root, which also cuts
+       the lineage: nothing reads ``path`` while it is being written;
     3. the staged partitions replace theirs by dynamic partition overwrite, and touched
        partitions the merge emptied are removed.
 
@@ -243,7 +244,13 @@ def merge_into_path(
     check_keys(target, keys + pcols, "merge_into_path target")
     types = {f.name: f.dataType for f in target.schema.fields}
     part_key = F.to_json(F.struct(*[F.col(c) for c in pcols]))
-    src = source.withColumns({c: F.col(c).cast(types[c]) for c in pcols})
+    # The source is read several times below (partition list, merge, emptied check).
+    # Staging it once makes every pass see the same rows, even when the source is a
+    # folder still receiving files: a source row in an unlisted partition would
+    # otherwise replace that partition without its existing rows.
+    staged_source = scratch_path(spark, "merge_source")
+    source.withColumns({c: F.col(c).cast(types[c]) for c in pcols}).write.parquet(staged_source)
+    src = spark.read.parquet(staged_source)
 
     listed = [r[0] for r in src.select(part_key.alias("p")).distinct().limit(max_listed_partitions + 1).collect()]
     if len(listed) <= max_listed_partitions:
