@@ -173,3 +173,25 @@ def test_compact_buckets_are_deterministic_per_row(spark, scratch):
     first, second = assignment(), assignment()
     assert first == second and first[0] > 1
     assert len({b for _, b in first[1]}) == first[0]
+
+
+def test_bucketed_tables_join_without_shuffle(spark, db):
+    orders = spark.read.parquet(f"{SF01}/orders.parquet")
+    lineitem = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    o = publish_table(orders, f"{db}.orders_b", bucket_by=(8, ["o_orderkey"]))
+    li = publish_table(lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), f"{db}.lineitem_b",
+                       bucket_by=(8, ["o_orderkey"]))
+    joined = o.join(li, "o_orderkey")
+    from stevedore.operators.tables import session_conf
+
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == orders.join(lineitem, orders.o_orderkey == lineitem.l_orderkey).count()
+
+
+def test_partitioned_publish_rebalances(spark, db):
+    orders = spark.read.parquet(f"{SF01}/orders.parquet").repartition(24)
+    publish_table(orders, f"{db}.orders_p", partition_by=["o_orderstatus"])
+    files = spark.table(f"{db}.orders_p").inputFiles()
+    assert len(files) <= 12 and spark.table(f"{db}.orders_p").count() == 15000
