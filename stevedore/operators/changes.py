@@ -23,6 +23,7 @@ def merge_upsert(
     keys: Sequence[str],
     *,
     delete_when: Column | str | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Apply ``source`` to ``target`` by ``keys``; returns the new contents of the target.
 
@@ -36,6 +37,12 @@ def merge_upsert(
     Plan: one full outer join on the keys.  The duplicate count is a window on the
     join keys, so the join reuses its partitioning: each side is shuffled once.
     Source values are cast to the target's column types.
+
+    ``colocated=True`` is for a target stored bucketed on exactly ``keys`` (see
+    ``publish_table(bucket_by=...)``): the join is then on the keys alone, so the
+    target is read in its bucket layout and only the source is shuffled.  NULL-key
+    rows bypass the join (a filtered read each side; Parquet skips row groups
+    without NULLs), and the duplicate check is a separate pass over the source keys.
     """
     keys = list(keys)
     check_keys(target, keys, "merge_upsert target")
@@ -51,6 +58,8 @@ def merge_upsert(
         *[F.col(c).cast(types[c]).alias(c) for c in cols],
         (F.coalesce(delete_col, F.lit(False)) if delete_col is not None else F.lit(False)).alias("__del"),
     )
+    if colocated:
+        return _merge_colocated(target, src, keys, cols)
     src = src.withColumn(SPREAD, spread_column(src, keys, side=2))
     key_window = Window.partitionBy(*keys, SPREAD)
     src = src.withColumn("__n", F.count(F.lit(1)).over(key_window))
@@ -66,7 +75,14 @@ def merge_upsert(
     tgt = target.withColumn(SPREAD, spread_column(target, keys, side=1))
     t = tgt.select(*[F.col(c).alias(f"__t_{c}") for c in cols], F.col(SPREAD).alias("__t_spread"))
 
-    cond = [F.col(f"__t_{k}") == F.col(f"__s_{k}") for k in keys] + [F.col("__t_spread") == F.col("__s_spread")]
+    return _merge_rows(t, s, keys, cols, ["spread"])
+
+
+def _merge_rows(t: DataFrame, s: DataFrame, keys: list[str], cols: list[str], extra: list[str]) -> DataFrame:
+    """Full outer join of renamed sides on ``keys`` (+ ``extra`` columns), merge rules applied."""
+    cond = [F.col(f"__t_{k}") == F.col(f"__s_{k}") for k in keys] + [
+        F.col(f"__t_{c}") == F.col(f"__s_{c}") for c in extra
+    ]
     joined = t.join(s, cond, "full_outer")
     from_source = F.col("__s_present").isNotNull()
     return joined.filter(~(from_source & F.col("__s_del"))).select(
@@ -74,6 +90,22 @@ def merge_upsert(
     )
 
 
+def _merge_colocated(target: DataFrame, src: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    null_key = any_key_null(keys)
+    complete_src = src.filter(~null_key)
+    duplicated = complete_src.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).count()
+    if duplicated:
+        raise ValueError("merge_upsert: duplicate key in source")
+    s = complete_src.select(
+        *[F.col(c).alias(f"__s_{c}") for c in cols], F.col("__del").alias("__s_del"), F.lit(True).alias("__s_present")
+    )
+    t = target.filter(~null_key).select(*[F.col(c).alias(f"__t_{c}") for c in cols])
+    merged = _merge_rows(t, s, keys, cols, [])
+    kept_targets = target.filter(null_key).select(*cols)
+    inserted = src.filter(null_key & ~F.col("__del")).select(*cols)
+    return merged.unionByName(kept_targets).unionByName(inserted)
+
+
 # Numeric widening ladder: a column may move up, never down.
 _NUMERIC_ORDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
 

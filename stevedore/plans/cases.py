@@ -104,6 +104,19 @@ def merge_upsert_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_upsert(target, source, ["o_orderkey"], delete_when=F.col("o_orderstatus") == "F")
 
 
+def merge_colocated_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upsert against a target table stored in buckets of its key: only the source moves."""
+    db = _run_database(spark)
+    orders = table(spark, sf_dir, "orders")
+    target = publish_table(
+        orders.filter(F.col("o_orderdate") < ntz(MERGE_TARGET_END)), f"{db}.orders", bucket_by=(16, ["o_orderkey"])
+    )
+    source = orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE)).withColumn(
+        "o_totalprice", F.col("o_totalprice") + 1
+    )
+    return merge_upsert(target, source, ["o_orderkey"], delete_when=F.col("o_orderstatus") == "F", colocated=True)
+
+
 def merge_into_path_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate"))
     path = scratch_path(spark, "orders_by_year")
@@ -332,6 +345,7 @@ CASES: dict[str, Case] = {
     "append_rows": append_rows_case,
     "merge_upsert": merge_upsert_case,
     "merge_into_path": merge_into_path_case,
+    "merge_colocated": merge_colocated_case,
     "evolve_append": evolve_append_case,
     "evolve_table": evolve_table_case,
     "snapshot_as_of": snapshot_as_of_case,

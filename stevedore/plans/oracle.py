@@ -173,6 +173,8 @@ ORACLE_SQL: dict[str, str] = {
            OR o_orderpriority IN ('5-LOW', '1-URGENT')""",
 }
 
+ORACLE_SQL["merge_colocated"] = ORACLE_SQL["merge_upsert"]
+
 ORACLE_SQL["settings_drift"] = f"""
     SELECT o_orderpriority, 'order.' || CAST(o_orderkey AS VARCHAR) || '.status' AS name,
            CASE WHEN o_orderdate < TIMESTAMP '{RECONCILE_ACTUAL_FROM}' THEN 'missing' ELSE 'changed' END AS status,

@@ -181,3 +181,28 @@ def test_keyed_jobs_accept_map_columns(spark):
     assert snapshot_as_of(df, ["k"], ["ver"], 5).count() == 2
     assert fold_batches(df, ["k"], "ver", ["ver"]).count() == 2
     assert reconcile(df.drop("m"), df.drop("m"), ["k"]).count() == 2  # the NULL-key row on each side
+
+
+def test_colocated_merge_moves_only_the_source(spark):
+    from stevedore.operators.tables import session_conf
+    from stevedore.plans import CASES
+
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        df = CASES["merge_colocated"](spark, SF01)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" in plan
+
+
+def test_colocated_merge_equals_default_merge(spark):
+    target = spark.createDataFrame(
+        [(1, "a", False), (2, "b", False), (None, "t", False), (3, "c", False)], SCHEMA
+    )
+    source = spark.createDataFrame(
+        [(2, "B", False), (3, "C", True), (4, "D", False), (None, "s", False), (None, "x", True)], SCHEMA
+    )
+    a = merge_upsert(target, source, ["k"], delete_when="flag")
+    b = merge_upsert(target, source, ["k"], delete_when="flag", colocated=True)
+    assert rows(a) == rows(b)
+    with pytest.raises(ValueError, match="duplicate key"):
+        merge_upsert(target, source.union(source.filter("k = 2")), ["k"], colocated=True)
