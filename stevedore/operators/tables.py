@@ -149,6 +149,7 @@ def compaction_plan(
     partition_by: Sequence[str] = (),
     target_bytes: int = 128 << 20,
     schema: str | None = None,
+    max_broadcast_values: int = 100_000,
 ) -> tuple[DataFrame, int]:
     """The rows of ``path_in`` with their ``_bucket``, and the total number of buckets.
 
@@ -173,14 +174,17 @@ def compaction_plan(
     buckets = files.groupBy(*pcols).agg(
         F.greatest(F.lit(1), F.ceil(F.sum("_size") / F.lit(float(target_bytes)))).cast("int").alias("_nb")
     )
-    total = int(buckets.agg(F.sum("_nb")).first()[0] or 0)
+    summary = buckets.agg(F.sum("_nb").alias("total"), F.count(F.lit(1)).alias("values")).first()
+    total, n_values = int(summary["total"] or 0), int(summary["values"] or 0)
 
     rows = src.select(*data_cols, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_ri"))
     if pcols:
-        # One row per partition value; AQE broadcasts it when it is measured small,
-        # and otherwise plans a shuffle join (with skew splitting) instead.
+        # One row per partition value, counted above: broadcast while that count is
+        # within ``max_broadcast_values``; beyond it a shuffle join (AQE splits skew).
         # (Renamed: both sides come from the same scan, so their columns share ids.)
         sizes = buckets.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(pcols)], "_nb")
+        if n_values <= max_broadcast_values:
+            sizes = F.broadcast(sizes)
         cond = [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(pcols)]
         rows = rows.join(sizes, cond, "inner").select(*rows.columns, "_nb")
     else:

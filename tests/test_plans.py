@@ -57,3 +57,19 @@ def test_no_python_in_any_plan(spark):
     for name in ["merge_upsert", "reconcile", "error_verdict", "evolve_append", "fold_batches"]:
         plan = plan_of(CASES[name](spark, SF01))
         assert "Python" not in plan, name
+
+
+def test_compaction_broadcasts_the_checked_size_table(spark, scratch):
+    from stevedore.operators.tables import compaction_plan
+
+    lineitem = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    lineitem.write.option("maxRecordsPerFile", 5000).partitionBy("l_returnflag").parquet(f"{scratch}/in")
+    plan_df, _ = compaction_plan(spark, f"{scratch}/in", partition_by=["l_returnflag"])
+    assert "BroadcastHashJoin" in plan_of(plan_df)
+    # Beyond the bound the join is left to the planner (no hint): with size-based
+    # broadcasting off it must be a shuffle join.
+    from stevedore.operators.tables import session_conf
+
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan_df, _ = compaction_plan(spark, f"{scratch}/in", partition_by=["l_returnflag"], max_broadcast_values=1)
+        assert "SortMergeJoin" in plan_of(plan_df)
