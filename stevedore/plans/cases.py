@@ -49,7 +49,7 @@ from stevedore.plans.fixtures import (
 from stevedore.session import scratch_path
 from stevedore.sources.logs import parse_logs, read_log_lines
 from stevedore.sources.settings import extract_settings
-from stevedore.streaming.follow import follow_logs, run_to_path
+from stevedore.streaming.follow import follow_logs, ingest_daily, run_to_path
 
 Case = Callable[[SparkSession, str], DataFrame]
 
@@ -252,6 +252,16 @@ def follow_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def ingest_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = event_log_lines(table(spark, sf_dir, "events"))
+    incoming = scratch_path(spark, "rolled_logs")
+    lines.select("value", F.to_date("ts_event").alias("day")).write.partitionBy("day").text(incoming)
+    out, checkpoint = scratch_path(spark, "ingested_logs"), scratch_path(spark, "ingested_logs_ckpt")
+    ingest_daily(spark, incoming, out, checkpoint).awaitTermination()
+    back = spark.read.parquet(out)
+    return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def extract_settings_xml_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     path = scratch_path(spark, "settings_xml")
@@ -362,6 +372,7 @@ CASES: dict[str, Case] = {
     "write_daily": write_daily_case,
     "keep_newest_days": keep_newest_days_case,
     "follow_logs": follow_logs_case,
+    "ingest_daily": ingest_daily_case,
     "extract_settings_xml": extract_settings_xml_case,
     "extract_settings_kv": extract_settings_kv_case,
     "reconcile": reconcile_case,

@@ -81,3 +81,34 @@ def run_to_path(
     writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def ingest_daily(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    checkpoint: str,
+    *,
+    available_now: bool = True,
+    max_files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Follow ``path`` and append every parsed line to Parquet at ``out`` by ``day``.
+
+    The streaming counterpart of ``write_daily``: the file sink records committed
+    files in ``out/_spark_metadata``, so each line lands exactly once even when a
+    micro-batch is retried.  Lines without a time go to the NULL day.
+    """
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    lines = reader.load(path).select("value", F.col("_metadata.file_path").alias("source"))
+    logs = parse_logs(lines).withColumn("day", F.to_date("ts"))
+    writer = (
+        logs.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .partitionBy("day")
+        .outputMode("append")
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

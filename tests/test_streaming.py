@@ -82,3 +82,23 @@ def test_windows_per_source(spark, scratch):
         ("host-a", "2024-03-01 11:00:00", "INFO"): 1,
         ("host-b", "2024-03-02 08:00:00", "WARN"): 2,
     }
+
+
+def test_ingest_daily_matches_batch_and_is_exactly_once(spark, scratch):
+    from stevedore.operators import write_daily
+    from stevedore.streaming import ingest_daily
+
+    logs, out, ckpt = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt"
+    _write(logs, "day=2024-03-01/hive.log", DAY1)
+    ingest_daily(spark, logs, out, ckpt).awaitTermination()
+    _write(logs, "day=2024-03-02/hive.log", DAY2)
+    ingest_daily(spark, logs, out, ckpt).awaitTermination()
+    ingest_daily(spark, logs, out, ckpt).awaitTermination()  # nothing new: nothing added
+    streamed = spark.read.parquet(out)
+    batch_path = f"{scratch}/batch"
+    write_daily(parse_logs(read_log_lines(spark, logs)), batch_path)
+    batch = spark.read.parquet(batch_path)
+    cols = ["source", "ts", "level", "message", "raw", "day"]
+    assert streamed.count() == len(DAY1) + len(DAY2)
+    assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
+    assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
