@@ -68,14 +68,14 @@ def merge_upsert(
     s = src.select(
         *[F.col(c).alias(f"__s_{c}") for c in cols],
         F.col("__del").alias("__s_del"),
-        F.col(SPREAD).alias("__s_spread"),
+        F.col(SPREAD).alias(f"__s_{SPREAD}"),
         F.lit(True).alias("__s_present"),
     )
 
     tgt = target.withColumn(SPREAD, spread_column(target, keys, side=1))
-    t = tgt.select(*[F.col(c).alias(f"__t_{c}") for c in cols], F.col(SPREAD).alias("__t_spread"))
+    t = tgt.select(*[F.col(c).alias(f"__t_{c}") for c in cols], F.col(SPREAD).alias(f"__t_{SPREAD}"))
 
-    return _merge_rows(t, s, keys, cols, ["spread"])
+    return _merge_rows(t, s, keys, cols, [SPREAD])
 
 
 def _merge_rows(t: DataFrame, s: DataFrame, keys: list[str], cols: list[str], extra: list[str]) -> DataFrame:

@@ -206,3 +206,9 @@ def test_colocated_merge_equals_default_merge(spark):
     assert rows(a) == rows(b)
     with pytest.raises(ValueError, match="duplicate key"):
         merge_upsert(target, source.union(source.filter("k = 2")), ["k"], colocated=True)
+
+
+def test_merge_with_a_column_named_spread(spark):
+    target = spark.createDataFrame([(1, 5), (2, 6)], "k INT, spread INT")
+    source = spark.createDataFrame([(2, 7), (3, 8)], "k INT, spread INT")
+    assert rows(merge_upsert(target, source, ["k"])) == [(1, 5), (2, 7), (3, 8)]
