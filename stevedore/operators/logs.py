@@ -72,12 +72,17 @@ def write_daily(logs: DataFrame, path: str) -> None:
 def keep_newest_days(logs: DataFrame, n: int = 30) -> DataFrame:
     """Lines of the newest ``n`` days that have any line (days, not calendar span).
 
-    The day list is at most ``n`` rows, so it is broadcast for a left-semi join; on a
-    day-partitioned table the same join prunes the partitions it does not keep.
+    The day list (at most ``n`` values) is computed first and applied as a literal
+    ``IN`` filter: on a day-partitioned table (``write_daily``'s layout) that is a
+    partition filter, so only the kept days' folders are listed and read.  Finding the
+    days reads only the ``day`` column (partition values: no data pages).
     Lines without a time belong to no day and are not kept.
     """
     if n < 1:
         raise ValueError("n must be positive")
     dated = with_day(logs)
-    days = dated.select("day").where(F.col("day").isNotNull()).distinct().orderBy(F.desc("day")).limit(n)
-    return dated.join(F.broadcast(days), "day", "left_semi")
+    days = [
+        r[0]
+        for r in dated.select("day").where(F.col("day").isNotNull()).distinct().orderBy(F.desc("day")).limit(n).collect()
+    ]
+    return dated.filter(F.col("day").isin(days))

@@ -37,10 +37,18 @@ def test_error_tail_limits_before_shuffle(spark):
     assert re.search(r"WindowGroupLimit .*Partial", plan)
 
 
-def test_newest_days_broadcasts_the_day_list(spark):
-    plan = plan_of(CASES["keep_newest_days"](spark, SF01))
-    assert "LeftSemi" in plan and "BroadcastExchange" in plan
-    assert "TakeOrderedAndProject(limit=7" in plan
+def test_newest_days_is_a_partition_filter_on_daily_tables(spark, scratch):
+    from stevedore.operators import keep_newest_days, write_daily
+    from stevedore.plans.fixtures import event_log_lines
+    from stevedore.sources import parse_logs
+
+    logs = parse_logs(event_log_lines(spark.read.parquet(f"{SF01}/events.parquet")))
+    write_daily(logs, scratch)
+    kept = keep_newest_days(spark.read.parquet(scratch), n=7)
+    scan = next(line for line in plan_of(kept).splitlines() if "FileScan parquet" in line)
+    assert "PartitionFilters: [" in scan and "day#" in scan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "Join" not in plan_of(kept)
+    assert kept.select("day").distinct().count() == 7
 
 
 def test_parse_is_a_narrow_projection(spark):
