@@ -7,6 +7,7 @@ from stevedore.operators.reconcile import reconcile, reconcile_summary
 from stevedore.operators.tables import (
     append_rows,
     compact,
+    compact_in_place,
     optimized_write,
     overwrite_partitions,
     publish_external,
@@ -16,6 +17,7 @@ from stevedore.operators.tables import (
 __all__ = [
     "append_rows",
     "compact",
+    "compact_in_place",
     "error_tail",
     "error_verdict",
     "evolve_append",

@@ -150,6 +150,7 @@ def compaction_plan(
     target_bytes: int = 128 << 20,
     schema: str | None = None,
     max_broadcast_values: int = 100_000,
+    where=None,
 ) -> tuple[DataFrame, int]:
     """The rows of ``path_in`` with their ``_bucket``, and the total number of buckets.
 
@@ -157,9 +158,12 @@ def compaction_plan(
     own file metadata (footers only).  A row's bucket is a hash of (file, row index):
     the same on every run, so a re-run task after a lost executor sends every row to
     the same place.  ``schema`` (DDL) skips inference, and lets an empty folder through.
+    ``where``, a filter on partition columns, limits the plan to those partitions.
     """
     pcols = list(partition_by)
     src = (spark.read.schema(schema) if schema else spark.read).parquet(path_in)
+    if where is not None:
+        src = src.filter(where)
     missing = [c for c in pcols if c not in src.columns]
     if missing:
         raise ValueError(f"compact: partition columns {missing} not in {src.columns}")
@@ -226,3 +230,63 @@ def compact(
         writer = writer.partitionBy(*pcols)
     writer.parquet(path_out)
     return total
+
+
+def compact_in_place(
+    spark: SparkSession,
+    path: str,
+    partition_by: Sequence[str],
+    *,
+    target_bytes: int = 128 << 20,
+    schema: str | None = None,
+    max_listed_partitions: int = 10_000,
+) -> int:
+    """Compact, in place, only the partitions of ``path`` that hold more files than needed.
+
+    A partition is rewritten when its file count exceeds ``ceil(bytes / target_bytes)``;
+    the others are not read or touched.  The candidates (their number checked against
+    ``max_listed_partitions``) are read through a literal partition filter and bucketed
+    as ``compact`` does; beyond the limit a semi join copies them out first.  The result
+    is written under the scratch root (nothing reads ``path`` while it is written) and
+    swapped in by dynamic partition overwrite.  Returns the number of partitions rewritten.
+    """
+    from stevedore.session import scratch_path
+
+    pcols = list(partition_by)
+    if not pcols:
+        raise ValueError("compact_in_place needs partition columns; use compact for a whole folder")
+    src = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    part_key = F.to_json(F.struct(*[F.col(c) for c in pcols]))
+    per_file = src.select(
+        part_key.alias("_part"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")
+    ).groupBy("_part", "_file").agg(F.max("_size").alias("_size"))
+    per_part = per_file.groupBy("_part").agg(F.count(F.lit(1)).alias("_files"), F.sum("_size").alias("_bytes"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / F.lit(float(target_bytes))))
+    candidates_df = per_part.filter(F.col("_files") > needed).select("_part")
+    listed = [r[0] for r in candidates_df.limit(max_listed_partitions + 1).collect()]
+    if not listed:
+        return 0
+    staged_out = scratch_path(spark, "compact_out")
+    rewritten = len(listed)
+    if len(listed) <= max_listed_partitions:
+        # Bucketed straight from the candidates' own files (a partition filter).
+        salted, total = compaction_plan(
+            spark, path, partition_by=pcols, target_bytes=target_bytes, schema=schema, where=part_key.isin(listed)
+        )
+        data_cols = [c for c in salted.columns if c != "_bucket"]
+        salted.repartitionByRange(total, *pcols, "_bucket").select(*data_cols).write.partitionBy(*pcols).parquet(
+            staged_out
+        )
+    else:
+        # Too many to list: copy the candidates' rows out first (semi join), then compact the copy.
+        marked = src.withColumn("_part", part_key)
+        chosen = marked.join(candidates_df, "_part", "left_semi").drop("_part")
+        staged_in = scratch_path(spark, "compact_in")
+        chosen.write.partitionBy(*pcols).parquet(staged_in)
+        compact(spark, staged_in, staged_out, partition_by=pcols, target_bytes=target_bytes, schema=schema)
+        rewritten = spark.read.parquet(staged_in).select(*pcols).distinct().count()
+    # The rewritten partitions were staged, so nothing reads ``path`` while it is written.
+    overwrite_partitions(
+        (spark.read.schema(schema) if schema else spark.read).parquet(staged_out).select(*src.columns), path, pcols
+    )
+    return rewritten

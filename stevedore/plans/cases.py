@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stevedore.operators import (
     append_rows,
     compact,
+    compact_in_place,
     error_tail,
     error_verdict,
     evolve_append,
@@ -178,6 +179,18 @@ def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(lineitem.schema).parquet(out).select(*lineitem.columns)
 
 
+def compact_in_place_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineitem = table(spark, sf_dir, "lineitem")
+    path = scratch_path(spark, "lineitem_table")
+    # R and A arrive in many small files; N in one file per writer task.
+    lineitem.filter(F.col("l_returnflag") != "N").write.option("maxRecordsPerFile", 10000).partitionBy(
+        "l_returnflag"
+    ).parquet(path)
+    lineitem.filter(F.col("l_returnflag") == "N").write.mode("append").partitionBy("l_returnflag").parquet(path)
+    compact_in_place(spark, path, ["l_returnflag"])
+    return spark.read.schema(lineitem.schema).parquet(path).select(*lineitem.columns)
+
+
 def overwrite_partitions_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     path = scratch_path(spark, "orders_by_status")
@@ -362,6 +375,7 @@ CASES: dict[str, Case] = {
     "retain_history": retain_history_case,
     "optimized_write": optimized_write_case,
     "compact": compact_case,
+    "compact_in_place": compact_in_place_case,
     "overwrite_partitions": overwrite_partitions_case,
     "fold_batches": fold_batches_case,
     "parse_logs": parse_logs_case,

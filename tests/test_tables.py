@@ -195,3 +195,45 @@ def test_partitioned_publish_rebalances(spark, db):
     publish_table(orders, f"{db}.orders_p", partition_by=["o_orderstatus"])
     files = spark.table(f"{db}.orders_p").inputFiles()
     assert len(files) <= 12 and spark.table(f"{db}.orders_p").count() == 15000
+
+
+def test_compact_in_place_rewrites_only_fragmented_partitions(spark, scratch):
+    from stevedore.operators import compact_in_place
+
+    lineitem = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    path = f"{scratch}/li"
+    # R and A arrive in many small files; N is written as one file.
+    lineitem.filter("l_returnflag <> 'N'").write.option("maxRecordsPerFile", 1000).partitionBy(
+        "l_returnflag"
+    ).parquet(path)
+    lineitem.filter("l_returnflag = 'N'").coalesce(1).write.mode("append").partitionBy("l_returnflag").parquet(path)
+
+    def files():
+        import glob
+        import os
+
+        out = {}
+        for f in glob.glob(os.path.join(path.removeprefix("file:"), "*", "*.parquet")):
+            out.setdefault(os.path.basename(os.path.dirname(f)), set()).add(os.path.basename(f))
+        return out
+
+    before = files()
+    assert compact_in_place(spark, path, ["l_returnflag"]) == 2
+    after = files()
+    assert after["l_returnflag=N"] == before["l_returnflag=N"]
+    assert len(after["l_returnflag=R"]) == 1 and len(after["l_returnflag=A"]) == 1
+    back = spark.read.parquet(path).select(*lineitem.columns)
+    assert back.exceptAll(lineitem).count() == 0 and lineitem.exceptAll(back).count() == 0
+    assert compact_in_place(spark, path, ["l_returnflag"]) == 0  # nothing left to do
+
+
+def test_compact_in_place_fallback_beyond_the_listing_limit(spark, scratch):
+    from stevedore.operators import compact_in_place
+
+    orders = spark.read.parquet(f"{SF01}/orders.parquet")
+    path = f"{scratch}/o"
+    orders.write.option("maxRecordsPerFile", 500).partitionBy("o_orderstatus").parquet(path)
+    assert compact_in_place(spark, path, ["o_orderstatus"], max_listed_partitions=1) == 3
+    back = spark.read.parquet(path).select(*orders.columns)
+    assert back.exceptAll(orders).count() == 0 and orders.exceptAll(back).count() == 0
+    assert len(back.inputFiles()) == 3
