@@ -45,18 +45,24 @@ def snapshot_as_of(
     *,
     deleted: Column | str | None = None,
     time_col: str | None = None,
+    day_col: str | None = None,
 ) -> DataFrame:
     """The table as it was at ``as_of``: per key, the newest change at or before it.
 
     ``time_col`` (default: the first of ``order_cols``) is compared with ``as_of``; a
     version number works the same way as a time.  When the newest change is a
     tombstone (``deleted`` true), the key is absent.  The time filter is a literal,
-    so Parquet skips row groups and partitions outside it.
+    so Parquet skips row groups outside it; ``day_col`` names a date partition column
+    derived from the time (``write_daily``'s ``day``), whose matching filter then skips
+    the partitions after ``as_of`` without listing them.
     """
     keys, order_cols = list(keys), list(order_cols)
     check_keys(history, keys, "snapshot_as_of")
     time_col = time_col or order_cols[0]
-    visible = history.filter(F.col(time_col) <= _time_literal(history, time_col, as_of))
+    cut = _time_literal(history, time_col, as_of)
+    visible = history.filter(F.col(time_col) <= cut)
+    if day_col:
+        visible = visible.filter(F.col(day_col) <= F.to_date(cut))
     latest = latest_per_key(visible, keys, order_cols)
     if deleted is not None:
         gone = F.expr(deleted) if isinstance(deleted, str) else deleted
@@ -90,17 +96,22 @@ def retain_history(
     hours: float = 168,
     now=None,
     time_col: str | None = None,
+    day_col: str | None = None,
 ) -> DataFrame:
     """Trim history older than ``hours`` before ``now`` (default: the newest change).
 
     Keeps every change inside the period plus, per key, the newest change before it,
     so ``snapshot_as_of`` answers identically for every ``as_of`` from the cutoff on.
+    With ``day_col`` (a date partition column derived from the time), the recent part
+    reads only the partitions from the cutoff's day on.
     """
     keys, order_cols = list(keys), list(order_cols)
     check_keys(history, keys, "retain_history")
     time_col = time_col or order_cols[0]
     cutoff = retention_cutoff(history, time_col, hours, now)
     recent = history.filter(F.col(time_col) >= cutoff)
+    if day_col:
+        recent = recent.filter(F.col(day_col) >= F.to_date(cutoff))
     # A change with no time sorts first, so it counts as old; it is never dropped unseen.
     older = latest_per_key(history.filter((F.col(time_col) < cutoff) | F.col(time_col).isNull()), keys, order_cols)
     return recent.unionByName(older)

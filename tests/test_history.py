@@ -59,3 +59,18 @@ def test_retention_with_explicit_now_and_null_times(spark):
     out = retain_history(h, ["k"], ["ts"], hours=24, now="2024-01-09 12:00:00")
     got = sorted((r.k, r.v) for r in out.collect())
     assert got == [(1, "b"), (1, "d"), (2, "c")]
+
+
+def test_day_partitions_are_pruned(spark, events, scratch):
+    from pyspark.sql import functions as F
+
+    events.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(scratch)
+    daily = spark.read.parquet(scratch)
+    snap = snapshot_as_of(daily, KEYS, ORDER, "2024-01-05 12:00:00", day_col="day")
+    scan = next(line for line in snap._jdf.queryExecution().executedPlan().toString().splitlines()
+                if "FileScan parquet" in line)
+    assert "PartitionFilters: [" in scan and "day#" in scan.split("PartitionFilters: [", 1)[1]
+    plain = snapshot_as_of(events, KEYS, ORDER, "2024-01-05 12:00:00")
+    assert same(snap.drop("day"), plain)
+    trimmed = retain_history(daily, KEYS, ORDER, hours=168, day_col="day")
+    assert same(trimmed.drop("day"), retain_history(events, KEYS, ORDER, hours=168))
