@@ -12,6 +12,7 @@ from stevedore.operators.tables import (
     overwrite_partitions,
     publish_external,
     publish_table,
+    replace_table,
 )
 
 __all__ = [
@@ -34,6 +35,7 @@ __all__ = [
     "publish_table",
     "reconcile",
     "reconcile_summary",
+    "replace_table",
     "retain_history",
     "snapshot_as_of",
     "write_daily",

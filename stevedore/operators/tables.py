@@ -55,6 +55,28 @@ def publish_external(
     return df.sparkSession.table(name)
 
 
+def replace_table(
+    df: DataFrame,
+    name: str,
+    *,
+    partition_by: Sequence[str] = (),
+    bucket_by: tuple[int, Sequence[str]] | None = None,
+) -> DataFrame:
+    """Overwrite the table ``name`` with ``df``, also when ``df`` is computed from it.
+
+    ``df`` is checkpointed first (``DataFrame.checkpoint``, into the shared
+    ``spark.checkpoint.dir``), which cuts its lineage: the overwrite then no longer reads
+    the table it replaces, and a task retried after the old files are gone recomputes
+    from the checkpoint, not from them.
+    """
+    from stevedore.session import scratch_root
+
+    scratch_root(df.sparkSession)  # makes sure a checkpoint folder is set
+    frozen = df.checkpoint(eager=True)
+    _table_writer(frozen, "overwrite", partition_by, bucket_by).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append_rows(df: DataFrame, table: str) -> DataFrame:
     """Append ``df`` to an existing table, matching columns **by name**.
 

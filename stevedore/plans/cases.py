@@ -32,6 +32,7 @@ from stevedore.operators import (
     publish_table,
     reconcile,
     reconcile_summary,
+    replace_table,
     retain_history,
     snapshot_as_of,
     write_daily,
@@ -118,6 +119,19 @@ def merge_colocated_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_upsert(target, source, ["o_orderkey"], delete_when=F.col("o_orderstatus") == "F", colocated=True)
 
 
+def merge_table_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert into a catalog table and write the result back over it."""
+    db = _run_database(spark)
+    orders = table(spark, sf_dir, "orders")
+    name = f"{db}.orders"
+    publish_table(orders.filter(F.col("o_orderdate") < ntz(MERGE_TARGET_END)), name)
+    source = orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE)).withColumn(
+        "o_totalprice", F.col("o_totalprice") + 1
+    )
+    merged = merge_upsert(spark.table(name), source, ["o_orderkey"], delete_when=F.col("o_orderstatus") == "F")
+    return replace_table(merged, name)
+
+
 def merge_into_path_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate"))
     path = scratch_path(spark, "orders_by_year")
@@ -369,6 +383,7 @@ CASES: dict[str, Case] = {
     "merge_upsert": merge_upsert_case,
     "merge_into_path": merge_into_path_case,
     "merge_colocated": merge_colocated_case,
+    "merge_table": merge_table_case,
     "evolve_append": evolve_append_case,
     "evolve_table": evolve_table_case,
     "snapshot_as_of": snapshot_as_of_case,

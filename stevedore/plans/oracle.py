@@ -174,6 +174,7 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 ORACLE_SQL["merge_colocated"] = ORACLE_SQL["merge_upsert"]
+ORACLE_SQL["merge_table"] = ORACLE_SQL["merge_upsert"]
 ORACLE_SQL["ingest_daily"] = ORACLE_SQL["write_daily"]
 ORACLE_SQL["compact_in_place"] = ORACLE_SQL["compact"]
 

@@ -237,3 +237,13 @@ def test_compact_in_place_fallback_beyond_the_listing_limit(spark, scratch):
     back = spark.read.parquet(path).select(*orders.columns)
     assert back.exceptAll(orders).count() == 0 and orders.exceptAll(back).count() == 0
     assert len(back.inputFiles()) == 3
+
+
+def test_replace_table_from_itself(spark, db):
+    from stevedore.operators import merge_upsert, replace_table
+
+    spark.sql(f"CREATE TABLE {db}.t (k INT, v STRING) USING parquet")
+    spark.sql(f"INSERT INTO {db}.t VALUES (1, 'a'), (2, 'b')")
+    source = spark.createDataFrame([(2, "B"), (3, "C")], "k INT, v STRING")
+    out = replace_table(merge_upsert(spark.table(f"{db}.t"), source, ["k"]), f"{db}.t")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a"), (2, "B"), (3, "C")]
