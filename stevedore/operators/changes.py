@@ -205,7 +205,12 @@ def evolve_table(incoming: DataFrame, table: str) -> DataFrame:
 
 
 def fold_batches(
-    batches: DataFrame, keys: Sequence[str], batch_col: str, order_cols: Sequence[str]
+    batches: DataFrame,
+    keys: Sequence[str],
+    batch_col: str,
+    order_cols: Sequence[str],
+    *,
+    max_batches: int | None = None,
 ) -> DataFrame:
     """Fold pending writers' batches into one merge source.
 
@@ -215,9 +220,16 @@ def fold_batches(
 
     Plan: one hash aggregation with partial (map-side) aggregation, so a key holding
     a large share of all rows is reduced on every map task before the shuffle.
+
+    ``max_batches`` (10 concurrent writers is the configured limit this mirrors) is
+    checked first, by one distinct pass over ``batch_col`` that stops at the limit + 1.
     """
     keys = list(keys)
     check_keys(batches, keys, "fold_batches")
+    if max_batches is not None:
+        seen = batches.select(batch_col).distinct().limit(max_batches + 1).count()
+        if seen > max_batches:
+            raise ValueError(f"fold_batches: more than {max_batches} pending batches")
     cols = batches.columns
     row = F.struct(*[F.col(c) for c in cols])
     rank = F.struct(F.col(batch_col), *[F.col(c) for c in order_cols])

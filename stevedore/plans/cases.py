@@ -218,7 +218,7 @@ def overwrite_partitions_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_batches_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("batch", F.weekday("ts"))
-    return fold_batches(events, ["user_id"], "batch", ["ts", "event_id"])
+    return fold_batches(events, ["user_id"], "batch", ["ts", "event_id"], max_batches=10)
 
 
 # --- R: file work as Spark jobs ---------------------------------------------------

@@ -212,3 +212,10 @@ def test_merge_with_a_column_named_spread(spark):
     target = spark.createDataFrame([(1, 5), (2, 6)], "k INT, spread INT")
     source = spark.createDataFrame([(2, 7), (3, 8)], "k INT, spread INT")
     assert rows(merge_upsert(target, source, ["k"])) == [(1, 5), (2, 7), (3, 8)]
+
+
+def test_fold_batches_limit(spark):
+    df = spark.createDataFrame([(1, b, b, "v") for b in range(12)], "k INT, batch INT, seq INT, v STRING")
+    assert fold_batches(df, ["k"], "batch", ["seq"], max_batches=12).count() == 1
+    with pytest.raises(ValueError, match="more than 10"):
+        fold_batches(df, ["k"], "batch", ["seq"], max_batches=10)
