@@ -305,7 +305,8 @@ def merge_into_path(
 
     merged = merge_upsert(touched, src, keys + pcols, delete_when=delete_when)
     staged = scratch_path(spark, "merge_stage")
-    merged.write.partitionBy(*pcols).parquet(staged)
+    # Laid out once here (rebalanced by partition); the swap below copies it as it is.
+    merged.hint("rebalance", *pcols).write.partitionBy(*pcols).parquet(staged)
     staged_df = spark.read.schema(target.schema).parquet(staged)
 
     if len(listed) <= max_listed_partitions:
@@ -318,5 +319,5 @@ def merge_into_path(
                 .distinct()
             )
             _delete_paths(spark, [r[0] for r in folders.collect()])
-    overwrite_partitions(staged_df, path, pcols)
+    overwrite_partitions(staged_df, path, pcols, rebalance=False)
     return len(listed)

@@ -112,7 +112,7 @@ def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None
 
 
 def overwrite_partitions(
-    df: DataFrame, path: str, partition_by: Sequence[str], *, mode: str = "overwrite"
+    df: DataFrame, path: str, partition_by: Sequence[str], *, mode: str = "overwrite", rebalance: bool = True
 ) -> None:
     """Write ``df`` under ``path`` partitioned by ``partition_by``.
 
@@ -120,12 +120,14 @@ def overwrite_partitions(
     partition overwrite); ``mode="append"`` adds files.  Rows are rebalanced on the
     partition columns first, so each task writes few partitions and AQE splits a
     partition value that holds a large share of the rows over several tasks.
+    ``rebalance=False`` copies files already laid out (staged output) as they are.
     """
     if not partition_by:
         raise ValueError("overwrite_partitions needs partition columns")
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     (
-        df.hint("rebalance", *partition_by)
-        .write.mode(mode)
+        df.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
@@ -309,6 +311,9 @@ def compact_in_place(
         rewritten = spark.read.parquet(staged_in).select(*pcols).distinct().count()
     # The rewritten partitions were staged, so nothing reads ``path`` while it is written.
     overwrite_partitions(
-        (spark.read.schema(schema) if schema else spark.read).parquet(staged_out).select(*src.columns), path, pcols
+        (spark.read.schema(schema) if schema else spark.read).parquet(staged_out).select(*src.columns),
+        path,
+        pcols,
+        rebalance=False,
     )
     return rewritten
