@@ -48,7 +48,11 @@ def error_tail(logs: DataFrame, n: int = 10, pattern: str = ERROR_PATTERN) -> Da
 
 
 def error_verdict(logs: DataFrame, pattern: str = ERROR_PATTERN) -> DataFrame:
-    """``(source, n_lines, n_errors, has_errors)`` for every source, including error-free ones."""
+    """``(source, n_lines, n_errors, has_errors)`` for every source, including error-free ones.
+
+    Needs only ``source`` and ``raw``: unparsed lines (``value`` renamed ``raw``) are
+    enough, and skip the parse entirely.
+    """
     hit = _matches(pattern)
     return (
         logs.groupBy("source")

@@ -251,7 +251,9 @@ def error_tail_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_verdict_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return error_verdict(_event_logs(spark, sf_dir))
+    # A verdict needs the text only: count on the raw lines, no parse.
+    lines = event_log_lines(table(spark, sf_dir, "events"))
+    return error_verdict(lines.select("source", F.col("value").alias("raw")))
 
 
 def write_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
