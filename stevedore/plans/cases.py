@@ -183,12 +183,17 @@ def optimized_write_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
 
 
+def _small_file_rows(df: DataFrame, files: int = 40) -> int:
+    """Rows per file that split ``df`` into about ``files`` small files (count from footers)."""
+    return max(1000, df.count() // files)
+
+
 def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     small = scratch_path(spark, "lineitem_small")
     out = scratch_path(spark, "lineitem_compact")
-    # The input as it arrives: many small files per partition value.
-    lineitem.write.option("maxRecordsPerFile", 10000).partitionBy("l_returnflag").parquet(small)
+    # The input as it arrives: many small files per partition value (about 40 in all).
+    lineitem.write.option("maxRecordsPerFile", _small_file_rows(lineitem)).partitionBy("l_returnflag").parquet(small)
     compact(spark, small, out, partition_by=["l_returnflag"])
     return spark.read.schema(lineitem.schema).parquet(out).select(*lineitem.columns)
 
@@ -197,9 +202,9 @@ def compact_in_place_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     path = scratch_path(spark, "lineitem_table")
     # R and A arrive in many small files; N in one file per writer task.
-    lineitem.filter(F.col("l_returnflag") != "N").write.option("maxRecordsPerFile", 10000).partitionBy(
-        "l_returnflag"
-    ).parquet(path)
+    lineitem.filter(F.col("l_returnflag") != "N").write.option(
+        "maxRecordsPerFile", _small_file_rows(lineitem)
+    ).partitionBy("l_returnflag").parquet(path)
     lineitem.filter(F.col("l_returnflag") == "N").write.mode("append").partitionBy("l_returnflag").parquet(path)
     compact_in_place(spark, path, ["l_returnflag"])
     return spark.read.schema(lineitem.schema).parquet(path).select(*lineitem.columns)
