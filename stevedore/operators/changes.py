@@ -28,7 +28,8 @@ def merge_upsert(
     """Apply ``source`` to ``target`` by ``keys``; returns the new contents of the target.
 
     * matched key, ``delete_when`` true on the source row: the row is removed;
-    * matched key otherwise: the source row replaces the target row;
+    * matched key otherwise: the source row replaces the target row (each of them,
+      if the target holds the key more than once);
     * target rows without a match stay; source rows without a match are inserted
       (a delete-flagged one is dropped, there is nothing to delete);
     * NULL keys never match: such a source row inserts, such a target row stays;
