@@ -87,3 +87,46 @@ def test_reconcile_matches_model(spark, e_rows, a_rows):
     expected += [(k, "extra", None) for k, v in a_rows if k is None or k not in e_map]
     expected += [(k, "changed", "v") for k in e_map.keys() & a_map.keys() if e_map[k] != a_map[k]]
     assert got == sorted(expected, key=repr)
+
+
+batch_rows = st.lists(
+    st.tuples(keys, st.integers(0, 3), st.integers(0, 9)), max_size=12, unique_by=lambda r: (r[0], r[1], r[2])
+)
+
+
+@SETTINGS
+@given(batch_rows)
+def test_fold_matches_model(spark, rows):
+    from stevedore.operators import fold_batches
+
+    df = spark.createDataFrame(rows, "k INT, batch INT, seq INT")
+    got = sorted((tuple(r) for r in fold_batches(df, ["k"], "batch", ["seq"]).collect()), key=repr)
+    groups: dict = {}
+    singles = []
+    for k, b, q in rows:
+        if k is None:
+            singles.append((k, b, q, 1))
+        else:
+            groups.setdefault(k, []).append((b, q))
+    expected = [(k, *max(v), len({b for b, _ in v})) for k, v in groups.items()] + singles
+    assert got == sorted(expected, key=repr)
+
+
+@SETTINGS
+@given(history_rows, st.integers(0, 9), st.integers(0, 9))
+def test_retention_keeps_answers_from_the_cutoff(spark, rows, hours, as_of_offset):
+    import datetime as dt
+
+    from stevedore.operators import retain_history
+
+    base = dt.datetime(2024, 1, 1)
+    timed = [(k, base + dt.timedelta(hours=v), g) for k, v, g in rows]
+    df = spark.createDataFrame(timed, "k INT, ts TIMESTAMP_NTZ, gone BOOLEAN")
+    now = base + dt.timedelta(hours=9)
+    trimmed = retain_history(df, ["k"], ["ts"], hours=hours, now=now)
+    as_of = now - dt.timedelta(hours=hours) + dt.timedelta(hours=as_of_offset)
+
+    def snap(frame):
+        return sorted((tuple(r) for r in snapshot_as_of(frame, ["k"], ["ts"], as_of, deleted="gone").collect()), key=repr)
+
+    assert snap(trimmed) == snap(df)
