@@ -66,15 +66,20 @@ def format_bracket(ts: Column, level: Column, message: Column) -> Column:
     return F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), level, F.lit("] "), message)
 
 
+def _pad5(level: Column) -> Column:
+    """``%-5p``: left-justified in at least 5 characters (``rpad`` alone would cut longer names)."""
+    return F.when(F.length(level) < 5, F.rpad(level, 5, " ")).otherwise(level)
+
+
 def format_log4j_thread(ts: Column, level: Column, thread: Column, logger: Column, message: Column) -> Column:
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), F.rpad(level, 5, " "),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), _pad5(level),
         F.lit(" ["), thread, F.lit("] "), logger, F.lit(" - "), message,
     )
 
 
 def format_log4j_line(ts: Column, level: Column, logger: Column, line_no: Column, message: Column) -> Column:
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), F.rpad(level, 5, " "),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), _pad5(level),
         F.lit(" "), logger, F.lit(":"), line_no.cast("string"), F.lit(" - "), message,
     )

@@ -130,3 +130,53 @@ def test_retention_keeps_answers_from_the_cutoff(spark, rows, hours, as_of_offse
         return sorted((tuple(r) for r in snapshot_as_of(frame, ["k"], ["ts"], as_of, deleted="gone").collect()), key=repr)
 
     assert snap(trimmed) == snap(df)
+
+
+text = st.text(alphabet=st.characters(blacklist_categories=("Cs", "Cc")) | st.sampled_from("\t[]-:"), max_size=30)
+log_entries = st.lists(
+    st.tuples(
+        st.datetimes(min_value=__import__("datetime").datetime(2000, 1, 1), max_value=__import__("datetime").datetime(2030, 1, 1)),
+        st.sampled_from(["DEBUG", "INFO", "WARN", "ERROR", "UNKNOWN"]),
+        st.text(alphabet=st.characters(blacklist_categories=("Cs", "Cc"), blacklist_characters="]"), min_size=1, max_size=12),
+        st.from_regex(r"[A-Za-z][A-Za-z0-9_.$]{0,15}", fullmatch=True),
+        st.integers(1, 99999),
+        text,
+        st.integers(0, 2),
+    ),
+    min_size=1,
+    max_size=15,
+)
+
+
+@SETTINGS
+@given(log_entries)
+def test_parse_round_trips_every_layout(spark, entries):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from stevedore.functions import format_bracket, format_log4j_line, format_log4j_thread
+    from stevedore.sources import parse_logs
+
+    rows = [(i, ts, lvl, th, lg, ln, msg, lay) for i, (ts, lvl, th, lg, ln, msg, lay) in enumerate(entries)]
+    df = spark.createDataFrame(
+        rows, "i INT, ts TIMESTAMP_NTZ, level STRING, thread STRING, logger STRING, line_no INT, message STRING, lay INT"
+    )
+    c = F.col
+    line = (
+        F.when(c("lay") == 0, format_bracket(c("ts"), c("level"), c("message")))
+        .when(c("lay") == 1, format_log4j_thread(c("ts"), c("level"), c("thread"), c("logger"), c("message")))
+        .otherwise(format_log4j_line(c("ts"), c("level"), c("logger"), c("line_no"), c("message")))
+    )
+    parsed = parse_logs(df.select(c("i").cast("string").alias("source"), line.alias("value")))
+    got = {int(r.source): r for r in parsed.collect()}
+    for i, ts, lvl, th, lg, ln, msg, lay in rows:
+        r = got[i]
+        if lay == 0:
+            want_ts = ts.replace(microsecond=0)
+        else:
+            want_ts = ts.replace(microsecond=ts.microsecond // 1000 * 1000)
+        assert r.ts == want_ts and r.level == lvl and r.message == msg, (r, entries[i])
+        assert r.thread == (th if lay == 1 else None)
+        assert r.logger == (lg if lay != 0 else None)
+        assert r.line_no == (ln if lay == 2 else None)
