@@ -180,3 +180,47 @@ def test_parse_round_trips_every_layout(spark, entries):
         assert r.thread == (th if lay == 1 else None)
         assert r.logger == (lg if lay != 0 else None)
         assert r.line_no == (ln if lay == 2 else None)
+
+
+setting_pairs = st.lists(
+    st.tuples(
+        st.from_regex(r"[A-Za-z_][A-Za-z0-9_.]{0,20}", fullmatch=True),
+        st.text(alphabet=st.characters(blacklist_categories=("Cs", "Cc", "Zl", "Zp")) | st.sampled_from("= #"), max_size=25),
+    ),
+    min_size=1,
+    max_size=10,
+    unique_by=lambda p: p[0],
+)
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(setting_pairs, st.sampled_from(["kv", "conf"]))
+def test_settings_round_trip(spark, pairs, kind):
+    import os
+    import re
+    import uuid
+
+    from stevedore.functions.secrets import HIDDEN, SECRET_NAME_PATTERN
+    from stevedore.session import scratch_path
+    from stevedore.sources import extract_settings
+
+    pairs = [(k, v) for k, v in pairs if not (len(v.strip(" ")) >= 2 and v.strip(" ")[0] in "\"'" and v.strip(" ")[-1] == v.strip(" ")[0])]
+    root = scratch_path(spark, "settings-prop").removeprefix("file:")
+    os.makedirs(root)
+    sep = "=" if kind == "kv" else " "
+    with open(os.path.join(root, f"{uuid.uuid4().hex}.txt"), "w", encoding="utf-8") as f:
+        f.write("# header\n\n" + "".join(f"{k}{sep}{v}\n" for k, v in pairs))
+    got = {r.name: r.value for r in extract_settings(spark, root, kind).collect()}
+
+    def expected_value(k, v):
+        # Spark's trim removes ASCII spaces only; Java's \s is ASCII white space.
+        if kind == "kv":
+            v = v.strip(" ")
+        else:
+            parts = re.split(r"[ \t\n\x0b\f\r]+", f"{k} {v}".strip(" "), maxsplit=1)
+            v = parts[1].strip(" ") if len(parts) == 2 else None
+        if v is not None and re.search(SECRET_NAME_PATTERN.removeprefix("(?i)"), k, re.I):
+            return HIDDEN
+        return v
+
+    assert got == {k: expected_value(k, v) for k, v in pairs}
