@@ -111,6 +111,9 @@ def _merge_colocated(target: DataFrame, src: DataFrame, keys: list[str], cols: l
 _NUMERIC_ORDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
 
 
+_FLOAT_RANK = _NUMERIC_ORDER.index(T.FloatType)
+
+
 def _numeric_rank(dt: T.DataType) -> int | None:
     for i, cls in enumerate(_NUMERIC_ORDER):
         if isinstance(dt, cls):
@@ -128,6 +131,10 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
         return a
     ra, rb = _numeric_rank(a), _numeric_rank(b)
     if ra is not None and rb is not None:
+        # As Spark's ANSI coercion: an integer with FLOAT goes to DOUBLE (FLOAT would
+        # lose digits of a large integer).
+        if isinstance(a, T.FloatType) != isinstance(b, T.FloatType) and max(ra, rb) == _FLOAT_RANK:
+            return T.DoubleType()
         return a if ra >= rb else b
     if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
         scale = max(a.scale, b.scale)

@@ -219,3 +219,19 @@ def test_fold_batches_limit(spark):
     assert fold_batches(df, ["k"], "batch", ["seq"], max_batches=12).count() == 1
     with pytest.raises(ValueError, match="more than 10"):
         fold_batches(df, ["k"], "batch", ["seq"], max_batches=10)
+
+
+def test_widening_agrees_with_spark_union(spark):
+    """Where evolve_append widens, it widens to the type Spark's own union picks."""
+    from itertools import product
+
+    from stevedore.operators.changes import wider_type
+
+    names = ["tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp_ntz", "timestamp"]
+    for a, b in product(names, names):
+        ta, tb = spark.createDataFrame([], f"x {a}"), spark.createDataFrame([], f"x {b}")
+        ours = wider_type(ta.schema["x"].dataType, tb.schema["x"].dataType)
+        if ours is None:
+            continue
+        theirs = ta.unionByName(tb).schema["x"].dataType
+        assert ours == theirs, (a, b, ours, theirs)
