@@ -224,3 +224,50 @@ def test_settings_round_trip(spark, pairs, kind):
         return v
 
     assert got == {k: expected_value(k, v) for k, v in pairs}
+
+
+error_lines = st.lists(
+    st.tuples(
+        st.sampled_from(["s1", "s2", "s3"]),
+        st.one_of(st.none(), st.integers(0, 5)),
+        st.sampled_from(["ok", "Error here", "an EXCEPTION", "job failed", "fine", "errors"]),
+        st.integers(0, 999),
+    ),
+    max_size=25,
+    unique_by=lambda r: (r[0], r[3]),
+)
+
+
+@SETTINGS
+@given(error_lines, st.integers(1, 4))
+def test_error_tail_and_verdict_match_model(spark, rows, n):
+    import re
+
+    from stevedore.operators import error_tail, error_verdict
+    from stevedore.sources import parse_logs
+
+    def line(minute, text, i):
+        if minute is None:
+            return f"  at {text} #{i}"
+        return f"[2024-03-01 10:0{minute}:00] [INFO] {text} #{i}"
+
+    raws = [(src, line(m, t, i)) for src, m, t, i in rows]
+    logs = parse_logs(spark.createDataFrame(raws, "source STRING, value STRING"))
+    hit = re.compile("error|exception|failed", re.I)
+
+    got = sorted((r.source, r.raw, r.recency) for r in error_tail(logs, n).collect())
+    expected = []
+    for src in {s for s, _ in raws}:
+        mine = [(m, raw) for (s, raw), (_, m, _, _) in zip(raws, rows) if s == src and hit.search(raw)]
+        # newest first, untimed last, ties by text descending (two stable sorts)
+        mine.sort(key=lambda x: x[1], reverse=True)
+        mine.sort(key=lambda x: (x[0] is None, -(x[0] or 0)))
+        expected += [(src, raw, i + 1) for i, (_, raw) in enumerate(mine[:n])]
+    assert got == sorted(expected)
+
+    verdict = {r.source: (r.n_lines, r.n_errors, r.has_errors) for r in error_verdict(logs).collect()}
+    model = {}
+    for s, raw in raws:
+        lines_, errs = model.get(s, (0, 0))
+        model[s] = (lines_ + 1, errs + (1 if hit.search(raw) else 0))
+    assert verdict == {s: (a, b, b > 0) for s, (a, b) in model.items()}
