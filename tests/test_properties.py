@@ -271,3 +271,40 @@ def test_error_tail_and_verdict_match_model(spark, rows, n):
         lines_, errs = model.get(s, (0, 0))
         model[s] = (lines_ + 1, errs + (1 if hit.search(raw) else 0))
     assert verdict == {s: (a, b, b > 0) for s, (a, b) in model.items()}
+
+
+POOL = {"a": ["int", "bigint"], "b": ["float", "double"], "c": ["string"]}
+frame_spec = st.tuples(
+    st.lists(st.sampled_from(sorted(POOL)), min_size=1, max_size=3, unique=True),
+    st.data(),
+)
+
+
+@SETTINGS
+@given(frame_spec, frame_spec)
+def test_evolve_append_matches_model(spark, base_spec, inc_spec):
+    from stevedore.operators import evolve_append
+
+    def build(spec, offset):
+        cols, data = spec
+        types = [data.draw(st.sampled_from(POOL[c])) for c in cols]
+        values = {"a": offset + 1, "b": offset + 0.5, "c": f"s{offset}"}
+        row = tuple(values[c] for c in cols)
+        ddl = ", ".join(f"{c} {t}" for c, t in zip(cols, types))
+        return spark.createDataFrame([row], ddl), dict(zip(cols, types)), dict(zip(cols, row))
+
+    base, base_types, base_row = build(base_spec, 0)
+    inc, inc_types, inc_row = build(inc_spec, 10)
+    out = evolve_append(base, inc)
+    order = list(base_types) + [c for c in inc_types if c not in base_types]
+    assert out.columns == order
+    rank = ["int", "bigint", "float", "double"]
+    for c in order:
+        t = [x for x in (base_types.get(c), inc_types.get(c)) if x]
+        want = max(t, key=rank.index) if t[0] in rank else t[0]
+        if len(t) == 2 and "float" in t and t[0] != t[1] and max(t, key=rank.index) == "float":
+            want = "double"
+        assert out.schema[c].dataType.simpleString() == want, (c, t)
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    expected = sorted([tuple(base_row.get(c) for c in order), tuple(inc_row.get(c) for c in order)], key=repr)
+    assert got == expected
