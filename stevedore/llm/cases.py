@@ -21,11 +21,29 @@ def op3_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.quality import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.packing import best_fit_pack
 
     return best_fit_pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-CASES: dict[str, Case] = {"op3_encode": op3_encode, "op7_pack": op7_pack}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.secrets import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+CASES: dict[str, Case] = {"op3_encode": op3_encode, "op4_pii": op4_pii, "op5_quality": op5_quality, "op7_pack": op7_pack, "op9_secrets": op9_secrets}
 ORACLE_SQL: dict[str, str] = {}
