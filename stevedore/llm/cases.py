@@ -15,6 +15,12 @@ Case = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = os.environ.get("STEVEDORE_WORD_BPE") or public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.bpe_trie import encode_digest
 
@@ -39,11 +45,19 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.topk import integers, top_k, usable
+
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.filter(usable(F.col("embedding"))).withColumn("vector", integers(F.col("embedding")))
+    return top_k(vectors.select("vec_id", "vector"), F.col("vec_id") % 100 == 0)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.secrets import digest
 
     return digest(table(spark, sf_dir, "documents"))
 
 
-CASES: dict[str, Case] = {"op3_encode": op3_encode, "op4_pii": op4_pii, "op5_quality": op5_quality, "op7_pack": op7_pack, "op9_secrets": op9_secrets}
+CASES: dict[str, Case] = {"op2_html": op2_html, "op3_encode": op3_encode, "op4_pii": op4_pii, "op5_quality": op5_quality, "op7_pack": op7_pack, "op8_topk": op8_topk, "op9_secrets": op9_secrets}
 ORACLE_SQL: dict[str, str] = {}
