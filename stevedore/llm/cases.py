@@ -15,6 +15,14 @@ Case = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = os.environ.get("STEVEDORE_WORD_BPE") or public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = dedup_lines(docs, n_deleted="n_deleted")
+    return kept.select("doc_id", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.html_text import main_text
 
@@ -39,6 +47,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.licenses import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.packing import best_fit_pack
 
@@ -59,5 +73,22 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-CASES: dict[str, Case] = {"op2_html": op2_html, "op3_encode": op3_encode, "op4_pii": op4_pii, "op5_quality": op5_quality, "op7_pack": op7_pack, "op8_topk": op8_topk, "op9_secrets": op9_secrets}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.jaccard import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
+CASES: dict[str, Case] = {
+    "op1_lines": op1_lines,
+    "op2_html": op2_html,
+    "op3_encode": op3_encode,
+    "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
+    "op7_pack": op7_pack,
+    "op8_topk": op8_topk,
+    "op9_secrets": op9_secrets,
+    "op10_jaccard": op10_jaccard,
+}
 ORACLE_SQL: dict[str, str] = {}
