@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stevedore.llm.common import slices, staged
+from stevedore.llm.common import fresh, slices, staged, text_key
 
 SHINGLE, GROUPS, LEAF = 5, 32, 16
 #: Classes of one tree at most; larger blocks are dealt out, and steps 2 and 3 link across.
@@ -128,11 +128,11 @@ def tree_join(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Staged: doc_id, n, class, size, blob (null where this task gave the class already), and on some
-    rows ``common``: hashes found in several documents side by side."""
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """Staged: doc_id, key (of the text), n, cls, size, blob (null where this task gave the class already),
+    and on some rows ``common``: hashes found in several documents side by side."""
+    given = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     marks = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())]))
-    schema = T.StructType([given.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("size", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("common", marks)])
+    schema = T.StructType([given.schema["doc_id"], given.schema["key"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("size", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("common", marks)])
     arrow_marks = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 often = count > 2
                 if often.any():
                     common[0] = [{"hash": int(v), "n": int(c)} for v, c in zip(value[often], count[often], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(common, arrow_marks)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(common, arrow_marks)], names=schema.names)
 
     return staged(given.mapInArrow(run, schema), "shingles")
 
@@ -311,15 +311,8 @@ def _sized(a: Column, b: Column) -> Column:
     return (10 * a >= 8 * b) & (10 * b >= 8 * a)
 
 
-def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``: the size of its set, and the smallest
-    doc_id in its component of documents linked by similarity 0.8 or more, itself included.
-
-    Null, empty and blank texts have no set, n_shingles 0 and link with nothing. Fewer than five words are one
-    shingle. Equal sets link, so repeated rows do; each row of a repeated id is a document of its own.
-    Null ids count only where a component has no other. Other columns are ignored. Sets are of 64-bit
-    hashes, compared by 40 bits of them.
-    """
+def _linked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: the sets; (cls, comp) of each class; (comp, least) with the first document of each component."""
     spark = docs.sparkSession
     table = _sets(docs, doc_id, text)
     often = table.select(F.inline("common")).groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON).select("hash")
@@ -345,13 +338,41 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     meets = (F.col("a_comp") < F.col("b_comp")) & _sized(F.col("a_size"), F.col("b_size")) & (9 * most >= 4 * (F.col("a_size") + F.col("b_size")))
     across = end("a").join(end("b"), "key").filter(meets).select(F.col("a_cls").alias("a"), "a_comp", F.col("b_cls").alias("b"), "b_comp")
     last = connected(_verified(staged(across.distinct(), "pairs"), table, prefixes).select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v")))
-    # From classes to documents.
-    classes = table.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"))
+    # From classes to components, and their first documents: the smallest id that isn't null.
+    document = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    classes = table.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(document).alias("least"))
     named = classes.join(blocks.select("cls", "comp").dropDuplicates(["cls"]), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = staged(_relabel(_relabel(named, roots), last), "components")
-    least = staged(named.groupBy("comp").agg(F.min("least").alias("component_id")), "least-ids")
-    of_class = staged(named.select("cls", "comp").join(least, "comp").select("cls", "component_id"), "class-ids")
+    return table, named.select("cls", "comp"), staged(named.groupBy("comp").agg(F.min("least").alias("least")), "least")
+
+
+def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``: the size of its set, and the smallest
+    doc_id in its component of documents linked by similarity 0.8 or more, itself included.
+
+    Null, empty and blank texts have no set, n_shingles 0 and link with nothing. Fewer than five words are one
+    shingle. Equal sets link, so repeated rows do; each row of a repeated id is a document of its own.
+    Null ids count only where a component has no other. Other columns are ignored. Sets are of 64-bit
+    hashes, compared by 40 bits of them. An empty table gives none.
+    """
+    table, named, least = _linked(docs, doc_id, text)
+    of_class = staged(named.join(least, "comp").select("cls", F.col("least.doc_id").alias("component_id")), "class-ids")
     linked = table.filter(F.col("cls").isNotNull()).select("doc_id", "n", "cls").join(of_class, "cls")
     alone = table.filter(F.col("cls").isNull())
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    columns = [F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id"]
     return linked.select(*columns).unionByName(alone.withColumn("component_id", F.col("doc_id")).select(*columns))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows and columns of one document of each component: the one of smallest id (ids that aren't null
+    first; of equal ids, the smaller key of the text). Of rows equal in id and text, one stays. Documents without a
+    set link with nothing and stay.
+    """
+    table, _, least = _linked(docs, doc_id, text)
+    alone = table.filter(F.col("cls").isNull()).select("doc_id", "key").distinct()
+    own, key, other, nth = (fresh(docs.columns) for _ in range(4))
+    stay = least.select("least.doc_id", "least.key").unionByName(alone).select(F.col("doc_id").alias(other), F.col("key").alias(key))
+    # The join deals rows out by key alone, and the window needs no other order of things.
+    same = F.coalesce(F.col(doc_id) == F.col(other), F.col(doc_id).isNull() & F.col(other).isNull())
+    met = docs.withColumn(own, text_key(F.col(text))).join(stay.hint("shuffle_hash"), (F.col(own) == F.col(key)) & same)
+    return met.withColumn(nth, F.row_number().over(Window.partitionBy(own, doc_id).orderBy(own))).filter(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

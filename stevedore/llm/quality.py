@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stevedore.llm.common import slices
+from stevedore.llm.common import fresh, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits")
 SYMBOLS = "#*$%&|<>"
@@ -145,3 +145,10 @@ def verdicts(docs: DataFrame, *, policy: str = POLICY, doc_id: str = "doc_id", t
     base = ~passes(F.col("failed"), "base")
     shown = [F.col(f"measures.{m}").alias(m) for m in MEASURES[:5]]
     return entries.select(doc_id, *shown, base.alias("base_failed"), (~base & passes(F.col("failed"), policy)).alias("kept"), "failed")
+
+
+def keep(docs: DataFrame, *, policy: str = POLICY, text: str = "text") -> DataFrame:
+    """The rows and columns of documents that the base and the policy keep."""
+    measures, failed = fresh(docs.columns), fresh(docs.columns)
+    entries = ledger(docs, text=text, measures=measures, failed=failed)
+    return entries.filter(passes(F.col(failed), "base") & passes(F.col(failed), policy)).drop(measures, failed)
