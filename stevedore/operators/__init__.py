@@ -10,6 +10,7 @@ from stevedore.operators.tables import (
     compact_in_place,
     optimized_write,
     overwrite_partitions,
+    overwrite_table_partitions,
     publish_external,
     publish_table,
     replace_table,
@@ -31,6 +32,7 @@ __all__ = [
     "merge_upsert",
     "optimized_write",
     "overwrite_partitions",
+    "overwrite_table_partitions",
     "publish_external",
     "publish_table",
     "reconcile",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stevedore.functions.types import check_store, wider_type
 from stevedore.operators._keys import SPREAD, any_key_null, check_keys, spread_column
+from stevedore.operators._paths import delete, exists, folder, partition_text, read_text_partitions, reject_sink_log
 
 
 def _as_column(cond: Column | str | None) -> Column | None:
@@ -35,9 +37,12 @@ def merge_upsert(
     * NULL keys never match: such a source row inserts, such a target row stays;
     * two source rows with the same complete key raise an error (inside the job).
 
-    Plan: one full outer join on the keys.  The duplicate count is a window on the
-    join keys, so the join reuses its partitioning: each side is shuffled once.
-    Source values are cast to the target's column types.
+    Plan: the target LEFT OUTER JOINs the source, and the source rows whose keys it doesn't hold are
+    added (anti join with the matched keys, at most as many as the source has).  A source under
+    the broadcast threshold moves no target row; a larger one shuffles both sides on the keys, and AQE
+    splits a key that a large share of the target holds.  NULL-key rows bypass the match.  Columns
+    must fit the target's types (TypeError).  Without ``delete_when`` the source may have no column
+    that the target lacks (ValueError); with it, other columns only serve the condition.
 
     ``colocated=True`` is for a target stored bucketed on exactly ``keys`` (see
     ``publish_table(bucket_by=...)``): the join is then on the keys alone, so the
@@ -52,6 +57,10 @@ def merge_upsert(
     missing = [c for c in cols if c not in source.columns]
     if missing:
         raise ValueError(f"merge_upsert: source lacks target columns {missing}")
+    extra = [c for c in source.columns if c not in cols]
+    if extra and delete_when is None:
+        raise ValueError(f"merge_upsert: the target lacks source columns {extra}")
+    check_store(source.select(*cols).schema, target.schema, "merge_upsert")
     types = {f.name: f.dataType for f in target.schema.fields}
     delete_col = _as_column(delete_when)
 
@@ -61,30 +70,37 @@ def merge_upsert(
     )
     if colocated:
         return _merge_colocated(target, src, keys, cols)
-    src = src.withColumn(SPREAD, spread_column(src, keys, side=2))
-    key_window = Window.partitionBy(*keys, SPREAD)
-    src = src.withColumn("__n", F.count(F.lit(1)).over(key_window))
-    duplicate = (F.col("__n") > 1) & ~any_key_null(keys)
-    src = src.filter(F.when(duplicate, F.raise_error(F.lit("merge_upsert: duplicate key in source"))).isNull())
-    s = src.select(
-        *[F.col(c).alias(f"__s_{c}") for c in cols],
-        F.col("__del").alias("__s_del"),
-        F.col(SPREAD).alias(f"__s_{SPREAD}"),
-        F.lit(True).alias("__s_present"),
+    null_key = any_key_null(keys)
+    complete = src.filter(~null_key)
+    s = complete.select(
+        *[F.col(c).alias(f"__s_{c}") for c in cols], F.col("__del").alias("__s_del"), F.lit(0).cast("long").alias(f"__s_{SPREAD}")
     )
-
-    tgt = target.withColumn(SPREAD, spread_column(target, keys, side=1))
-    t = tgt.select(*[F.col(c).alias(f"__t_{c}") for c in cols], F.col(SPREAD).alias(f"__t_{SPREAD}"))
-
-    return _merge_rows(t, s, keys, cols, [SPREAD])
-
-
-def _merge_rows(t: DataFrame, s: DataFrame, keys: list[str], cols: list[str], extra: list[str]) -> DataFrame:
-    """Full outer join of renamed sides on ``keys`` (+ ``extra`` columns), merge rules applied."""
-    cond = [F.col(f"__t_{k}") == F.col(f"__s_{k}") for k in keys] + [
-        F.col(f"__t_{c}") == F.col(f"__s_{c}") for c in extra
-    ]
-    joined = t.join(s, cond, "full_outer")
+    # The spread column scatters the target's NULL-key rows, which no source row meets.
+    t = target.withColumn(SPREAD, spread_column(target, keys, side=1)).select(
+        *[F.col(c).alias(f"__t_{c}") for c in cols], F.col(SPREAD).alias(f"__t_{SPREAD}")
+    )
+    cond = [F.col(f"__t_{k}") == F.col(f"__s_{k}") for k in [*keys, SPREAD]]
+    met = F.col("__s_del").isNotNull()
+    kept = t.join(s, cond, "left_outer").filter(~(met & F.col("__s_del"))).select(
+        *[F.when(met, F.col(f"__s_{c}")).otherwise(F.col(f"__t_{c}")).alias(c) for c in cols]
+    )
+    matched = (
+        target.select(*[F.col(k).alias(f"__m_{k}") for k in keys])
+        .join(complete.select(*[F.col(k).alias(f"__k_{k}") for k in keys]), [F.col(f"__m_{k}") == F.col(f"__k_{k}") for k in keys], "left_semi")
+        .distinct()
+    )
+    added = complete.join(matched, [F.col(k) == F.col(f"__m_{k}") for k in keys], "left_anti")
+    inserted = added.unionByName(src.filter(null_key)).filter(~F.col("__del")).select(*cols)
+    # No row comes from here: a key that occurs twice in the source raises.
+    twice = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    raised = twice.filter(F.when(F.col("__n") > 1, F.raise_error(F.lit("merge_upsert: duplicate key in source"))).isNull())
+    none = raised.filter(F.col("__n") < 1).select(*[(F.col(c) if c in keys else F.lit(None)).cast(types[c]).alias(c) for c in cols])
+    return kept.unionByName(inserted).unionByName(none)
+
+
+def _merge_rows(t: DataFrame, s: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Full outer join of renamed sides on ``keys``, merge rules applied."""
+    joined = t.join(s, [F.col(f"__t_{k}") == F.col(f"__s_{k}") for k in keys], "full_outer")
     from_source = F.col("__s_present").isNotNull()
     return joined.filter(~(from_source & F.col("__s_del"))).select(
         *[F.when(from_source, F.col(f"__s_{c}")).otherwise(F.col(f"__t_{c}")).alias(c) for c in cols]
@@ -101,74 +117,30 @@ def _merge_colocated(target: DataFrame, src: DataFrame, keys: list[str], cols: l
         *[F.col(c).alias(f"__s_{c}") for c in cols], F.col("__del").alias("__s_del"), F.lit(True).alias("__s_present")
     )
     t = target.filter(~null_key).select(*[F.col(c).alias(f"__t_{c}") for c in cols])
-    merged = _merge_rows(t, s, keys, cols, [])
+    merged = _merge_rows(t, s, keys, cols)
     kept_targets = target.filter(null_key).select(*cols)
     inserted = src.filter(null_key & ~F.col("__del")).select(*cols)
     return merged.unionByName(kept_targets).unionByName(inserted)
 
 
-# Numeric widening ladder: a column may move up, never down.
-_NUMERIC_ORDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
-
-
-_FLOAT_RANK = _NUMERIC_ORDER.index(T.FloatType)
-
-
-def _numeric_rank(dt: T.DataType) -> int | None:
-    for i, cls in enumerate(_NUMERIC_ORDER):
-        if isinstance(dt, cls):
-            return i
-    return None
-
-
-def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
-    """The type both ``a`` and ``b`` widen to, or None when they are incompatible."""
-    if a == b:
-        return a
-    if isinstance(a, T.NullType):
-        return b
-    if isinstance(b, T.NullType):
-        return a
-    ra, rb = _numeric_rank(a), _numeric_rank(b)
-    if ra is not None and rb is not None:
-        # As Spark's ANSI coercion: an integer with FLOAT goes to DOUBLE (FLOAT would
-        # lose digits of a large integer).
-        if isinstance(a, T.FloatType) != isinstance(b, T.FloatType) and max(ra, rb) == _FLOAT_RANK:
-            return T.DoubleType()
-        return a if ra >= rb else b
-    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
-        scale = max(a.scale, b.scale)
-        digits = max(a.precision - a.scale, b.precision - b.scale)
-        return T.DecimalType(min(38, digits + scale), scale)
-    if isinstance(a, T.DecimalType) and rb is not None or isinstance(b, T.DecimalType) and ra is not None:
-        return T.DoubleType()
-    temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    if isinstance(a, T.DateType) and isinstance(b, temporal):
-        return b
-    if isinstance(b, T.DateType) and isinstance(a, temporal):
-        return a
-    return None
-
-
 def evolved_schema(base: T.StructType, incoming: T.StructType) -> T.StructType:
-    """Base columns (widened where needed), then columns new in ``incoming``.
+    """Base columns (widened where needed), then columns new in ``incoming``.  Names match in upper or
+    lower case alike, as Spark's do, and keep the base's spelling.
 
     Raises ``TypeError`` naming every incompatible column.  Checked on schemas only,
     before any row is read.
     """
-    inc = {f.name: f for f in incoming.fields}
+    inc = {f.name.lower(): f for f in incoming.fields}
     fields, bad = [], []
     for f in base.fields:
-        if f.name in inc:
-            wt = wider_type(f.dataType, inc[f.name].dataType)
-            if wt is None:
-                bad.append(f"{f.name}: {f.dataType.simpleString()} vs {inc[f.name].dataType.simpleString()}")
-                continue
-            fields.append(T.StructField(f.name, wt, True))
-        else:
-            fields.append(T.StructField(f.name, f.dataType, True))
-    names = {f.name for f in base.fields}
-    fields += [T.StructField(f.name, f.dataType, True) for f in incoming.fields if f.name not in names]
+        other = inc.get(f.name.lower())
+        wt = f.dataType if other is None else wider_type(f.dataType, other.dataType)
+        if wt is None:
+            bad.append(f"{f.name}: {f.dataType.simpleString()} vs {other.dataType.simpleString()}")
+            continue
+        fields.append(T.StructField(f.name, wt, True))
+    names = {f.name.lower() for f in base.fields}
+    fields += [T.StructField(f.name, f.dataType, True) for f in incoming.fields if f.name.lower() not in names]
     if bad:
         raise TypeError("evolve_append: incompatible column types: " + "; ".join(bad))
     return T.StructType(fields)
@@ -176,9 +148,12 @@ def evolved_schema(base: T.StructType, incoming: T.StructType) -> T.StructType:
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with exactly ``schema``'s columns: cast by name, absent ones NULL."""
-    have = set(df.columns)
+    have = {c.lower(): c for c in df.columns}
     return df.select(
-        *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+        *[
+            (F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
     )
 
 
@@ -194,21 +169,27 @@ def evolve_append(base: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def evolve_table(incoming: DataFrame, table: str) -> DataFrame:
-    """Append ``incoming`` to the catalog ``table``, adding its new columns first.
+    """Append ``incoming`` to the catalog ``table``, adding its new columns.
 
-    Existing columns keep their declared types (Parquet files are not rewritten):
-    incoming values are stored under them with ANSI store assignment, so a narrower
-    or equal type is accepted and a wider or incompatible one raises.
+    Incompatible columns raise TypeError on the schemas, before the table is touched.  Where all
+    incoming types fit the table's, new columns are added to the catalog and the rows appended.  Where
+    a column must widen (INT with BIGINT), the table is rewritten with the wider type, as
+    ``replace_table`` does: the old table stays until the new one is complete.
     """
+    from stevedore.operators.tables import replace_table
+
     spark = incoming.sparkSession
     current = spark.table(table).schema
     schema = evolved_schema(current, incoming.schema)
+    widened = [f.name for f in current.fields if schema[f.name].dataType != f.dataType]
+    if widened:
+        return replace_table(evolve_append(spark.table(table), incoming), table)
     new = [f for f in schema.fields if f.name not in set(current.fieldNames())]
     if new:
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({cols})")
-    names = spark.table(table).columns
-    conform(incoming, T.StructType([schema[n] for n in names])).write.insertInto(table)
+    stored = spark.table(table).schema
+    conform(incoming, T.StructType([schema[n] for n in stored.names])).write.insertInto(table)
     return spark.table(table)
 
 
@@ -217,47 +198,34 @@ def fold_batches(
     keys: Sequence[str],
     batch_col: str,
     order_cols: Sequence[str],
-    *,
-    max_batches: int | None = None,
 ) -> DataFrame:
-    """Fold pending writers' batches into one merge source.
+    """Fold pending writers' batches into one merge source, however many there are.
 
     Per key, the winning row is the one of the highest ``batch_col`` (later writer wins),
     ties broken by ``order_cols``; ``n_batches`` counts the batches that touched the key,
     so ``n_batches > 1`` marks a contested key.  Rows with a NULL key are not folded.
 
-    Plan: one hash aggregation with partial (map-side) aggregation, so a key holding
-    a large share of all rows is reduced on every map task before the shuffle.
-
-    ``max_batches`` (10 concurrent writers is the configured limit this mirrors) is
-    checked first, by one distinct pass over ``batch_col`` that stops at the limit + 1.
+    Plan: two aggregations, by (key, batch) and then by key, each partial on every map task first.
+    The first leaves one row for each key and batch, so a key that holds a large share of all rows is
+    small by the time its rows meet.  Both are sort-based, since their rows are of variable length.
     """
     keys = list(keys)
     check_keys(batches, keys, "fold_batches")
-    if max_batches is not None:
-        seen = batches.select(batch_col).distinct().limit(max_batches + 1).count()
-        if seen > max_batches:
-            raise ValueError(f"fold_batches: more than {max_batches} pending batches")
     cols = batches.columns
     row = F.struct(*[F.col(c) for c in cols])
     rank = F.struct(F.col(batch_col), *[F.col(c) for c in order_cols])
-    return (
+    by_batch = (
         batches.withColumn(SPREAD, spread_column(batches, keys))
-        .groupBy(*keys, SPREAD)
-        .agg(F.max_by(row, rank).alias("__win"), F.count_distinct(batch_col).alias("n_batches"))
+        .groupBy(*keys, SPREAD, F.col(batch_col).alias("__batch"))
+        .agg(F.max_by(row, rank).alias("__row"), F.max(rank).alias("__rank"))
+    )
+    return (
+        by_batch.groupBy(*keys, SPREAD)
+        .agg(F.max_by("__row", "__rank").alias("__win"), F.count("__batch").alias("n_batches"))
         .select(*[F.col(f"__win.{c}").alias(c) for c in cols], "n_batches")
     )
 
 
-def _delete_paths(spark, paths: Sequence[str]) -> None:
-    """Remove folders through Hadoop's FileSystem (driver-side metadata calls only)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        hpath = jvm.org.apache.hadoop.fs.Path(p)
-        hpath.getFileSystem(conf).delete(hpath, True)
-
-
 def merge_into_path(
     spark,
     path: str,
@@ -266,22 +234,21 @@ def merge_into_path(
     partition_by: Sequence[str],
     *,
     delete_when: Column | str | None = None,
-    max_listed_partitions: int = 10_000,
 ) -> int:
     """Upsert ``source`` into the partitioned Parquet table at ``path``, rewriting only
-    the partitions the source touches.  Returns the number of partitions rewritten.
+    the partitions the source touches.  Returns their number.
 
     Rows match on ``keys`` *and* the partition columns (a key is looked up within its
-    partition), with ``merge_upsert``'s rules otherwise.  Steps:
+    partition), with ``merge_upsert``'s rules otherwise; a NULL partition value is a partition like
+    any other, while NULL ``keys`` match nothing.  Partition values are the text in folder names
+    (``01`` stays ``01``), and source values are compared as text.  Steps:
 
-    1. the touched partition values (at most ``max_listed_partitions``, checked) become
-       a literal filter on partition columns, so the scan lists and reads only those
-       folders; beyond the limit a semi join is used instead (correct, no pruning);
-    2. the source is staged once (all passes see the same rows), and the merged rows
-       of the touched partitions are staged under the scratch root, which also cuts
-       the lineage: nothing reads ``path`` while it is being written;
-    3. the staged partitions replace theirs by dynamic partition overwrite, and touched
-       partitions the merge emptied are removed.
+    1. the source is staged once, so that all passes see the same rows; the touched partition values,
+       one row each, name the folders;
+    2. only those folders are opened, the rest of the table isn't listed; the merged rows are staged
+       under the scratch root, which also cuts the lineage: nothing reads ``path`` while it is written;
+    3. the staged partitions replace theirs by dynamic partition overwrite, and exactly the touched
+       folders that the merge emptied are removed.
 
     Each partition is replaced at commit; the table as a whole is not swapped
     atomically (no table format here).
@@ -292,40 +259,33 @@ def merge_into_path(
     pcols, keys = list(partition_by), list(keys)
     if not pcols:
         raise ValueError("merge_into_path needs partition columns; use merge_upsert for a whole table")
-    target = spark.read.parquet(path)
-    check_keys(target, keys + pcols, "merge_into_path target")
-    types = {f.name: f.dataType for f in target.schema.fields}
-    part_key = F.to_json(F.struct(*[F.col(c) for c in pcols]))
-    # The source is read several times below (partition list, merge, emptied check).
-    # Staging it once makes every pass see the same rows, even when the source is a
-    # folder still receiving files: a source row in an unlisted partition would
-    # otherwise replace that partition without its existing rows.
+    check_keys(source, keys + pcols, "merge_into_path source")
+    reject_sink_log(spark, path, "merge_into_path")
+    root = path.rstrip("/")
     staged_source = scratch_path(spark, "merge_source")
-    source.withColumns({c: F.col(c).cast(types[c]) for c in pcols}).write.parquet(staged_source)
-    src = spark.read.parquet(staged_source)
-
-    listed = [r[0] for r in src.select(part_key.alias("p")).distinct().limit(max_listed_partitions + 1).collect()]
-    if len(listed) <= max_listed_partitions:
-        touched = target.filter(part_key.isin(listed))
-    else:
-        parts = src.select(*pcols).distinct()
-        touched = target.join(parts, [target[c].eqNullSafe(parts[c]) for c in pcols], "left_semi")
-
-    merged = merge_upsert(touched, src, keys + pcols, delete_when=delete_when)
+    text = partition_text(source, pcols)
+    text.write.parquet(staged_source)
+    listed = [tuple(r) for r in spark.read.schema(text.schema).parquet(staged_source).select(*pcols).distinct().collect()]
+    if not listed:
+        return 0
+    touched = {folder(spark, pcols, values): values for values in listed}
+    present = [f for f in touched if exists(spark, f"{root}/{f}")]
+    if present:
+        target = read_text_partitions(spark, path, pcols, present)
+    else:  # every touched partition is new
+        target = read_text_partitions(spark, path, pcols).filter(F.lit(False))
+    check_keys(target, keys + pcols, "merge_into_path target")
+    session, schema = target.sparkSession, target.schema
+    src = session.read.schema(text.schema).parquet(staged_source)
+    # NULL partition values meet as one text; Spark writes NULL and '' to the same folder.
+    same = {f"__part{i}": F.coalesce(F.col(c), F.lit("")) for i, c in enumerate(pcols)}
+    merged = merge_upsert(target.withColumns(same), src.withColumns(same), keys + list(same), delete_when=delete_when).drop(*same)
     staged = scratch_path(spark, "merge_stage")
     # Laid out once here (rebalanced by partition); the swap below copies it as it is.
     merged.hint("rebalance", *pcols).write.partitionBy(*pcols).parquet(staged)
-    staged_df = spark.read.schema(target.schema).parquet(staged)
-
-    if len(listed) <= max_listed_partitions:
-        kept = {r[0] for r in staged_df.select(part_key.alias("p")).distinct().collect()}
-        emptied = [p for p in listed if p not in kept]
-        if emptied:
-            folders = (
-                target.filter(part_key.isin(emptied))
-                .select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("d"))
-                .distinct()
-            )
-            _delete_paths(spark, [r[0] for r in folders.collect()])
-    overwrite_partitions(staged_df, path, pcols, rebalance=False)
+    emptied = [f for f in present if not exists(spark, f"{staged.rstrip('/')}/{f}")]
+    if len(emptied) < len(touched):
+        overwrite_partitions(session.read.schema(schema).parquet(staged), path, pcols, rebalance=False)
+    for f in emptied:
+        delete(spark, f"{root}/{f}")
     return len(listed)

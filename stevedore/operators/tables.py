@@ -4,14 +4,21 @@ optimized write and compaction (all Parquet)."""
 from __future__ import annotations
 
 import contextlib
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stevedore.functions.types import check_store
+from stevedore.operators._paths import file_sizes, in_session, read_text_partitions, reject_sink_log
+
 
 def _table_writer(df: DataFrame, mode: str, partition_by: Sequence[str], bucket_by):
-    if partition_by:
+    if bucket_by:
+        # One task for each bucket, so one file for each bucket (and partition value).
+        df = df.repartition(int(bucket_by[0]), *bucket_by[1])
+    elif partition_by:
         # Each task then writes few partitions (not one file per task and partition).
         df = df.hint("rebalance", *partition_by)
     writer = df.write.format("parquet").mode(mode)
@@ -55,43 +62,77 @@ def publish_external(
     return df.sparkSession.table(name)
 
 
+def table_layout(spark: SparkSession, name: str) -> tuple[list[str], tuple[int, list[str]] | None, bool]:
+    """Partition columns, bucketing and whether the table is external, as the catalog has them."""
+    partition_by = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    buckets = int(described.get("Num Buckets") or 0)
+    columns = [c.strip().strip("`") for c in described.get("Bucket Columns", "").strip("[]").split(",") if c.strip()]
+    return partition_by, (buckets, columns) if buckets else None, described.get("Type") == "EXTERNAL"
+
+
 def replace_table(
     df: DataFrame,
     name: str,
     *,
-    partition_by: Sequence[str] = (),
+    partition_by: Sequence[str] | None = None,
     bucket_by: tuple[int, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Overwrite the table ``name`` with ``df``, also when ``df`` is computed from it.
 
-    ``df`` is checkpointed first (``DataFrame.checkpoint``, into the shared
-    ``spark.checkpoint.dir``), which cuts its lineage: the overwrite then no longer reads
-    the table it replaces, and a task retried after the old files are gone recomputes
-    from the checkpoint, not from them.
+    The table keeps its partitioning and bucketing unless others are given.  A plain managed table
+    is written under another name first, which then takes the place of the old one (drop
+    and rename, catalog operations): a write that fails leaves the old table as it was.  The catalog
+    ties the partitions of a partitioned table, and an external one, to their folders, so the
+    rows of those are checkpointed first (a plan that fails leaves the table as it was) and then copied: over
+    the same table if its schema and layout stay, else by dropping and creating it.
     """
     from stevedore.session import scratch_root
 
-    scratch_root(df.sparkSession)  # makes sure a checkpoint folder is set
+    spark = df.sparkSession
+    known = spark.catalog.tableExists(name)
+    found_partitions, found_buckets, external = table_layout(spark, name) if known else ([], None, False)
+    wanted = list(found_partitions if partition_by is None else partition_by)
+    buckets = bucket_by or found_buckets
+    if not wanted and not external:
+        database, _, short = name.rpartition(".")
+        fresh = f"{database}.{short}_{uuid.uuid4().hex[:12]}" if database else f"{short}_{uuid.uuid4().hex[:12]}"
+        _table_writer(df, "errorifexists", (), buckets).saveAsTable(fresh)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+        spark.catalog.refreshTable(name)
+        return spark.table(name)
+    location = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first() if external else None
+    scratch_root(spark)  # makes sure a checkpoint folder is set
     frozen = df.checkpoint(eager=True)
-    _table_writer(frozen, "overwrite", partition_by, bucket_by).saveAsTable(name)
-    return df.sparkSession.table(name)
+    old = {f.name: f.dataType for f in spark.table(name).schema.fields} if known else None
+    if old == {f.name: f.dataType for f in df.schema.fields} and (wanted, buckets) == (found_partitions, found_buckets) and not buckets:
+        names = spark.table(name).columns
+        frozen.select(*names).hint("rebalance", *wanted).write.insertInto(name, overwrite=True)
+    else:
+        writer = _table_writer(frozen, "overwrite", wanted, buckets)
+        (writer.option("path", location.data_type) if location else writer).saveAsTable(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def append_rows(df: DataFrame, table: str) -> DataFrame:
-    """Append ``df`` to an existing table, matching columns **by name**.
+    """Append ``df`` to an existing table, matching columns **by name** (upper or lower case alike).
 
-    Values are stored under the table's declared types with ANSI store assignment:
-    a value that cannot be cast safely (text into INT, BIGINT into INT) raises before
-    any file is written.
+    Types are checked on the schemas before anything runs: a column that would have to be
+    narrowed (BIGINT into INT, DOUBLE into INT, text into a number) raises TypeError.
     """
     spark = df.sparkSession
-    names = spark.table(table).columns
-    missing = [c for c in names if c not in df.columns]
-    extra = [c for c in df.columns if c not in names]
+    schema = spark.table(table).schema
+    names = schema.names
+    have = {c.lower(): c for c in df.columns}
+    missing = [c for c in names if c.lower() not in have]
+    extra = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
     if missing or extra:
         raise ValueError(f"append_rows: columns missing {missing}, not in table {extra}")
+    check_store(df.schema, schema, "append_rows")
     # insertInto matches by position, so put the columns in the table's order first.
-    df.select(*names).write.insertInto(table)
+    df.select(*[F.col(f"`{have[n.lower()]}`").cast(schema[n].dataType).alias(n) for n in names]).write.insertInto(table)
     return spark.table(table)
 
 
@@ -124,6 +165,7 @@ def overwrite_partitions(
     """
     if not partition_by:
         raise ValueError("overwrite_partitions needs partition columns")
+    reject_sink_log(df.sparkSession, path, "overwrite_partitions")
     if rebalance:
         df = df.hint("rebalance", *partition_by)
     (
@@ -134,6 +176,36 @@ def overwrite_partitions(
     )
 
 
+def overwrite_table_partitions(df: DataFrame, table: str) -> DataFrame:
+    """Replace, in a partitioned catalog table, only the partitions present in ``df``.
+
+    Columns match by name, types as in ``append_rows``.  New partitions enter the catalog with
+    the write.  The overwrite mode is set in a session of the write's own.
+    """
+    spark = df.sparkSession
+    schema = spark.table(table).schema
+    partition_by, _, _ = table_layout(spark, table)
+    if not partition_by:
+        raise ValueError(f"overwrite_table_partitions: {table} has no partition columns")
+    have = {c.lower(): c for c in df.columns}
+    if set(have) != {n.lower() for n in schema.names}:
+        raise ValueError(f"overwrite_table_partitions: columns {df.columns} are not those of {table}: {schema.names}")
+    check_store(df.schema, schema, "overwrite_table_partitions")
+    ordered = df.select(*[F.col(f"`{have[n.lower()]}`").cast(schema[n].dataType).alias(n) for n in schema.names])
+    settings = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
+    in_session(ordered.hint("rebalance", *partition_by), settings).write.insertInto(table, overwrite=True)
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
+def _sized(target: str | int) -> dict[str, str]:
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+    }
+
+
 def optimized_write(
     df: DataFrame,
     path: str,
@@ -147,78 +219,20 @@ def optimized_write(
     ``REBALANCE`` on the partition columns plus ``advisoryPartitionSizeInBytes`` lets
     AQE merge small shuffle partitions and split large ones to about ``target`` of
     shuffle data each.  Shuffle bytes are not Parquet bytes, so files come out near,
-    not at, the target.
+    not at, the target.  The settings hold in a session of this write only.
     """
-    spark = df.sparkSession
-    settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": target,
-    }
-    with session_conf(spark, settings):
-        writer = df.hint("rebalance", *partition_by).write.mode(mode)
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+    writer = in_session(df.hint("rebalance", *partition_by), _sized(target)).write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
 
 
 def _norm(path: str) -> str:
     return path.rstrip("/").removeprefix("file:")
 
 
-def compaction_plan(
-    spark: SparkSession,
-    path_in: str,
-    *,
-    partition_by: Sequence[str] = (),
-    target_bytes: int = 128 << 20,
-    schema: str | None = None,
-    max_broadcast_values: int = 100_000,
-    where=None,
-) -> tuple[DataFrame, int]:
-    """The rows of ``path_in`` with their ``_bucket``, and the total number of buckets.
-
-    Per partition value, ``ceil(bytes on disk / target_bytes)`` buckets, from the scan's
-    own file metadata (footers only).  A row's bucket is a hash of (file, row index):
-    the same on every run, so a re-run task after a lost executor sends every row to
-    the same place.  ``schema`` (DDL) skips inference, and lets an empty folder through.
-    ``where``, a filter on partition columns, limits the plan to those partitions.
-    """
-    pcols = list(partition_by)
-    src = (spark.read.schema(schema) if schema else spark.read).parquet(path_in)
-    if where is not None:
-        src = src.filter(where)
-    missing = [c for c in pcols if c not in src.columns]
-    if missing:
-        raise ValueError(f"compact: partition columns {missing} not in {src.columns}")
-    data_cols = src.columns
-
-    # One row per file: its partition value and size.  Reads footers only.
-    files = (
-        src.select(*pcols, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
-        .groupBy(*pcols, "_file")
-        .agg(F.max("_size").alias("_size"))
-    )
-    buckets = files.groupBy(*pcols).agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("_size") / F.lit(float(target_bytes)))).cast("int").alias("_nb")
-    )
-    summary = buckets.agg(F.sum("_nb").alias("total"), F.count(F.lit(1)).alias("values")).first()
-    total, n_values = int(summary["total"] or 0), int(summary["values"] or 0)
-
-    rows = src.select(*data_cols, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_ri"))
-    if pcols:
-        # One row per partition value, counted above: broadcast while that count is
-        # within ``max_broadcast_values``; beyond it a shuffle join (AQE splits skew).
-        # (Renamed: both sides come from the same scan, so their columns share ids.)
-        sizes = buckets.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(pcols)], "_nb")
-        if n_values <= max_broadcast_values:
-            sizes = F.broadcast(sizes)
-        cond = [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(pcols)]
-        rows = rows.join(sizes, cond, "inner").select(*rows.columns, "_nb")
-    else:
-        rows = rows.withColumn("_nb", F.lit(max(total, 1)))
-    salted = rows.withColumn("_bucket", F.pmod(F.xxhash64("_file", "_ri"), F.col("_nb")))
-    return salted.select(*data_cols, "_bucket"), total
+def _needed(target_bytes: int):
+    return F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(float(target_bytes)))).cast("long")
 
 
 def compact(
@@ -233,10 +247,11 @@ def compact(
 ) -> int:
     """Rewrite the Parquet data at ``path_in`` into files of about ``target_bytes`` at ``path_out``.
 
-    Rows are unchanged (as a multiset); buckets come from ``compaction_plan``.  Range
-    partitioning on (partition value, bucket) gives about one bucket per task, so one
-    file per bucket, and a partition value with many buckets spans many tasks.
-    Returns the number of buckets planned.
+    Rows are unchanged (as a multiset), and so are partition values: they are read and
+    written as the text of their folder names.  ``REBALANCE`` on the partition columns deals rows out
+    by partition value; AQE splits large values and merges small ones by the bytes it measured, so no
+    row is hashed or sampled and the number of tasks follows the data.  Returns the number of files of
+    ``target_bytes`` that the input's bytes need, from the file listing.
 
     ``path_out`` must differ from ``path_in``: the job reads while it writes.
     Swapping the compacted copy in is the caller's step.
@@ -244,18 +259,28 @@ def compact(
     if _norm(path_in) == _norm(path_out):
         raise ValueError("compact: path_out must differ from path_in")
     pcols = list(partition_by)
-    salted, total = compaction_plan(spark, path_in, partition_by=pcols, target_bytes=target_bytes, schema=schema)
+    reject_sink_log(spark, path_in, "compact")
+    total = int(file_sizes(spark, path_in).agg(F.sum(_needed(target_bytes))).first()[0] or 0)
     if not total:
         return 0
-    data_cols = [c for c in salted.columns if c != "_bucket"]
-    out = salted.repartitionByRange(total, *pcols, "_bucket").select(*data_cols)
-    writer = out.write.mode(mode)
+    src = read_text_partitions(spark, path_in, pcols, schema=schema)
+    writer = _compacted(src, pcols, target_bytes).write.mode(mode)
     if pcols:
         writer = writer.partitionBy(*pcols)
     writer.parquet(path_out)
     return total
 
 
+#: Bytes of shuffled rows for a byte of Parquet, about: AQE sizes tasks by the former.
+_SHUFFLE_RATIO = 2
+
+
+def _compacted(src: DataFrame, pcols: Sequence[str], target_bytes: int) -> DataFrame:
+    for key, value in _sized(_SHUFFLE_RATIO * target_bytes).items():
+        src.sparkSession.conf.set(key, value)  # the session of ``read_text_partitions``, nobody else's
+    return src.hint("rebalance", *pcols)
+
+
 def compact_in_place(
     spark: SparkSession,
     path: str,
@@ -263,15 +288,12 @@ def compact_in_place(
     *,
     target_bytes: int = 128 << 20,
     schema: str | None = None,
-    max_listed_partitions: int = 10_000,
 ) -> int:
     """Compact, in place, only the partitions of ``path`` that hold more files than needed.
 
-    A partition is rewritten when its file count exceeds ``ceil(bytes / target_bytes)``;
-    the others are not read or touched.  The candidates (their number checked against
-    ``max_listed_partitions``) are read through a literal partition filter and bucketed
-    as ``compact`` does; beyond the limit a semi join copies them out first.  The result
-    is written under the scratch root (nothing reads ``path`` while it is written) and
+    A partition is rewritten when its file count exceeds ``ceil(bytes / target_bytes)``, by the
+    file listing; the others are not read or touched.  Only the folders to rewrite are opened.  The new
+    files are written under the scratch root (nothing reads ``path`` while it is written) and
     swapped in by dynamic partition overwrite.  Returns the number of partitions rewritten.
     """
     from stevedore.session import scratch_path
@@ -279,41 +301,14 @@ def compact_in_place(
     pcols = list(partition_by)
     if not pcols:
         raise ValueError("compact_in_place needs partition columns; use compact for a whole folder")
-    src = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    part_key = F.to_json(F.struct(*[F.col(c) for c in pcols]))
-    per_file = src.select(
-        part_key.alias("_part"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")
-    ).groupBy("_part", "_file").agg(F.max("_size").alias("_size"))
-    per_part = per_file.groupBy("_part").agg(F.count(F.lit(1)).alias("_files"), F.sum("_size").alias("_bytes"))
-    needed = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / F.lit(float(target_bytes))))
-    candidates_df = per_part.filter(F.col("_files") > needed).select("_part")
-    listed = [r[0] for r in candidates_df.limit(max_listed_partitions + 1).collect()]
-    if not listed:
+    reject_sink_log(spark, path, "compact_in_place")
+    # One row for each partition to rewrite comes to the driver: its folder's name, as in any listing.
+    todo = [r.folder for r in file_sizes(spark, path).filter(F.col("files") > _needed(target_bytes)).select("folder").collect()]
+    if not todo:
         return 0
-    staged_out = scratch_path(spark, "compact_out")
-    rewritten = len(listed)
-    if len(listed) <= max_listed_partitions:
-        # Bucketed straight from the candidates' own files (a partition filter).
-        salted, total = compaction_plan(
-            spark, path, partition_by=pcols, target_bytes=target_bytes, schema=schema, where=part_key.isin(listed)
-        )
-        data_cols = [c for c in salted.columns if c != "_bucket"]
-        salted.repartitionByRange(total, *pcols, "_bucket").select(*data_cols).write.partitionBy(*pcols).parquet(
-            staged_out
-        )
-    else:
-        # Too many to list: copy the candidates' rows out first (semi join), then compact the copy.
-        marked = src.withColumn("_part", part_key)
-        chosen = marked.join(candidates_df, "_part", "left_semi").drop("_part")
-        staged_in = scratch_path(spark, "compact_in")
-        chosen.write.partitionBy(*pcols).parquet(staged_in)
-        compact(spark, staged_in, staged_out, partition_by=pcols, target_bytes=target_bytes, schema=schema)
-        rewritten = spark.read.parquet(staged_in).select(*pcols).distinct().count()
-    # The rewritten partitions were staged, so nothing reads ``path`` while it is written.
-    overwrite_partitions(
-        (spark.read.schema(schema) if schema else spark.read).parquet(staged_out).select(*src.columns),
-        path,
-        pcols,
-        rebalance=False,
-    )
-    return rewritten
+    names = ["/".join(f.rstrip("/").split("/")[-len(pcols) :]) for f in todo]
+    src = read_text_partitions(spark, path, pcols, names, schema)
+    staged = scratch_path(spark, "compact_out")
+    _compacted(src, pcols, target_bytes).write.partitionBy(*pcols).parquet(staged)
+    overwrite_partitions(src.sparkSession.read.schema(src.schema).parquet(staged), path, pcols, rebalance=False)
+    return len(todo)

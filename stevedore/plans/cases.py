@@ -28,6 +28,7 @@ from stevedore.operators import (
     merge_upsert,
     optimized_write,
     overwrite_partitions,
+    overwrite_table_partitions,
     publish_external,
     publish_table,
     reconcile,
@@ -38,6 +39,7 @@ from stevedore.operators import (
     write_daily,
 )
 from stevedore.operators.logs import with_day
+from stevedore.operators.tables import table_layout
 from stevedore.plans.fixtures import (
     AS_OF,
     MERGE_TARGET_END,
@@ -133,13 +135,17 @@ def merge_table_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_into_path_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate"))
-    path = scratch_path(spark, "orders_by_year")
-    overwrite_partitions(orders.filter(F.col("o_orderdate") < ntz(MERGE_TARGET_END)), path, ["o_year"])
+    orders = table(spark, sf_dir, "orders").withColumn("o_month", _month("o_orderdate"))
+    path = scratch_path(spark, "orders_by_month")
+    overwrite_partitions(orders.filter(F.col("o_orderdate") < ntz(MERGE_TARGET_END)), path, ["o_month"])
     source = orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE)).withColumn(
         "o_totalprice", F.col("o_totalprice") + 1
     )
-    merge_into_path(spark, path, source, ["o_orderkey"], ["o_year"], delete_when=F.col("o_orderstatus") == "F")
+    gone = (F.col("o_orderstatus") == "F") | (F.col("o_month") == "02")
+    # A first batch deletes all of February, in its partition and by partition value alone.
+    february = orders.filter((F.col("o_month") == "02") & (F.col("o_orderdate") < ntz(MERGE_TARGET_END)))
+    merge_into_path(spark, path, february, ["o_orderkey"], ["o_month"], delete_when=F.lit(True))
+    merge_into_path(spark, path, source, ["o_orderkey"], ["o_month"], delete_when=gone)
     return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
 
 
@@ -155,15 +161,13 @@ def evolve_append_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evolve_table_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows with the year as SMALLINT, then rows with a new column and the year as INT: the stored table widens."""
     db = _run_database(spark)
-    orders = table(spark, sf_dir, "orders")
-    publish_table(orders.filter(F.col("o_orderdate") < ntz(SPLIT_DATE)).drop("o_orderstatus"), f"{db}.orders")
-    incoming = (
-        orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE))
-        .drop("o_totalprice")
-        .withColumn("o_custkey", F.col("o_custkey").cast("int"))
-    )
-    return evolve_table(incoming, f"{db}.orders")
+    orders = table(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate"))
+    base = orders.filter(F.col("o_orderdate") < ntz(SPLIT_DATE)).drop("o_orderstatus")
+    publish_table(base.withColumn("o_year", F.col("o_year").cast("smallint")), f"{db}.orders")
+    incoming = orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE)).drop("o_totalprice")
+    return evolve_table(incoming.withColumnRenamed("o_custkey", "O_CUSTKEY"), f"{db}.orders")
 
 
 def snapshot_as_of_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,30 +187,29 @@ def optimized_write_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
 
 
-def _small_file_rows(df: DataFrame, files: int = 40) -> int:
-    """Rows per file that split ``df`` into about ``files`` small files (count from footers)."""
-    return max(1000, df.count() // files)
+def _month(column: str):
+    """'01' to '12', NULL in December: text that must not be read as a number, and a NULL partition."""
+    return F.nullif(F.date_format(column, "MM"), F.lit("12"))
 
 
 def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     small = scratch_path(spark, "lineitem_small")
     out = scratch_path(spark, "lineitem_compact")
-    # The input as it arrives: many small files per partition value (about 40 in all).
-    lineitem.write.option("maxRecordsPerFile", _small_file_rows(lineitem)).partitionBy("l_returnflag").parquet(small)
+    # The input as it arrives: many small files per partition value.
+    lineitem.repartition(40).write.partitionBy("l_returnflag").parquet(small)
     compact(spark, small, out, partition_by=["l_returnflag"])
     return spark.read.schema(lineitem.schema).parquet(out).select(*lineitem.columns)
 
 
 def compact_in_place_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = table(spark, sf_dir, "lineitem").withColumn("l_month", _month("l_shipdate"))
     path = scratch_path(spark, "lineitem_table")
-    # R and A arrive in many small files; N in one file per writer task.
-    lineitem.filter(F.col("l_returnflag") != "N").write.option(
-        "maxRecordsPerFile", _small_file_rows(lineitem)
-    ).partitionBy("l_returnflag").parquet(path)
-    lineitem.filter(F.col("l_returnflag") == "N").write.mode("append").partitionBy("l_returnflag").parquet(path)
-    compact_in_place(spark, path, ["l_returnflag"])
+    # R and A arrive in many small files; N in few.
+    by_month = lambda flag, n: lineitem.filter(flag).repartition(n).write.mode("append").partitionBy("l_month").parquet(path)
+    by_month(F.col("l_returnflag") != "N", 8)
+    by_month(F.col("l_returnflag") == "N", 1)
+    compact_in_place(spark, path, ["l_month"])
     return spark.read.schema(lineitem.schema).parquet(path).select(*lineitem.columns)
 
 
@@ -221,9 +224,31 @@ def overwrite_partitions_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
 
 
+def overwrite_table_partitions_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _run_database(spark)
+    orders = table(spark, sf_dir, "orders")
+    name = f"{db}.orders_by_status"
+    publish_table(orders, name, partition_by=["o_orderstatus"])
+    restated = orders.filter(
+        (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < ntz(MERGE_TARGET_END))
+    ).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return overwrite_table_partitions(restated, name).select(*orders.columns)
+
+
+def replace_table_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replace a partitioned table by a plan that reads it; it stays partitioned (``layout`` says so)."""
+    db = _run_database(spark)
+    orders = table(spark, sf_dir, "orders")
+    name = f"{db}.orders_by_status"
+    publish_table(orders, name, partition_by=["o_orderstatus"])
+    raised = spark.table(name).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    back = replace_table(raised, name)
+    return back.select(*orders.columns, F.lit(",".join(table_layout(spark, name)[0])).alias("layout"))
+
+
 def fold_batches_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("batch", F.weekday("ts"))
-    return fold_batches(events, ["user_id"], "batch", ["ts", "event_id"], max_batches=10)
+    return fold_batches(events, ["user_id"], "batch", ["ts", "event_id"])
 
 
 # --- R: file work as Spark jobs ---------------------------------------------------
@@ -399,6 +424,8 @@ CASES: dict[str, Case] = {
     "compact": compact_case,
     "compact_in_place": compact_in_place_case,
     "overwrite_partitions": overwrite_partitions_case,
+    "overwrite_table_partitions": overwrite_table_partitions_case,
+    "replace_table": replace_table_case,
     "fold_batches": fold_batches_case,
     "parse_logs": parse_logs_case,
     "parse_log_files": parse_log_files_case,

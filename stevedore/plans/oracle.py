@@ -70,12 +70,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority
         FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}' AND o_orderstatus <> 'F'""",
     "merge_into_path": f"""
-        SELECT {ORDERS}, CAST(year(o_orderdate) AS INTEGER) AS o_year
-        FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT_DATE}'
+        SELECT {ORDERS}, nullif(strftime(o_orderdate, '%m'), '12') AS o_month
+        FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT_DATE}' AND month(o_orderdate) <> 2
         UNION ALL
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority,
-               CAST(year(o_orderdate) AS INTEGER) AS o_year
-        FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}' AND o_orderstatus <> 'F'""",
+               nullif(strftime(o_orderdate, '%m'), '12') AS o_month
+        FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}' AND o_orderstatus <> 'F' AND month(o_orderdate) <> 2""",
     "evolve_append": f"""
         SELECT o_orderkey, o_custkey,
                CASE WHEN o_orderdate < TIMESTAMP '{SPLIT_DATE}' THEN o_totalprice END AS o_totalprice,
@@ -83,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN o_orderdate >= TIMESTAMP '{SPLIT_DATE}' THEN o_orderstatus END AS o_orderstatus
         FROM orders""",
     "evolve_table": f"""
-        SELECT o_orderkey, o_custkey,
+        SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INTEGER) AS o_year,
                CASE WHEN o_orderdate < TIMESTAMP '{SPLIT_DATE}' THEN o_totalprice END AS o_totalprice,
                o_orderdate, o_orderpriority,
                CASE WHEN o_orderdate >= TIMESTAMP '{SPLIT_DATE}' THEN o_orderstatus END AS o_orderstatus
@@ -176,7 +176,15 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL["merge_colocated"] = ORACLE_SQL["merge_upsert"]
 ORACLE_SQL["merge_table"] = ORACLE_SQL["merge_upsert"]
 ORACLE_SQL["ingest_daily"] = ORACLE_SQL["write_daily"]
-ORACLE_SQL["compact_in_place"] = ORACLE_SQL["compact"]
+ORACLE_SQL["compact_in_place"] = """
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+           l_returnflag, l_linestatus, l_shipdate, nullif(strftime(l_shipdate, '%m'), '12') AS l_month
+    FROM lineitem"""
+ORACLE_SQL["overwrite_table_partitions"] = ORACLE_SQL["overwrite_partitions"]
+ORACLE_SQL["replace_table"] = """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority,
+           'o_orderstatus' AS layout
+    FROM orders"""
 
 ORACLE_SQL["settings_drift"] = f"""
     SELECT o_orderpriority, 'order.' || CAST(o_orderkey AS VARCHAR) || '.status' AS name,

@@ -133,29 +133,64 @@ def test_merge_into_path_rewrites_only_touched_partitions(spark, scratch):
     assert got == [(1, "a", "x"), (2, "B", "x"), (4, "d", "z"), (5, "E", "x")]
 
 
-def test_merge_into_path_reads_only_touched_partitions(spark, scratch):
-    from stevedore.operators import overwrite_partitions
+def test_merge_into_path_opens_only_touched_folders(spark, scratch):
+    from stevedore.operators import merge_into_path, overwrite_partitions
 
-    orders = spark.read.parquet(f"{SF01}/orders.parquet")
-    path = f"{scratch}/by_status"
-    overwrite_partitions(orders, path, ["o_orderstatus"])
-    target = spark.read.parquet(path)
-    part_key = F.to_json(F.struct("o_orderstatus"))
-    plan = target.filter(part_key.isin(['{"o_orderstatus":"F"}']))._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
-    assert "PartitionFilters: [" in scan and "StructsToJson" in scan.split("PartitionFilters: [", 1)[1]
+    target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k INT, v STRING, part STRING")
+    path = f"{scratch}/t"
+    overwrite_partitions(target, path, ["part"])
+    # A file that can't be read, in an untouched partition, doesn't matter.
+    broken = f"{path}/part=y/part-broken.parquet".removeprefix("file:")
+    with open(broken, "w") as f:
+        f.write("no parquet")
+    merge_into_path(spark, path, target.filter("part = 'x'").withColumn("v", F.lit("A")), ["k"], ["part"])
+    assert spark.read.parquet(f"{path}/part=x").collect()[0].v == "A"
 
 
-def test_merge_into_path_falls_back_beyond_the_partition_limit(spark, scratch):
+def test_merge_into_path_removes_emptied_partitions_at_any_count(spark, scratch):
     from stevedore.operators import merge_into_path, overwrite_partitions
 
-    target = spark.createDataFrame([(i, f"v{i}", i % 4) for i in range(20)], "k INT, v STRING, part INT")
+    target = spark.createDataFrame([(i, f"v{i}", i) for i in range(30)], "k INT, v STRING, part INT")
     path = f"{scratch}/t"
     overwrite_partitions(target, path, ["part"])
-    source = spark.createDataFrame([(i, f"w{i}", i % 4) for i in range(0, 20, 2)], "k INT, v STRING, part INT")
-    merge_into_path(spark, path, source, ["k"], ["part"], max_listed_partitions=1)
-    got = dict((r.k, r.v) for r in spark.read.parquet(path).collect())
-    assert got == {i: (f"w{i}" if i % 2 == 0 else f"v{i}") for i in range(20)}
+    assert merge_into_path(spark, path, target.filter("k < 29"), ["k"], ["part"], delete_when=F.lit(True)) == 29
+    assert [r.k for r in spark.read.parquet(path).collect()] == [29]
+    assert set(_files_by_partition(path)) == {"part=29"}
+
+
+def test_path_jobs_keep_partition_text(spark, scratch):
+    """Values that look like numbers or dates, NULL, and characters that folder names escape."""
+    from stevedore.operators import compact, compact_in_place, merge_into_path, overwrite_partitions
+
+    texts = ["01", "1", "2024-01", "1e3", None, "a/b=c d", "10"]
+    target = spark.createDataFrame([(i, 1, p) for i, p in enumerate(texts)], "k INT, v INT, p STRING")
+    path = f"{scratch}/t"
+    for _ in range(2):
+        overwrite_partitions(target, path, ["p"], mode="append")
+    source = target.withColumn("v", F.lit(9))
+    read = lambda at: spark.read.schema("k INT, v INT, p STRING").parquet(at)
+    assert compact_in_place(spark, path, ["p"]) == len(texts)
+    assert rows(read(path)) == rows(target.union(target))
+    for _ in range(2):  # twice: nothing is inserted a second time
+        assert merge_into_path(spark, path, source, ["k"], ["p"]) == len(texts)
+        assert rows(read(path)) == rows(source.union(source))
+    compact(spark, path, f"{scratch}/out", partition_by=["p"])
+    assert rows(read(f"{scratch}/out")) == rows(source.union(source))
+
+
+def test_path_jobs_refuse_file_sink_output(spark, scratch):
+    from stevedore.operators import compact_in_place, merge_into_path, overwrite_partitions
+
+    df = spark.createDataFrame([(1, 1)], "k INT, p INT")
+    df.write.partitionBy("p").parquet(f"{scratch}/t")
+    spark.createDataFrame([("v1",)], "s STRING").write.text(f"{scratch}/t/_spark_metadata")
+    for job in (
+        lambda: merge_into_path(spark, f"{scratch}/t", df, ["k"], ["p"]),
+        lambda: compact_in_place(spark, f"{scratch}/t", ["p"]),
+        lambda: overwrite_partitions(df, f"{scratch}/t", ["p"]),
+    ):
+        with pytest.raises(ValueError, match="file sink"):
+            job()
 
 
 def test_reconcile_reports_every_difference_and_rejects_duplicates(spark):
@@ -214,20 +249,19 @@ def test_merge_with_a_column_named_spread(spark):
     assert rows(merge_upsert(target, source, ["k"])) == [(1, 5), (2, 7), (3, 8)]
 
 
-def test_fold_batches_limit(spark):
-    df = spark.createDataFrame([(1, b, b, "v") for b in range(12)], "k INT, batch INT, seq INT, v STRING")
-    assert fold_batches(df, ["k"], "batch", ["seq"], max_batches=12).count() == 1
-    with pytest.raises(ValueError, match="more than 10"):
-        fold_batches(df, ["k"], "batch", ["seq"], max_batches=10)
+def test_fold_batches_takes_any_number_of_batches(spark):
+    df = spark.createDataFrame([(1, b, b, "v") for b in range(300)], "k INT, batch INT, seq INT, v STRING")
+    assert fold_batches(df, ["k"], "batch", ["seq"]).first().n_batches == 300
 
 
 def test_widening_agrees_with_spark_union(spark):
     """Where evolve_append widens, it widens to the type Spark's own union picks."""
     from itertools import product
 
-    from stevedore.operators.changes import wider_type
+    from stevedore.functions.types import wider_type
 
     names = ["tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp_ntz", "timestamp"]
+    names += ["decimal(3,1)", "decimal(10,0)", "decimal(20,2)", "decimal(25,20)", "decimal(38,0)"]
     for a, b in product(names, names):
         ta, tb = spark.createDataFrame([], f"x {a}"), spark.createDataFrame([], f"x {b}")
         ours = wider_type(ta.schema["x"].dataType, tb.schema["x"].dataType)
@@ -235,3 +269,37 @@ def test_widening_agrees_with_spark_union(spark):
             continue
         theirs = ta.unionByName(tb).schema["x"].dataType
         assert ours == theirs, (a, b, ours, theirs)
+
+
+def test_decimals_without_room_are_incompatible(spark):
+    base, wide = spark.createDataFrame([], "x DECIMAL(38,0)"), spark.createDataFrame([], "x DECIMAL(38,18)")
+    with pytest.raises(TypeError, match="decimal"):
+        evolve_append(base, wide)
+    exact = evolve_append(spark.sql("SELECT CAST('12345678901234567.89' AS DECIMAL(20,2)) AS x"), spark.sql("SELECT 1 AS x"))
+    assert sorted(str(r.x) for r in exact.collect()) == ["1.00", "12345678901234567.89"]
+
+
+def test_names_match_in_any_case(spark):
+    both = evolve_append(spark.createDataFrame([(1,)], "id INT"), spark.createDataFrame([(2, 3)], "ID INT, Z INT"))
+    assert both.columns == ["id", "Z"] and rows(both) == sorted([(1, None), (2, 3)], key=repr)
+
+
+def test_merge_rejects_narrowing_and_unused_columns(spark):
+    target = spark.createDataFrame([(1, 5)], "k INT, v INT")
+    with pytest.raises(TypeError, match="v: double into int"):
+        merge_upsert(target, spark.createDataFrame([(1, 1.7)], "k INT, v DOUBLE"), ["k"])
+    with pytest.raises(ValueError, match="lacks source columns"):
+        merge_upsert(target, spark.createDataFrame([(1, 1, 1)], "k INT, v INT, w INT"), ["k"])
+
+
+def test_evolve_table_widens_by_rewriting_and_checks_first(spark, scratch):
+    spark.sql(f"CREATE DATABASE widen LOCATION '{scratch}/widen'")
+    spark.createDataFrame([(1, "a")], "id INT, p STRING").write.partitionBy("p").saveAsTable("widen.t")
+    out = evolve_table(spark.createDataFrame([(1 << 40, "b", True)], "id BIGINT, p STRING, z BOOLEAN"), "widen.t")
+    assert out.schema["id"].dataType.simpleString() == "bigint"
+    assert [c.name for c in spark.catalog.listColumns("widen.t") if c.isPartition] == ["p"]
+    assert sorted((r.id, r.p, r.z) for r in out.collect()) == [(1, "a", None), (1 << 40, "b", True)]
+    with pytest.raises(TypeError):
+        evolve_table(spark.createDataFrame([("x", 1)], "id STRING, fresh INT"), "widen.t")
+    assert "fresh" not in spark.table("widen.t").columns
+    spark.sql("DROP DATABASE widen CASCADE")

@@ -13,11 +13,33 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_merge_shuffles_each_side_once(spark):
+def test_a_small_batch_moves_no_target_row(spark):
     plan = plan_of(CASES["merge_upsert"](spark, SF01))
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
-    assert plan.count("PushedFilters: [IsNotNull(o_orderdate)") == 2
+    # The target is read twice (whole rows, then keys) and only ever meets broadcast source rows; what
+    # is shuffled are source keys and matched keys.
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "o_totalprice" not in line
+
+
+def test_a_hot_target_key_is_split(spark):
+    from stevedore.operators import merge_upsert
+    from stevedore.operators._paths import in_session
+
+    target = spark.range(0, 300_000, 1, 8).selectExpr("IF(id % 3 = 0, id, 7) AS k", "repeat(md5(string(id)), 4) AS v")
+    source = spark.range(0, 100_000).selectExpr("id AS k", "'new' AS v")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+    }
+    merged = in_session(merge_upsert(target, source, ["k"]), conf)
+    # Every source key replaces its target rows (key 7 holds two thirds of them) or is inserted.
+    assert merged.filter("v = 'new'").count() == 200_000 + 33_334 + 66_666 - 1
+    merged.collect()
+    assert "skew=true" in plan_of(merged)
 
 
 def test_snapshot_filters_at_scan_and_aggregates_partially(spark):
@@ -65,19 +87,3 @@ def test_no_python_in_any_plan(spark):
     for name in ["merge_upsert", "reconcile", "error_verdict", "evolve_append", "fold_batches"]:
         plan = plan_of(CASES[name](spark, SF01))
         assert "Python" not in plan, name
-
-
-def test_compaction_broadcasts_the_checked_size_table(spark, scratch):
-    from stevedore.operators.tables import compaction_plan
-
-    lineitem = spark.read.parquet(f"{SF01}/lineitem.parquet")
-    lineitem.write.option("maxRecordsPerFile", 5000).partitionBy("l_returnflag").parquet(f"{scratch}/in")
-    plan_df, _ = compaction_plan(spark, f"{scratch}/in", partition_by=["l_returnflag"])
-    assert "BroadcastHashJoin" in plan_of(plan_df)
-    # Beyond the bound the join is left to the planner (no hint): with size-based
-    # broadcasting off it must be a shuffle join.
-    from stevedore.operators.tables import session_conf
-
-    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
-        plan_df, _ = compaction_plan(spark, f"{scratch}/in", partition_by=["l_returnflag"], max_broadcast_values=1)
-        assert "SortMergeJoin" in plan_of(plan_df)

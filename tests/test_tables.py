@@ -8,7 +8,6 @@ import uuid
 
 import pytest
 from conftest import SF01
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stevedore.operators import (
@@ -81,7 +80,7 @@ def test_append_rows_matches_by_name(spark, db):
 def test_append_rows_rejects_unsafe_cast(spark, db):
     spark.sql(f"CREATE TABLE {db}.t (id INT, name STRING, value DOUBLE) USING parquet")
     bad = spark.createDataFrame([("x", "n", 1.0)], "id STRING, name STRING, value DOUBLE")
-    with pytest.raises(AnalysisException, match="CANNOT_SAFELY_CAST|INCOMPATIBLE_DATA"):
+    with pytest.raises(TypeError, match="id: string into int"):
         append_rows(bad, f"{db}.t")
     assert spark.table(f"{db}.t").count() == 0
 
@@ -157,24 +156,6 @@ def test_compact_refuses_same_path(spark, scratch):
         compact(spark, f"{scratch}/x", f"file:{_local(scratch)}/x/")
 
 
-def test_compact_buckets_are_deterministic_per_row(spark, scratch):
-    """A row's bucket depends only on its file and position, so a re-run task sends it to
-    the same place (no random salt)."""
-    from stevedore.operators.tables import compaction_plan
-
-    orders = spark.read.parquet(f"{SF01}/orders.parquet")
-    src = f"{scratch}/small"
-    orders.write.option("maxRecordsPerFile", 500).parquet(src)
-
-    def assignment():
-        plan, total = compaction_plan(spark, src, target_bytes=64 << 10)
-        return total, sorted(tuple(r) for r in plan.select("o_orderkey", "_bucket").collect())
-
-    first, second = assignment(), assignment()
-    assert first == second and first[0] > 1
-    assert len({b for _, b in first[1]}) == first[0]
-
-
 def test_bucketed_tables_join_without_shuffle(spark, db):
     orders = spark.read.parquet(f"{SF01}/orders.parquet")
     lineitem = spark.read.parquet(f"{SF01}/lineitem.parquet")
@@ -227,18 +208,6 @@ def test_compact_in_place_rewrites_only_fragmented_partitions(spark, scratch):
     assert compact_in_place(spark, path, ["l_returnflag"]) == 0  # nothing left to do
 
 
-def test_compact_in_place_fallback_beyond_the_listing_limit(spark, scratch):
-    from stevedore.operators import compact_in_place
-
-    orders = spark.read.parquet(f"{SF01}/orders.parquet")
-    path = f"{scratch}/o"
-    orders.write.option("maxRecordsPerFile", 500).partitionBy("o_orderstatus").parquet(path)
-    assert compact_in_place(spark, path, ["o_orderstatus"], max_listed_partitions=1) == 3
-    back = spark.read.parquet(path).select(*orders.columns)
-    assert back.exceptAll(orders).count() == 0 and orders.exceptAll(back).count() == 0
-    assert len(back.inputFiles()) == 3
-
-
 def test_replace_table_from_itself(spark, db):
     from stevedore.operators import merge_upsert, replace_table
 
@@ -247,3 +216,50 @@ def test_replace_table_from_itself(spark, db):
     source = spark.createDataFrame([(2, "B"), (3, "C")], "k INT, v STRING")
     out = replace_table(merge_upsert(spark.table(f"{db}.t"), source, ["k"]), f"{db}.t")
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a"), (2, "B"), (3, "C")]
+
+
+def test_append_rows_never_narrows(spark, db):
+    spark.sql(f"CREATE TABLE {db}.narrow (id INT) USING parquet")
+    for ddl in ("id DOUBLE", "id BIGINT", "id STRING"):
+        with pytest.raises(TypeError):
+            append_rows(spark.createDataFrame([], ddl), f"{db}.narrow")
+    assert append_rows(spark.createDataFrame([(3,)], "ID SMALLINT"), f"{db}.narrow").collect()[0].id == 3
+
+
+def test_bucketed_publish_writes_one_file_for_each_bucket(spark, db):
+    from stevedore.operators import publish_table
+
+    publish_table(spark.range(0, 4000, 1, 10).toDF("id"), f"{db}.buckets", bucket_by=(8, ["id"]))
+    assert spark.table(f"{db}.buckets").select("_metadata.file_path").distinct().count() == 8
+
+
+def test_replace_table_keeps_its_layout_and_survives_a_failed_write(spark, db):
+    from pyspark.errors import PySparkException
+
+    from stevedore.operators import publish_table, replace_table
+    from stevedore.operators.tables import table_layout
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "id INT, p INT")
+    publish_table(df, f"{db}.laid", partition_by=["p"], bucket_by=(4, ["id"]))
+    replace_table(spark.table(f"{db}.laid").filter("id < 20"), f"{db}.laid")
+    assert table_layout(spark, f"{db}.laid") == (["p"], (4, ["id"]), False)
+    with pytest.raises(PySparkException):
+        replace_table(spark.table(f"{db}.laid").selectExpr("IF(id = 3, raise_error('no'), id) AS id", "p"), f"{db}.laid")
+    assert spark.table(f"{db}.laid").count() == 20
+
+
+def test_overwrite_table_partitions_registers_new_partitions(spark, db):
+    from stevedore.operators import overwrite_table_partitions, publish_table
+
+    publish_table(spark.createDataFrame([(1, "a"), (2, "b")], "id INT, p STRING"), f"{db}.parts", partition_by=["p"])
+    overwrite_table_partitions(spark.createDataFrame([("b", 9), ("c", 7)], "p STRING, id INT"), f"{db}.parts")
+    assert sorted(tuple(r) for r in spark.table(f"{db}.parts").select("id", "p").collect()) == [(1, "a"), (7, "c"), (9, "b")]
+    assert spark.sql(f"SHOW PARTITIONS {db}.parts").count() == 3
+
+
+def test_optimized_write_leaves_the_session_alone(spark, scratch):
+    from stevedore.operators import optimized_write
+
+    before = spark.conf.getAll
+    optimized_write(spark.range(10), f"{scratch}/o", target="1m")
+    assert spark.conf.getAll == before
