@@ -26,6 +26,7 @@ LINE_PATTERN = rf"(?s)^(?:{_BRACKET}|{_LOG4J_THREAD}|{_LOG4J_LINE})$"
 
 _MARK = "\u0002"  # starts every rewritten (matched) line
 _SEP = "\u0001"  # separates the fields of a rewritten line
+_ESC = "\u0003"  # stands before the code of a separator (or of itself) that a line holds
 _LAYOUT = _SEP.join([_MARK, "$1$4$9", "$2$5$10", "$6", "$7$11", "$12", "$3$8$13"])
 
 # Parsed shape, after the caller's ``source`` column.
@@ -38,7 +39,14 @@ def split_log_line(line: Column) -> Column:
     the fields from that column (``log_fields``): Catalyst then keeps the expensive
     expression in one place instead of copying it into every field.
     """
-    return F.split(F.regexp_replace(line, LINE_PATTERN, _LAYOUT), _SEP, -1)
+    escaped = F.replace(F.replace(line, F.lit(_ESC), F.lit(_ESC + "a")), F.lit(_SEP), F.lit(_ESC + "b"))
+    plain = F.when(line.contains(_SEP) | line.contains(_ESC), escaped).otherwise(line)
+    return F.split(F.regexp_replace(plain, LINE_PATTERN, _LAYOUT), _SEP, -1)
+
+
+def _unescaped(field: Column) -> Column:
+    back = F.replace(F.replace(field, F.lit(_ESC + "b"), F.lit(_SEP)), F.lit(_ESC + "a"), F.lit(_ESC))
+    return F.when(field.contains(_ESC), back).otherwise(field)
 
 
 def log_fields(parts: Column, line: Column) -> list[Column]:
@@ -50,7 +58,7 @@ def log_fields(parts: Column, line: Column) -> list[Column]:
     matched = (F.size(parts) == 7) & (F.try_element_at(parts, F.lit(1)) == F.lit(_MARK)) & ~line.startswith(_MARK)
 
     def field(i: int) -> Column:
-        return F.when(matched, F.nullif(F.try_element_at(parts, F.lit(i + 1)), F.lit("")))
+        return F.when(matched, F.nullif(_unescaped(F.try_element_at(parts, F.lit(i + 1))), F.lit("")))
 
     return [
         field(1).try_cast("timestamp_ntz").alias("ts"),
@@ -58,7 +66,7 @@ def log_fields(parts: Column, line: Column) -> list[Column]:
         field(3).alias("thread"),
         field(4).alias("logger"),
         field(5).try_cast("int").alias("line_no"),
-        F.when(matched, F.try_element_at(parts, F.lit(7))).alias("message"),
+        F.when(matched, _unescaped(F.try_element_at(parts, F.lit(7)))).alias("message"),
     ]
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # The replacement text and the setting names treated as secret.
 HIDDEN = "[HIDDEN]"
-SECRET_NAME_PATTERN = r"(?i)(password|passwd|secret|token|credential|access[._-]?key)"
+SECRET_NAME_PATTERN = (
+    r"(?i)(password|passwd|passphrase|(^|[._-])(pwd|pass)([._-]|$)|secret|token|credential"
+    r"|(api|private|access|account|signing|encryption|shared|storage|master)[._-]?key)"
+)
 
 
 def mask_secret(name: Column, value: Column, pattern: str = SECRET_NAME_PATTERN) -> Column:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stevedore.functions.levels import SEVERITY_RANK, severity_rank
+from stevedore.operators._paths import exists
 from stevedore.operators.tables import overwrite_partitions
+from stevedore.session import scratch_path
+from stevedore.sources.logs import PLACE_COLUMNS, attach_records
 
 # The words that mark a line as an error, matched in any case.
 ERROR_PATTERN = "error|exception|failed"
@@ -15,7 +18,7 @@ ERROR_PATTERN = "error|exception|failed"
 def filter_severity(logs: DataFrame, min_level: str = "INFO") -> tuple[DataFrame, DataFrame]:
     """``(kept, unranked)``: lines at or above ``min_level``, and lines with no known level.
 
-    Lines whose level is NULL (unparsed) or outside DEBUG < INFO < WARN < ERROR are
+    Lines whose level is NULL (unparsed) or outside TRACE < DEBUG < INFO < WARN < ERROR < FATAL are
     returned in ``unranked`` rather than dropped.
     """
     level = min_level.upper()
@@ -32,14 +35,17 @@ def _matches(pattern: str):
 def error_tail(logs: DataFrame, n: int = 10, pattern: str = ERROR_PATTERN) -> DataFrame:
     """The last ``n`` lines per source whose text matches ``pattern`` (any case).
 
-    "Last" is by time, newest first, then by text (a text file has no line number);
-    lines without a time come after timed ones.  ``recency`` is 1 for the newest.
+    "Last" is by place in the file where the lines carry it (``read_log_lines``), so a stack
+    trace stays with its error; else by time, newest first, then by text, lines without a time
+    after timed ones.  ``recency`` is 1 for the last line.
     A ``row_number() <= n`` filter is planned as a partial WindowGroupLimit before the
     shuffle, so each map task sends at most ``n`` rows per source, however hot.
     """
     if n < 1:
         raise ValueError("n must be positive")
-    order = Window.partitionBy("source").orderBy(F.col("ts").desc_nulls_last(), F.col("raw").desc())
+    placed = all(c in logs.columns for c in PLACE_COLUMNS)
+    last = [F.desc(c) for c in PLACE_COLUMNS] if placed else [F.col("ts").desc_nulls_last(), F.col("raw").desc()]
+    order = Window.partitionBy("source").orderBy(*last)
     return (
         logs.filter(_matches(pattern))
         .withColumn("recency", F.row_number().over(order))
@@ -62,15 +68,38 @@ def error_verdict(logs: DataFrame, pattern: str = ERROR_PATTERN) -> DataFrame:
 
 
 def with_day(logs: DataFrame) -> DataFrame:
-    return logs if "day" in logs.columns else logs.withColumn("day", F.to_date("ts"))
+    """Add ``day``, unless it is there: that of the record a line belongs to, where lines carry their
+    place; lines above a file's first record have that record's day.  Without places, the line's own day."""
+    if "day" in logs.columns:
+        return logs
+    if not all(c in logs.columns for c in PLACE_COLUMNS):
+        return logs.withColumn("day", F.to_date("ts"))
+    owned = attach_records(logs)
+    timed = F.when(F.col("ts").isNotNull(), F.struct("block", "seq"))
+    firsts = logs.groupBy(F.col("source").alias("_source")).agg(F.to_date(F.min_by("ts", timed)).alias("_first")).filter(F.col("_first").isNotNull())
+    joined = owned.join(firsts, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select(*logs.columns, F.coalesce(F.to_date("record_ts"), "_first").alias("day"))
 
 
 def write_daily(logs: DataFrame, path: str) -> None:
     """Write logs under ``path/day=yyyy-MM-dd/``; a re-run replaces only the days it holds.
 
-    Lines without a time go to the ``day=__HIVE_DEFAULT_PARTITION__`` folder (NULL day).
+    With the lines' places (``read_log_lines``), stack traces go with their records.  Lines of files that
+    hold no time at all go to the ``day=__HIVE_DEFAULT_PARTITION__`` folder (NULL day), where a write
+    replaces those of its own sources and keeps the others'.
     """
-    overwrite_partitions(with_day(logs), path, ["day"])
+    spark = logs.sparkSession
+    dated = with_day(logs)
+    undated = f"{path.rstrip('/')}/day=__HIVE_DEFAULT_PARTITION__"
+    if exists(spark, undated):
+        earlier = spark.read.schema(dated.drop("day").schema).parquet(undated)
+        sources = dated.select(F.col("source").alias("_s")).distinct()
+        others = earlier.join(sources, F.col("source").eqNullSafe(F.col("_s")), "left_anti")
+        staged = scratch_path(spark, "undated")
+        others.write.parquet(staged)  # the folder is replaced below: nothing may still read it then
+        kept = spark.read.schema(others.schema).parquet(staged).withColumn("day", F.lit(None).cast("date"))
+        dated = dated.unionByName(kept)
+    overwrite_partitions(dated, path, ["day"])
 
 
 def keep_newest_days(logs: DataFrame, n: int = 30) -> DataFrame:
@@ -78,9 +107,9 @@ def keep_newest_days(logs: DataFrame, n: int = 30) -> DataFrame:
 
     The day list (at most ``n`` values) is computed first and applied as a literal
     ``IN`` filter: on a day-partitioned table (``write_daily``'s layout) that is a
-    partition filter, so only the kept days' folders are listed and read.  Finding the
-    days reads only the ``day`` column (partition values: no data pages).
-    Lines without a time belong to no day and are not kept.
+    partition filter, so only the kept days' folders are read.  Finding the
+    days reads only the ``day`` column (partition values: no data pages).  Stack traces have the day of their
+    record.  Lines that belong to no day can't be told to be old: they are kept.
     """
     if n < 1:
         raise ValueError("n must be positive")
@@ -89,4 +118,4 @@ def keep_newest_days(logs: DataFrame, n: int = 30) -> DataFrame:
         r[0]
         for r in dated.select("day").where(F.col("day").isNotNull()).distinct().orderBy(F.desc("day")).limit(n).collect()
     ]
-    return dated.filter(F.col("day").isin(days))
+    return dated.filter(F.col("day").isin(days) | F.col("day").isNull())

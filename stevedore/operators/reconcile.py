@@ -11,28 +11,38 @@ from stevedore.operators._keys import SPREAD, any_key_null, check_keys, spread_c
 
 
 def reconcile(
-    expected: DataFrame, actual: DataFrame, keys: Sequence[str], *, columns: Sequence[str] | None = None
+    expected: DataFrame,
+    actual: DataFrame,
+    keys: Sequence[str],
+    *,
+    columns: Sequence[str] | None = None,
+    show: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """One row per differing key: ``(*keys, status, changed_columns)``.
 
     ``status`` is ``missing`` (expected only), ``extra`` (actual only) or ``changed``;
     ``changed_columns`` lists, comma-separated in column order, the compared columns
     whose values differ null-safely (NULL equals NULL).  Equal keys produce no row.
-    Every difference is reported, not only the first.  NULL keys never match; a
-    duplicated complete key on either side raises.
+    Every difference is reported, not only the first.  A column that only one side has compares
+    as NULL on the other, so an added column is a difference where it holds a value.  NULL keys never match; a
+    duplicated complete key on either side raises.  ``show`` carries columns that aren't compared:
+    name -> names of the expected and the actual value in the result.
 
     Plan: one full outer join on the keys; each side is shuffled once.
     """
     keys = list(keys)
     check_keys(expected, keys, "reconcile expected")
     check_keys(actual, keys, "reconcile actual")
-    columns = list(columns) if columns is not None else [c for c in expected.columns if c not in keys]
-    absent = [c for c in columns if c not in expected.columns or c not in actual.columns]
+    shown = dict(show or {})
+    if columns is None:
+        columns = [c for c in dict.fromkeys([*expected.columns, *actual.columns]) if c not in keys and c not in shown]
+    columns = list(columns)
+    absent = [c for c in [*columns, *shown] if c not in expected.columns and c not in actual.columns]
     if absent:
-        raise ValueError(f"reconcile: columns {absent} must be on both sides")
+        raise ValueError(f"reconcile: columns {absent} are on neither side")
 
     def side(df: DataFrame, tag: str, n: int) -> DataFrame:
-        df = df.select(*keys, *columns)
+        df = df.select(*keys, *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in [*columns, *shown]])
         df = df.withColumn(SPREAD, spread_column(df, keys, side=n))
         # Keys must be unique on each side, or the join would pair every duplicate with
         # every other.  The count is a window on the join keys, so the join reuses its
@@ -41,7 +51,7 @@ def reconcile(
         dup = (F.col("__n") > 1) & ~any_key_null(keys)
         df = df.filter(F.when(dup, F.raise_error(F.lit(f"reconcile: duplicate key on the {'expected' if n == 1 else 'actual'} side"))).isNull())
         return df.select(
-            *[F.col(c).alias(f"{tag}{c}") for c in [*keys, *columns, SPREAD]], F.lit(True).alias(f"{tag}present")
+            *[F.col(c).alias(f"{tag}{c}") for c in [*keys, *columns, *shown, SPREAD]], F.lit(True).alias(f"{tag}present")
         )
 
     e, a = side(expected, "__e_", 1), side(actual, "__a_", 2)
@@ -58,6 +68,7 @@ def reconcile(
             *[F.coalesce(F.col(f"__e_{k}"), F.col(f"__a_{k}")).alias(k) for k in keys],
             status.alias("status"),
             F.when(in_e & in_a, changed).alias("changed_columns"),
+            *[F.col(f"__{side}_{c}").alias(name) for c, names in shown.items() for side, name in zip("ea", names, strict=True)],
         )
         .filter(F.col("status").isNotNull())
     )

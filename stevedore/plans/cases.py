@@ -51,8 +51,8 @@ from stevedore.plans.fixtures import (
     table,
 )
 from stevedore.session import scratch_path
-from stevedore.sources.logs import parse_logs, read_log_lines
-from stevedore.sources.settings import extract_settings
+from stevedore.sources.logs import PLACE_COLUMNS, attach_records, parse_logs, read_log_lines
+from stevedore.sources.settings import compare_settings, extract_settings
 from stevedore.streaming.follow import follow_logs, ingest_daily, run_to_path
 
 Case = Callable[[SparkSession, str], DataFrame]
@@ -258,26 +258,37 @@ def _event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_logs(event_log_lines(table(spark, sf_dir, "events")))
 
 
+def _unplaced(logs: DataFrame) -> DataFrame:
+    return logs.drop(*PLACE_COLUMNS)
+
+
 def parse_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_logs(spark, sf_dir)
+    return _unplaced(_event_logs(spark, sf_dir))
 
 
 def parse_log_files_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files read back: each line has the time of the record it belongs to, stack traces too."""
     lines = event_log_lines(table(spark, sf_dir, "events"))
     path = scratch_path(spark, "daily_log_files")
     # One folder of rolled log files per day; ``source`` becomes the folder's day.
-    lines.select("value", F.to_date("ts_event").alias("day")).write.partitionBy("day").text(path)
-    parsed = parse_logs(read_log_lines(spark, path))
+    by_day = lines.withColumn("day", F.to_date("ts_event")).repartition("day").sortWithinPartitions("day", "seq")
+    by_day.select("value", "day").write.partitionBy("day").text(path)
+    parsed = _unplaced(attach_records(parse_logs(read_log_lines(spark, path))))
     return parsed.withColumn("source", F.regexp_extract(F.col("source"), r"/day=([^/]+)/[^/]*$", 1))
 
 
 def filter_severity_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _unranked = filter_severity(_event_logs(spark, sf_dir), "WARN")
-    return kept
+    return _unplaced(kept)
+
+
+def filter_severity_unranked_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _kept, unranked = filter_severity(_event_logs(spark, sf_dir), "WARN")
+    return _unplaced(unranked)
 
 
 def error_tail_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return error_tail(_event_logs(spark, sf_dir), n=10)
+    return _unplaced(error_tail(_event_logs(spark, sf_dir), n=10))
 
 
 def error_verdict_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,17 +298,23 @@ def error_verdict_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = _event_logs(spark, sf_dir)
+    """Two writes, days before and after the middle of the month: the second leaves the first's lines alone."""
+    logs = with_day(_event_logs(spark, sf_dir))
     path = scratch_path(spark, "daily_logs")
-    write_daily(logs, path)
-    back = spark.read.schema(with_day(logs).schema).parquet(path)
+    middle = F.lit(AS_OF).cast("timestamp_ntz").cast("date")
+    write_daily(logs.filter(F.col("day") < middle), path)
+    write_daily(logs.filter(~(F.col("day") < middle) | F.col("day").isNull()), path)
+    back = spark.read.schema(logs.schema).parquet(path)
     # Reported as the day's midnight (TIMESTAMP), the type the test tables use for dates.
     return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def keep_newest_days_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The kept lines; their ``day`` is derived from ``ts`` and left out of the result.
-    return keep_newest_days(_event_logs(spark, sf_dir), n=7).drop("day")
+    """On the day-partitioned table that ``write_daily`` leaves: a partition filter."""
+    logs = with_day(_event_logs(spark, sf_dir))
+    path = scratch_path(spark, "daily_logs")
+    write_daily(logs, path)
+    return _unplaced(keep_newest_days(spark.read.schema(logs.schema).parquet(path), n=7).drop("day"))
 
 
 def follow_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,11 +329,16 @@ def follow_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of files, with a compaction of the output between them."""
     lines = event_log_lines(table(spark, sf_dir, "events"))
     incoming = scratch_path(spark, "rolled_logs")
-    lines.select("value", F.to_date("ts_event").alias("day")).write.partitionBy("day").text(incoming)
     out, checkpoint = scratch_path(spark, "ingested_logs"), scratch_path(spark, "ingested_logs_ckpt")
-    ingest_daily(spark, incoming, out, checkpoint).awaitTermination()
+    by_day = lines.withColumn("day", F.to_date("ts_event")).repartition("day").sortWithinPartitions("day", "seq")
+    middle = F.lit(AS_OF).cast("timestamp_ntz").cast("date")
+    for part in (F.col("day") < middle, F.col("day") >= middle):
+        by_day.filter(part).select("value", "day").write.mode("append").partitionBy("day").text(incoming)
+        ingest_daily(spark, incoming, out, checkpoint).awaitTermination()
+        compact_in_place(spark, out, ["day"])
     back = spark.read.parquet(out)
     return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -357,35 +379,51 @@ def extract_settings_kv_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_settings(spark, path, "kv", keep=("c_mktsegment",)).drop("file")
 
 
+def extract_settings_conf_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key value`` files in a folder for each host, two levels deep."""
+    customer = table(spark, sf_dir, "customer")
+    path = scratch_path(spark, "settings_conf")
+    key = F.col("c_custkey").cast("string")
+    host = F.concat(F.lit("host-"), F.col("c_nationkey").cast("string"))
+    lines = F.array(F.concat(F.lit("customer."), key, F.lit(".name  "), F.col("c_name")), F.concat(F.lit("customer."), key, F.lit(".api_key "), key))
+    text = customer.select(host.alias("host"), F.explode(lines).alias("value"), F.lit("conf").alias("part"))
+    text.write.partitionBy("host", "part").text(path)
+    return extract_settings(spark, path, "conf", group="folder", keep=("host",)).drop("file")
+
+
 def settings_drift_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intended settings (XML) against rendered ones (KEY=VALUE), both read back from files."""
+    """Intended settings (XML) against rendered ones (KEY=VALUE), in a folder for each priority, read back from
+    files: differences in plain values and in passwords, which aren't shown."""
     orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     intended, rendered = scratch_path(spark, "intended_xml"), scratch_path(spark, "rendered_kv")
-    (
-        orders.select(
-            "o_orderpriority",
-            F.concat(F.lit("order."), key, F.lit(".status")).alias("name"),
-            F.col("o_orderstatus").alias("value"),
+    named = lambda status, password: F.inline(
+        F.array(
+            F.struct(F.concat(F.lit("order."), key, F.lit(".status")).alias("name"), status.alias("value")),
+            F.struct(F.concat(F.lit("order."), key, F.lit(".password")).alias("name"), password.alias("value")),
         )
+    )
+    secret = F.concat(F.lit("pw-"), F.col("o_custkey").cast("string"))
+    (
+        orders.select("o_orderpriority", named(F.col("o_orderstatus"), secret))
         .write.format("xml")
         .option("rootTag", "configuration")
         .option("rowTag", "property")
         .partitionBy("o_orderpriority")
         .save(intended)
     )
-    # Rendering drift: orders before the reconcile window are missing, and one priority
-    # renders its status in lower case.
+    # Rendering drift: orders before the reconcile window are missing, one priority renders its status in lower
+    # case, and another has a new password.
     drifted = F.when(F.col("o_orderpriority") == "2-HIGH", F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))
+    changed = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(secret, F.lit("x"))).otherwise(secret)
     (
         orders.filter(F.col("o_orderdate") >= ntz(RECONCILE_ACTUAL_FROM))
-        .select("o_orderpriority", F.concat(F.lit("order."), key, F.lit(".status="), drifted).alias("value"))
+        .select("o_orderpriority", named(drifted, changed))
+        .select("o_orderpriority", F.concat_ws("=", "name", "value").alias("value"))
         .write.partitionBy("o_orderpriority")
         .text(rendered)
     )
-    expected = extract_settings(spark, intended, "xml", keep=("o_orderpriority",)).drop("file")
-    actual = extract_settings(spark, rendered, "kv", keep=("o_orderpriority",)).drop("file")
-    return reconcile(expected, actual, ["o_orderpriority", "name"])
+    return compare_settings(spark, intended, "xml", rendered, "kv", keep=("o_orderpriority",))
 
 
 def reconcile_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,6 +468,7 @@ CASES: dict[str, Case] = {
     "parse_logs": parse_logs_case,
     "parse_log_files": parse_log_files_case,
     "filter_severity": filter_severity_case,
+    "filter_severity_unranked": filter_severity_unranked_case,
     "error_tail": error_tail_case,
     "error_verdict": error_verdict_case,
     "write_daily": write_daily_case,
@@ -438,6 +477,7 @@ CASES: dict[str, Case] = {
     "ingest_daily": ingest_daily_case,
     "extract_settings_xml": extract_settings_xml_case,
     "extract_settings_kv": extract_settings_kv_case,
+    "extract_settings_conf": extract_settings_conf_case,
     "reconcile": reconcile_case,
     "settings_drift": settings_drift_case,
     "reconcile_summary": reconcile_summary_case,

@@ -38,7 +38,8 @@ def event_level() -> F.Column:
 
 
 def event_log_lines(events: DataFrame) -> DataFrame:
-    """``(value, source, ts_event)``: one line per event, plus a stack-trace line per error.
+    """``(value, source, ts_event, block, seq)``: one line per event, plus a stack-trace line per error, in
+    the order of ``event_id`` (one block for each source).
 
     Layout by ``event_id``: 0 bracket, 1 Log4j with thread, 2 Log4j with line number.
     """
@@ -62,6 +63,8 @@ def event_log_lines(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "error", trace).alias("trace"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source"),
         F.col("ts").alias("ts_event"),
+        "event_id",
     )
     lines = F.when(F.col("trace").isNotNull(), F.array("line", "trace")).otherwise(F.array("line"))
-    return formatted.select(F.explode(lines).alias("value"), "source", "ts_event")
+    each = formatted.select(F.posexplode(lines).alias("nth", "value"), "source", "ts_event", "event_id")
+    return each.select("value", "source", "ts_event", F.lit(0).cast("long").alias("block"), (2 * F.col("event_id") + F.col("nth")).alias("seq"))

@@ -20,6 +20,7 @@ from stevedore.plans.fixtures import (
 ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 EVENTS = "event_id, ts, user_id, event_type, value, props"
 LOG_COLS = "source, ts, level, thread, logger, line_no, message, raw"
+# Fixed value: the words that mark an error line.
 ERROR_RE = "error|exception|failed"
 
 _level = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_LEVEL.items()) + " ELSE 'UNKNOWN' END"
@@ -49,12 +50,18 @@ def parsed_logs_cte(source_sql: str = "'user-' || CAST(user_id AS VARCHAR)") ->
                        || '] {LOGGER} - ' || message
            ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || rpad(level, 5, ' ') || ' {LOGGER}:'
                 || CAST(line0 AS VARCHAR) || ' - ' || message
-         END AS raw
+         END AS raw,
+         2 * event_id AS seq,
+         CASE layout WHEN 0 THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END AS record_ts,
+         level AS record_level
   FROM ev
   UNION ALL
   SELECT source, CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
          CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR),
-         'java.lang.IllegalStateException: event ' || CAST(event_id AS VARCHAR) || ' failed'
+         'java.lang.IllegalStateException: event ' || CAST(event_id AS VARCHAR) || ' failed',
+         2 * event_id + 1,
+         CASE layout WHEN 0 THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END,
+         level
   FROM ev WHERE event_type = 'error')"""
 
 
@@ -116,13 +123,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM r JOIN n ON r.user_id = n.user_id WHERE r.rn = 1""",
     "parse_logs": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed",
     "parse_log_files": f"""
-        WITH {parsed_logs_cte("CAST(CAST(ts AS DATE) AS VARCHAR)")} SELECT {LOG_COLS} FROM parsed""",
+        WITH {parsed_logs_cte("CAST(CAST(ts AS DATE) AS VARCHAR)")} SELECT {LOG_COLS}, record_ts, record_level FROM parsed""",
     "filter_severity": f"WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed WHERE level IN ('WARN', 'ERROR')",
+    "filter_severity_unranked": f"""
+        WITH {PARSED_LOGS} SELECT {LOG_COLS} FROM parsed
+        WHERE level IS NULL OR level NOT IN ('TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL')""",
     "error_tail": f"""
         WITH {PARSED_LOGS}
         SELECT * FROM (
           SELECT {LOG_COLS},
-                 CAST(row_number() OVER (PARTITION BY source ORDER BY ts DESC NULLS LAST, raw DESC) AS INTEGER)
+                 CAST(row_number() OVER (PARTITION BY source ORDER BY seq DESC) AS INTEGER)
                    AS recency
           FROM parsed WHERE regexp_matches(raw, '{ERROR_RE}', 'i'))
         WHERE recency <= 10""",
@@ -134,11 +144,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM parsed GROUP BY source""",
     "write_daily": f"""
         WITH {PARSED_LOGS}
-        SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n FROM parsed GROUP BY CAST(ts AS DATE)""",
+        SELECT CAST(CAST(record_ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n FROM parsed
+        GROUP BY CAST(record_ts AS DATE)""",
     "keep_newest_days": f"""
         WITH {PARSED_LOGS}
         SELECT {LOG_COLS} FROM parsed
-        WHERE CAST(ts AS DATE) IN (
+        WHERE CAST(record_ts AS DATE) IN (
           SELECT DISTINCT CAST(ts AS DATE) FROM parsed WHERE ts IS NOT NULL ORDER BY 1 DESC LIMIT 7)""",
     "follow_logs": f"""
         WITH {PARSED_LOGS}
@@ -186,12 +197,23 @@ ORACLE_SQL["replace_table"] = """
            'o_orderstatus' AS layout
     FROM orders"""
 
+ORACLE_SQL["extract_settings_conf"] = """
+    WITH c AS (SELECT c_name, CAST(c_custkey AS VARCHAR) AS k, 'host-' || CAST(c_nationkey AS VARCHAR) AS host FROM customer)
+    SELECT 'customer.' || k || '.name' AS name, trim(c_name) AS value, host, 'host=' || host AS folder FROM c
+    UNION ALL
+    SELECT 'customer.' || k || '.api_key', '[HIDDEN]', host, 'host=' || host FROM c"""
+
 ORACLE_SQL["settings_drift"] = f"""
-    SELECT o_orderpriority, 'order.' || CAST(o_orderkey AS VARCHAR) || '.status' AS name,
-           CASE WHEN o_orderdate < TIMESTAMP '{RECONCILE_ACTUAL_FROM}' THEN 'missing' ELSE 'changed' END AS status,
-           CASE WHEN o_orderdate >= TIMESTAMP '{RECONCILE_ACTUAL_FROM}' THEN 'value' END AS changed_columns
-    FROM orders
-    WHERE o_orderdate < TIMESTAMP '{RECONCILE_ACTUAL_FROM}' OR o_orderpriority = '2-HIGH'"""
+    WITH o AS (
+      SELECT *, 'order.' || CAST(o_orderkey AS VARCHAR) AS k, o_orderdate < TIMESTAMP '{RECONCILE_ACTUAL_FROM}' AS gone
+      FROM orders)
+    SELECT o_orderpriority, k || '.status' AS name, CASE WHEN gone THEN 'missing' ELSE 'changed' END AS status,
+           o_orderstatus AS expected, CASE WHEN NOT gone THEN lower(o_orderstatus) END AS actual
+    FROM o WHERE gone OR o_orderpriority = '2-HIGH'
+    UNION ALL
+    SELECT o_orderpriority, k || '.password', CASE WHEN gone THEN 'missing' ELSE 'changed' END,
+           '[HIDDEN]', CASE WHEN NOT gone THEN '[HIDDEN]' END
+    FROM o WHERE gone OR o_orderpriority = '5-LOW'"""
 
 ORACLE_SQL["reconcile_summary"] = f"""
     SELECT status, count(*) AS n FROM ({ORACLE_SQL["reconcile"]}) GROUP BY status"""

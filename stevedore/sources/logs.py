@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stevedore.functions.layouts import LOG_FIELDS, log_fields, split_log_line
 
 PARSED_COLUMNS = ["source", *LOG_FIELDS, "raw"]
+#: Where a line stands in its file: the start of its split, and its number (ascending in the split).
+PLACE_COLUMNS = ["block", "seq"]
+
+
+def placed(scan: DataFrame) -> DataFrame:
+    """``(value, source, block, seq)`` of a text scan.  Both place columns are taken on the scan itself, so
+    ``(block, seq)`` is the order of lines in a file, however many tasks read it."""
+    return scan.select(
+        "value",
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+    )
 
 
 def read_log_lines(spark: SparkSession, path: str, *, recursive: bool = True) -> DataFrame:
-    """Lines ``(value, source)`` of every text file under ``path``; ``source`` is the file.
+    """Lines ``(value, source, block, seq)`` of every text file under ``path``; ``source`` is the file,
+    ``(block, seq)`` the line's place in it.
 
     Plain text is split by ``spark.sql.files.maxPartitionBytes``, so one large file is
     read by many tasks (compressed files are read whole, one task each).
     """
-    return (
-        spark.read.option("recursiveFileLookup", str(recursive).lower())
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("source"))
-    )
+    return placed(spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path))
 
 
 def parse_logs(lines: DataFrame, *, value: str = "value", source: str = "source") -> DataFrame:
-    """``(source, ts, level, thread, logger, line_no, message, raw)`` for each line.
+    """``(source, ts, level, thread, logger, line_no, message, raw)`` for each line, and its place if known.
 
     A pure projection: no shuffle, runs inside whole-stage codegen.  Lines that match
     no layout are kept, with NULL parsed fields and the text in ``raw``.
     """
+    place = [c for c in PLACE_COLUMNS if c in lines.columns]
     split = lines.select(
-        F.col(source).alias("source"), F.col(value).alias("raw"), split_log_line(F.col(value)).alias("_parts")
+        F.col(source).alias("source"), F.col(value).alias("raw"), split_log_line(F.col(value)).alias("_parts"), *place
     )
     # The fields come out of a one-row generator: Catalyst does not push a filter on a
     # generated column below the generator, so a later filter on, say, ``level`` is
@@ -38,4 +49,26 @@ def parse_logs(lines: DataFrame, *, value: str = "value", source: str = "source"
     # The cost is one regex pass per line, always: a generator is not pruned even when
     # no parsed field is used (jobs needing only ``raw`` can take the lines unparsed).
     fields = F.inline(F.array(F.struct(*log_fields(F.col("_parts"), F.col("raw")))))
-    return split.select("source", fields, "raw")
+    return split.select("source", fields, "raw", *place)
+
+
+def attach_records(logs: DataFrame) -> DataFrame:
+    """Add ``record_ts`` and ``record_level``: a continuation line (stack trace) has those of the record above it.
+
+    Lines above a file's first record have none; neither have files without a record.  The carry runs
+    within each split, whose last record is then handed on, one row for each split, to the splits
+    after it: no window spans a file.
+    """
+    if missing := [c for c in PLACE_COLUMNS if c not in logs.columns]:
+        raise ValueError(f"attach_records needs the place columns of read_log_lines, {missing} are missing")
+    record = F.when(F.col("ts").isNotNull(), F.struct("ts", "level"))
+    upto = Window.partitionBy("source", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = logs.withColumn("_own", F.last(record, ignorenulls=True).over(upto))
+    ends = logs.groupBy("source", "block").agg(F.max_by(record, F.when(F.col("ts").isNotNull(), F.col("seq"))).alias("_end"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(
+        F.col("source").alias("_source"), F.col("block").alias("_block"), F.last("_end", ignorenulls=True).over(before).alias("_handed")
+    ).filter(F.col("_handed").isNotNull())
+    joined = within.join(handed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
+    owner = F.coalesce("_own", "_handed")
+    return joined.select(*logs.columns, owner["ts"].alias("record_ts"), owner["level"].alias("record_level"))

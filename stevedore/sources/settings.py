@@ -2,25 +2,82 @@
 
 Three kinds:
 
-* ``xml``:  ``<configuration><property><name/><value/><description/></property>...``
-  read by Spark's XML source with ``rowTag=property``; descriptions may span lines.
+* ``xml``:  ``<configuration><property><name/><value/><description/></property>...``; descriptions may
+  span lines.  A file is read whole, by one task (settings files are small);
 * ``kv``:   ``KEY=VALUE`` lines, split at the first ``=``; ``#`` comments and blank
   lines skipped; an optional ``export`` prefix and one pair of quotes are removed.
 * ``conf``: ``key value`` lines (spark-defaults style), split at the first run of
   white space; ``#`` comments and blank lines skipped.
 
-A non-comment line with no separator is kept, with a NULL value, never dropped.
+A non-comment line with no separator is kept, with a NULL value, never dropped.  A damaged XML property
+costs no other one; ``malformed_settings`` names the files that hold any.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stevedore.functions.secrets import SECRET_NAME_PATTERN, mask_secret
 
 KINDS = ("xml", "kv", "conf")
 
+_COMMENT = r"(?s)<!--.*?-->"
+_PROPERTY = r"<property\s*>"
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", _COMMENT, "").alias("value"))
+
+
+def _element(block: Column, tag: str) -> Column:
+    """The text of the block's element, entities and CDATA resolved; NULL if there is no whole one."""
+    pattern = rf"(?s)<{tag}\s*>(.*?)</{tag}\s*>"
+    text = F.when(block.rlike(rf"(?s)<{tag}\s*/>"), F.lit("")).when(block.rlike(pattern), F.regexp_extract(block, pattern, 1))
+    text = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#10", "\n"), ("#13", "\r"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.trim(text)
+
+
+def _xml_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, blocks): what follows each opening tag of a property, up to the next one."""
+    parts = F.split("value", _PROPERTY, -1)
+    return _whole_files(spark, path).select("file", F.slice(parts, 2, F.size(parts)).alias("blocks"))
+
+
+def _inside(block: Column) -> Column:
+    """The property's own part; NULL if it isn't closed."""
+    return F.when(block.rlike(r"</property\s*>"), F.try_element_at(F.split(block, r"</property\s*>", 2), F.lit(1)))
+
+
+def malformed_settings(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, n_properties, n_read)`` of the XML files under ``path`` with properties that can't be read."""
+    good = F.filter("blocks", lambda b: F.coalesce(_element(_inside(b), "name") != "", F.lit(False)))
+    counted = _xml_blocks(spark, path).select("file", F.size("blocks").alias("n_properties"), F.size(good).alias("n_read"))
+    return counted.filter("n_properties <> n_read")
+
+
+def _folder_column(file: Column, name: str) -> Column:
+    """The value of a ``name=value`` folder of the file, as Spark's partition discovery gives it."""
+    raw = F.regexp_extract(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), rf"/{re.escape(name)}=([^/]*)/", 1)
+    value = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    return F.nullif(F.nullif(value, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+
+
+def _below(spark: SparkSession, path: str, file: Column) -> Column:
+    """The name of the first folder below ``path`` that the file is in; NULL for files right in ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    root = re.sub(r"^([a-z0-9]+):/+", r"\1:/", system.makeQualified(hadoop).toString()).rstrip("/")
+    plain = F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), r"^([a-z0-9]+):/+", "$1:/")
+    rest = F.substring(plain, len(root) + 2, 1 << 30)
+    return F.when(rest.contains("/"), F.substring_index(rest, "/", 1))
+
 
 def extract_settings(
     spark: SparkSession,
@@ -29,32 +86,26 @@ def extract_settings(
     *,
     secret_pattern: str = SECRET_NAME_PATTERN,
     keep: tuple[str, ...] = (),
+    group: str | None = None,
+    digest: str | None = None,
 ) -> DataFrame:
-    """Settings of every file under ``path``.
+    """Settings of every file under ``path``, in folders at any depth.
 
-    ``keep`` names extra columns to carry through, such as partition columns discovered
-    from ``key=value`` directories under ``path``.
+    ``keep`` names extra columns to carry through, taken from ``key=value`` folders under ``path``;
+    ``group`` names a column for the first folder below ``path`` (``conf/<host>/...``: the host).
+    ``digest``, a salt, adds ``digest``: a salted hash of the value before masking, so that secrets can be
+    compared (``compare_settings``) and not read.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, got {kind!r}")
     if kind == "xml":
-        # A fixed string schema: no inference pass over the files, and values such as
-        # "0010" or "true" stay exactly as written.
-        rows = (
-            spark.read.format("xml")
-            .option("rowTag", "property")
-            .option("mode", "PERMISSIVE")
-            .schema("name STRING, value STRING")
-            .load(path)
-        )
-        rows = rows.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.trim(F.col("name")).alias("name"),
-            F.trim(F.col("value")).alias("value"),
-            *keep,
-        )
+        block = _inside(F.col("block"))
+        rows = _xml_blocks(spark, path).select("file", F.explode("blocks").alias("block"))
+        rows = rows.select("file", _element(block, "name").alias("name"), _element(block, "value").alias("value"))
+        rows = rows.filter(F.col("name") != "")  # a property without a name is reported, not returned
     else:
-        text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"), *keep)
+        text = spark.read.option("recursiveFileLookup", "true").text(path)
+        text = text.select(F.col("_metadata.file_path").alias("file"), F.col("value"))
         line = F.trim(F.col("value"))
         text = text.filter((line != "") & ~line.startswith("#"))
         if kind == "kv":
@@ -62,10 +113,41 @@ def extract_settings(
             pieces = F.split(body, "=", 2)
             raw_value = F.trim(F.try_element_at(pieces, F.lit(2)))
             unquoted = F.regexp_replace(raw_value, r"""^(["'])(.*)\1$""", "$2")
-            rows = text.select("file", F.trim(F.try_element_at(pieces, F.lit(1))).alias("name"), unquoted.alias("value"), *keep)
+            rows = text.select("file", F.trim(F.try_element_at(pieces, F.lit(1))).alias("name"), unquoted.alias("value"))
         else:
             pieces = F.split(line, r"\s+", 2)
             rows = text.select(
-                "file", F.try_element_at(pieces, F.lit(1)).alias("name"), F.trim(F.try_element_at(pieces, F.lit(2))).alias("value"), *keep
+                "file", F.try_element_at(pieces, F.lit(1)).alias("name"), F.trim(F.try_element_at(pieces, F.lit(2))).alias("value")
             )
-    return rows.withColumn("value", mask_secret(F.col("name"), F.col("value"), secret_pattern))
+    if digest is not None:
+        rows = rows.withColumn("digest", F.sha2(F.concat(F.lit(digest), F.lit("\0"), F.col("value")), 256))
+    rows = rows.withColumn("value", mask_secret(F.col("name"), F.col("value"), secret_pattern))
+    extra = [_folder_column(F.col("file"), c).alias(c) for c in keep]
+    if group:
+        extra.append(_below(spark, path, F.col("file")).alias(group))
+    return rows.select("*", *extra)
+
+
+def compare_settings(
+    spark: SparkSession,
+    expected: str,
+    expected_kind: str,
+    actual: str,
+    actual_kind: str,
+    *,
+    keep: tuple[str, ...] = (),
+    group: str | None = None,
+) -> DataFrame:
+    """Differences between two folders of settings files, by ``(*keep, group, name)``: ``status``, and both
+    values as they may be shown.  Values are compared by salted digests made before masking, so a
+    changed secret is a difference and its value isn't seen.  The salt is new for each call and kept nowhere.
+    A setting given twice for one key on either side raises.
+    """
+    from stevedore.operators.reconcile import reconcile
+
+    salt = secrets.token_hex(16)
+    side = lambda path, kind: extract_settings(spark, path, kind, keep=keep, group=group, digest=salt)
+    keys = [*keep, *([group] if group else []), "name"]
+    e, a = side(expected, expected_kind), side(actual, actual_kind)
+    found = reconcile(e, a, keys, columns=["digest"], show={"value": ("expected", "actual")})
+    return found.drop("changed_columns")

@@ -7,12 +7,26 @@ moved (daily or size-rolled logs), not a file being written (``tail -f``).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stevedore.operators._paths import delete, exists, move_files
+from stevedore.operators.logs import with_day
 from stevedore.sources.logs import parse_logs
 
+# Rolled files keep their old modification times: no age makes a new file too old to read.
+_NO_AGE_LIMIT = "36500d"
+
+
+def _reader(spark: SparkSession, path: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFileAge", _NO_AGE_LIMIT)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.load(path)
+
 
 def follow_logs(
     spark: SparkSession,
@@ -33,10 +47,7 @@ def follow_logs(
     final, and is emitted in append mode, once event time passes its end plus
     ``watermark``.
     """
-    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(path).select("value", F.col("_metadata.file_path").alias("source"))
+    lines = _reader(spark, path, max_files_per_trigger).select("value", F.col("_metadata.file_path").alias("source"))
     # Watermarks need TIMESTAMP: the wall-clock time is read in the session time zone
     # (UTC by default) and the window bounds are turned back into wall-clock times.
     timed = parse_logs(lines).filter(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -69,8 +80,8 @@ def run_to_path(
     With ``available_now`` the query processes what is there and stops; the caller
     waits on the returned query.
     """
-    if output_mode not in ("append", "complete", "update"):
-        raise ValueError(f"unknown output mode {output_mode!r}")
+    if output_mode not in ("append", "complete"):
+        raise ValueError(f"output mode must be append or complete, got {output_mode!r}: in update mode, earlier counts would stay")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if output_mode == "complete":
@@ -94,21 +105,30 @@ def ingest_daily(
 ) -> StreamingQuery:
     """Follow ``path`` and append every parsed line to Parquet at ``out`` by ``day``.
 
-    The streaming counterpart of ``write_daily``: the file sink records committed
-    files in ``out/_spark_metadata``, so each line lands exactly once even when a
-    micro-batch is retried.  Lines without a time go to the NULL day.
+    The streaming counterpart of ``write_daily``: a micro-batch holds whole files, so stack traces get
+    the day of their record as in batch.  Each micro-batch is written to a folder under ``checkpoint``, rebalanced by
+    day (about one file for each day), and its files are then moved into ``out`` under names that
+    carry the batch: a batch that is replayed first removes what its earlier attempt moved, and one whose
+    mark is set is skipped, so each line lands exactly once.  ``out`` is a plain table without a sink's
+    log: ``compact_in_place`` may rewrite it between batches (not between a crash and the restart).
+    Paths and moves are driver-side metadata calls, one for each file of a batch.
     """
-    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(path).select("value", F.col("_metadata.file_path").alias("source"))
-    logs = parse_logs(lines).withColumn("day", F.to_date("ts"))
-    writer = (
-        logs.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("day")
-        .outputMode("append")
+    lines = _reader(spark, path, max_files_per_trigger).select(
+        "value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block")
     )
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        mark, staged = f"{checkpoint}/applied/{batch_id}", f"{checkpoint}/batches/{batch_id}"
+        if exists(spark, mark):
+            return
+        ordered = batch.withColumn("seq", F.monotonically_increasing_id())  # straight on the scan of the batch
+        logs = with_day(parse_logs(ordered)).drop("block", "seq")
+        logs.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(staged)
+        move_files(spark, staged, out, f"batch-{name}-{batch_id:09d}-")
+        batch.sparkSession.range(1).write.mode("overwrite").parquet(mark)
+        delete(spark, staged)
+
+    writer = lines.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

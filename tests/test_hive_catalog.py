@@ -1,4 +1,4 @@
-"""The readme's round trip with the Hive catalog (embedded Derby metastore, no server).
+"""The documented round trip (table names, columns and rows are fixed values) with the Hive catalog (embedded Derby metastore, no server).
 
 A Hive-enabled session needs its own JVM, so it runs in a subprocess.
 """

@@ -66,7 +66,15 @@ def test_filter_severity_splits_unranked(logs):
     kept_info, _ = filter_severity(logs)
     assert kept_info.count() == 5
     with pytest.raises(ValueError):
-        filter_severity(logs, "FATAL")
+        filter_severity(logs, "LOUD")
+
+
+def test_fatal_is_above_error(spark):
+    levels = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "ODD", None]
+    logs = spark.createDataFrame([(x,) for x in levels], "level STRING")
+    for i, level in enumerate(levels[:6]):
+        kept, unranked = filter_severity(logs, level)
+        assert [r.level for r in kept.collect()] == levels[i:6] and [r.level for r in unranked.collect()] == ["ODD", None]
 
 
 def test_error_tail_newest_first_untimed_last(logs):
@@ -92,8 +100,8 @@ def test_write_daily_reruns_replace_days(spark, logs, scratch):
 
 def test_keep_newest_days(logs):
     got = keep_newest_days(logs, n=2)
-    assert sorted({str(r.day) for r in got.collect()}) == ["2024-03-02", "2024-03-03"]
-    assert keep_newest_days(logs, n=30).count() == 7
+    assert sorted({str(r.day) for r in got.collect()}) == ["2024-03-02", "2024-03-03", "None"]
+    assert keep_newest_days(logs, n=30).count() == len(LINES)
 
 
 def test_read_log_lines_names_the_file(spark, scratch):
@@ -107,3 +115,65 @@ def test_read_log_lines_names_the_file(spark, scratch):
     parsed = parse_logs(lines)
     rows = parsed.select(F.col("source").endswith("host1/hive.log").alias("ok"), "level").collect()
     assert all(r.ok for r in rows) and sorted(r.level for r in rows) == ["ERROR", "INFO"]
+
+
+def _logs(spark, scratch, files: dict[str, list[str]], split: int | None = None):
+    import os
+
+    root = scratch.removeprefix("file:") + "/logs"
+    for name, lines in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w") as f:
+            f.write("".join(line + "\n" for line in lines))
+    if split is None:
+        return parse_logs(read_log_lines(spark, root))
+    from stevedore.operators._paths import own_session
+
+    small = own_session(spark, {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0"})
+    return parse_logs(read_log_lines(small, root))
+
+
+def test_stack_traces_belong_to_their_record_across_splits(spark, scratch):
+    """Small splits: a record and its trace lie in different ones."""
+    from stevedore.sources import attach_records
+
+    lines, owner = ["a header line before any record"], [None]
+    for i in range(400):
+        lines.append(f"[2024-03-{1 + i // 20:02d} 10:00:{i % 60:02d}] [{'ERROR' if i % 3 else 'INFO'}] record {i} failed")
+        owner.append(i)
+        for j in range(i % 7):
+            lines.append(f"\tat org.example.Thing{i}.run(Thing.java:{j})")
+            owner.append(i)
+    logs = _logs(spark, scratch, {"h/a.log": lines, "h/b.log": ["no record at all"]}, split=700)
+    assert logs.select("block").distinct().count() > 10
+    got = attach_records(logs).orderBy("source", "block", "seq").collect()
+    assert [r.raw for r in got] == [*lines, "no record at all"]
+    for r, i in zip(got, [*owner, None], strict=True):
+        expected = None if i is None else dt.datetime(2024, 3, 1 + i // 20, 10, 0, i % 60)
+        assert r.record_ts == expected and r.record_level == (None if i is None else "ERROR" if i % 3 else "INFO")
+    tail = error_tail(logs, n=3).filter("source LIKE '%a.log'").orderBy("recency").collect()
+    assert [r.raw for r in tail] == [x for x in lines if "failed" in x][:-4:-1]
+
+
+def test_daily_writes_keep_every_trace(spark, scratch):
+    day = lambda d: [f"[2024-03-0{d} 10:00:00] [ERROR] x", f"\ttrace {d}"]
+    logs = _logs(spark, scratch, {"a.log": ["head", *day(1)], "b.log": day(2), "c.log": ["never dated"], "d.log": ["nor this"]})
+    one = logs.filter("source LIKE '%/a.log' OR source LIKE '%/c.log'")
+    two = logs.filter("source LIKE '%/b.log' OR source LIKE '%/d.log'")
+    path = f"{scratch}/daily"
+    for part in (one, two, one, two):  # re-runs change nothing
+        write_daily(part, path)
+    got = sorted((str(r.day), r.raw) for r in spark.read.parquet(path).collect())
+    assert got == sorted(
+        [("2024-03-01", "head"), ("None", "never dated"), ("None", "nor this")]
+        + [(f"2024-03-0{d}", line) for d in (1, 2) for line in day(d)]
+    )
+    kept = keep_newest_days(spark.read.parquet(path), n=1)
+    assert sorted(r.raw for r in kept.collect()) == sorted([*day(2), "never dated", "nor this"])
+
+
+def test_control_characters_survive_the_parse(spark):
+    messages = ["a\u0001b", "\u0003", "\u0003b\u0001\u0003a", "\u0002", "x\u0001"]
+    lines = spark.createDataFrame([("s", f"[2024-03-01 10:00:00] [INFO] {m}") for m in messages], "source STRING, value STRING")
+    got = parse_logs(lines).collect()
+    assert [(r.message, r.level) for r in got] == [(m, "INFO") for m in messages]

@@ -7,9 +7,8 @@ from conftest import SF001, SF01
 from oracle_util import compare, duck
 
 import __spark_entry__ as entry_module
-
-CASES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+from stevedore.plans import CASES
+from stevedore.plans.oracle import ORACLE_SQL as ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +16,10 @@ def con():
     return duck(SF01)
 
 
-def test_every_case_has_an_oracle():
+def test_every_case_has_an_oracle_and_is_registered():
     assert set(CASES) == set(ORACLES)
+    assert CASES.items() <= entry_module.queries().items()
+    assert ORACLES.items() <= entry_module.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(CASES))

@@ -102,3 +102,49 @@ def test_ingest_daily_matches_batch_and_is_exactly_once(spark, scratch):
     assert streamed.count() == len(DAY1) + len(DAY2)
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
+
+
+def test_update_mode_is_rejected(spark, scratch):
+    import pytest
+
+    _write(f"{scratch}/in", "a.log", DAY1)
+    with pytest.raises(ValueError, match="update"):
+        run_to_path(follow_logs(spark, f"{scratch}/in"), f"{scratch}/out", f"{scratch}/ckpt", output_mode="update")
+
+
+def test_old_files_that_arrive_late_are_read_and_output_can_be_compacted(spark, scratch):
+    import time
+
+    from stevedore.operators import compact_in_place, write_daily
+    from stevedore.streaming import ingest_daily
+
+    logs, out, ckpt = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt"
+    for i in range(3):
+        _write(logs, f"host-{i}/hive.log", DAY1)
+        if i == 2:  # a rolled file moved in keeps its time of ten days ago
+            old = time.time() - 10 * 86400
+            os.utime(os.path.join(logs.removeprefix("file:"), "host-2/hive.log"), (old, old))
+        ingest_daily(spark, logs, out, ckpt).awaitTermination()
+        compact_in_place(spark, out, ["day"])
+    write_daily(parse_logs(read_log_lines(spark, logs)), f"{scratch}/batch")
+    cols = ["source", "ts", "level", "message", "raw", "day"]
+    streamed, batch = (spark.read.parquet(p).select(cols) for p in (out, f"{scratch}/batch"))
+    assert streamed.count() == 3 * len(DAY1)
+    assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+
+
+def test_a_replayed_batch_lands_once(spark, scratch):
+    import shutil
+
+    from stevedore.streaming import ingest_daily
+
+    logs, out, ckpt = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt"
+    _write(logs, "hive.log", DAY1)
+    ingest_daily(spark, logs, out, ckpt).awaitTermination()
+    plain = ckpt.removeprefix("file:")
+    # As after a crash between the moves and the commit: the batch runs again.
+    for name in ("applied", "commits"):
+        os.rename(f"{plain}/{name}", f"{plain}/{name}-old")
+    shutil.copytree(f"{plain}/offsets", f"{plain}/offsets-old")
+    ingest_daily(spark, logs, out, ckpt).awaitTermination()
+    assert spark.read.parquet(out).count() == len(DAY1)
