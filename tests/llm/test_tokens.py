@@ -1,0 +1,157 @@
+"""BPE by trie against the library; packing against its own rules and plain best fit."""
+
+from __future__ import annotations
+
+import bisect
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from conftest import SF01
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_inputs import awkward  # noqa: F401  (a fixture)
+from tokenizers import Tokenizer
+
+from stevedore.llm import packing
+from stevedore.llm.bpe_trie import TrieBpe, encode_decode
+from stevedore.llm.cases import CASES, VOCABULARY
+
+LIBRARY = Tokenizer.from_file(VOCABULARY)
+OWN = TrieBpe(VOCABULARY)
+
+
+def own(text):
+    return np.frombuffer(OWN.encode_batch([text])[0], "<u4").tolist()
+
+
+def library(text):
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=("Cs",)) | st.sampled_from("aeionrst 'éßñ\x1c\x85 ")))
+def test_any_text_is_encoded_as_the_library_does(text):
+    assert own(text) == library(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["banana", "an", "a", "nn", "'s", "the", "ing", "x" * 40, "1", "!!", "<|endoftext|>", "</w>", " "])).map("".join))
+def test_overlapping_merges_and_special_tokens(text):
+    ids = own(text)
+    assert ids == library(text)
+    assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+def test_memo_limits_change_nothing():
+    small = TrieBpe(VOCABULARY, most_words=5)
+    texts = [f"word{i} other{i * 7}. thing" for i in range(50)]
+    assert [np.frombuffer(b, "<u4").tolist() for _ in range(2) for b in small.encode_batch(texts)] == 2 * [library(t) for t in texts]
+
+
+def test_long_texts_are_cut_at_white_space():
+    text = ("wordy, " * 400_000) + "x" * 3_000
+    assert own(text) == library(text)
+
+
+def test_query_against_the_library(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    got = CASES["op3_encode"](spark, SF01).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids = library(docs[r.doc_id])
+        decoded = LIBRARY.decode(ids, skip_special_tokens=False)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_awkward_rows(spark, awkward):
+    got = encode_decode(awkward, VOCABULARY)
+    assert got.columns == [*awkward.columns, "ids", "decoded"]
+    rows = got.collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in rows) == sorted((r.doc_id or -1, r.text or "") for r in awkward.collect())
+    assert all(list(r.ids) == library(r.text) for r in rows)
+    assert encode_decode(awkward.limit(0), VOCABULARY).count() == 0
+    with pytest.raises(ValueError, match="exist"):
+        encode_decode(awkward.withColumnRenamed("key", "IDS"), VOCABULARY)
+
+
+def check_packing(rows, capacity=2048):
+    """No overlap, no gap, no overflow; returns the number of sequences."""
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+def best_fit_decreasing(lengths, capacity=2048):
+    rooms, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, length)
+        if i == len(rooms):
+            n, left = n + 1, capacity - length
+        else:
+            left = rooms.pop(i) - length
+        bisect.insort(rooms, left)
+    return n
+
+
+def test_packing_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    rows = CASES["op7_pack"](spark, SF01).collect()
+    expected = {}
+    for i, t in docs.items():
+        ids = np.array([*library(t), 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            expected[i, k] = (at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == expected and len(rows) == len(expected)
+    n = check_packing(rows)
+    assert n <= 1.005 * best_fit_decreasing([r.length for r in rows]) + 1
+
+
+def test_packing_awkward_rows(spark, awkward):
+    rows = packing.best_fit_pack(awkward, VOCABULARY).collect()
+    check_packing(rows)
+    assert sum(r.length for r in rows) == sum(len(library(r.text)) + 1 for r in awkward.collect())
+    assert packing.best_fit_pack(awkward.limit(0), VOCABULARY).count() == 0
+
+
+def test_one_length_may_hold_most_rows(spark):
+    lengths = spark.range(20_000).selectExpr("IF(id % 3 = 0, 700, 1 + id % 2048) AS length", "id")
+    rows = packing.pack(lengths.repartition(5)).collect()
+    assert len(rows) == 20_000
+    assert check_packing(rows) <= 1.01 * best_fit_decreasing([r.length for r in rows])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=40))
+def test_plans_place_every_piece_once(histogram):
+    runs = packing.plan(histogram, 64)
+    given_ranks, fill = {}, {}
+    for length, first, n, each, sequence, offset in runs:
+        for j in range(n):
+            assert (length, first + j) not in given_ranks
+            given_ranks[length, first + j] = True
+            fill.setdefault(sequence + j // each, []).append((offset + j % each * length, length))
+    assert len(given_ranks) == sum(histogram.values())
+    for parts in fill.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    lengths = [n for n, c in histogram.items() for _ in range(c)]
+    assert len(fill) <= 1.1 * best_fit_decreasing(lengths, 64) + 1
+
+
+def test_a_length_out_of_range_raises():
+    with pytest.raises(ValueError):
+        packing.plan({2049: 1})
