@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Streaming state beside the heap: windows by source may hold many keys.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -47,14 +49,17 @@ def get_session(
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (a local test) is a private one created and
-    registered, so ``DataFrame.checkpoint()`` and our staging paths agree.
+    Only when a session on a local master has none (a test) is a private one created and
+    registered, so ``DataFrame.checkpoint()`` and our staging paths agree.  On a cluster a
+    machine's own folder would hold only what its tasks wrote: RuntimeError.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current.rstrip("/")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="stevedore-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
