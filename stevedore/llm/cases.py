@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stevedore.llm.common import table
+from stevedore.llm.oracle import ORACLE_SQL
+
+__all__ = ["CASES", "ORACLE_SQL", "VOCABULARY"]
 
 Case = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = os.environ.get("STEVEDORE_WORD_BPE") or public_tokenizers.path("word_bpe_49k.json")
@@ -91,4 +94,3 @@ CASES: dict[str, Case] = {
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {}

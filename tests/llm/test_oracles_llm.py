@@ -1,0 +1,24 @@
+"""The queries that SQL can express, against DuckDB."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from conftest import SF01
+from oracle_util import compare, duck
+
+import __spark_entry__ as registry
+from stevedore.llm.cases import CASES, ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    ok, msg = compare(CASES[name](spark, SF01), duck(SF01), ORACLE_SQL[name])
+    assert ok, f"{name}: {msg}"
+
+
+def test_registry_has_each_operator_once():
+    names = [n for n in registry.queries() if re.match(r"op\d+_", n)]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert "pipeline" in registry.queries() and set(ORACLE_SQL) <= set(registry.oracle_sql())
