@@ -47,7 +47,7 @@ SCRIPT = textwrap.dedent(
 )
 
 
-def test_readme_round_trip_with_hive_catalog():
+def test_documented_round_trip_with_hive_catalog():
     work = tempfile.mkdtemp(prefix="stevedore-hive-")
     script = SCRIPT.format(root=ROOT, work=work)
     proc = subprocess.run(
