@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,28 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+#: Bits of a key filter: 2 MB. More keys than bits let more through.
+FILTER_BITS = 1 << 24
+
+
+def filter_bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def key_filter(bits: DataFrame) -> np.ndarray:
+    """The set of the ``bit`` column (below FILTER_BITS) as a bitmap: at most FILTER_BITS / 64 rows come to the driver,
+    however many keys there are. It says which rows a later step certainly doesn't need."""
+    words = bits.select(F.shiftright("bit", 6).alias("word"), F.col("bit").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def in_filter(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bitmap[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``most`` bytes of ``column`` (one row at least):
     bounds a worker's memory however many long texts lie side by side."""

@@ -9,11 +9,12 @@ Blocks for the trees: two sets of the similarity asked for must share one of the
 hashes in any one order of all hashes. The order is by value, but hashes met most often come last, so
 that passages which many documents share don't make blocks. Three steps, each exact in what it links:
 
-1. Sets that are equal are one class. Classes with the same first hash are joined by R-trees.
+1. Sets that are equal are one class. Classes that share one of their first FIRSTS hashes are joined by R-trees.
 2. For each hash of the first fifths that still joins several components: the first class of each
    component is compared with that of the first component.
-3. Where a hash joins several components even then, all its pairs across components that pass the bounds of
-   size, place and counts are verified. No pair is left out, so the components are exact.
+3. Where a hash joins several components even then, all its pairs across components are compared: those of few
+   classes as rows, if they pass the bounds of size, place and counts; those of many by R-trees again, in cells
+   of two parts of the block. No pair is left out, so the components are exact.
 """
 
 from __future__ import annotations
@@ -28,17 +29,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stevedore.llm.common import fresh, slices, staged, text_key
-
-SHINGLE, GROUPS, LEAF = 5, 32, 16
-#: Classes of one tree at most; larger blocks are dealt out, and steps 2 and 3 link across.
-BLOCK = 512
+from stevedore.llm.common import FILTER_BITS, filter_bit, fresh, in_filter, key_filter, slices, staged, text_key
+
+SHINGLE, LEAF = 5, 16
+#: Groups of a set: the power of two that leaves two to four hashes in each, within these limits. Points of
+#: more groups fold into points of fewer.
+FEWEST, MOST = 32, 4096
+#: Hashes of a set that name its blocks in step 1.
+FIRSTS = 3
+#: Classes and bytes of sets of one tree at most; larger blocks are cut, and steps 2 and 3 link across.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Up to so many classes, the pairs of one hash are made as rows.
+PAIRED = 64
+#: The first hashes that most classes share are dealt over several tasks: so many at most are listed. What
+#: is left has a share of the classes below 1 / HOT each.
+HOT = 1 << 14
 #: So many of the hashes met most often come last in the order: 1 MB, whatever the size of the input.
 COMMON = 1 << 17
-#: Bits of the filter that says which classes a later step needs: 2 MB. More classes than bits let more through.
-FILTER_BITS = 1 << 24
 _BYTES = 5  # of a hash that are kept: the 40 highest bits
-_MANY_WORDS = 300_000
+_MANY_WORDS = 200_000
 
 
 class _WordHash(dict):
@@ -90,18 +99,29 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    """Counts of each set in the groups."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    where = np.repeat(np.arange(len(sets)), sizes) * GROUPS + (np.concatenate(sets) % GROUPS if len(sets) else [])
-    return np.bincount(where.astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+def groups_of(size: int) -> int:
+    return min(MOST, max(FEWEST, 1 << max(0, (size // 2).bit_length() - 1)))
+
+
+def point(values: np.ndarray) -> np.ndarray:
+    """Counts of a set in its groups."""
+    groups = groups_of(len(values))
+    return np.bincount(values & (groups - 1), minlength=groups)
 
 
-def tree_join(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the first set of its component, by an R-tree over the count vectors. Pairs that
-    are in one component already aren't verified again."""
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A point in fewer groups: hashes equal modulo the larger number are so modulo the smaller one."""
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def tree_join(sets: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first set of its component, by an R-tree over the count vectors. Sets of one label are
+    in one component from the start. Pairs that are in one component already aren't verified again."""
     n = len(sets)
     root = list(range(n))
+    if labels is not None:
+        _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+        root = first[which].tolist()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -110,15 +130,20 @@ def tree_join(sets: list[np.ndarray]) -> np.ndarray:
         return i
 
     sizes = np.array([len(s) for s in sets], np.int64)
-    at = points(sets)
-    order = np.lexsort((*at.T[:2], sizes))  # packed by size first: sizes bound overlaps best
+    groups = min(256, groups_of(int(np.median(sizes))))
+    at = np.array([np.bincount(s & (groups - 1), minlength=groups) for s in sets])
+    # Packed by size first, which bounds overlaps best; leaves of one label needn't meet.
+    order = np.lexsort((*at.T[:2], sizes, *([] if labels is None else [labels])))
     leaves = [order[i : i + LEAF] for i in range(0, n, LEAF)]
+    pure = [len({root[x] for x in leaf}) == 1 for leaf in leaves]
     corners = np.array([at[leaf].max(axis=0) for leaf in leaves])
     least = np.array([sizes[leaf].min() for leaf in leaves])
     for i, here in enumerate(leaves):
         bound = np.minimum(corners[i], corners[i:]).sum(axis=1)
         for j in np.flatnonzero(bound >= needed(least[i], least[i:])) + i:
             there = leaves[j]
+            if pure[i] and pure[j] and find(int(here[0])) == find(int(there[0])):
+                continue
             tight = np.minimum(at[here][:, None, :], at[there][None, :, :]).sum(axis=2)
             for x, y in np.argwhere(tight >= needed(sizes[here][:, None], sizes[there][None, :])):
                 a, b = int(here[x]), int(there[y])
@@ -127,157 +152,236 @@ def tree_join(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([find(i) for i in range(n)], np.int64)
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Staged: doc_id, key (of the text), n, cls, size, blob (null where this task gave the class already),
-    and on some rows ``common``: hashes found in several documents side by side."""
+def _class(full: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(full.tobytes()) - (1 << 63)
+
+
+def _short(full: np.ndarray) -> np.ndarray:
+    """The kept bits of sorted hashes, sorted and distinct."""
+    short = (full >> np.uint64(64 - 8 * _BYTES)).view(np.int64)
+    return np.unique(short) if len(short) > 1 and (short[1:] == short[:-1]).any() else short
+
+
+class _Order:
+    """The one order of all hashes: by value, those in ``common`` last."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = common
+
+    def first(self, values: np.ndarray, n: int) -> np.ndarray:
+        if not len(self.common):
+            return values[:n]
+        k = np.minimum(np.searchsorted(self.common, values), len(self.common) - 1)
+        late = self.common[k] == values
+        early = values[~late][:n]
+        return np.concatenate([early, values[late][: n - len(early)]]) if len(early) < n else early
+
+
+def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Staged, one row for each row of ``docs``: doc_id, key (of the text), n, cls, and on some rows
+    ``common``: hashes found in several documents side by side."""
     given = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     marks = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())]))
-    schema = T.StructType([given.schema["doc_id"], given.schema["key"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("size", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("common", marks)])
+    schema = T.StructType([given.schema["doc_id"], given.schema["key"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("common", marks)])
     arrow_marks = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, given_classes = _WordHash(), set()
+        hashes, met = _WordHash(), set()
         for batch in slices(batches, "text"):
-            n, classes, sizes, blobs, new = [], [], [], [], []
+            n, classes, new = [], [], []
             for t in batch.column("text").to_pylist():
                 full = shingles(t or "", hashes)
-                short = (full >> np.uint64(64 - 8 * _BYTES)).view(np.int64)
-                if len(short) > 1 and (short[1:] == short[:-1]).any():
-                    short = np.unique(short)
-                key = xxhash.xxh3_64_intdigest(full.tobytes()) - (1 << 63)
+                key = _class(full) if len(full) else None
                 n.append(len(full))
-                classes.append(key if len(full) else None)
-                sizes.append(len(short))
-                if len(full) and key not in given_classes:
-                    given_classes.add(key)
-                    blobs.append(_packed(short))
-                    new.append(short)
-                else:
-                    blobs.append(None)
+                classes.append(key)
+                if key is not None and key not in met:
+                    met.add(key)
+                    new.append(_short(full))
             common = [None] * len(n)
             if new:
                 value, count = np.unique(np.concatenate(new), return_counts=True)
-                often = count > 2
+                often = count > 1
                 if often.any():
                     common[0] = [{"hash": int(v), "n": int(c)} for v, c in zip(value[often], count[often], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(common, arrow_marks)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(common, arrow_marks)], names=schema.names)
 
-    return staged(given.mapInArrow(run, schema), "shingles")
+    return staged(given.mapInArrow(run, schema), "documents")
 
 
-def _prefixes(table: DataFrame, common: Broadcast) -> DataFrame:
-    """Staged: cls, size, prefix (in the common order), point."""
+def _prefixes(docs: DataFrame, text: str, common: Broadcast) -> DataFrame:
+    """Staged, for each class (once for each task that meets it): cls, size, prefix, point."""
     schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("point", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
-        for batch in slices(batches, "blob"):
-            sets = [_unpacked(b) for b in batch.column("blob").to_pylist()]
-            every = np.concatenate(sets)
-            k = np.minimum(np.searchsorted(last, every), max(0, len(last) - 1))
-            frequent = last[k] == every if len(last) else np.zeros(len(every), bool)
-            prefixes, at = [], 0
-            for s in sets:
-                late = frequent[at : at + len(s)]
-                at += len(s)
-                p = prefix_size(len(s))
-                first = s[~late][:p]
-                prefixes.append(np.concatenate([first, s[late][: p - len(first)]]))
-            flat = pa.array(np.concatenate(prefixes), pa.int64())
+        order, hashes, met = _Order(common.value), _WordHash(), set()
+        for batch in slices(batches, "text"):
+            classes, sizes, prefixes, points = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                full = shingles(t or "", hashes)
+                if len(full) and (key := _class(full)) not in met:
+                    met.add(key)
+                    short = _short(full)
+                    classes.append(key)
+                    sizes.append(len(short))
+                    prefixes.append(order.first(short, prefix_size(len(short))))
+                    points.append(np.minimum(point(short), 255).astype(np.uint8).tobytes())
+            flat = pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64())
             offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
-            vectors = np.minimum(points(sets), 65535).astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("size"), pa.ListArray.from_arrays(offsets, flat), pa.array([v.tobytes() for v in vectors], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(points, pa.binary())], names=schema.names)
 
-    return staged(table.filter(F.col("blob").isNotNull()).select("cls", "size", "blob").mapInArrow(run, schema), "prefixes")
+    return staged(docs.select(F.col(text).alias("text")).mapInArrow(run, schema), "prefixes")
 
 
-def _filter(classes: DataFrame) -> Broadcast:
-    """A bit for each class, by its hash: at most FILTER_BITS / 64 rows come to the driver."""
-    bit = F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS))
-    words = classes.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return classes.sparkSession.sparkContext.broadcast(bits)
+def _low_bits(values: np.ndarray) -> np.ndarray:
+    """Place of a shingle's hash in a filter: its bits are spread evenly already."""
+    return values & (FILTER_BITS - 1)
 
 
-def _only(table: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of ``table`` for these classes (and a few others), without a shuffle of the table."""
-    bits = _filter(classes)
-    names = table.columns
+def _sets(docs: DataFrame, text: str, table: DataFrame, classes: DataFrame, firsts: Broadcast | None = None) -> DataFrame:
+    """cls and blob of these classes (and a few others): their texts are read again, and no set is kept on
+    disk or shuffled before it is needed. ``firsts`` (the order, a filter of shared hashes, the tasks of the hot
+    ones) asks for a row for each block of the class instead: cls, first, share, blob."""
+    keys = table.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("key")).join(classes.select("cls").distinct(), "cls", "left_semi")
+    wanted_keys = docs.sparkSession.sparkContext.broadcast(key_filter(keys.select(filter_bit(F.col("key")).alias("bit"))))
+    names = ["cls", *(["first", "share"] if firsts else []), "blob"]
+    schema = T.StructType([T.StructField(n, T.BinaryType() if n == "blob" else T.LongType()) for n in names])
+    kinds = [pa.binary() if n == "blob" else pa.int64() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, met = _WordHash(), set()
+        common, shared, hot = firsts.value if firsts else (None, None, None)
+        order = _Order(common) if firsts else None
         for batch in batches:
-            at = batch.column("_bit").to_numpy()
-            keep = (bits.value[at >> 6] >> (at & 63)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select(names)
-
-    return table.withColumn("_bit", F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS))).mapInArrow(run, table.schema)
-
-
-def _block_links(table: DataFrame, prefixes: DataFrame) -> DataFrame:
+            wanted = batch.filter(pa.array(in_filter(wanted_keys.value, batch.column("bit").to_numpy())))
+            for part in slices(iter([wanted]), "text"):
+                rows = []
+                for t in part.column("text").to_pylist():
+                    full = shingles(t or "", hashes)
+                    if not len(full) or (key := _class(full)) in met:
+                        continue
+                    met.add(key)
+                    short = _short(full)
+                    if firsts is None:
+                        rows.append((key, _packed(short)))
+                        continue
+                    some = order.first(short, min(FIRSTS, prefix_size(len(short))))
+                    for first in some[in_filter(shared, _low_bits(some))].tolist():
+                        rows.append((key, first, (key ^ first * 0x9E3779B1) % hot.get(first, 1), _packed(short)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    given = docs.select(F.col(text).alias("text"), filter_bit(text_key(F.col(text))).alias("bit"))
+    return given.mapInArrow(run, schema)
+
+
+def _block_links(docs: DataFrame, text: str, table: DataFrame, prefixes: DataFrame, common: np.ndarray) -> DataFrame:
     """Step 1, staged: (cls, comp) of the classes in blocks of several; comp is the first class linked."""
-    first = prefixes.select("cls", F.element_at("prefix", 1).alias("key")).distinct()
-    shared = first.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    share = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK).cast("long"))
-    wanted = staged(first.join(staged(shared, "shared-first"), "key").select("cls", "key", share.alias("share")), "block-classes")
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("comp", T.LongType())])
-    sets = _only(table.filter(F.col("blob").isNotNull()).select("cls", "blob"), wanted)
-    blocks = sets.join(wanted.hint("shuffle_hash"), "cls").repartition("key", "share").sortWithinPartitions("key", "share", "cls")
+    context = docs.sparkSession.sparkContext
+    first = prefixes.select("cls", F.explode(F.slice("prefix", 1, FIRSTS)).alias("first")).distinct()
+    shared = staged(first.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "shared-first")
+    bits = key_filter(shared.select(F.col("first").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")))
+    hot = shared.filter(F.col("n") > BLOCK).orderBy(F.desc("n"), "first").limit(HOT).toArrow()
+    parts = dict(zip(hot.column("first").to_pylist(), (-(-n // BLOCK) for n in hot.column("n").to_pylist()), strict=True))
+    sets = _sets(docs, text, table, first.join(shared, "first", "left_semi"), context.broadcast((common, bits, parts)))
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(block: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            unique = dict(block)  # a class may come from several tasks
-            classes = np.array(list(unique), np.int64)
-            first = tree_join([_unpacked(b) for b in unique.values()])
-            return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(classes[first])], names=["cls", "comp"])
-
-        block, name = [], None
+        def joined(block: dict[int, bytes]) -> pa.RecordBatch:
+            classes = np.array(list(block), np.int64)
+            first = tree_join([_unpacked(b) for b in block.values()])
+            linked = first != np.arange(len(first))
+            return pa.RecordBatch.from_arrays([pa.array(classes[linked]), pa.array(classes[first][linked])], names=["u", "v"])
+
+        block: dict[int, bytes] = {}  # a class may come from several tasks
+        name, size = None, 0
         for batch in batches:
-            for key, part, cls, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "share", "cls", "blob")), strict=True):
-                if (key, part) != name:
+            for first, share, cls, blob in zip(*(batch.column(c).to_pylist() for c in ("first", "share", "cls", "blob")), strict=True):
+                if (first, share) != name or cls not in block and (len(block) == BLOCK or size > BLOCK_BYTES):
                     if len(block) > 1:
                         yield joined(block)
-                    block, name = [], (key, part)
-                block.append((cls, blob))
+                    block, name, size = {}, (first, share), 0
+                block[cls] = blob
+                size += len(blob)
         if len(block) > 1:
             yield joined(block)
 
-    return staged(blocks.mapInArrow(run, schema), "block-links")
+    blocks = sets.repartition("first", "share").sortWithinPartitions("first", "share", "cls")
+    roots = connected(blocks.mapInArrow(run, schema))
+    if roots is None:
+        return docs.sparkSession.createDataFrame([], "cls LONG, comp LONG")
+    return roots.select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+
 
+def _cell_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v) components that link, from (key, cls, comp, n, bytes) rows of large blocks: each block in parts of half a
+    tree, each pair of parts in one cell."""
+    parts = F.ceil(F.greatest(2 * F.col("n") / BLOCK, 2 * F.col("bytes") / BLOCK_BYTES)).cast("long")
+    dealt = rows.select("key", "cls", "comp", parts.alias("m"), F.pmod(F.xxhash64("cls", "key"), parts).alias("i"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
+    cells = dealt.select("key", "cls", "comp", "m", "i", other.alias("j")).select(
+        "key", "cls", "comp", (F.least("i", "j") * F.col("m") + F.greatest("i", "j")).alias("cell")
+    )
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
-def _verified(pairs: DataFrame, table: DataFrame, prefixes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(block: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
+            labels = np.array([c for c, _ in block.values()], np.int64)
+            first = tree_join([_unpacked(b) for _, b in block.values()], labels) if len(set(labels.tolist())) > 1 else np.arange(len(labels))
+            linked = np.unique(np.column_stack([labels, labels[first]]), axis=0)
+            linked = linked[linked[:, 0] != linked[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(linked[:, 0]), pa.array(linked[:, 1])], names=["u", "v"])
+
+        block: dict[int, tuple[int, bytes]] = {}
+        name = None
+        for batch in batches:
+            for key, cell, cls, comp, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "cls", "comp", "blob")), strict=True):
+                if (key, cell) != name:
+                    if block:
+                        yield joined(block)
+                    block, name = {}, (key, cell)
+                block[cls] = (comp, blob)
+        if block:
+            yield joined(block)
+
+    own = staged(sets(rows.select("cls").distinct()).dropDuplicates(["cls"]), "cell-sets")
+    dealt = cells.join(own, "cls").repartition("key", "cell").sortWithinPartitions("key", "cell", "cls")
+    return staged(dealt.mapInArrow(run, schema).distinct(), "cell-links")
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Those of the (a, a_comp, b, b_comp) pairs that link: by count vectors first, then by the sets."""
 
-    def both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
-        small = _only(side, pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))))
-        one = staged(small.dropDuplicates(["cls"]), "pair-values")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+
+    def kept(pairs: DataFrame, values: DataFrame, test: Callable[[dict], bool], name: str) -> DataFrame:
         for end in "ab":
-            pairs = pairs.join(one.select(F.col("cls").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in one.columns if c != "cls")), end)
-        return pairs
+            pairs = pairs.join(values.select(F.col("cls").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in values.columns if c != "cls")), end)
+        schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "a_comp", "b", "b_comp")])
+        used = [c for c in pairs.columns if c not in schema.names]
 
-    def kept(test: Callable[[dict], bool], names: list[str]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.select(names).to_pylist()
-                yield batch.filter(pa.array([test(r) for r in rows], pa.bool_())).select(["a", "a_comp", "b", "b_comp"])
+                yield batch.filter(pa.array([test(r) for r in batch.select(used).to_pylist()], pa.bool_())).select(schema.names)
 
-        return run
+        return staged(pairs.mapInArrow(run, schema), name)
 
     def bound(r: dict) -> bool:
-        u, v = (np.frombuffer(r[f"{e}_point"], "<u2").astype(np.int64) for e in "ab")
-        # A coordinate at its largest value may stand for more.
-        least = np.minimum(u, v)
-        return bool((least == 65535).any()) or int(least.sum()) >= needed(r["a_size"], r["b_size"])
+        u, v = (np.frombuffer(r[f"{e}_point"], np.uint8) for e in "ab")
+        if (u == 255).any() or (v == 255).any():
+            return True  # the largest count may stand for more
+        groups = min(len(u), len(v))
+        return int(np.minimum(folded(u.astype(np.int64), groups), folded(v.astype(np.int64), groups)).sum()) >= needed(r["a_size"], r["b_size"])
 
     def exact(r: dict) -> bool:
         u, v = _unpacked(r["a_blob"]), _unpacked(r["b_blob"])
         return overlap(u, v) >= needed(len(u), len(v))
 
-    near = both(pairs, prefixes.select("cls", "size", "point"), "point").mapInArrow(kept(bound, ["a_size", "b_size", "a_point", "b_point"]), pairs.schema)
-    near = staged(near, "near-pairs")
-    found = both(near, table.filter(F.col("blob").isNotNull()).select("cls", "blob"), "blob").mapInArrow(kept(exact, ["a_blob", "b_blob"]), pairs.schema)
-    return staged(found, "links")
+    points = prefixes.select("cls", "size", "point").join(ends(pairs), "cls", "left_semi").dropDuplicates(["cls"])
+    near = kept(pairs, points, bound, "near-pairs")
+    of_pairs = ends(near)
+    blobs = staged(sets(of_pairs).join(of_pairs, "cls", "left_semi").dropDuplicates(["cls"]), "pair-sets")
+    return kept(near, blobs, exact, "links")
 
 
 def connected(edges: DataFrame) -> DataFrame | None:
@@ -314,30 +418,38 @@ def _sized(a: Column, b: Column) -> Column:
 def _linked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Staged: the sets; (cls, comp) of each class; (comp, least) with the first document of each component."""
     spark = docs.sparkSession
-    table = _sets(docs, doc_id, text)
+    table = _documents(docs, doc_id, text)
     often = table.select(F.inline("common")).groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON).select("hash")
-    common = spark.sparkContext.broadcast(np.sort(often.toArrow().column("hash").to_numpy()))
-    prefixes = _prefixes(table, common)
-    blocks = _block_links(table, prefixes)
+    common = np.sort(often.toArrow().column("hash").to_numpy())
+    prefixes = _prefixes(docs, text, spark.sparkContext.broadcast(common))
+    blocks = _block_links(docs, text, table, prefixes, common)
+    sets = lambda classes: _sets(docs, text, table, classes)
     # Step 2 and 3 work on the hashes that join several components.
-    each = prefixes.select("cls", "size", "prefix").join(blocks.hint("shuffle_hash"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "size", F.posexplode("prefix").alias("place", "key"))
+    labels = prefixes.select("cls", "size", "prefix").join(blocks.hint("shuffle_hash"), "cls", "left")
+    each = labels.select("cls", F.coalesce("comp", "cls").alias("comp"), "size", F.posexplode("prefix").alias("place", "key"))
     same = Window.partitionBy("key")
-    several = F.min("comp").over(same) != F.max("comp").over(same)
-    mixed = staged(each.withColumn("_s", several).filter("_s").drop("_s"), "mixed")
-    one = mixed.groupBy("key", "comp").agg(F.min("cls").alias("cls"), F.min_by("size", "cls").alias("size"))
-    centre = one.groupBy("key").agg(F.min(F.struct("comp", "cls", "size")).alias("c"))
-    star = one.join(centre, "key").filter((F.col("comp") != F.col("c.comp")) & _sized(F.col("size"), F.col("c.size")))
-    pairs = staged(star.select(F.col("c.cls").alias("a"), F.col("c.comp").alias("a_comp"), F.col("cls").alias("b"), F.col("comp").alias("b_comp")).distinct(), "star-pairs")
-    links = _verified(pairs, table, prefixes)
+    centre = F.min(F.struct("comp", "cls", "size")).over(same)
+    mixed = staged(each.withColumn("c", centre).withColumn("most", F.max("comp").over(same)).filter("c.comp <> most").drop("most"), "mixed")
+    star = mixed.filter((F.col("comp") != F.col("c.comp")) & _sized(F.col("size"), F.col("c.size")))
+    pair = F.min(F.struct(F.col("c.cls").alias("a"), F.col("cls").alias("b")))
+    star = star.groupBy(F.col("c.comp").alias("a_comp"), F.col("comp").alias("b_comp")).agg(pair.alias("p")).select("p.a", "a_comp", "p.b", "b_comp")
+    links = _verified(staged(star, "star-pairs"), prefixes, sets)
     roots = connected(links.select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v")))
-    again = _relabel(mixed, roots)
-    left = staged(again.withColumn("_s", several).filter("_s").drop("_s").distinct(), "mixed")
-    end = lambda e: left.select("key", *(F.col(c).alias(f"{e}_{c}") for c in ("cls", "comp", "size", "place")))
+    again = _relabel(mixed.drop("c"), roots)
+    again = again.withColumn("_s", F.min("comp").over(same) != F.max("comp").over(same))
+    again = again.withColumns({"n": F.count("*").over(same), "bytes": F.sum(_BYTES * F.col("size")).over(same)})
+    left = staged(again.filter("_s").drop("_s"), "mixed")
+    few = left.filter(F.col("n") <= PAIRED)
+    end = lambda e: few.select("key", *(F.col(c).alias(f"{e}_{c}") for c in ("cls", "comp", "size", "place")))
     # The first hash two sets share leaves at most so many for their overlap; a pair that links passes there.
     most = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
     meets = (F.col("a_comp") < F.col("b_comp")) & _sized(F.col("a_size"), F.col("b_size")) & (9 * most >= 4 * (F.col("a_size") + F.col("b_size")))
     across = end("a").join(end("b"), "key").filter(meets).select(F.col("a_cls").alias("a"), "a_comp", F.col("b_cls").alias("b"), "b_comp")
-    last = connected(_verified(staged(across.distinct(), "pairs"), table, prefixes).select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v")))
+    found = _verified(staged(across.distinct(), "pairs"), prefixes, sets).select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v"))
+    many = left.filter(F.col("n") > PAIRED)
+    if not many.isEmpty():
+        found = found.unionByName(_cell_links(many, sets))
+    last = connected(found)
     # From classes to components, and their first documents: the smallest id that isn't null.
     document = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     classes = table.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(document).alias("least"))
