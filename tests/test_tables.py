@@ -8,7 +8,6 @@ import uuid
 
 import pytest
 from conftest import SF01
-from pyspark.sql import functions as F
 
 from stevedore.operators import (
     append_rows,
