@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,15 +96,18 @@ _STRANGE = re.compile("[ ­Ͱ-ԯ٠-٩۰-۹०-९​-‍ - ‐-―․ ⁠
 _OPEN, _CLOSE = r"\s{0,3}[(\[{<]\s{0,3}", r"\s{0,3}[)\]}>]\s{0,3}"
 _AT_WORD, _DOT_WORD = "at|arobase|arroba", "dot|punkt|punto|point"
 _LABEL = r"[A-Za-z0-9-]+"
-_SPELLED_DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s{{1,3}}(?:{_DOT_WORD})\s{{1,3}}|[_-](?:{_DOT_WORD})[_-])"
+# Endings of domain names that a dot between spaces may stand before.
+_ENDING = "com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu"
+_SPELLED_DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s{{1,2}}\.\s{{1,2}}(?=(?:{_ENDING})\b)|\s{{1,3}}(?:{_DOT_WORD})\s{{1,3}}|[_-](?:{_DOT_WORD})[_-])"
 _ANY_DOT = rf"(?:{_SPELLED_DOT}|\.)"
-#: Between a name and a domain; a bare "at" counts only before a domain with a spelled dot.
+#: Between a name and a domain; a bare "at" counts only in capitals or before a domain with a spelled dot.
 _AT = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])(?:{_OPEN}(?:{_AT_WORD}|@){_CLOSE}|&#64;|%40|\s{{0,3}}@\s{{0,3}}(?={_LABEL}{_ANY_DOT}{_LABEL})|(?:\s{{1,3}}(?:{_AT_WORD})\s{{1,3}}|[_-](?:{_AT_WORD})[_-])(?={_LABEL}(?:\.{_LABEL})*{_SPELLED_DOT}{_LABEL}))(?={_LABEL})",
+    rf"(?<=[A-Za-z0-9._%+-])(?:{_OPEN}(?:{_AT_WORD}|@){_CLOSE}|&#64;|%40|\s{{0,3}}@\s{{0,3}}(?={_LABEL}{_ANY_DOT}{_LABEL})|(?:\s{{1,3}}(?:{_AT_WORD})\s{{1,3}}|[_-](?:{_AT_WORD})[_-])(?={_LABEL}(?:\.{_LABEL})*{_SPELLED_DOT}{_LABEL})|\s{{1,3}}(?-i:AT)\s{{1,3}}(?={_LABEL}\.{_LABEL}))(?={_LABEL})",
     re.IGNORECASE | re.ASCII,
 )
 _DOT = re.compile(rf"(?<=[A-Za-z0-9]){_SPELLED_DOT}(?=[A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 _DOMAIN_TAIL = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})+", re.IGNORECASE | re.ASCII)
+_FOUR_NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_ANY_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE | re.ASCII)
 _BRACKETED = re.compile(rf"[(\[{{<]\s{{0,3}}(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s{{0,3}}[)\]}}>]", re.IGNORECASE | re.ASCII)
 
 # Names of the digits from 0 to 9, in English, German, French and Spanish.
@@ -168,9 +171,10 @@ def _lookalikes(text: str) -> list[tuple[int, int, str]]:
 
 
 def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
-    """An at counts where a domain follows; spelled dots count after an at, in that domain."""
+    """An at counts where a domain follows; spelled dots count after an at, in that domain, in the name
+    before it, and between four numbers."""
     low = text.lower()
-    if not (any(w in low for w in (*_DOT_WORD.split("|"), "&#64;", "%40", " @", "@ ")) or _BRACKETED.search(text)):
+    if not (any(w in low for w in (*_DOT_WORD.split("|"), "&#64;", "%40", " @", "@ ")) or " AT " in text or _BRACKETED.search(text)):
         return []
     edits = [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
     places = sorted([e[1] for e in edits] + [m.end() for m in re.finditer("@", text)])
@@ -184,6 +188,8 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
         if m := re.search(rf"(?:{_LABEL}{_SPELLED_DOT})+[A-Za-z0-9._%+-]+$", text[max(0, start - 80) : start], re.IGNORECASE | re.ASCII):
             base = max(0, start - 80) + m.start()
             edits += [(base + d.start(), base + d.end(), ".") for d in _DOT.finditer(m[0])]
+    for m in _FOUR_NUMBERS.finditer(text):
+        edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, m.start(), m.end()) if d.end() <= m.end()]
     out: list[tuple[int, int, str]] = []
     for edit in sorted(set(edits)):
         if not out or edit[0] >= out[-1][1]:
@@ -192,7 +198,7 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Runs with four spelled digits or more, three of them (or spelled dots) next to each other: white
+    """Runs with three spelled digits or more, three of them (or spelled dots) next to each other: white
     space and commas between them go, a spelled dot is a dot."""
     low = text.lower()
     for c in ",.()-":
@@ -203,7 +209,7 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     for run in _SPELLED.finditer(text):
         parts = list(_PART.finditer(text, run.start(), run.end()))
         names = [p for p in parts if p[0].lower() in _DIGIT]
-        if len(names) < 4:
+        if len(names) < 3:
             continue
         for p in parts:
             word = p[0].lower()

@@ -88,6 +88,11 @@ def test_pii_base_on_any_text(text):
         ("ip one nine two dot one six eight dot one dot one two end", "ip", "one nine two dot one six eight dot one dot one two"),
         ("card 4l11 1111 1111 1111", "card", "4l11 1111 1111 1111"),
         ("１９２.１６８.1.1", "ip", "１９２.１６８.1.1"),
+        ("joe @ example . com", "email", "joe @ example . com"),
+        ("joe AT example.com", "email", "joe AT example.com"),
+        ("at 192[.]168[.]1[.]1 now", "ip", "192[.]168[.]1[.]1"),
+        ("at 192 dot 168 dot 1 dot 1 now", "ip", "192 dot 168 dot 1 dot 1"),
+        ("+1 (four zero seven) 555 1234", "phone", "+1 (four zero seven) 555 1234"),
         ("vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins", "card", None),
     ],
 )
@@ -96,7 +101,7 @@ def test_disguises_map_back_to_source_characters(text, kind, span):
     assert pii.KINDS[k] == kind and not base and (span is None or text[s:e] == span)
 
 
-@pytest.mark.parametrize("text", ["look at example.com now", "one two three of them", "He is at home.", "un deux trois", "at dot 5 o'clock", "Жил был пёс", "l0 O1"])
+@pytest.mark.parametrize("text", ["look at example.com now", "one two three of them", "He is at home.", "un deux trois", "at dot 5 o'clock", "see you @ home . Then we", "open at example.com", "1 dot 2 dot 3", "Жил был пёс", "l0 O1"])
 def test_clean_texts_have_no_disguises(text):
     assert pii.find(text) == []
 
