@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stevedore.llm.common import slices, staged
+from stevedore.llm.common import filter_bit, in_filter, key_filter, slices, staged
 
 #: A subtree is template if it occurs on at least MANY pages of its host and on this share of them.
 MANY, SHARE = 5, 0.3
@@ -134,7 +134,15 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
     return [(text, path) for (text, in_article), path in zip(done, around, strict=True) if in_article or not inside]
 
 
-_PARSED = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("path", T.ArrayType(T.LongType()))]))
+def subtrees(page: str) -> list[int]:
+    """Hashes of the subtrees that hold a part of the page's text, not the whole: what can be template."""
+    paths = [set(path) for _, path in blocks(page)]
+    return sorted(set().union(*paths) - set.intersection(*paths)) if paths else []
+
+
+def page_text(page: str, gone: frozenset[int] = frozenset()) -> str:
+    """The wanted blocks outside the subtrees ``gone``, joined by one newline."""
+    return "\n".join(text for text, path in blocks(page) if gone.isdisjoint(path))
 
 
 def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -143,27 +151,46 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", s
     Null and empty pages give an empty text. Pages without a host in their url share one unnamed host.
     Repeated rows count as pages each and give a row each. Subtrees that hold the whole of a page's text
     stay (a page isn't its own template). An empty table gives none. Other columns are ignored.
+
+    Pages are read again for their texts; only those with a template subtree are joined with its hashes.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    given = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(source).alias("html"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("blocks", _PARSED)])
-    kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
+    key = F.xxhash64(F.col(page_id), F.col(url), F.col(source))
+    given = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), key.alias("key"), F.col(source).alias("html"))
+    found = T.StructType([given.schema["key"], given.schema["page_id"], given.schema["host"], T.StructField("subtrees", T.ArrayType(T.LongType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            parsed = [[{"text": t, "path": p} for t, p in blocks(page or "")] for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(parsed, kind)], names=schema.names)
-
-    parsed = staged(given.mapInArrow(run, schema), "pages")
-    # Subtrees with the whole text of the page are left out: only parts of a page can be template.
-    paths = F.transform("blocks", lambda b: b["path"])
-    whole = F.when(F.size("blocks") > 0, F.aggregate(paths, F.element_at(paths, 1), lambda a, b: F.array_intersect(a, b))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    subtrees = F.array_except(F.array_distinct(F.flatten(paths)), F.coalesce(whole, F.expr("cast(array() as array<bigint>)")))
-    each = parsed.select("row", "host", F.explode(subtrees).alias("subtree"))
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("n_pages"))
+            hashes = [subtrees(page or "") for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in found.names[:-1]), pa.array(hashes, pa.list_(pa.int64()))], names=found.names)
+
+    marks = staged(given.select(*found.names[:-1], "html").mapInArrow(parse, found), "subtrees")
+    each = marks.select("key", "page_id", "host", F.explode("subtrees").alias("subtree"))
+    sizes = marks.groupBy("host").agg(F.count("*").alias("n_pages"))
     counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MANY)
     template = staged(counts.join(sizes, "host").filter(F.col("n") >= SHARE * F.col("n_pages")).select("host", "subtree"), "templates")
-    gone = each.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], F.col("gone")))
-    text = F.concat_ws("\n", F.transform(kept, lambda b: b["text"]))
-    return parsed.join(gone, "row", "left").select("page_id", "url", text.alias("text"))
+    gone = each.join(template, ["host", "subtree"]).groupBy(F.col("key").alias("_key"), F.col("page_id").alias("_id")).agg(F.collect_set("subtree").alias("gone"))
+    gone = staged(gone, "template-pages")
+    bits = pages.sparkSession.sparkContext.broadcast(key_filter(gone.select(filter_bit(F.col("_key")).alias("bit"))))
+    texts = T.StructType([given.schema["page_id"], given.schema["url"], T.StructField("text", T.StringType())])
+    sifted = given.select("page_id", "url", "key", "html", filter_bit(F.col("key")).alias("bit"))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            free = batch.filter(pa.array(~in_filter(bits.value, batch.column("bit").to_numpy())))
+            for part in slices(iter([free]), "html"):
+                text = [page_text(page or "") for page in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], names=texts.names)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(bits.value, batch.column("bit").to_numpy())))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            pairs = zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True)
+            text = [page_text(page or "", frozenset(g or ())) for page, g in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=texts.names)
+
+    rest = sifted.mapInArrow(touched, sifted.schema).join(gone.hint("shuffle_hash"), (F.col("key") == F.col("_key")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
+    return sifted.mapInArrow(plain, texts).unionByName(rest.select("page_id", "url", "html", "gone").mapInArrow(cut, texts))
