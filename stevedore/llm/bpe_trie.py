@@ -50,7 +50,7 @@ def _byte_chars() -> dict[int, str]:
 class TrieBpe:
     """Encoder for a ``tokenizers`` file of kind BPE with word ends (NFC, one-space, lower case)."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -80,7 +80,6 @@ class TrieBpe:
         self.suffixes.make_automaton()
         self.stand_in = _byte_chars()
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _may_follow(self, a: int, b: int, before: int | None = None) -> bool:
         """Whether BPE leaves ``a b`` as two tokens (until the merge ranked ``before``): undo the later of the two merges beside the
@@ -136,8 +135,10 @@ class TrieBpe:
         return word if word.isascii() and word.isprintable() else "".join(map(self.stand_in.__getitem__, word.encode()))
 
     def _learn(self, words: set[str]) -> None:
-        for word, ids in self.encode_words([w for w in words if w not in self.words]):
-            self.words[word] = np.array(ids, "<u4").tobytes()
+        """Put the ids of words into the memo. A word by itself is a chunk of one word."""
+        spelt = {self._spelt(w): w for w in words if w not in self.chunks}
+        for word, ids in self.encode_words(list(spelt)):
+            self.chunks[spelt[word]] = np.array(ids, "<u4").tobytes()
 
     def _library_words(self, text: str) -> list[str]:
         if self._library is None:
@@ -158,10 +159,9 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null counts as empty."""
-        if len(self.chunks) > self.most_words or len(self.words) > self.most_words:
+        if len(self.chunks) > self.most_words:
             self.chunks.clear()
-            self.words.clear()
-        if len(self.adjacent) > 4 * self.most_words:
+        if len(self.adjacent) > 2 * self.most_words:
             self.adjacent.clear()
         known, get, missing = self.chunks, self.chunks.get, set()
         plan: list[list] = []  # of each text: ids, or a list of chunks beside a list of their ids as far as known
@@ -171,9 +171,7 @@ class TrieBpe:
                 if i % 2:
                     row.append(np.array(self.special[part], "<u4").tobytes())
                 elif _UNUSUAL.search(part):
-                    words = self._library_words(part)
-                    self._learn(set(words))
-                    row.append(b"".join(map(self.words.__getitem__, words)))
+                    row.append(self._encode_spelt(self._library_words(part)))
                 else:
                     for piece in self._pieces(part):
                         ids = list(map(get, chunks := piece.lower().split()))
@@ -182,13 +180,19 @@ class TrieBpe:
                             row.append((chunks, ids))
                         else:
                             row.append(b"".join(ids))
-        found = {c: [self._spelt(w) for w in _WORD.findall(c)] for c in missing}
+        found = {c: _WORD.findall(c) for c in missing}
         self._learn({w for ws in found.values() for w in ws})
         for chunk, words in found.items():
-            known[chunk] = b"".join([self.words[w] for w in words])
+            if chunk not in known:
+                known[chunk] = b"".join([known[w] for w in words])
         whole = lambda x: x if isinstance(x, bytes) else b"".join([known[c] if v is None else v for c, v in zip(*x, strict=True)])
         return [whole(row[0]) if len(row) == 1 else b"".join(map(whole, row)) for row in plan]
 
+    def _encode_spelt(self, words: list[str]) -> bytes:
+        """Ids of words in byte-level characters, as the library's splitter gives them."""
+        ids = {w: np.array(x, "<u4").tobytes() for w, x in self.encode_words(words)}
+        return b"".join(map(ids.__getitem__, words))
+
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens joined by one space."""
         return " ".join(map(self.token.__getitem__, ids))

@@ -78,3 +78,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers are kept for later tasks
