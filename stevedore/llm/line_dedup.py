@@ -2,13 +2,15 @@
 
 Each document is the sequence of its lines with a word. Every GRAM consecutive lines have a hash; of any
 WINDOW neighbouring hashes the smallest is a fingerprint. Two runs of ``GRAM + WINDOW - 1`` equal
-lines thus share a fingerprint for certain, wherever they stand. Fingerprints are joined with the first
+lines thus share a fingerprint for certain, wherever they stand. Fewer lines with PASSAGE words together
+have fingerprints of their own, and so has a whole document of fewer than GRAM lines. Fingerprints are joined with the first
 place they occur at; each match is extended line by line both ways, and its lines in the later place
 are deleted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +26,59 @@ GRAM, WINDOW = 3, 3
 _SPACES = " \t\n\v\f\r"
 
 
+#: Lines of so many words together are a passage, found even where they are fewer than GRAM.
+PASSAGE = 50
+#: Scripts without spaces between words: two characters count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def line_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the lines with a word, without white space around them."""
-    return np.array([xxhash.xxh3_64_intdigest(x) for line in text.split("\n") if (x := line.strip(_SPACES))], np.uint64).view(np.int64)
+    """Of the lines with a word, without white space around them: 64-bit hashes (first row) and numbers of
+    words (second row)."""
+    lines = [x for line in text.split("\n") if (x := line.strip(_SPACES))]
+    hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64)
+    words = [len(x.split()) + (0 if x.isascii() else len(_UNSPACED.findall(x)) // 2) for x in lines]
+    return np.stack([hashes, np.array(words, np.int64)])
 
 
-def fingerprints(lines: np.ndarray) -> list[tuple[int, int]]:
-    """(hash of GRAM lines, place) of the window minima; the last of equal ones. Where there are fewer
-    grams than a window, the smallest of all."""
-    n = len(lines) - GRAM + 1
-    if n < 1:
-        return []
+def _grams(lines: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """Hashes of each ``size`` consecutive lines."""
+    n = len(lines) - size + 1
     with np.errstate(over="ignore"):
-        grams = np.zeros(n, np.uint64)
-        for i in range(GRAM):
+        grams = np.full(n, salt, np.uint64)
+        for i in range(size):
             grams = (grams ^ lines.view(np.uint64)[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             grams ^= grams >> np.uint64(29)
-    order = grams.view(np.int64)
+    return grams.view(np.int64)
+
+
+def passages(lines: np.ndarray) -> list[tuple[int, int]]:
+    """(hash, place) of the runs of fewer than GRAM lines that are passages by themselves: from each line
+    on and up to each line, the shortest with PASSAGE words; and all lines of a shorter document."""
+    hashes, words = lines
+    out: set[tuple[int, int]] = set()
+    for size in range(1, min(GRAM, len(hashes) + 1)):
+        total = np.lib.stride_tricks.sliding_window_view(words, size).sum(axis=1)
+        # The shortest one from its first line on, or up to its last.
+        whole = (total >= PASSAGE) & ((total - words[size - 1 :] < PASSAGE) | (total - words[: len(total)] < PASSAGE))
+        grams = _grams(hashes, size, size)
+        out.update((int(grams[p]), int(p)) for p in np.flatnonzero(whole))
+    if 0 < len(hashes) < GRAM:
+        out.add((int(_grams(hashes, len(hashes), GRAM + len(hashes))[0]), 0))
+    return sorted(out, key=lambda x: x[::-1])
+
+
+def fingerprints(lines: np.ndarray) -> list[tuple[int, int]]:
+    """(hash of GRAM lines, place) of the window minima; the last of equal ones. Where there are fewer
+    grams than a window, the smallest of all. Beside them, the passages of fewer lines."""
+    n = lines.shape[1] - GRAM + 1
+    if n < 1:
+        return passages(lines)
+    order = _grams(lines[0], GRAM)
     width = min(WINDOW, n)
     windows = np.lib.stride_tricks.sliding_window_view(order, width)
     places = np.unique(np.arange(len(windows)) + width - 1 - windows[:, ::-1].argmin(axis=1))
-    return [(int(order[p]), int(p)) for p in places]
+    return [(int(order[p]), int(p)) for p in places] + passages(lines)
 
 
 def extend(here: np.ndarray, there: np.ndarray, shift: int, seeds: list[int]) -> list[tuple[int, int]]:
@@ -88,7 +122,7 @@ def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         for batch in slices(batches, "text"):
             lines = [line_hashes(t or "") for t in batch.column("text").to_pylist()]
             found = [[{"hash": h, "place": p} for h, p in fingerprints(x)] for x in lines]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(lines, pa.list_(pa.int64())), pa.array(found, marks)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([x[0] for x in lines], pa.list_(pa.int64())), pa.array(found, marks)], names=schema.names)
 
     # Rows equal in id and text are one document.
     table = staged(given.mapInArrow(run, schema).dropDuplicates(["id", "key"]), "lines")
@@ -123,7 +157,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A run of GRAM lines or more that stands earlier too (in an earlier document by id, or earlier in
     the same one) is found for certain from ``GRAM + WINDOW - 1`` lines on, and for shorter ones where
-    a fingerprint falls on it. Lines are compared without white space around them; lines without a
+    a fingerprint falls on it. Fewer lines are found if they have PASSAGE words together or are the whole
+    of both documents; other single lines stay. Lines are compared without white space around them; lines without a
     word don't count and stay. Null and empty texts stay as they are; null ids come first. Rows equal in
     id and text are one document and get the same result. ``n_chars``, where there is one, follows the new text.
     """
