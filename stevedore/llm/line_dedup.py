@@ -1,11 +1,11 @@
-"""Line dedup by winnowing.
-
-Each document is the sequence of its lines with a word. Every GRAM consecutive lines have a hash; of any
-WINDOW neighbouring hashes the smallest is a fingerprint. Two runs of ``GRAM + WINDOW - 1`` equal
-lines thus share a fingerprint for certain, wherever they stand. Fewer lines with PASSAGE words together
-have fingerprints of their own, and so has a whole document of fewer than GRAM lines. Fingerprints are joined with the first
-place they occur at; each match is extended line by line both ways, and its lines in the later place
-are deleted.
+"""Line dedup by fingerprints of lines.
+
+Each document is the sequence of its lines with a word. Every GRAM consecutive lines have a hash, their
+fingerprint; fewer lines with PASSAGE words together have fingerprints of their own, and so has a whole
+document of fewer than GRAM lines. Fingerprints are joined with the first place they occur at; each match is
+extended line by line both ways, and its lines in the later place are deleted. No hash is left out, as
+winnowing does: the first place of the one that is kept may be in a document where the run ends
+sooner. So each line of a run that stands earlier is found, by the fingerprints within the run.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from stevedore.llm.common import fresh, slices, staged, text_key
 
+#: Runs of GRAM lines are found. WINDOW was the width for winnowing; nothing but a test reads it.
 GRAM, WINDOW = 3, 3
 _SPACES = " \t\n\v\f\r"
 
@@ -69,16 +70,9 @@ def passages(lines: np.ndarray) -> list[tuple[int, int]]:
 
 
 def fingerprints(lines: np.ndarray) -> list[tuple[int, int]]:
-    """(hash of GRAM lines, place) of the window minima; the last of equal ones. Where there are fewer
-    grams than a window, the smallest of all. Beside them, the passages of fewer lines."""
-    n = lines.shape[1] - GRAM + 1
-    if n < 1:
-        return passages(lines)
-    order = _grams(lines[0], GRAM)
-    width = min(WINDOW, n)
-    windows = np.lib.stride_tricks.sliding_window_view(order, width)
-    places = np.unique(np.arange(len(windows)) + width - 1 - windows[:, ::-1].argmin(axis=1))
-    return [(int(order[p]), int(p)) for p in places] + passages(lines)
+    """(hash, place) of each GRAM consecutive lines, and of the passages of fewer lines."""
+    grams = _grams(lines[0], GRAM).tolist() if lines.shape[1] >= GRAM else []
+    return [*zip(grams, range(len(grams)), strict=True), *passages(lines)]
 
 
 def extend(here: np.ndarray, there: np.ndarray, shift: int, seeds: list[int]) -> list[tuple[int, int]]:
@@ -155,10 +149,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """The same rows and columns, ``text`` without lines of later repeated runs (and, if named, a column
     with the number of deleted lines).
 
-    A run of GRAM lines or more that stands earlier too (in an earlier document by id, or earlier in
-    the same one) is found for certain from ``GRAM + WINDOW - 1`` lines on, and for shorter ones where
-    a fingerprint falls on it. Fewer lines are found if they have PASSAGE words together or are the whole
-    of both documents; other single lines stay. Lines are compared without white space around them; lines without a
+    Each line goes that is in a run of GRAM lines or more, or of PASSAGE words or more, that stands
+    earlier too (in an earlier document by id, or earlier in the same one), wherever its parts stand
+    first; so do the lines of a document of fewer lines that is the same as an earlier one. Other lines stay. Lines are compared without white space around them; lines without a
     word don't count and stay. Null and empty texts stay as they are; null ids come first. Rows equal in
     id and text are one document and get the same result. ``n_chars``, where there is one, follows the new text.
     """

@@ -33,3 +33,39 @@ def test_passages_of_one_and_two_lines(spark):
 def test_copies_of_documents_of_one_and_two_lines(spark):
     rows = [(1, "short line"), (2, "first\nsecond"), (3, " short line"), (4, "first\n \nsecond"), (5, "a\nshort line"), (6, "first\nsecond\nthird"), (7, "first")]
     assert deduped(spark, rows) == dict(rows) | {3: "", 4: " "}
+
+
+def every_run(texts):
+    """{id: text} without the lines in runs of 3 lines, or of 50 words, that stand earlier (texts of 3 lines or more)."""
+    seen, out = set(), {}
+    for i, text in sorted(texts.items()):
+        lines = text.split("\n")
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if b - a >= 3 or sum(len(x.split()) for x in lines[a:b]) >= 50]
+        gone, own = set(), set()
+        for a, b in runs:  # by place, so that a run earlier in the same text counts
+            run = tuple(lines[a:b])
+            if run in seen or run in own:
+                gone.update(range(a, b))
+            own.add(run)
+        seen |= own
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_lines_around_a_passage_that_stands_first_elsewhere(spark):
+    """Document 1 has P, documents 2 and 3 have a P b: a and b go from document 3, whichever hash is smallest."""
+    texts, n = {}, 0
+    for group in range(30):
+        p, a, b = ([f"{group} {part} {k}" for k in range(size)] for part, size in (("p", 3), ("a", 1), ("b", 1)))
+        for lines in (p, a + p + b, a + p + b):
+            texts[n] = "\n".join([f"head {n}", *lines, f"tail {n}"])
+            n += 1
+    got = deduped(spark, list(texts.items()))
+    assert got == every_run(texts) and all(got[i] == f"head {i}\ntail {i}" for i in range(2, n, 3))
+
+
+def test_every_run_that_stands_earlier(spark):
+    rng = random.Random(4)
+    pool = [words(rng, rng.choice([2, 5, 20, 30, 60])) for _ in range(12)]
+    texts = {i: "\n".join(pool[rng.randrange(12)] if rng.random() < 0.8 else words(rng, 5) for _ in range(rng.randrange(3, 12))) for i in range(80)}
+    assert deduped(spark, list(texts.items())) == every_run(texts)
