@@ -121,13 +121,17 @@ _DIGIT = {name: str(i) for line in _NAMES for i, name in enumerate(line.split())
 _NAME = "|".join(sorted(_DIGIT, key=lambda n: (-len(n), n)))
 _GAP = rf"(?:[\s,.()-]{{1,3}}|\s(?:{_DOT_WORD})\s)"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]{{1,3}})?(?:{_NAME}|[0-9]+)(?:{_GAP}(?:{_NAME}|[0-9]+))*{_GAP}(?:{_NAME})(?:{_GAP}(?:{_NAME}|[0-9]+))*(?!\w)|(?<!\w)(?:plus[\s,-]{{1,3}})?(?:{_NAME})(?:{_GAP}(?:{_NAME}|[0-9]+))+(?!\w)", re.IGNORECASE)
-_NAMES_AND_DOTS = frozenset([*_DIGIT, *_DOT_WORD.split("|")])
+#: Words of a run: 2 for names of digits, 1 for spelled dots (and numbers).
+_RUN_PART = dict.fromkeys(_DOT_WORD.split("|"), 1) | dict.fromkeys(_DIGIT, 2)
+_THREE_NAMES = re.compile(b"\2\1*\2\1*\2")
+_WORDS = re.compile(r"\w+")
+#: Letters that match i and s where case is ignored, but not in lower case.
+_SAME_LETTERS = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s"})
 _PART = re.compile(rf"plus[\s,-]{{1,3}}|(?:{_NAME})(?!\w)|\s(?:{_DOT_WORD})\s|[\s,]{{1,3}}", re.IGNORECASE)
 
 _FAKE = {"O": "0", "o": "0", "I": "1", "l": "1"}
-_BESIDE = frozenset(_FAKE)
 _FAKE_RUN = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]+(?:[\x20().-]{1,2}[0-9OoIl]+)*(?![A-Za-z0-9])")
-_NUMBER = re.compile(r"[0-9]+")
+_FAKE_BESIDE = re.compile(r"[0-9](?:(?=[\x20().-]{0,2}[OoIl])|(?<=[OoIl].)|(?<=[OoIl][\x20().-].)|(?<=[OoIl][\x20().-]{2}.))")
 
 
 class Rewritten:
@@ -198,12 +202,11 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Runs with three spelled digits or more, three of them (or spelled dots) next to each other: white
-    space and commas between them go, a spelled dot is a dot."""
-    low = text.lower()
-    for c in ",.()-":
-        low = low.replace(c, " ")
-    if b"\1\1\1" not in bytes(map(_NAMES_AND_DOTS.__contains__, low.split())):
+    """Runs with three spelled digits or more, real digits among them or not: white space and commas
+    between them go, a spelled dot is a dot."""
+    low = (text if text.isascii() else text.translate(_SAME_LETTERS)).lower()
+    # Each part of a run is a whole word, so this holds wherever a run counts.
+    if not _THREE_NAMES.search(bytes([_RUN_PART.get(w) or w.isdecimal() for w in _WORDS.findall(low)])):
         return []
     edits = []
     for run in _SPELLED.finditer(text):
@@ -221,7 +224,7 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
 
 def _letters_for_digits(text: str) -> list[tuple[int, int, str]]:
     """O, o, I and l in numbers of four real digits or more, no fewer than the letters."""
-    if not any(text[max(0, m.start() - 1) : m.start()] in _BESIDE or text[m.end() : m.end() + 1] in _BESIDE or text[m.end() + 1 : m.end() + 2] in _BESIDE for m in _NUMBER.finditer(text)):
+    if not _FAKE_BESIDE.search(text):  # in each run that counts, a letter is beside a digit
         return []
     edits = []
     for run in _FAKE_RUN.finditer(text):
