@@ -1,6 +1,6 @@
 """License statements by conditional compression.
 
-Candidate blocks (lines that mention a license) are compressed alone and with each template as a raw
+Candidate blocks (the words around a mention of a license, over line breaks) are compressed alone and with each template as a raw
 zstandard dictionary: the template that saves the largest share of a block's bytes is the best guess.
 A guess counts only if the exact wording confirms it: the template's words are aligned with the block's, and
 missing or extra words are few and touch none of the words that tell this license from others.
@@ -9,6 +9,7 @@ missing or extra words are few and touch none of the words that tell this licens
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -53,11 +54,11 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0.", "cc0 1 0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
 )
-_TRIGGERS = ("licen", "permission", "redistribut", "public domain", "free software", "cc by", "cc-by", "cc0")
+_MENTION = re.compile(r"licen|permission|redistribut|public[\W_]+domain|free[\W_]+software|cc[\W_]+by|cc0", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 #: Words of a template that may be missing, and words that may stand between, as shares of the template's.
 MISSING, EXTRA = 0.3, 0.25
-#: Of one line, stretches of so many words around a mention are candidates.
+#: So many words on either side of a mention are a candidate, whatever white space and marks stand between.
 AROUND = 60
 
 
@@ -69,29 +70,6 @@ def _prepared():
     return words, with_each, zstandard.ZstdCompressor(level=9, write_content_size=False)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Ranges of lines that mention a license; of long lines, the words around the mentions."""
-    low = text.lower()
-    if not any(t in low for t in _TRIGGERS):
-        return []
-    out, at = [], 0
-    for line in text.split("\n"):
-        low = line.lower()
-        if any(t in low for t in _TRIGGERS):
-            words = list(_WORD.finditer(line))
-            marked = [i for i, w in enumerate(words) if any(t.split("-")[0].split()[0] in w[0].lower() for t in _TRIGGERS)]
-            ranges: list[list[int]] = []
-            for i in marked:
-                a, b = max(0, i - AROUND), min(len(words), i + AROUND + 1)
-                if ranges and a <= ranges[-1][1]:
-                    ranges[-1][1] = b
-                else:
-                    ranges.append([a, b])
-            out += [(at + words[a].start(), at + words[b - 1].end()) for a, b in ranges]
-        at += len(line) + 1
-    return out
-
-
 def confirm(template: int, words: list[str]) -> tuple[int, int, int, int] | None:
     """(first word, end, missing, extra) of the place where the wording fits the template, or None."""
     wanted = _prepared()[0][template]
@@ -113,31 +91,62 @@ def confirm(template: int, words: list[str]) -> tuple[int, int, int, int] | None
     return None
 
 
+def best(block: str, words: list[str]) -> tuple[int, float, tuple[int, int, int, int]] | None:
+    """(template, share of bytes saved, what ``confirm`` gives) of the confirmed template that saves the most."""
+    _, with_each, alone = _prepared()
+    held = set(words)
+    able = [k for k in range(len(TEMPLATES)) if held.issuperset(TEMPLATES[k][2].split())]
+    if not able:
+        return None
+    raw = block.lower().encode("utf-8", "surrogatepass")
+    size = len(alone.compress(raw))
+    saved = {k: 1 - len(with_each[k].compress(raw)) / size for k in able}
+    for k in sorted(able, key=lambda k: (-saved[k], k)):
+        if saved[k] <= 0:
+            break
+        if place := confirm(k, words):
+            return k, saved[k], place
+    return None
+
+
 def scan(text: str) -> list[tuple[int, int, str, float, int, int]]:
     """(start, end, license, share of bytes saved, missing, extra) of each confirmed statement, in order."""
-    out = []
-    words_of, with_each, alone = _prepared()
-    todo = candidates(text)
-    while todo:
-        start, end = todo.pop()
-        block = text[start:end]
-        found = list(_WORD.finditer(block))
-        words = [w[0].lower() for w in found]
-        if not words:
+    if not (mentions := [m.start() for m in _MENTION.finditer(text)]):
+        return []
+    found = list(_WORD.finditer(text))
+    words = [w[0].lower() for w in found]
+    starts = [w.start() for w in found]
+    out: list[tuple[int, int, str, float, int, int]] = []
+    taken: list[tuple[int, int]] = []  # ranges of words of the statements so far, in order
+    for at in mentions:
+        here = bisect_right(starts, at) - 1
+        k = bisect_right(taken, (here, len(words)))
+        if k and taken[k - 1][1] > here:
             continue
-        raw = block.lower().encode("utf-8", "surrogatepass")
-        size = len(alone.compress(raw))
-        saved = [1 - len(c.compress(raw)) / size for c in with_each]
-        for k in sorted(range(len(TEMPLATES)), key=lambda k: (-saved[k], k)):
-            if saved[k] <= 0:
-                break
-            if place := confirm(k, words):
-                first, stop, missing, extra = place
-                a, b = start + found[first].start(), start + found[stop - 1].end()
-                out.append((a, b, TEMPLATES[k][0], round(saved[k], 6), missing, extra))
-                # What is left and right of the statement may hold others.
-                todo += [(x, y) for x, y in ((start, a), (b, end)) if any(t in text[x:y].lower() for t in _TRIGGERS)]
+        # Nothing beyond statements found before.
+        floor, ceiling = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(words)
+        low, high = max(floor, here - AROUND), min(ceiling, here + AROUND + 1)
+        line = text.rfind("\n", 0, starts[here]) + 1, text.find("\n", found[here].end())
+        alone = max(low, bisect_left(starts, line[0])), min(high, bisect_left(starts, line[1]) if line[1] >= 0 else len(words))
+        edges = (low if low > floor else -1, high if high < ceiling else -1)
+        blocks = [alone, (low, high)]  # the mention's line by itself where all the words around give nothing
+        while blocks:
+            a, b = blocks.pop()
+            if a >= b or not (hit := best(text[starts[a] : found[b - 1].end()], words[a:b])):
+                continue
+            template, saved, (first, stop, missing, extra) = hit
+            first, stop = a + first, a + stop
+            # A statement without the mention, of which words may be missing because the block ends, has its own.
+            reach = missing + EXTRA * len(_prepared()[0][template])
+            cut = missing and (edges[0] >= 0 and first - edges[0] <= reach or edges[1] >= 0 and edges[1] - stop <= reach)
+            if first <= here < stop or not cut:
+                insort(taken, (first, stop))
+                out.append((starts[first], found[stop - 1].end(), TEMPLATES[template][0], round(saved, 6), missing, extra))
+            if first <= here < stop:
                 break
+            # The side with the mention may hold another.
+            side = (max(a, stop), b) if stop <= here else (a, min(b, first))
+            blocks = [(max(x, side[0]), min(y, side[1])) for x, y in blocks] + [side]
     return sorted(out)
 
 
