@@ -2,7 +2,8 @@
 
 One pass over the texts finds parts: strong ones, which count by themselves (an assignment of a secret,
 an access identifier, a long hex run), and weak ones, which may be anything (short access
-identifiers, identifier assignments, bare tokens that look like keys, service endpoints). The parts
+identifiers, identifier assignments, assignments of other secret-like names, bare tokens that look like keys,
+service endpoints). The parts
 go to a table. An interval join of parts within one scope (a row's text, ``REACH`` characters around)
 then reports a weak candidate only where it meets a complementary part. The texts themselves are
 never shuffled.
@@ -26,6 +27,14 @@ HEX = r"[0-9a-f]{16,}"
 WEAK_ACCESS = r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}\b"
 WEAK_IDENTIFIER = r"""\b(?i:client_?id|access_?key_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[A-Z0-9+/_-]{0,39}[a-z])(?=[a-z0-9+/_-]{0,39}[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Assignments of other names for secrets, and tokens of one case with digits; not of access identifiers.
+_NO_ACCESS = r"(?!(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9])"
+WEAK_ASSIGN = (
+    r"(?<![A-Za-z0-9])(?i:(?:secret|private|access|auth|api|account|client|signing|encryption|master|shared)(?:[_.-]?(?:secret|access|shared|signing))?[_.-]?key"
+    r"|(?:secret|token|password|passwd)[_.-][a-z0-9_.-]{1,24}|pwd|pass(?:phrase)?|auth(?:orization)?|credentials?)"
+    rf"""["']?\x20*[:=]\x20*["']?{_NO_ACCESS}[A-Za-z0-9+/_.=-]{{8,}}"""
+)
+WEAK_TOKEN = rf"(?<![A-Za-z0-9+/_=-]){_NO_ACCESS}(?:(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{{20,}}|(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{{20,}})(?![A-Za-z0-9+/_-])={{0,6}}"
 WEAK_ENDPOINT = r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9._:@-]+"
 
 #: kind, pattern, role. Two parts are complementary if their roles differ.
@@ -36,10 +45,14 @@ PARTS = (
     ("weak_access", WEAK_ACCESS, "identifier"),
     ("weak_identifier", WEAK_IDENTIFIER, "identifier"),
     ("weak_secret", WEAK_SECRET, "secret"),
+    ("weak_assign", WEAK_ASSIGN, "secret"),
+    ("weak_token", WEAK_TOKEN, "secret"),
     ("weak_endpoint", WEAK_ENDPOINT, "endpoint"),
 )
 #: How a linked weak part is reported; an endpoint is evidence, never reported itself.
-REPORTED = {"weak_access": "access", "weak_identifier": "access", "weak_secret": "assign"}
+REPORTED = {"weak_access": "access", "weak_identifier": "access", "weak_secret": "assign", "weak_assign": "assign", "weak_token": "assign"}
+#: These don't confirm what they overlap, and give way to reported parts of a lower number that they overlap.
+LATE = {"weak_assign": 2, "weak_token": 3}
 
 
 ROLE = {kind: role for kind, _, role in PARTS}
@@ -89,7 +102,7 @@ def located(table: DataFrame) -> DataFrame:
 
 def linked(places: DataFrame) -> DataFrame:
     """Weak parts that meet a part of another role within REACH characters in the same row, and don't
-    overlap a strong part. Both joins are on (row, stretch of REACH characters), so that a long
+    overlap a strong part (nor, if LATE, one that comes before them). Both joins are on (row, stretch of REACH characters), so that a long
     text is spread over many keys; semi and anti joins give no pairs."""
     stretch = lambda low, high: F.explode(F.sequence(F.floor(low / REACH), F.floor(high / REACH)))
     strong = F.col("kind").isin(*KINDS)
@@ -99,11 +112,13 @@ def linked(places: DataFrame) -> DataFrame:
     meets = (
         (F.col("w.row") == F.col("o.row")) & (F.col("w.bin") == F.col("o.bin")) & (F.col("w.role") != F.col("o.role"))
         & (F.col("o.start") <= F.col("w.end") + REACH) & (F.col("o.end") >= F.col("w.start") - REACH)
+        & (~F.col("w.kind").isin(*LATE) & ~F.col("o.kind").isin(*LATE) | (F.col("o.start") >= F.col("w.end")) | (F.col("o.end") <= F.col("w.start")))
     )
     near = wide.join(other, meets, "left_semi").select("row", "kind", "start", "end").distinct()
     narrow = near.withColumn("bin", stretch(F.col("start"), F.col("end"))).alias("w")
-    certain = places.filter(strong).withColumn("bin", stretch(F.col("start"), F.col("end"))).alias("o")
-    covers = (F.col("w.row") == F.col("o.row")) & (F.col("w.bin") == F.col("o.bin")) & (F.col("o.start") < F.col("w.end")) & (F.col("o.end") > F.col("w.start"))
+    order = lambda kind: F.when(kind.isin(*KINDS), 0).when(kind == "weak_assign", LATE["weak_assign"]).when(kind == "weak_token", LATE["weak_token"]).otherwise(1)
+    certain = places.filter(strong).select("row", "kind", "start", "end").unionByName(near.filter(F.col("kind") != "weak_token")).withColumn("bin", stretch(F.col("start"), F.col("end"))).alias("o")
+    covers = (F.col("w.row") == F.col("o.row")) & (F.col("w.bin") == F.col("o.bin")) & (F.col("o.start") < F.col("w.end")) & (F.col("o.end") > F.col("w.start")) & (order(F.col("o.kind")) < order(F.col("w.kind")))
     covered = narrow.join(certain, covers, "left_semi").select("row", "kind", "start", "end").distinct()
     return near.join(covered, ["row", "kind", "start", "end"], "left_anti")
 
