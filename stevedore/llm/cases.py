@@ -82,6 +82,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 CASES: dict[str, Case] = {
     "op1_lines": op1_lines,
     "op2_html": op2_html,
@@ -93,4 +99,5 @@ CASES: dict[str, Case] = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
+    "op13_collocations": op13_collocations,
 }

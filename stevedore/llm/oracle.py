@@ -65,4 +65,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
                least(d.doc_id, coalesce((SELECT min(y) FROM reach WHERE reach.x = d.doc_id), d.doc_id)) AS component_id
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op13_collocations": r"""
+        WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (
+          SELECT lang, m, unnest(list_transform(range(1, greatest(1, len(ws) - m + 2)), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+          FROM w, range(1, 6) AS s(m)),
+        f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2),
+        cut AS (
+          SELECT c.lang, c.phrase, c.a, n.n, k, x.f AS l, y.f AS r,
+                 CAST(CAST(1000 AS HUGEINT) * c.a * n.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+          FROM c JOIN range(1, 5) AS s(k) ON k < c.m
+          JOIN n ON n.lang = c.lang
+          JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ')
+          JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:c.m], ' ')),
+        lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+          SELECT DISTINCT c.lang, array_to_string(c.ws[i:i + m2 - 1], ' ') AS phrase, c.a
+          FROM c JOIN range(2, 5) AS s(m2) ON m2 < c.m JOIN range(1, 5) AS t(i) ON i + m2 - 1 <= c.m),
+        kept AS (
+          SELECT lowest.* FROM lowest
+          WHERE NOT EXISTS (
+            SELECT 1 FROM inside
+            WHERE inside.lang = lowest.lang AND inside.phrase = lowest.phrase AND 100 * inside.a >= 100 * lowest.a))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept QUALIFY rank <= 2000""",
 }
