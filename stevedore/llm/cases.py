@@ -82,6 +82,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.collocations import collocations
 
@@ -99,5 +105,6 @@ CASES: dict[str, Case] = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
+    "op12_trie": op12_trie,
     "op13_collocations": op13_collocations,
 }

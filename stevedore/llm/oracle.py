@@ -95,4 +95,42 @@ ORACLE_SQL: dict[str, str] = {
             WHERE inside.lang = lowest.lang AND inside.phrase = lowest.phrase AND 100 * inside.a >= 100 * lowest.a))
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM kept QUALIFY rank <= 2000""",
+    "op12_trie": r"""
+        WITH t AS (
+          SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+          FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (
+          SELECT c, c - c % 100 AS base, CASE WHEN c % 100 = 0 THEN 0 ELSE xor(list_reduce(
+              list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+              lambda x, b: list_reduce(
+                list_concat([xor(x, b)], CAST(range(8) AS BIGINT[])),
+                lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, CAST(3988292384 AS BIGINT)) ELSE y >> 1 END)),
+              CAST(4294967295 AS BIGINT)) % 6 END AS h
+          FROM (SELECT DISTINCT c FROM t)),
+        r AS (
+          SELECT h.c, t.i, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.i <= h.h
+          UNION ALL SELECT h.c, t.i, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+        p AS (
+          SELECT c, row_number() OVER w AS depth, length(text) AS chars,
+                 md5(string_agg(concat(length(role), ':', role, length(text), ':', text), '') OVER w) AS node
+          FROM r WINDOW w AS (PARTITION BY c ORDER BY i)
+          UNION ALL SELECT c, 0, 0, 'root' FROM h),
+        size AS (SELECT c, max(depth) AS d FROM p GROUP BY c),
+        n AS (
+          SELECT node, depth, min(p.c) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+                 count(*) FILTER (size.d > depth) = 0 AS leaf,
+                 coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (size.d = depth), '') AS ends
+          FROM p JOIN size ON size.c = p.c GROUP BY node, depth),
+        above AS (
+          SELECT a.node, n.conv_id, n.depth, (n.n_convs - 1) * n.chars AS saved, n.leaf, a.depth AS a_depth
+          FROM n JOIN p AS a ON a.c = n.conv_id AND a.depth <= n.depth),
+        s AS (
+          SELECT node, count(*) FILTER (depth = a_depth + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves,
+                 CAST(sum(saved) AS BIGINT) AS saved_tokens
+          FROM above GROUP BY node)
+        SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens,
+               sha256(n.ends) AS ends_sha256
+        FROM n JOIN s ON s.node = n.node
+        LEFT JOIN p ON p.c = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN n AS up ON up.node = p.node""",
 }

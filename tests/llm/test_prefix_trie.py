@@ -1,0 +1,103 @@
+"""The conversation trie against plain dictionaries, the SQL, and the awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from conftest import SF01
+from oracle_util import compare, duck
+
+from stevedore.llm import prefix_trie as t
+from stevedore.llm.cases import CASES, ORACLE_SQL
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def brute(rows):
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, x) for _, _, r, x in sorted(turns)] for c, turns in convs.items()}
+    paths = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        paths[c] = tuple(own.get(c - c % 100, [])[:h] + turns[h:])
+    members = {}
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    out = []
+    for node, ids in members.items():
+        below = [q for q in members if q[: len(node)] == node]
+        children = [q for q in below if len(q) == len(node) + 1]
+        leaves = [q for q in below if not any(p[:-1] == q for p in members if p)]
+        saved = sum((len(members[q]) - 1) * (len(q[-1][1]) if q else 0) for q in below)
+        ends = ",".join(str(c) for c in sorted(ids) if len(paths[c]) == len(node))
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(ids), len(node), parent, len(ids), len(children), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out)
+
+
+def run(spark, rows, shard_rows=t.SHARD_ROWS, parts=3):
+    df = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING").repartition(parts)
+    return sorted(tuple(r[c] for c in COLUMNS) for r in t.conversation_trie(df, shard_rows).collect())
+
+
+@pytest.mark.parametrize(("seed", "shard_rows"), [(0, 10**6), (1, 12), (2, 3), (3, 30)])
+def test_random_conversations(spark, seed, shard_rows):
+    rng = random.Random(seed)
+    rows = []
+    for c in rng.sample(range(0, 420), 45):
+        first = rng.choice([("system", "s"), ("user", "é😀"), ("user", "hi"), (None, None)])
+        for turn in range(rng.randrange(1, 9)):
+            role, text = first if turn == 0 else rng.choice([("user", "a"), ("assistant", "bb"), ("user", ""), ("user", None)])
+            rows.append((c, turn if rng.random() < 0.95 or turn else None, role, text))
+    rows += [(None, 0, "user", "no id"), (100, 0, "user", "base")]
+    assert run(spark, rows, shard_rows) == brute(rows)
+
+
+def test_hot_prefix_copies_and_long_conversation(spark):
+    """A third of the conversations are copies, all share the first turn, and one has 400 turns."""
+    rows = [(c, i, "user", x) for c in range(0, 20000, 100) for i, x in enumerate(["same", "copy"] if c % 300 == 0 else ["same", str(c % 7)])]
+    rows += [(c + 7, i, "user", f"t{i}") for c in (0, 500) for i in range(12)]
+    rows += [(999_900, i, "assistant", "x" * (i % 5)) for i in range(400)]
+    got = run(spark, rows, 40, parts=5)
+    small = [r for r in rows if r[0] != 999_900]
+    expected = {(r[0], r[1]): r for r in brute(small)}
+    by_node = {(r[0], r[1]): r for r in got}
+    assert len(by_node) == len(got) == len(expected) + 400
+    for key, row in expected.items():
+        assert by_node[key] == row if key != (0, 0) else by_node[key][3:6] == (row[3] + 1, row[4] + 1, row[5] + 1)
+
+
+def test_turnless_and_awkward_rows(spark):
+    """A conversation shorter than its cut, without a base, has no turns but counts at the root."""
+    short = next(c for c in range(201, 300) if zlib.crc32(str(c).encode()) % 6 >= 2)
+    rows = [(short, 0, "user", "gone")]
+    assert run(spark, rows) == brute(rows) == [(short, 0, None, 1, 0, 1, 0, hashlib.sha256(str(short).encode()).hexdigest())]
+    rows = [(300, None, None, None), (300, None, None, None), (300, 1, "", "x" * 100_000), (300, -5, "user", "a"), (300, 2, "a", "b"), (300, 3, "ab", "")]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, []) == [] and run(spark, [(None, 0, "user", "x")]) == []
+    extra = spark.createDataFrame([(1, 0, "user", "x", "d", 5)], "conv_id LONG, turn LONG, role STRING, text STRING, digest STRING, pos INT")
+    assert t.conversation_trie(extra).count() == len(brute([(1, 0, "user", "x")]))
+
+
+def test_sql_and_whole_table(spark):
+    ok, msg = compare(CASES["op12_trie"](spark, SF01), duck(SF01), ORACLE_SQL["op12_trie"])
+    assert ok, msg
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 2**63, (5000, 2)).astype(np.uint64)
+    table = t.PerfectHash(keys)
+    assert sorted(table.slots(keys)) == list(range(5000))
+    assert (table.slots(keys + np.uint64(1)) == -1).all()
+    with pytest.raises(ValueError):
+        t.PerfectHash(np.zeros((2, 2), np.uint64))
+    assert len(t.PerfectHash(np.zeros((0, 2), np.uint64))) == 0
