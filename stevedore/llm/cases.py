@@ -82,6 +82,23 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts look like marks, beside those of the table.
+MARKS = "<|im_end|><|im_start|>assistant ok"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stevedore.llm.chat_format import digest
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(MARKS).alias("text"),
+    )
+    return digest(turns.unionByName(marks))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.prefix_trie import conversation_trie
 
@@ -105,6 +122,7 @@ CASES: dict[str, Case] = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
+    "op11_chat": op11_chat,
     "op12_trie": op12_trie,
     "op13_collocations": op13_collocations,
 }
