@@ -1,10 +1,10 @@
 """Phrase collocations: counts of 1 to 5 words kept as sorted streams, merged in lockstep.
 
-Counting goes over the texts three times, in Arrow batches whose n-grams are counted by sorting integer codes:
-words, pairs of frequent words, and then the longer phrases whose pairs are all frequent. A phrase is never more
-frequent than its parts, so a part below the least count rules the phrase out, whatever the corpus. What is
-frequent goes to the tasks as a bit filter of 2 MB; a filter too full only lets more phrases be counted. Counts are
-keyed by the words themselves.
+Counting goes over the texts three times, in Arrow batches whose n-grams are counted by sorting integer codes: words;
+pairs of frequent words, as numbers of one of 2**32 buckets only; and then all phrases whose pairs lie in buckets that reach
+the least count. A phrase is never more frequent than its parts, nor a pair than its bucket, so what is below the least count rules
+out the phrases around it, whatever the corpus. What is frequent goes to the tasks as bit filters of 2 MB; a filter too full
+only lets more phrases be counted. Every count that is used is keyed by the words themselves.
 
 The phrases that reach the least count are then kept in two orders: by their words from the left (a phrase directly
 follows its first words and precedes its extensions to the right) and from the right. One pass over each
@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stevedore.llm.common import FILTER_BITS, filter_bit, in_filter, key_filter, slices, staged
+from stevedore.llm.common import FILTER_BITS, in_filter, key_filter, slices, staged
 
 MOST_WORDS = 5
 LEAST_COUNT = 100
@@ -69,16 +69,21 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, piece.astype(np.int64), text
 
 
-def _filter_key(lang: str, phrase: str) -> int:
-    """As ``filter_bit`` of the same text in Spark."""
-    digest = xxhash.xxh64_intdigest(f"{lang}\t{phrase}", 42)
-    again = xxhash.xxh64_intdigest((digest).to_bytes(8, "little"), 42)
-    return again % FILTER_BITS
+def _word_hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    """As ``xxhash64(concat_ws('\t', lang, word))`` in Spark."""
+    pairs = zip(langs.to_pylist(), words.to_pylist(), strict=True)
+    return np.fromiter((xxhash.xxh64_intdigest(f"{lang}\t{word}", 42) for lang, word in pairs), np.uint64, len(words))
 
 
-def _known(langs: list, phrases: list, bitmap: np.ndarray) -> np.ndarray:
-    bits = np.fromiter((_filter_key(a, b) for a, b in zip(langs, phrases, strict=True)), np.int64, len(langs))
-    return in_filter(bitmap, bits)
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _pair_buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One of 2**32 buckets for a pair, from the hashes of its words."""
+    with np.errstate(over="ignore"):
+        x = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
 
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,64 +117,66 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(total["lang"].combine_chunks(), pa.nulls(len(total), pa.string()), 0, total["n_sum"].to_numpy())
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", _SLICE):
-        for langs, pairs, n, _ in _frequent_pairs(batch, words):
-            yield _rows(langs, pairs, 2, n)
-
-
-def _frequent_pairs(batch: pa.RecordBatch, bitmap: np.ndarray):
-    """The distinct pairs of words that the filter lets pass, counted, and for later steps how they lie in the text."""
+def _pairs(batch: pa.RecordBatch, bitmap: np.ndarray):
+    """Where two words that the filter lets pass stand side by side in a piece, with the words' numbers and hashes."""
     piece, token, _, langs, words = _tokens(batch)
-    ok = _known(langs.to_pylist(), words.to_pylist(), bitmap)[token] if len(token) else np.zeros(0, bool)
+    hashes = _word_hashes(langs, words)
+    ok = in_filter(bitmap, _bit(hashes))[token] if len(token) else np.zeros(0, bool)
     at = np.flatnonzero(ok[:-1] & ok[1:] & (piece[:-1] == piece[1:])) if len(token) > 1 else np.zeros(0, np.int64)
-    size = max(1, len(words))
-    found, which, n = _dense(token[at] * size + token[at + 1])
-    left, right = pa.array(found // size), pa.array(found % size)
-    yield langs.take(left), pc.binary_join_element_wise(words.take(left), words.take(right), " "), n, (at, which, token, langs, words)
+    return at, token, hashes, langs, words
+
+
+_BUCKETS = pa.schema([("bucket", pa.int32()), ("f", pa.int64())])
+_BUCKETS_SQL = "bucket int, f bigint"
+
+
+def _count_buckets(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", _SLICE):
+        at, token, hashes, _, _ = _pairs(batch, known)
+        found, n = np.unique(_pair_buckets(hashes[token[at]], hashes[token[at + 1]]).astype(np.uint32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int32)), pa.array(n.astype(np.int64))], schema=_BUCKETS)
 
 
-def _count_longer(batches: Iterator[pa.RecordBatch], words: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _count_phrases(batches: Iterator[pa.RecordBatch], known: np.ndarray, known_pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", _SLICE):
-        for langs, phrases, _, (at, which, token, _, vocabulary) in _frequent_pairs(batch, words):
-            known = _known(langs.to_pylist(), phrases.to_pylist(), pairs) if len(phrases) else np.zeros(0, bool)
-            good = known[which]
-            at, phrase_at = at[good], which[good]
-            pair_starts = np.zeros(len(token) + 1, bool)
-            pair_starts[at] = True
-            size = max(1, len(vocabulary))
-            for m in range(3, MOST_WORDS + 1):
-                # A phrase goes on where the pair of its last word and the next one is frequent too (same piece).
-                on = pair_starts[at + m - 2]
-                at, phrase_at = at[on], phrase_at[on]
-                found, phrase_at, n = _dense(phrase_at * size + token[at + m - 1])
-                if not len(found):
-                    break
-                front = pa.array(found // size)
-                phrases = pc.binary_join_element_wise(phrases.take(front), vocabulary.take(pa.array(found % size)), " ")
-                langs = langs.take(front)
-                yield _rows(langs, phrases, m, n)
+        at, token, hashes, langs, words = _pairs(batch, known)
+        at = at[in_filter(known_pairs, _bit(_pair_buckets(hashes[token[at]], hashes[token[at + 1]])))]
+        goes_on = np.zeros(len(token) + 1, bool)
+        goes_on[at] = True  # a pair that may be frequent starts here
+        size, number, phrase_langs, phrases = max(1, len(words)), token[at], langs, words
+        for m in range(2, MOST_WORDS + 1):
+            # A phrase goes on where the pair of its last word and the next one does (in the same piece).
+            on = goes_on[at + m - 2]
+            at, number = at[on], number[on]
+            found, number, n = _dense(number * size + token[at + m - 1])
+            if not len(found):
+                break
+            front = pa.array(found // size)
+            phrases = pc.binary_join_element_wise(phrases.take(front), words.take(pa.array(found % size)), " ")
+            phrase_langs = phrase_langs.take(front)
+            yield _rows(phrase_langs, phrases, m, n)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST_COUNT) -> DataFrame:
     """(lang, phrase, m, f): every phrase of ``m`` = 1 to 5 words that occurs ``least`` times or more in its
     language, and for each language a row of ``m`` = 0 with its number of words."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    context = rows.sparkSession.sparkContext
 
     def counted(count, name: str) -> DataFrame:
-        found = rows.mapInArrow(lambda batches: count(batches), _COUNTED_SQL)
-        return staged(found.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("m") == 0)), name)
+        found = rows.mapInArrow(count, _COUNTED_SQL).groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f"))
+        return staged(found.filter((F.col("f") >= least) | (F.col("m") == 0)), name)
 
-    def filter_of(counts: DataFrame) -> np.ndarray:
-        key = F.xxhash64(F.concat_ws("\t", "lang", "phrase"))
-        return key_filter(counts.filter(F.col("m") > 0).select(filter_bit(key).alias("bit")))
+    def filter_of(key: Column) -> Column:
+        return F.pmod(key, F.lit(FILTER_BITS)).cast("long").alias("bit")
 
     words = counted(_count_words, "phrase-words")
-    known_words = rows.sparkSession.sparkContext.broadcast(filter_of(words))
-    pairs = counted(lambda b: _count_pairs(b, known_words.value), "phrase-pairs")
-    known_pairs = rows.sparkSession.sparkContext.broadcast(filter_of(pairs))
-    longer = counted(lambda b: _count_longer(b, known_words.value, known_pairs.value), "phrase-longer")
-    return words.unionByName(pairs).unionByName(longer)
+    word_bits = key_filter(words.filter("m > 0").select(filter_of(F.xxhash64(F.concat_ws("\t", "lang", "phrase")))))
+    known = context.broadcast(word_bits)
+    buckets = rows.mapInArrow(lambda batches: _count_buckets(batches, known.value), _BUCKETS_SQL)
+    full = buckets.groupBy("bucket").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    known_pairs = context.broadcast(key_filter(full.select(filter_of(F.col("bucket")))))
+    return words.unionByName(counted(lambda batches: _count_phrases(batches, known.value, known_pairs.value), "phrase-longer"))
 
 
 _SIDE_SQL = "lang string, phrase string, a bigint, parts array<bigint>, extended bigint"
