@@ -13,6 +13,7 @@ from stevedore.operators.tables import (
     overwrite_table_partitions,
     publish_external,
     publish_table,
+    read_evolved,
     replace_table,
 )
 
@@ -35,6 +36,7 @@ __all__ = [
     "overwrite_table_partitions",
     "publish_external",
     "publish_table",
+    "read_evolved",
     "reconcile",
     "reconcile_summary",
     "replace_table",

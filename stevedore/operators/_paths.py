@@ -46,6 +46,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop)
 
 
+def holds_data(spark: SparkSession, path: str) -> bool:
+    """Whether a file that readers see lies right in the folder."""
+    hadoop, system = _path(spark, path)
+    return system.exists(hadoop) and any(f.isFile() and f.getPath().getName()[0] not in "._" for f in system.listStatus(hadoop))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop, system = _path(spark, path)
     system.delete(hadoop, True)
@@ -69,8 +75,18 @@ def partition_text(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c).cast("string"), F.lit("")) for c in partition_by})
 
 
+def text_schema(schema: str | T.StructType, partition_by: Sequence[str]) -> T.StructType:
+    """The schema with its partition columns as strings."""
+    given = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in partition_by else f for f in given.fields])
+
+
 def read_text_partitions(
-    spark: SparkSession, path: str, partition_by: Sequence[str], folders: Sequence[str] | None = None, schema: str | None = None
+    spark: SparkSession,
+    path: str,
+    partition_by: Sequence[str],
+    folders: Sequence[str] | None = None,
+    schema: str | T.StructType | None = None,
 ) -> DataFrame:
     """The table at ``path`` (or only these folders of it) with its partition columns as strings.
 
@@ -78,28 +94,13 @@ def read_text_partitions(
     """
     reader = own_session(spark, AS_TEXT).read.option("basePath", path)
     if schema:
-        given = T._parse_datatype_string(schema)
-        texts = [T.StructField(f.name, T.StringType()) if f.name in partition_by else f for f in given.fields]
-        reader = reader.schema(T.StructType(texts))
+        reader = reader.schema(text_schema(schema, partition_by))
     df = reader.parquet(*([path] if folders is None else [f"{path.rstrip('/')}/{f}" for f in folders]))
     if missing := [c for c in partition_by if c not in df.columns]:
         raise ValueError(f"partition columns {missing} not in {df.columns}")
     return df
 
 
-def file_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(folder below ``path``, number of Parquet files, their bytes), from a listing: one row for each
-    file, and no file is opened."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(path)
-        .select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length")
-    )
-    return files.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-
-
 def move_files(spark: SparkSession, source: str, target: str, prefix: str) -> None:
     """Move the Parquet files of the partition folders below ``source`` to the same folders below ``target``, their
     names prefixed; files of that prefix that are there already are removed first."""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stevedore.functions.types import check_store, wider_type
+from stevedore.functions.types import check_store, conform, evolved_schema
 from stevedore.operators._keys import SPREAD, any_key_null, check_keys, spread_column
-from stevedore.operators._paths import delete, exists, folder, partition_text, read_text_partitions, reject_sink_log
+from stevedore.operators._paths import delete, exists, folder, holds_data, partition_text, read_text_partitions, reject_sink_log
+from stevedore.operators._schemas import Layout, layout, list_files, read_files, read_layout, unescaped
 
 
 def _as_column(cond: Column | str | None) -> Column | None:
@@ -123,40 +126,6 @@ def _merge_colocated(target: DataFrame, src: DataFrame, keys: list[str], cols: l
     return merged.unionByName(kept_targets).unionByName(inserted)
 
 
-def evolved_schema(base: T.StructType, incoming: T.StructType) -> T.StructType:
-    """Base columns (widened where needed), then columns new in ``incoming``.  Names match in upper or
-    lower case alike, as Spark's do, and keep the base's spelling.
-
-    Raises ``TypeError`` naming every incompatible column.  Checked on schemas only,
-    before any row is read.
-    """
-    inc = {f.name.lower(): f for f in incoming.fields}
-    fields, bad = [], []
-    for f in base.fields:
-        other = inc.get(f.name.lower())
-        wt = f.dataType if other is None else wider_type(f.dataType, other.dataType)
-        if wt is None:
-            bad.append(f"{f.name}: {f.dataType.simpleString()} vs {other.dataType.simpleString()}")
-            continue
-        fields.append(T.StructField(f.name, wt, True))
-    names = {f.name.lower() for f in base.fields}
-    fields += [T.StructField(f.name, f.dataType, True) for f in incoming.fields if f.name.lower() not in names]
-    if bad:
-        raise TypeError("evolve_append: incompatible column types: " + "; ".join(bad))
-    return T.StructType(fields)
-
-
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """``df`` with exactly ``schema``'s columns: cast by name, absent ones NULL."""
-    have = {c.lower(): c for c in df.columns}
-    return df.select(
-        *[
-            (F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
-
-
 def evolve_append(base: DataFrame, incoming: DataFrame) -> DataFrame:
     """``base`` followed by ``incoming`` under the evolved schema.
 
@@ -226,6 +195,28 @@ def fold_batches(
     )
 
 
+#: Types whose smallest and largest key can be a filter on the target's scan.
+_RANGED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType, T.DecimalType)
+
+
+def _touched_files(how, root: str, files: Sequence[str], src: DataFrame, keys: Sequence[str], same: dict[str, Column], spans: dict) -> set[str]:
+    """The files that hold a key of ``src``: their key columns only are read, and of these the row groups whose keys
+    can lie between the smallest and the largest of the batch."""
+    wanted = set(files)
+    groups = [(list(files), how.schema)] if how.files is None else [([f for f in own if f in wanted], schema) for own, schema in how.files]
+    at = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("__file")
+    sides = []
+    for names, schema in groups:
+        if names:
+            rows = read_files(how.session, root, names, schema)
+            for k, (low, high) in spans.items():
+                if low is not None and schema[k].dataType == how.schema[k].dataType:
+                    rows = rows.filter(F.col(k).between(F.lit(low), F.lit(high)))
+            sides.append(rows.withColumns(same).select(*[F.col(k).cast(how.schema[k].dataType).alias(k) for k in keys], *same, at))
+    found = reduce(DataFrame.unionByName, sides).join(src.withColumns(same).select(*keys, *same), [*keys, *same], "left_semi")
+    return {r[0] for r in found.select("__file").distinct().collect()}
+
+
 def merge_into_path(
     spark,
     path: str,
@@ -234,26 +225,30 @@ def merge_into_path(
     partition_by: Sequence[str],
     *,
     delete_when: Column | str | None = None,
+    evolve: Sequence[str] | None = None,
 ) -> int:
-    """Upsert ``source`` into the partitioned Parquet table at ``path``, rewriting only
-    the partitions the source touches.  Returns their number.
+    """Upsert ``source`` into the partitioned Parquet table at ``path``, rewriting only the files that hold
+    a key of it.  Returns the number of partitions that the source touches.
 
     Rows match on ``keys`` *and* the partition columns (a key is looked up within its
     partition), with ``merge_upsert``'s rules otherwise; a NULL partition value is a partition like
     any other, while NULL ``keys`` match nothing.  Partition values are the text in folder names
-    (``01`` stays ``01``), and source values are compared as text.  Steps:
+    (``01`` stays ``01``), and source values are compared as text.
+
+    Files may differ in schema: rows are merged under the schema that holds all files of the touched
+    partitions (``_schemas``), so no column is lost.  ``evolve`` names source columns that the table gets if it lacks them (NULL
+    in its old rows), and lets the columns that both have widen to the source's types; without it a source that doesn't fit raises.
 
     1. the source is staged once, so that all passes see the same rows; the touched partition values,
-       one row each, name the folders;
-    2. only those folders are opened, the rest of the table isn't listed; the merged rows are staged
-       under the scratch root, which also cuts the lineage: nothing reads ``path`` while it is written;
-    3. the staged partitions replace theirs by dynamic partition overwrite, and exactly the touched
-       folders that the merge emptied are removed.
-
-    Each partition is replaced at commit; the table as a whole is not swapped
-    atomically (no table format here).
+       one row each, name the folders, and only those are listed;
+    2. the key columns of their files, filtered to the batch's range of keys, meet the source's keys: the files with a match,
+       by name, are those to rewrite;
+    3. their rows are merged and written beside them once; then the old files go, and folders that the merge emptied.
+
+    The new files appear when the write commits, before the old ones are removed one by one: a reader in between sees rows of
+    both, and so does everyone if the driver is lost just then (there is no table format to switch versions at once). A job that
+    fails before leaves the table as it was; lost executors only repeat tasks.
     """
-    from stevedore.operators.tables import overwrite_partitions
     from stevedore.session import scratch_path
 
     pcols, keys = list(partition_by), list(keys)
@@ -265,27 +260,46 @@ def merge_into_path(
     staged_source = scratch_path(spark, "merge_source")
     text = partition_text(source, pcols)
     text.write.parquet(staged_source)
-    listed = [tuple(r) for r in spark.read.schema(text.schema).parquet(staged_source).select(*pcols).distinct().collect()]
-    if not listed:
+    staged = spark.read.schema(text.schema).parquet(staged_source)
+    ranged = [k for k in keys if isinstance(text.schema[k].dataType, _RANGED)]
+    spread = [f(k).alias(f"__{n}_{k}") for k in ranged for n, f in (("low", F.min), ("high", F.max))]
+    touched_rows = staged.groupBy(*pcols).agg(F.lit(1).alias("__one"), *spread).collect()
+    if not touched_rows:
         return 0
-    touched = {folder(spark, pcols, values): values for values in listed}
-    present = [f for f in touched if exists(spark, f"{root}/{f}")]
-    if present:
-        target = read_text_partitions(spark, path, pcols, present)
+    touched = {folder(spark, pcols, [r[c] for c in pcols]) for r in touched_rows}
+    spans = {}
+    for k in ranged:
+        lows, highs = ([r[f"__{n}_{k}"] for r in touched_rows if r[f"__{n}_{k}"] is not None] for n in ("low", "high"))
+        spans[k] = (min(lows, default=None), max(highs, default=None))
+    present = sorted(f for f in touched if exists(spark, f"{root}/{f}"))
+    listed = list_files(spark, [f"{root}/{unescaped(f)}" for f in present]) if present else None
+    files = [r.path for r in listed.select("path").collect()] if present else []
+    if files:
+        how = layout(spark, root, pcols, listed)
     else:  # every touched partition is new
-        target = read_text_partitions(spark, path, pcols).filter(F.lit(False))
-    check_keys(target, keys + pcols, "merge_into_path target")
-    session, schema = target.sparkSession, target.schema
-    src = session.read.schema(text.schema).parquet(staged_source)
+        known = read_text_partitions(spark, path, pcols)
+        how = Layout(known.sparkSession, known.schema, None)
+    schema = how.schema
+    check_keys(how.session.createDataFrame([], schema), keys + pcols, "merge_into_path target")
+    if evolve is not None:
+        kept = [f for f in text.schema.fields if f.name in schema.names or f.name in set(evolve)]
+        schema = evolved_schema(schema, T.StructType(kept))
+        schema = T.StructType([f for f in schema.fields if f.name not in pcols] + [schema[c] for c in pcols])
+    src = how.session.read.schema(text.schema).parquet(staged_source)
     # NULL partition values meet as one text; Spark writes NULL and '' to the same folder.
     same = {f"__part{i}": F.coalesce(F.col(c), F.lit("")) for i, c in enumerate(pcols)}
+    marks = _touched_files(how, root, files, src, keys, same, spans) if files else set()
+    plain = lambda p: re.sub(r"^([a-z0-9]+):/+", r"\1:/", p)
+    marks = {plain(m) for m in marks}
+    old = [f for f in files if plain(f) in marks]
+    if len(old) != len(marks):
+        raise RuntimeError(f"merge_into_path: {len(marks) - len(old)} files with matches are not in the listing of {path}")
+    target = conform(read_layout(how, root, old), schema) if old else how.session.createDataFrame([], schema)
     merged = merge_upsert(target.withColumns(same), src.withColumns(same), keys + list(same), delete_when=delete_when).drop(*same)
-    staged = scratch_path(spark, "merge_stage")
-    # Laid out once here (rebalanced by partition); the swap below copies it as it is.
-    merged.hint("rebalance", *pcols).write.partitionBy(*pcols).parquet(staged)
-    emptied = [f for f in present if not exists(spark, f"{staged.rstrip('/')}/{f}")]
-    if len(emptied) < len(touched):
-        overwrite_partitions(session.read.schema(schema).parquet(staged), path, pcols, rebalance=False)
-    for f in emptied:
-        delete(spark, f"{root}/{f}")
-    return len(listed)
+    merged.hint("rebalance", *pcols).write.mode("append").partitionBy(*pcols).parquet(path)
+    for f in old:
+        delete(spark, f)
+    for f in present:
+        if not holds_data(spark, f"{root}/{f}"):
+            delete(spark, f"{root}/{f}")
+    return len(touched)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stevedore.functions.types import check_store
-from stevedore.operators._paths import file_sizes, in_session, read_text_partitions, reject_sink_log
+from stevedore.operators._paths import in_session, reject_sink_log, text_schema
+from stevedore.operators._schemas import Layout, layout, list_files, read_evolved, read_layout, unescaped
 
 
 def _table_writer(df: DataFrame, mode: str, partition_by: Sequence[str], bucket_by):
@@ -235,6 +236,55 @@ def _needed(target_bytes: int):
     return F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(float(target_bytes)))).cast("long")
 
 
+#: Folders whose scans make up one job: a plan of this many scans is still quickly made.
+_FOLDERS_PER_JOB = 256
+
+
+def _packing(target_bytes: int) -> dict[str, str]:
+    """Whole files are packed into scan tasks of ``target_bytes``, and a task writes what it reads, in that order."""
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{target_bytes}b",
+        "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.files.minPartitionNum": "1",
+        "spark.sql.maxConcurrentOutputFileWriters": "16",  # no sort by partition value before writing
+        "spark.sql.unionOutputPartitioning": "false",  # or one-task scans would all run in one task
+    }
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    while len(parts) > 1:
+        parts = [a.unionAll(b[0]) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+    return parts[0]
+
+
+def _packed(how: Layout, root: str, folders: list[tuple[str, int]]) -> DataFrame:
+    """The rows of these folders, each folder's in its own number of tasks; nothing is shuffled."""
+    by_folder: dict[str, list[str]] = {}
+    for names, _ in how.files or []:
+        for name in names:
+            by_folder.setdefault(name.rpartition("/")[0], []).append(name)
+    scans = []
+    for at, tasks in folders:
+        rows = read_layout(how, root, by_folder[at] if how.files else [at])
+        scans.append(rows.coalesce(tasks))
+    return _union(scans)
+
+
+def _rewrite(spark: SparkSession, files: DataFrame, root: str, pcols: list[str], target_bytes: int, folders: list[tuple[str, int]], schema, write) -> None:
+    how = layout(spark, root, pcols, files)
+    if schema:
+        how = Layout(how.session, text_schema(schema, pcols), None)
+    for key, value in _packing(target_bytes).items():
+        how.session.conf.set(key, value)  # the session of ``layout``, nobody else's
+    for at in range(0, len(folders), _FOLDERS_PER_JOB):
+        write(_packed(how, root, folders[at : at + _FOLDERS_PER_JOB]).write, at == 0)
+
+
+def _folder_sizes(files: DataFrame, target_bytes: int) -> DataFrame:
+    sizes = files.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return sizes.select("folder", "files", _needed(target_bytes).alias("needed"))
+
+
 def compact(
     spark: SparkSession,
     path_in: str,
@@ -247,38 +297,33 @@ def compact(
 ) -> int:
     """Rewrite the Parquet data at ``path_in`` into files of about ``target_bytes`` at ``path_out``.
 
-    Rows are unchanged (as a multiset), and so are partition values: they are read and
-    written as the text of their folder names.  ``REBALANCE`` on the partition columns deals rows out
-    by partition value; AQE splits large values and merges small ones by the bytes it measured, so no
-    row is hashed or sampled and the number of tasks follows the data.  Returns the number of files of
-    ``target_bytes`` that the input's bytes need, from the file listing.
+    Rows are unchanged (as a multiset, and in their order within a file), and so are partition values: they are read and
+    written as the text of their folder names.  Files may differ in schema: the output has every column, under
+    the schema that holds them all (``_schemas``; ``schema`` overrides it).
+
+    Nothing is shuffled.  A folder's whole files are packed into scan tasks by their sizes in the listing, into at
+    most as many tasks as its bytes need files, and each task writes one file.  Returns the number of files of
+    ``target_bytes`` that the input's bytes need; at most as many are written.  One row for each folder comes to the driver.
 
     ``path_out`` must differ from ``path_in``: the job reads while it writes.
     Swapping the compacted copy in is the caller's step.
     """
     if _norm(path_in) == _norm(path_out):
         raise ValueError("compact: path_out must differ from path_in")
-    pcols = list(partition_by)
+    pcols, root = list(partition_by), path_in.rstrip("/")
     reject_sink_log(spark, path_in, "compact")
-    total = int(file_sizes(spark, path_in).agg(F.sum(_needed(target_bytes))).first()[0] or 0)
-    if not total:
+    files = list_files(spark, [root])
+    if not pcols:
+        files = files.withColumn("folder", F.lit(root))
+    folders = [(r.folder, r.needed) for r in _folder_sizes(files, target_bytes).orderBy("folder").collect()]
+    if not folders:
         return 0
-    src = read_text_partitions(spark, path_in, pcols, schema=schema)
-    writer = _compacted(src, pcols, target_bytes).write.mode(mode)
-    if pcols:
-        writer = writer.partitionBy(*pcols)
-    writer.parquet(path_out)
-    return total
 
+    def write(writer, first: bool) -> None:
+        writer.mode(mode if first else "append").partitionBy(*pcols).parquet(path_out)
 
-#: Bytes of shuffled rows for a byte of Parquet, about: AQE sizes tasks by the former.
-_SHUFFLE_RATIO = 2
-
-
-def _compacted(src: DataFrame, pcols: Sequence[str], target_bytes: int) -> DataFrame:
-    for key, value in _sized(_SHUFFLE_RATIO * target_bytes).items():
-        src.sparkSession.conf.set(key, value)  # the session of ``read_text_partitions``, nobody else's
-    return src.hint("rebalance", *pcols)
+    _rewrite(spark, files, root, pcols, target_bytes, folders, schema, write)
+    return sum(needed for _, needed in folders)
 
 
 def compact_in_place(
@@ -292,23 +337,24 @@ def compact_in_place(
     """Compact, in place, only the partitions of ``path`` that hold more files than needed.
 
     A partition is rewritten when its file count exceeds ``ceil(bytes / target_bytes)``, by the
-    file listing; the others are not read or touched.  Only the folders to rewrite are opened.  The new
-    files are written under the scratch root (nothing reads ``path`` while it is written) and
-    swapped in by dynamic partition overwrite.  Returns the number of partitions rewritten.
+    file listing; the others are not read or touched.  As ``compact`` does, without a shuffle and without losing a column of files that
+    differ.  The new files are written once, by dynamic partition overwrite: what a job read is replaced only when
+    all of its tasks have finished.  Returns the number of partitions rewritten.
     """
-    from stevedore.session import scratch_path
-
-    pcols = list(partition_by)
+    pcols, root = list(partition_by), path.rstrip("/")
     if not pcols:
         raise ValueError("compact_in_place needs partition columns; use compact for a whole folder")
     reject_sink_log(spark, path, "compact_in_place")
+    listed = list_files(spark, [root])
     # One row for each partition to rewrite comes to the driver: its folder's name, as in any listing.
-    todo = [r.folder for r in file_sizes(spark, path).filter(F.col("files") > _needed(target_bytes)).select("folder").collect()]
-    if not todo:
+    found = _folder_sizes(listed, target_bytes).filter("files > needed").orderBy("folder").collect()
+    folders = [(r.folder, r.needed) for r in found]
+    if not folders:
         return 0
-    names = ["/".join(f.rstrip("/").split("/")[-len(pcols) :]) for f in todo]
-    src = read_text_partitions(spark, path, pcols, names, schema)
-    staged = scratch_path(spark, "compact_out")
-    _compacted(src, pcols, target_bytes).write.partitionBy(*pcols).parquet(staged)
-    overwrite_partitions(src.sparkSession.read.schema(src.schema).parquet(staged), path, pcols, rebalance=False)
-    return len(todo)
+
+    def write(writer, first: bool) -> None:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*pcols).parquet(path)
+
+    files = list_files(spark, [unescaped(f) for f, _ in folders])
+    _rewrite(spark, files, root, pcols, target_bytes, folders, schema, write)
+    return len(folders)
