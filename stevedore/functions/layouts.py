@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 _DATE = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
 _BRACKET = rf"\[({_DATE})\] \[([A-Za-z]+)\] (.*)"  # groups 1-3
-_LOG4J_THREAD = rf"({_DATE}\.\d{{3}}) ([A-Za-z]+) +\[([^\]]*)\] (\S+) - (.*)"  # groups 4-8
+_LOG4J_THREAD = rf"({_DATE}\.\d{{3}}) ([A-Za-z]+) +\[(.*?)\] (\S+) - (.*)"  # groups 4-8; a thread's name may hold brackets
 _LOG4J_LINE = rf"({_DATE}\.\d{{3}}) ([A-Za-z]+) +(\S+?):(\d+) - (.*)"  # groups 9-13
 LINE_PATTERN = rf"(?s)^(?:{_BRACKET}|{_LOG4J_THREAD}|{_LOG4J_LINE})$"
 

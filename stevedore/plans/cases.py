@@ -31,6 +31,7 @@ from stevedore.operators import (
     overwrite_table_partitions,
     publish_external,
     publish_table,
+    read_evolved,
     reconcile,
     reconcile_summary,
     replace_table,
@@ -213,6 +214,34 @@ def compact_in_place_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(lineitem.schema).parquet(path).select(*lineitem.columns)
 
 
+#: Rows before this day were written by an older version of the job: fewer columns, narrower types.
+OLD_FILES_END = "1996-01-01 00:00:00"
+
+
+def compact_evolved_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old files without the line status and with 32-bit keys, beside new ones, in the same partitions."""
+    lineitem = table(spark, sf_dir, "lineitem").withColumn("l_month", _month("l_shipdate"))
+    path = scratch_path(spark, "lineitem_evolved")
+    old = lineitem.filter(F.col("l_shipdate") < ntz(OLD_FILES_END)).drop("l_linestatus")
+    old.withColumn("l_orderkey", F.col("l_orderkey").cast("int")).repartition(4).write.partitionBy("l_month").parquet(path)
+    lineitem.filter(F.col("l_shipdate") >= ntz(OLD_FILES_END)).repartition(4).write.mode("append").partitionBy("l_month").parquet(path)
+    compact_in_place(spark, path, ["l_month"])
+    return read_evolved(spark, path, ["l_month"]).select(*lineitem.columns)
+
+
+def merge_evolved_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old files without priorities and with 32-bit keys; the batch also brings a new column."""
+    orders = table(spark, sf_dir, "orders").withColumn("o_month", _month("o_orderdate"))
+    path = scratch_path(spark, "orders_evolved")
+    old = orders.filter(F.col("o_orderdate") < ntz(OLD_FILES_END)).drop("o_orderpriority")
+    overwrite_partitions(old.withColumn("o_orderkey", F.col("o_orderkey").cast("int")), path, ["o_month"])
+    new = orders.filter((F.col("o_orderdate") >= ntz(OLD_FILES_END)) & (F.col("o_orderdate") < ntz(MERGE_TARGET_END)))
+    overwrite_partitions(new, path, ["o_month"], mode="append")
+    source = orders.filter(F.col("o_orderdate") >= ntz(SPLIT_DATE)).withColumn("o_restated", F.col("o_totalprice") + 1)
+    merge_into_path(spark, path, source, ["o_orderkey"], ["o_month"], delete_when=F.col("o_orderstatus") == "F", evolve=["o_restated"])
+    return read_evolved(spark, path, ["o_month"]).select(*orders.columns, "o_restated")
+
+
 def overwrite_partitions_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     path = scratch_path(spark, "orders_by_status")
@@ -461,6 +490,8 @@ CASES: dict[str, Case] = {
     "optimized_write": optimized_write_case,
     "compact": compact_case,
     "compact_in_place": compact_in_place_case,
+    "compact_evolved": compact_evolved_case,
+    "merge_evolved": merge_evolved_case,
     "overwrite_partitions": overwrite_partitions_case,
     "overwrite_table_partitions": overwrite_table_partitions_case,
     "replace_table": replace_table_case,

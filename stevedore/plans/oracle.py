@@ -109,6 +109,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
                l_returnflag, l_linestatus, l_shipdate
         FROM lineitem""",
+    "compact_evolved": """
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+               l_returnflag, CASE WHEN l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' THEN l_linestatus END AS l_linestatus, l_shipdate,
+               nullif(strftime(l_shipdate, '%m'), '12') AS l_month
+        FROM lineitem""",
+    "merge_evolved": f"""
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+               CASE WHEN o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' THEN o_orderpriority END AS o_orderpriority,
+               nullif(strftime(o_orderdate, '%m'), '12') AS o_month,
+               CASE WHEN o_orderdate >= TIMESTAMP '{SPLIT_DATE}' THEN o_totalprice + 1 END AS o_restated
+        FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT_DATE}' OR o_orderstatus <> 'F'""",
     "overwrite_partitions": f"""
         SELECT {ORDERS} FROM orders WHERE o_orderstatus <> 'F'
         UNION ALL

@@ -177,3 +177,10 @@ def test_control_characters_survive_the_parse(spark):
     lines = spark.createDataFrame([("s", f"[2024-03-01 10:00:00] [INFO] {m}") for m in messages], "source STRING, value STRING")
     got = parse_logs(lines).collect()
     assert [(r.message, r.level) for r in got] == [(m, "INFO") for m in messages]
+
+
+def test_thread_names_hold_brackets(spark):
+    names = ["exec[1]", "a] b", "[", "]", "", "pool[2] thread[3]", "x - y"]
+    lines = spark.createDataFrame([("s", f"2024-03-01 10:00:00.000 INFO  [{n}] Foo - msg [x] Bar - z") for n in names], "source STRING, value STRING")
+    got = parse_logs(lines).collect()
+    assert [(r.thread or "", r.logger, r.message) for r in got] == [(n, "Foo", "msg [x] Bar - z") for n in names]
