@@ -103,10 +103,17 @@ def evolved_schema(base: T.StructType, incoming: T.StructType) -> T.StructType:
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with exactly ``schema``'s columns: cast by name, absent ones NULL."""
-    have = {c.lower(): c for c in df.columns}
-    return df.select(
-        *[
-            (F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    have = {f.name.lower(): f for f in df.schema.fields}
+    if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]:
+        return df
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+
+    def column(f: T.StructField):
+        own = have.get(f.name.lower())
+        if own is not None and own.dataType == f.dataType:
+            return f"{quoted(own.name)} AS {quoted(f.name)}"
+        value = F.lit(None) if own is None else F.col(quoted(own.name))
+        return value.cast(f.dataType).alias(f.name)
+
+    columns = [column(f) for f in schema.fields]
+    return df.select(*[F.expr(c) if isinstance(c, str) else c for c in columns])

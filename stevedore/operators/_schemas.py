@@ -8,6 +8,7 @@ schema, and each group is read under it and cast to the evolved schema (``functi
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -23,11 +24,11 @@ from stevedore.operators._paths import AS_TEXT, own_session, read_text_partition
 
 
 class Group(NamedTuple):
-    """Files of one schema: how many, and the oldest of them."""
+    """Files of one schema, the oldest first, and that schema as Spark noted it in them (None: not written by Spark)."""
 
-    mark: str
-    n_files: int
-    oldest: str
+    mark: str | None
+    files: list[str]
+    noted: str | None
 
 
 def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -50,37 +51,38 @@ def _open(path: str):
     return system.open_input_file(base.rstrip("/") + path[len(root) :])
 
 
-def _mark(path: str) -> str | None:
-    """What two files have in common if they have one schema; None where the store can't be reached from here."""
+def _footer(path: str) -> tuple[str | None, str | None]:
+    """What two files have in common if they have one schema (None where the store can't be reached from here), and the schema
+    as Spark noted it."""
     import pyarrow.parquet as pq
 
     try:
         with _open(path) as f:
             footer = pq.read_metadata(f)
     except (OSError, ImportError, NotImplementedError, pa.ArrowException):
-        return None
+        return None, None
     types = str(footer.schema).partition("\n")[2]
-    spark = (footer.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
-    return hashlib.sha256(types.encode() + b"\0" + spark).hexdigest()
+    noted = (footer.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    return hashlib.sha256(types.encode() + b"\0" + (noted or b"")).hexdigest(), noted.decode() if noted else None
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [_mark(p) for p in batch.column("path").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], names=[*batch.schema.names, "mark"])
+        found = [_footer(p) for p in batch.column("path").to_pylist()]
+        columns = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "mark", "noted"])
 
 
-def survey(files: DataFrame) -> DataFrame:
-    """``files`` (of ``list_files``) with ``mark``, alike for files of one schema; footers are read by the tasks."""
-    parts = min(1000, max(1, files.sparkSession.sparkContext.defaultParallelism * 4))
-    return files.repartition(parts).mapInArrow(_marks, files.schema.add("mark", "string"))
+def survey(files: DataFrame) -> list[Group]:
+    """The schemas among ``files`` (of ``list_files``), that of the oldest file first, with the names of their files.
 
-
-def groups(surveyed: DataFrame) -> list[Group]:
-    """One row for each schema, that of the oldest file first."""
-    by_mark = surveyed.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("modified", "path")).alias("first"))
-    rows = by_mark.orderBy("first").collect()
-    return [Group(r.mark, r.n, r.first.path) for r in rows]
+    One job: the tasks of the listing's scan (as many as the files' bytes make) read the footers.
+    """
+    texts = [T.StructField(c, T.StringType()) for c in ("mark", "noted")]
+    read = files.mapInArrow(_footers, T.StructType([*files.schema.fields, *texts]))
+    by_mark = read.groupBy("mark").agg(F.first("noted").alias("noted"), F.collect_list(F.struct("modified", "path")).alias("files"))
+    rows = [(sorted((f.modified, f.path) for f in r.files), r) for r in by_mark.collect()]
+    return [Group(r.mark, [path for _, path in names], r.noted) for names, r in sorted(rows, key=lambda x: x[0][0])]
 
 
 def unescaped(path: str) -> str:
@@ -88,8 +90,8 @@ def unescaped(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def read_files(session: SparkSession, root: str, files: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    reader = session.read.option("basePath", root)
+def read_files(session: SparkSession, root: str, files: Sequence[str], schema: T.StructType | None = None, *, merge: bool = False) -> DataFrame:
+    reader = session.read.option("basePath", root).option("mergeSchema", str(merge).lower())
     return (reader.schema(schema) if schema else reader).parquet(*[unescaped(f) for f in files])
 
 
@@ -109,32 +111,35 @@ class Layout(NamedTuple):
 def layout(spark: SparkSession, path: str, partition_by: Sequence[str], files: DataFrame) -> Layout:
     """The evolved schema of ``files`` below ``path``, with the partition columns as text.
 
-    Only where files differ do their names come to the driver, as in any listing. Where the store can't be reached from
+    File names come to the driver, as in any listing, and one schema for each kind of file. Where the store can't be reached from
     the tasks, Spark's own merge of footers is used: it adds columns, and raises where types differ.
     """
     session = own_session(spark, AS_TEXT)
-    surveyed = survey(files)
-    found = groups(surveyed)
+    found = survey(files)
     if any(g.mark is None for g in found):
-        names = [r.path for r in files.select("path").collect()]
-        merged = session.read.option("basePath", path).option("mergeSchema", "true").parquet(*[unescaped(n) for n in names])
-        return Layout(session, _ordered(text_schema(merged.schema, partition_by), partition_by), None)
-    schemas = [text_schema(read_files(session, path, [g.oldest]).schema, partition_by) for g in found]
-    if missing := [c for c in partition_by if any(c not in s.names for s in schemas)]:
-        raise ValueError(f"partition columns {missing} not in {schemas[0].names}")
-    schema = _ordered(reduce(evolved_schema, schemas), partition_by)
-    if len(found) == 1:
-        return Layout(session, schema, None)
-    names: dict[str, list[str]] = {g.mark: [] for g in found}
-    for r in surveyed.select("mark", "path").collect():
-        names[r.mark].append(r.path)
-    return Layout(session, schema, [(sorted(names[g.mark]), s) for g, s in zip(found, schemas, strict=True)])
+        merged = read_files(session, path, [f for g in found for f in g.files], merge=True).schema
+        return Layout(session, _ordered(text_schema(merged, partition_by), partition_by), None)
+    own = [_schema_of(session, path, g, partition_by) for g in found]
+    schema = _ordered(reduce(evolved_schema, own), partition_by)
+    return Layout(session, schema, [(g.files, s) for g, s in zip(found, own, strict=True)] if len(found) > 1 else None)
+
+
+def _schema_of(session: SparkSession, path: str, group: Group, partition_by: Sequence[str]) -> T.StructType:
+    texts = [T.StructField(c, T.StringType()) for c in partition_by]
+    if group.noted:
+        stored = T.StructType.fromJson(json.loads(group.noted))
+        own = T.StructType([f for f in stored.fields if f.name not in partition_by] + texts)
+    else:
+        own = text_schema(read_files(session, path, group.files[:1]).schema, partition_by)
+    if missing := [c for c in partition_by if f"/{c}=" not in group.files[0]]:
+        raise ValueError(f"partition columns {missing} not in {group.files[0]}")
+    return own
 
 
 def read_layout(how: Layout, path: str, chosen: Sequence[str]) -> DataFrame:
     """The rows of the ``chosen`` files (of those that ``how`` is about) under its schema."""
     if how.files is None:
-        return conform(read_files(how.session, path, chosen, how.schema), how.schema)
+        return read_files(how.session, path, chosen, how.schema)
     wanted = set(chosen)
     parts = [([f for f in files if f in wanted], own) for files, own in how.files]
     return reduce(DataFrame.unionByName, [conform(read_files(how.session, path, files, own), how.schema) for files, own in parts if files])
@@ -151,5 +156,5 @@ def read_evolved(spark: SparkSession, path: str, partition_by: Sequence[str] = (
     files = list_files(spark, [root] if folders is None else [f"{root}/{unescaped(f)}" for f in folders])
     how = layout(spark, root, list(partition_by), files)
     if how.files is None:
-        return conform(read_text_partitions(spark, root, partition_by, folders, how.schema), how.schema)
+        return read_text_partitions(spark, root, partition_by, folders, how.schema)
     return read_layout(how, root, [f for names, _ in how.files for f in names])
