@@ -67,29 +67,29 @@ def error_verdict(logs: DataFrame, pattern: str = ERROR_PATTERN) -> DataFrame:
     )
 
 
-def with_day(logs: DataFrame) -> DataFrame:
+def with_day(logs: DataFrame, *, moved: bool = False) -> DataFrame:
     """Add ``day``, unless it is there: that of the record a line belongs to, where lines carry their
-    place; lines above a file's first record have that record's day.  Without places, the line's own day."""
+    place; lines above a file's first record have that record's day.  Without places, the line's own day.
+
+    Places are used where the lines lie (``attach_records``); ``moved=True`` for lines that have left the task that read them.
+    """
     if "day" in logs.columns:
         return logs
     if not all(c in logs.columns for c in PLACE_COLUMNS):
         return logs.withColumn("day", F.to_date("ts"))
-    owned = attach_records(logs)
-    timed = F.when(F.col("ts").isNotNull(), F.struct("block", "seq"))
-    firsts = logs.groupBy(F.col("source").alias("_source")).agg(F.to_date(F.min_by("ts", timed)).alias("_first")).filter(F.col("_first").isNotNull())
-    joined = owned.join(firsts, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select(*logs.columns, F.coalesce(F.to_date("record_ts"), "_first").alias("day"))
+    owned = attach_records(logs, moved=moved, first="_first_ts")
+    return owned.select(*logs.columns, F.to_date(F.coalesce("record_ts", "_first_ts")).alias("day"))
 
 
-def write_daily(logs: DataFrame, path: str) -> None:
+def write_daily(logs: DataFrame, path: str, *, moved: bool = False) -> None:
     """Write logs under ``path/day=yyyy-MM-dd/``; a re-run replaces only the days it holds.
 
-    With the lines' places (``read_log_lines``), stack traces go with their records.  Lines of files that
+    The rebalance by day is the only shuffle of lines.  With the lines' places (``read_log_lines``), stack traces go with their records.  Lines of files that
     hold no time at all go to the ``day=__HIVE_DEFAULT_PARTITION__`` folder (NULL day), where a write
     replaces those of its own sources and keeps the others'.
     """
     spark = logs.sparkSession
-    dated = with_day(logs)
+    dated = with_day(logs, moved=moved)
     undated = f"{path.rstrip('/')}/day=__HIVE_DEFAULT_PARTITION__"
     if exists(spark, undated):
         earlier = spark.read.schema(dated.drop("day").schema).parquet(undated)
@@ -102,7 +102,7 @@ def write_daily(logs: DataFrame, path: str) -> None:
     overwrite_partitions(dated, path, ["day"])
 
 
-def keep_newest_days(logs: DataFrame, n: int = 30) -> DataFrame:
+def keep_newest_days(logs: DataFrame, n: int = 30, *, moved: bool = False) -> DataFrame:
     """Lines of the newest ``n`` days that have any line (days, not calendar span).
 
     The day list (at most ``n`` values) is computed first and applied as a literal
@@ -113,7 +113,7 @@ def keep_newest_days(logs: DataFrame, n: int = 30) -> DataFrame:
     """
     if n < 1:
         raise ValueError("n must be positive")
-    dated = with_day(logs)
+    dated = with_day(logs, moved=moved)
     days = [
         r[0]
         for r in dated.select("day").where(F.col("day").isNotNull()).distinct().orderBy(F.desc("day")).limit(n).collect()

@@ -328,7 +328,7 @@ def error_verdict_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two writes, days before and after the middle of the month: the second leaves the first's lines alone."""
-    logs = with_day(_event_logs(spark, sf_dir))
+    logs = with_day(_event_logs(spark, sf_dir), moved=True)
     path = scratch_path(spark, "daily_logs")
     middle = F.lit(AS_OF).cast("timestamp_ntz").cast("date")
     write_daily(logs.filter(F.col("day") < middle), path)
@@ -338,9 +338,20 @@ def write_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_daily_files_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolled log files read in their splits and written by day: lines per day, and those that have no time of their own."""
+    lines = event_log_lines(table(spark, sf_dir, "events"))
+    incoming, path = scratch_path(spark, "rolled_logs"), scratch_path(spark, "daily_logs")
+    by_day = lines.withColumn("day", F.to_date("ts_event")).repartition("day").sortWithinPartitions("day", "seq")
+    by_day.select("value", "day").write.partitionBy("day").text(incoming)
+    write_daily(parse_logs(read_log_lines(spark, incoming)), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts").isNull()).alias("n_traces"))
+
+
 def keep_newest_days_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the day-partitioned table that ``write_daily`` leaves: a partition filter."""
-    logs = with_day(_event_logs(spark, sf_dir))
+    logs = with_day(_event_logs(spark, sf_dir), moved=True)
     path = scratch_path(spark, "daily_logs")
     write_daily(logs, path)
     return _unplaced(keep_newest_days(spark.read.schema(logs.schema).parquet(path), n=7).drop("day"))
@@ -503,6 +514,7 @@ CASES: dict[str, Case] = {
     "error_tail": error_tail_case,
     "error_verdict": error_verdict_case,
     "write_daily": write_daily_case,
+    "write_daily_files": write_daily_files_case,
     "keep_newest_days": keep_newest_days_case,
     "follow_logs": follow_logs_case,
     "ingest_daily": ingest_daily_case,

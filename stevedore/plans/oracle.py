@@ -157,6 +157,10 @@ ORACLE_SQL: dict[str, str] = {
         WITH {PARSED_LOGS}
         SELECT CAST(CAST(record_ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n FROM parsed
         GROUP BY CAST(record_ts AS DATE)""",
+    "write_daily_files": f"""
+        WITH {PARSED_LOGS}
+        SELECT CAST(CAST(record_ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n, count(*) FILTER (ts IS NULL) AS n_traces FROM parsed
+        GROUP BY CAST(record_ts AS DATE)""",
     "keep_newest_days": f"""
         WITH {PARSED_LOGS}
         SELECT {LOG_COLS} FROM parsed

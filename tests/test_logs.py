@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stevedore.operators import error_tail, error_verdict, filter_severity, keep_newest_days, write_daily
@@ -133,7 +134,7 @@ def _logs(spark, scratch, files: dict[str, list[str]], split: int | None = None)
     return parse_logs(read_log_lines(small, root))
 
 
-def test_stack_traces_belong_to_their_record_across_splits(spark, scratch):
+def test_stack_traces_belong_to_their_record_across_splits(spark, scratch, monkeypatch):
     """Small splits: a record and its trace lie in different ones."""
     from stevedore.sources import attach_records
 
@@ -146,11 +147,19 @@ def test_stack_traces_belong_to_their_record_across_splits(spark, scratch):
             owner.append(i)
     logs = _logs(spark, scratch, {"h/a.log": lines, "h/b.log": ["no record at all"]}, split=700)
     assert logs.select("block").distinct().count() > 10
-    got = attach_records(logs).orderBy("source", "block", "seq").collect()
-    assert [r.raw for r in got] == [*lines, "no record at all"]
-    for r, i in zip(got, [*owner, None], strict=True):
-        expected = None if i is None else dt.datetime(2024, 3, 1 + i // 20, 10, 0, i % 60)
-        assert r.record_ts == expected and r.record_level == (None if i is None else "ERROR" if i % 3 else "INFO")
+    for way in ("in place", "many splits", "moved"):
+        if way == "many splits":
+            monkeypatch.setattr("stevedore.sources.logs._BROADCAST_SPLITS", 0)
+        attached = attach_records(logs.repartition(5), moved=True) if way == "moved" else attach_records(logs, first="begun")
+        got = attached.orderBy("source", "block", "seq").collect()
+        assert [r.raw for r in got] == [*lines, "no record at all"]
+        for r, i in zip(got, [*owner, None], strict=True):
+            expected = None if i is None else dt.datetime(2024, 3, 1 + i // 20, 10, 0, i % 60)
+            assert r.record_ts == expected and r.record_level == (None if i is None else "ERROR" if i % 3 else "INFO")
+        if way != "moved":
+            assert [r.begun for r in got if r.begun] == [dt.datetime(2024, 3, 1, 10)]  # the header line's
+    with pytest.raises(PySparkException, match="moved=True"):
+        attach_records(logs.repartition(5)).collect()
     tail = error_tail(logs, n=3).filter("source LIKE '%a.log'").orderBy("recency").collect()
     assert [r.raw for r in tail] == [x for x in lines if "failed" in x][:-4:-1]
 

@@ -65,7 +65,7 @@ def test_newest_days_is_a_partition_filter_on_daily_tables(spark, scratch):
     from stevedore.sources import parse_logs
 
     logs = parse_logs(event_log_lines(spark.read.parquet(f"{SF01}/events.parquet")))
-    write_daily(logs, scratch)
+    write_daily(logs, scratch, moved=True)
     kept = keep_newest_days(spark.read.parquet(scratch), n=7)
     scan = next(line for line in plan_of(kept).splitlines() if "FileScan parquet" in line)
     assert "PartitionFilters: [" in scan and "day#" in scan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
@@ -87,3 +87,17 @@ def test_no_python_in_any_plan(spark):
     for name in ["merge_upsert", "reconcile", "error_verdict", "evolve_append", "fold_batches"]:
         plan = plan_of(CASES[name](spark, SF01))
         assert "Python" not in plan, name
+
+
+def test_lines_are_not_shuffled_to_find_their_records(spark, scratch):
+    """Only the one row per split meets others; the daily write's rebalance is the only shuffle of text."""
+    from stevedore.operators.logs import with_day
+    from stevedore.plans.fixtures import event_log_lines
+    from stevedore.sources import parse_logs, read_log_lines
+
+    event_log_lines(spark.read.parquet(f"{SF01}/events.parquet")).select("value").write.text(f"{scratch}/in")
+    logs = with_day(parse_logs(read_log_lines(spark, f"{scratch}/in")))
+    shuffles = [line for line in plan_of(logs).splitlines() if "Exchange" in line]
+    assert shuffles and all("raw" not in line and "value" not in line for line in shuffles)
+    daily = plan_of(logs.hint("rebalance", "day"))
+    assert len([line for line in daily.splitlines() if "Exchange" in line and "REBALANCE" in line]) == 1
