@@ -3,7 +3,8 @@
 Three kinds:
 
 * ``xml``:  ``<configuration><property><name/><value/><description/></property>...``; descriptions may
-  span lines.  A file is read whole, by one task (settings files are small);
+  span lines, and a property may give its name and value as attributes.  A file is read whole, by one task (settings
+  files are small), and cut into properties, each of which Spark's XML parser reads;
 * ``kv``:   ``KEY=VALUE`` lines, split at the first ``=``; ``#`` comments and blank
   lines skipped; an optional ``export`` prefix and one pair of quotes are removed.
 * ``conf``: ``key value`` lines (spark-defaults style), split at the first run of
@@ -26,7 +27,11 @@ from stevedore.functions.secrets import SECRET_NAME_PATTERN, mask_secret
 KINDS = ("xml", "kv", "conf")
 
 _COMMENT = r"(?s)<!--.*?-->"
-_PROPERTY = r"<property\s*>"
+_TAG = r"""<property(?:\s+(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*)?"""
+#: A whole element, closed by itself or by its end tag.
+_PROPERTY = rf"(?s)^{_TAG}(?:/>|>.*?</property\s*>)"
+#: Names and values are child elements or attributes (``_`` before the name).
+_FIELDS = "_name string, _value string, name string, value string, _broken string"
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -34,31 +39,34 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", _COMMENT, "").alias("value"))
 
 
-def _element(block: Column, tag: str) -> Column:
-    """The text of the block's element, entities and CDATA resolved; NULL if there is no whole one."""
-    pattern = rf"(?s)<{tag}\s*>(.*?)</{tag}\s*>"
-    text = F.when(block.rlike(rf"(?s)<{tag}\s*/>"), F.lit("")).when(block.rlike(pattern), F.regexp_extract(block, pattern, 1))
-    text = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#10", "\n"), ("#13", "\r"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.trim(text)
-
-
 def _xml_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, blocks): what follows each opening tag of a property, up to the next one."""
-    parts = F.split("value", _PROPERTY, -1)
-    return _whole_files(spark, path).select("file", F.slice(parts, 2, F.size(parts)).alias("blocks"))
+    """(file, place, block): each property's tag and what follows it up to the next one's, in order."""
+    parts = F.split("value", r"(?=<property[\s/>])", -1)
+    blocks = _whole_files(spark, path).select("file", F.posexplode(parts).alias("place", "block"))
+    return blocks.filter(F.col("block").rlike(r"^<property[\s/>]"))
 
 
-def _inside(block: Column) -> Column:
-    """The property's own part; NULL if it isn't closed."""
-    return F.when(block.rlike(r"</property\s*>"), F.try_element_at(F.split(block, r"</property\s*>", 2), F.lit(1)))
+def _read_properties(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``name`` and ``value`` as Spark's XML parser reads the element (attributes, entities, CDATA); the name is NULL
+    where it can't, or there is none."""
+    element = F.nullif(F.regexp_extract("block", _PROPERTY, 0), F.lit(""))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreSurroundingSpaces": "true", "nullValue": "\0"}
+    read = blocks.withColumn("_p", F.from_xml(element, _FIELDS, options))
+    name = F.trim(F.coalesce("_p.name", "_p._name"))
+    whole = F.col("_p").isNotNull() & F.col("_p._broken").isNull() & (name != "")
+    value = F.coalesce("_p.value", "_p._value", F.when(F.col("block").rlike(r"<value[\s/>]"), F.lit("")))
+    return read.withColumns({"name": F.when(whole, name), "value": F.when(whole, F.trim(value))}).drop("_p")
 
 
 def malformed_settings(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, n_properties, n_read)`` of the XML files under ``path`` with properties that can't be read."""
-    good = F.filter("blocks", lambda b: F.coalesce(_element(_inside(b), "name") != "", F.lit(False)))
-    counted = _xml_blocks(spark, path).select("file", F.size("blocks").alias("n_properties"), F.size(good).alias("n_read"))
+    """``(file, n_properties, n_read, lost)`` of the XML files under ``path`` with properties that can't be read; ``lost`` names each
+    of these by its place among the file's properties and, where there is one, what looks like its name."""
+    read = _read_properties(_xml_blocks(spark, path))
+    looks = F.nullif(F.trim(F.regexp_extract("block", rf"(?s)^{_TAG}>.*?<name[^>]*>\s*([^<]*)", 1)), F.lit(""))
+    lost = F.when(F.col("name").isNull(), F.struct(F.col("place"), looks.alias("name")))
+    counted = read.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_properties"), F.count("name").alias("n_read"), F.array_sort(F.collect_list(lost)).alias("lost")
+    )
     return counted.filter("n_properties <> n_read")
 
 
@@ -99,10 +107,8 @@ def extract_settings(
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, got {kind!r}")
     if kind == "xml":
-        block = _inside(F.col("block"))
-        rows = _xml_blocks(spark, path).select("file", F.explode("blocks").alias("block"))
-        rows = rows.select("file", _element(block, "name").alias("name"), _element(block, "value").alias("value"))
-        rows = rows.filter(F.col("name") != "")  # a property without a name is reported, not returned
+        rows = _read_properties(_xml_blocks(spark, path)).select("file", "name", "value")
+        rows = rows.filter(F.col("name").isNotNull())  # a property that can't be read is reported, not returned
     else:
         text = spark.read.option("recursiveFileLookup", "true").text(path)
         text = text.select(F.col("_metadata.file_path").alias("file"), F.col("value"))

@@ -112,6 +112,29 @@ def test_a_damaged_property_costs_no_other(spark, scratch):
     assert settings(extract_settings(spark, f"{scratch}/bad", "xml")) == {n: f"{n} & <x>" for n in "acd"}
     (row,) = malformed_settings(spark, f"{scratch}/bad").collect()
     assert row.file.endswith("one.xml") and (row.n_properties, row.n_read) == (3, 2)
+    assert [tuple(x) for x in row.lost] == [(2, "b")]
+
+
+def test_attributes_entities_and_sections(spark, scratch):
+    """Each of these was lost, or kept its markup, when properties were cut out by expressions."""
+    text = """<configuration xmlns="x">
+      <property final="true"><name lang="en">a</name><value>1</value><final>true</final></property>
+      <property note="x > y / z"><name>b</name><value>&#x41;&#66;&amp;&#x1F600;</value></property>
+      <property><name>c</name><value><![CDATA[<x> & ]]>&lt;y&gt;</value></property>
+      <property name="d" value="by &quot;attribute&quot;"/>
+      <property><name>e</name><value/></property>
+      <property><name>f</name></property>
+      <property><name>g</name><value>two
+        lines</value></property>
+      <property><name>h</name><value>&unknown;</value></property>
+      <property/><properties><name>not one</name></properties>
+      <property><name>i</name><value>never closed"""
+    _write(scratch, "odd/one.xml", text)
+    got = settings(extract_settings(spark, f"{scratch}/odd", "xml"))
+    assert got == {"a": "1", "b": "AB&\U0001f600", "c": "<x> & <y>", "d": 'by "attribute"', "e": "", "f": None, "g": "two\n        lines"}
+    (row,) = malformed_settings(spark, f"{scratch}/odd").collect()
+    assert (row.n_properties, row.n_read) == (10, 7)
+    assert [(x.place, x.name) for x in row.lost] == [(8, "h"), (9, None), (10, "i")]
 
 
 def test_changed_secrets_are_found_and_not_shown(spark, scratch):
