@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,7 +14,7 @@ from stevedore.llm.oracle import ORACLE_SQL
 __all__ = ["CASES", "ORACLE_SQL", "VOCABULARY"]
 
 Case = Callable[[SparkSession, str], DataFrame]
-VOCABULARY = os.environ.get("STEVEDORE_WORD_BPE") or public_tokenizers.path("word_bpe_49k.json")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stevedore.llm.topk import integers, top_k, usable
 
     rows = table(spark, sf_dir, "embeddings")
-    vectors = rows.filter(usable(F.col("embedding"))).withColumn("vector", integers(F.col("embedding")))
+    vectors = rows.filter(usable(F.col("embedding"))).withColumn("vector", integers(F.col("embedding"), row=F.col("vec_id")))
     return top_k(vectors.select("vec_id", "vector"), F.col("vec_id") % 100 == 0)
 
 

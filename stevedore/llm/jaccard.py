@@ -47,6 +47,9 @@ HOT = 1 << 14
 #: So many of the hashes met most often come last in the order: 1 MB, whatever the size of the input.
 COMMON = 1 << 17
 _BYTES = 5  # of a hash that are kept: the 40 highest bits
+#: Two different sets of which one is smaller can't reach 80 %: such sets have their class (64 bits of the whole set), and
+#: no link beyond it. Of larger ones at least four hashes must agree.
+LINKABLE = 4
 _MANY_WORDS = 200_000
 
 
@@ -218,7 +221,7 @@ def _prefixes(docs: DataFrame, text: str, common: Broadcast) -> DataFrame:
             classes, sizes, prefixes, points = [], [], [], []
             for t in batch.column("text").to_pylist():
                 full = shingles(t or "", hashes)
-                if len(full) and (key := _class(full)) not in met:
+                if len(full) >= LINKABLE and (key := _class(full)) not in met:
                     met.add(key)
                     short = _short(full)
                     classes.append(key)
@@ -257,7 +260,7 @@ def _sets(docs: DataFrame, text: str, table: DataFrame, classes: DataFrame, firs
                 rows = []
                 for t in part.column("text").to_pylist():
                     full = shingles(t or "", hashes)
-                    if not len(full) or (key := _class(full)) in met:
+                    if len(full) < LINKABLE or (key := _class(full)) in met:
                         continue
                     met.add(key)
                     short = _short(full)
@@ -464,8 +467,8 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
 
     Null, empty and blank texts have no set, n_shingles 0 and link with nothing. Fewer than five words are one
     shingle. Equal sets link, so repeated rows do; each row of a repeated id is a document of its own.
-    Null ids count only where a component has no other. Other columns are ignored. Sets are of 64-bit
-    hashes, compared by 40 bits of them. An empty table gives none.
+    Null ids count only where a component has no other. Other columns are ignored. Equal sets are told by 64 bits
+    of all their hashes; different ones link by 40 bits of each, four or more of which must agree. An empty table gives none.
     """
     table, named, least = _linked(docs, doc_id, text)
     of_class = staged(named.join(least, "comp").select("cls", F.col("least.doc_id").alias("component_id")), "class-ids")

@@ -24,9 +24,15 @@ PIVOTS, QUERY_BLOCK, CANDIDATE_BLOCK = 32, 1024, 4096
 STEP = 512
 
 
-def integers(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component, x as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+def integers(vector: Column, scale: int = 1024, row: Column | None = None) -> Column:
+    """floor(scale * x) of each component, x as double. One beyond 64 bits is an error that names the ``row``."""
+    said = F.concat(F.lit("a component beyond 64 bits in the vector "), F.coalesce(row.cast("string"), F.lit("null")) if row is not None else F.lit(""))
+
+    def one(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < float(1 << 63), F.floor(scaled)).otherwise(F.raise_error(said).cast("long"))
+
+    return F.transform(vector, one)
 
 
 def usable(vector: Column) -> Column:
@@ -92,7 +98,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
             best_score, best_row = best_score[top], best_row[top]
             if rest == -np.inf or len(best_row) == k and best_score[-1] > rest:
                 break
-        out += [(int(q_ids[i]), int(ids[r]), int(s)) for r, s in zip(best_row, best_score, strict=True)]
+        found = [(int(q_ids[i]), int(ids[r]), int(s)) for r, s in zip(best_row, best_score, strict=True)]
+        if large := [f for f in found if not -(1 << 63) <= f[2] < 1 << 63]:
+            raise ValueError("the score of query {} and vector {} is {}: beyond 64 bits".format(*large[0]))
+        out += found
     return out
 
 
@@ -102,7 +111,8 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "ve
 
     ``vector`` is an array of long. Rows with a null id or vector, or a null component, take no part. Shorter vectors
     count as padded with zeros. Equal (id, vector) rows count once; rows that share an id are no
-    candidates of each other. An empty table gives none. Other columns are ignored.
+    candidates of each other. An empty table gives none. Other columns are ignored. A score of the k best that doesn't fit
+    64 bits is an error that names its two vectors.
     """
     spark = vectors.sparkSession
     clean = vectors.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))

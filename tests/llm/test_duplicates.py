@@ -254,3 +254,15 @@ def test_pipeline_stages_against_brute_force(spark):
     assert run.columns == pieces.columns
     same = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, run.select(same).collect())) == sorted(map(tuple, pieces.select(same).collect()))
+
+
+def test_words_whose_short_hashes_agree_do_not_link(spark):
+    """One-word texts that agree in 40 bits of their hash, and a set of four inside one of five."""
+    from stevedore.llm import jaccard
+
+    five = "a b c d e f g h i"  # five shingles
+    rows = [(1, "w710183"), (2, "w3706449"), (3, "w710183"), (4, five), (5, "a b c d e f g h"), (6, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 2, 4, 6]

@@ -142,3 +142,16 @@ def test_scores_beyond_doubles_are_exact():
     ids, x = np.arange(3), np.array([[big, 1], [big, 2], [big, 3]], np.int64)
     got = topk.search_block(ids[:1], x[:1], ids, x, np.zeros((1, 2)), 2)
     assert got == [(0, 2, big * big + 3), (0, 1, big * big + 2)]
+
+
+def test_components_and_scores_beyond_64_bits_are_named(spark):
+    from pyspark.errors import PySparkException
+
+    rows = spark.createDataFrame([(100, [1e30, 1.0]), (1, [1.0, 2.0])], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    with pytest.raises(PySparkException, match="beyond 64 bits in the vector 100"):
+        rows.select(topk.integers(F.col("embedding"), row=F.col("vec_id"))).collect()
+    large = spark.createDataFrame([(100, [1 << 40]), (7, [1 << 40]), (8, [3])], "vec_id LONG, vector ARRAY<LONG>")
+    with pytest.raises(PySparkException, match="query 100 and vector 7"):
+        topk.top_k(large, F.col("vec_id") == 100).collect()
+    got = topk.top_k(large.filter("vec_id <> 7"), F.col("vec_id") == 100).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(8, 3 << 40)]
