@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -38,6 +39,7 @@ _UNUSUAL = re.compile("[^\x00-\x1b\x20-ſ‐-‧€]")
 _WORD = re.compile(rf"[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^\s{_LATIN}{_DIGITS}]+")
 _SPACE = re.compile(r"\s")
 _CUT = 1 << 20
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _byte_chars() -> dict[int, str]:
@@ -47,6 +49,11 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TrieBpe:
     """Encoder for a ``tokenizers`` file of kind BPE with word ends (NFC, one-space, lower case)."""
 
@@ -79,7 +86,9 @@ class TrieBpe:
             self.suffixes.add_word(t, (i, len(t)))
         self.suffixes.make_automaton()
         self.stand_in = _byte_chars()
+        #: The memo, and the one that it followed: what is met again moves on, the rest goes with the next change.
         self.chunks: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _may_follow(self, a: int, b: int, before: int | None = None) -> bool:
         """Whether BPE leaves ``a b`` as two tokens (until the merge ranked ``before``): undo the later of the two merges beside the
@@ -104,6 +113,7 @@ class TrieBpe:
         word's end is a node of its own. The automaton lists the tokens that end at each node.
         """
         token, length, before, adjacent = [0], [0], "", self.adjacent
+        matches, alone, known, may_follow = self.suffixes.iter, self.alone, self.adjacent.get, self._may_follow
         for word in sorted(set(words)):
             path = word + _END
             shared, most = 0, min(len(before), len(token) - 1)
@@ -111,13 +121,13 @@ class TrieBpe:
                 shared += 1
             del token[shared + 1 :], length[shared + 1 :]
             done = shared
-            for end, (t, n) in self.suffixes.iter(path):
+            for end, (t, n) in matches(path):
                 if end < done:
                     continue
                 if n > end:
-                    fits = self.alone[t]
-                elif (fits := adjacent.get(pair := token[end + 1 - n] << 17 | t)) is None:
-                    fits = adjacent[pair] = self._may_follow(token[end + 1 - n], t)
+                    fits = alone[t]
+                elif (fits := known(pair := token[end + 1 - n] << 17 | t)) is None:
+                    fits = adjacent[pair] = may_follow(token[end + 1 - n], t)
                 if fits:
                     token.append(t)
                     length.append(n)
@@ -134,11 +144,16 @@ class TrieBpe:
     def _spelt(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else "".join(map(self.stand_in.__getitem__, word.encode()))
 
+    def _recall(self, chunks: Iterable[str]) -> None:
+        known, earlier = self.chunks, self.earlier
+        if earlier:
+            known.update((c, earlier[c]) for c in chunks if c not in known and c in earlier)
+
     def _learn(self, words: set[str]) -> None:
         """Put the ids of words into the memo. A word by itself is a chunk of one word."""
         spelt = {self._spelt(w): w for w in words if w not in self.chunks}
         for word, ids in self.encode_words(list(spelt)):
-            self.chunks[spelt[word]] = np.array(ids, "<u4").tobytes()
+            self.chunks[spelt[word]] = _as_bytes(ids)
 
     def _library_words(self, text: str) -> list[str]:
         if self._library is None:
@@ -159,12 +174,12 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null counts as empty."""
-        if len(self.chunks) > self.most_words:
-            self.chunks.clear()
+        if len(self.chunks) > self.most_words // 2:
+            self.chunks, self.earlier = {}, self.chunks
         if len(self.adjacent) > 2 * self.most_words:
             self.adjacent.clear()
-        known, get, missing = self.chunks, self.chunks.get, set()
-        plan: list[list] = []  # of each text: ids, or a list of chunks beside a list of their ids as far as known
+        plain: list[str] = []
+        plan: list[list[bytes | int]] = []  # of each text: ids, or the numbers of plain parts
         for text in texts:
             plan.append(row := [])
             for i, part in enumerate(self.split_special.split(text) if text and "<|" in text else [text or ""]):
@@ -174,23 +189,55 @@ class TrieBpe:
                     row.append(self._encode_spelt(self._library_words(part)))
                 else:
                     for piece in self._pieces(part):
-                        ids = list(map(get, chunks := piece.lower().split()))
-                        if None in ids:
-                            missing.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
-                            row.append((chunks, ids))
-                        else:
-                            row.append(b"".join(ids))
-        found = {c: _WORD.findall(c) for c in missing}
-        self._learn({w for ws in found.values() for w in ws})
-        for chunk, words in found.items():
-            if chunk not in known:
-                known[chunk] = b"".join([known[w] for w in words])
-        whole = lambda x: x if isinstance(x, bytes) else b"".join([known[c] if v is None else v for c, v in zip(*x, strict=True)])
+                        row.append(len(plain))
+                        plain.append(piece)
+        done: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for piece in plain:
+            if size > 4 * _CUT:
+                done += self._encode_plain(group)
+                group, size = [], 0
+            group.append(piece)
+            size += len(piece)
+        done += self._encode_plain(group)
+        whole = lambda x: x if isinstance(x, bytes) else done[x]
         return [whole(row[0]) if len(row) == 1 else b"".join(map(whole, row)) for row in plan]
 
+    def _encode_plain(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without unusual characters. Each distinct chunk is looked up once; the ids of all are then
+        gathered by arrays."""
+        blobs = [part.lower().replace("\x85", " ").replace("\xa0", " ").encode() for part in parts]
+        raw = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
+        inside = ~_IS_SPACE[raw]
+        starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+        letters = raw[inside]
+        offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        chunks, code = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False)
+        self._recall(chunks)
+        known = self.chunks
+        if missing := {c: _WORD.findall(c) for c in chunks if c not in known}:
+            each = {w for ws in missing.values() for w in ws}
+            self._recall(each)
+            self._learn(each)
+            for chunk, ws in missing.items():
+                if chunk not in known:
+                    known[chunk] = b"".join([known[w] for w in ws])
+        found = [known[c] for c in chunks]
+        ids, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = np.cumsum(lengths) - lengths, lengths[code]
+        ends = np.cumsum(n)
+        gathered = ids[np.repeat(first[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        # Where each part's words begin among all words, and its ids among all ids.
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) + 1
+        word = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+        at = (4 * np.concatenate(([0], ends))[word]).tolist()
+        return [gathered[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def _encode_spelt(self, words: list[str]) -> bytes:
         """Ids of words in byte-level characters, as the library's splitter gives them."""
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in self.encode_words(words)}
+        ids = {w: _as_bytes(x) for w, x in self.encode_words(words)}
         return b"".join(map(ids.__getitem__, words))
 
     def decode(self, ids: list[int]) -> str:
