@@ -99,19 +99,3 @@ def read_text_partitions(
     if missing := [c for c in partition_by if c not in df.columns]:
         raise ValueError(f"partition columns {missing} not in {df.columns}")
     return df
-
-
-def move_files(spark: SparkSession, source: str, target: str, prefix: str) -> None:
-    """Move the Parquet files of the partition folders below ``source`` to the same folders below ``target``, their
-    names prefixed; files of that prefix that are there already are removed first."""
-    root, system = _path(spark, source)
-    pattern = lambda base, names: spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/*/{names}")
-    there = system.globStatus(pattern(target, f"{prefix}*")) or []
-    for status in there:
-        system.delete(status.getPath(), False)
-    for status in system.globStatus(pattern(source, "*.parquet")) or []:
-        file = status.getPath()
-        folder_path = spark._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{file.getParent().getName()}")
-        system.mkdirs(folder_path)
-        if not system.rename(file, spark._jvm.org.apache.hadoop.fs.Path(folder_path, prefix + file.getName())):
-            raise OSError(f"could not move {file} to {folder_path}")

@@ -237,10 +237,10 @@ def _needed(target_bytes: int):
 
 
 #: Folders whose scans make up one job: a plan of this many scans is still quickly made.
-_FOLDERS_PER_JOB = 256
+FOLDERS_PER_JOB = 256
 
 
-def _packing(target_bytes: int) -> dict[str, str]:
+def packing(target_bytes: int) -> dict[str, str]:
     """Whole files are packed into scan tasks of ``target_bytes``, and a task writes what it reads, in that order."""
     return {
         "spark.sql.files.maxPartitionBytes": f"{target_bytes}b",
@@ -251,7 +251,7 @@ def _packing(target_bytes: int) -> dict[str, str]:
     }
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union(parts: list[DataFrame]) -> DataFrame:
     while len(parts) > 1:
         parts = [a.unionAll(b[0]) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
     return parts[0]
@@ -267,17 +267,19 @@ def _packed(how: Layout, root: str, folders: list[tuple[str, int]]) -> DataFrame
     for at, tasks in folders:
         rows = read_layout(how, root, by_folder[at] if how.files else [at])
         scans.append(rows.coalesce(tasks))
-    return _union(scans)
+    return union(scans)
 
 
 def _rewrite(spark: SparkSession, files: DataFrame, root: str, pcols: list[str], target_bytes: int, folders: list[tuple[str, int]], schema, write) -> None:
+    if deeper := [f for f, _ in folders if pcols and not all(n.startswith(f"{c}=") for c, n in zip(pcols, f.rsplit("/", len(pcols))[1:], strict=False))]:
+        raise ValueError(f"{root} has other partitions than {pcols}: {deeper[0]}")
     how = layout(spark, root, pcols, files)
     if schema:
         how = Layout(how.session, text_schema(schema, pcols), None)
-    for key, value in _packing(target_bytes).items():
+    for key, value in packing(target_bytes).items():
         how.session.conf.set(key, value)  # the session of ``layout``, nobody else's
-    for at in range(0, len(folders), _FOLDERS_PER_JOB):
-        write(_packed(how, root, folders[at : at + _FOLDERS_PER_JOB]).write, at == 0)
+    for at in range(0, len(folders), FOLDERS_PER_JOB):
+        write(_packed(how, root, folders[at : at + FOLDERS_PER_JOB]).write, at == 0)
 
 
 def _folder_sizes(files: DataFrame, target_bytes: int) -> DataFrame:

@@ -54,7 +54,7 @@ from stevedore.plans.fixtures import (
 from stevedore.session import scratch_path
 from stevedore.sources.logs import PLACE_COLUMNS, attach_records, parse_logs, read_log_lines
 from stevedore.sources.settings import compare_settings, extract_settings
-from stevedore.streaming.follow import follow_logs, ingest_daily, run_to_path
+from stevedore.streaming.follow import compact_ingested, follow_logs, ingest_daily, run_to_path
 
 Case = Callable[[SparkSession, str], DataFrame]
 
@@ -378,7 +378,7 @@ def ingest_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (F.col("day") < middle, F.col("day") >= middle):
         by_day.filter(part).select("value", "day").write.mode("append").partitionBy("day").text(incoming)
         ingest_daily(spark, incoming, out, checkpoint).awaitTermination()
-        compact_in_place(spark, out, ["day"])
+        compact_ingested(spark, out)
     back = spark.read.parquet(out)
     return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -1,5 +1,5 @@
 """Structured Streaming jobs."""
 
-from stevedore.streaming.follow import follow_logs, ingest_daily, run_to_path
+from stevedore.streaming.follow import compact_ingested, follow_logs, ingest_daily, run_to_path
 
-__all__ = ["follow_logs", "ingest_daily", "run_to_path"]
+__all__ = ["compact_ingested", "follow_logs", "ingest_daily", "run_to_path"]

@@ -112,39 +112,63 @@ def test_update_mode_is_rejected(spark, scratch):
         run_to_path(follow_logs(spark, f"{scratch}/in"), f"{scratch}/out", f"{scratch}/ckpt", output_mode="update")
 
 
+def _rows(spark, path):
+    return sorted(tuple(r) for r in spark.read.parquet(path).select("source", "raw", "day").collect())
+
+
 def test_old_files_that_arrive_late_are_read_and_output_can_be_compacted(spark, scratch):
+    import glob
     import time
 
     from stevedore.operators import compact_in_place, write_daily
-    from stevedore.streaming import ingest_daily
+    from stevedore.streaming import compact_ingested, ingest_daily
 
     logs, out, ckpt = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt"
-    for i in range(3):
+    rewritten = []
+    for i in range(4):
         _write(logs, f"host-{i}/hive.log", DAY1)
         if i == 2:  # a rolled file moved in keeps its time of ten days ago
             old = time.time() - 10 * 86400
             os.utime(os.path.join(logs.removeprefix("file:"), "host-2/hive.log"), (old, old))
         ingest_daily(spark, logs, out, ckpt).awaitTermination()
-        compact_in_place(spark, out, ["day"])
+        rewritten.append(compact_ingested(spark, out))
+    assert rewritten[:2] == [0, 0] and all(rewritten[2:])  # the newest batch is left alone
+    plain = out.removeprefix("file:")
+    days = glob.glob(f"{plain}/day=*")
+    assert all(len(glob.glob(f"{d}/batch=*")) == len(glob.glob(f"{d}/batch=*/*.parquet")) == 2 for d in days)
     write_daily(parse_logs(read_log_lines(spark, logs)), f"{scratch}/batch")
-    cols = ["source", "ts", "level", "message", "raw", "day"]
-    streamed, batch = (spark.read.parquet(p).select(cols) for p in (out, f"{scratch}/batch"))
-    assert streamed.count() == 3 * len(DAY1)
-    assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+    assert _rows(spark, out) == _rows(spark, f"{scratch}/batch") and len(_rows(spark, out)) == 4 * len(DAY1)
+    assert compact_in_place(spark, out, ["day", "batch"]) == 0
 
 
-def test_a_replayed_batch_lands_once(spark, scratch):
+def test_a_compaction_that_was_cut_off_is_finished(spark, scratch):
+    import glob
     import shutil
 
+    from stevedore.streaming import compact_ingested, ingest_daily
+
+    logs, out, ckpt = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt"
+    for i in range(3):
+        _write(logs, f"host-{i}/hive.log", DAY1)
+        ingest_daily(spark, logs, out, ckpt).awaitTermination()
+    expected, plain = _rows(spark, out), out.removeprefix("file:")
+    earlier = f"{scratch}/earlier".removeprefix("file:")
+    shutil.copytree(plain, earlier)
+    assert compact_ingested(spark, out)
+    for folder in glob.glob(f"{earlier}/day=*/batch=*"):  # as if the old folders had stayed
+        shutil.copytree(folder, folder.replace(earlier, plain), dirs_exist_ok=True)
+    assert len(_rows(spark, out)) > len(expected)
+    compact_ingested(spark, out)
+    assert _rows(spark, out) == expected
+
+
+def test_a_replayed_batch_lands_once(spark, scratch):
     from stevedore.streaming import ingest_daily
 
     logs, out, ckpt = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt"
     _write(logs, "hive.log", DAY1)
     ingest_daily(spark, logs, out, ckpt).awaitTermination()
     plain = ckpt.removeprefix("file:")
-    # As after a crash between the moves and the commit: the batch runs again.
-    for name in ("applied", "commits"):
-        os.rename(f"{plain}/{name}", f"{plain}/{name}-old")
-    shutil.copytree(f"{plain}/offsets", f"{plain}/offsets-old")
+    os.rename(f"{plain}/commits", f"{plain}/commits-old")  # as after a crash before the commit: the batch runs again
     ingest_daily(spark, logs, out, ckpt).awaitTermination()
     assert spark.read.parquet(out).count() == len(DAY1)
