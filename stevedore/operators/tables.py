@@ -72,6 +72,26 @@ def table_layout(spark: SparkSession, name: str) -> tuple[list[str], tuple[int,
     return partition_by, (buckets, columns) if buckets else None, described.get("Type") == "EXTERNAL"
 
 
+def _definition(spark: SparkSession, name: str) -> tuple[dict[str, str], str | None, dict[str, str]]:
+    """Properties, comment and column comments of a table."""
+    properties = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    comments = {c.name: c.description for c in spark.catalog.listColumns(name) if c.description}
+    return properties, spark.catalog.getTable(name).description, comments
+
+
+def _define(spark: SparkSession, name: str, properties: dict[str, str], comment: str | None, columns: dict[str, str]) -> None:
+    """Give a table what ``_definition`` said of another, as far as it lacks it."""
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    now, said, described = _definition(spark, name)
+    if added := {k: v for k, v in properties.items() if k not in now and k != "transient_lastDdlTime"}:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({', '.join(f'{quoted(k)} = {quoted(v)}' for k, v in added.items())})")
+    if comment and comment != said:
+        spark.sql(f"COMMENT ON TABLE {name} IS {quoted(comment)}")
+    for column in {c.name for c in spark.catalog.listColumns(name)} & columns.keys():
+        if described.get(column) != columns[column]:
+            spark.sql(f"ALTER TABLE {name} ALTER COLUMN `{column}` COMMENT {quoted(columns[column])}")
+
+
 def replace_table(
     df: DataFrame,
     name: str,
@@ -81,7 +101,8 @@ def replace_table(
 ) -> DataFrame:
     """Overwrite the table ``name`` with ``df``, also when ``df`` is computed from it.
 
-    The table keeps its partitioning and bucketing unless others are given.  A plain managed table
+    The table keeps its partitioning and bucketing unless others are given, its properties, its comment and those of its
+    columns.  A plain managed table
     is written under another name first, which then takes the place of the old one (drop
     and rename, catalog operations): a write that fails leaves the old table as it was.  The catalog
     ties the partitions of a partitioned table, and an external one, to their folders, so the
@@ -93,12 +114,14 @@ def replace_table(
     spark = df.sparkSession
     known = spark.catalog.tableExists(name)
     found_partitions, found_buckets, external = table_layout(spark, name) if known else ([], None, False)
+    definition = _definition(spark, name) if known else ({}, None, {})
     wanted = list(found_partitions if partition_by is None else partition_by)
     buckets = bucket_by or found_buckets
     if not wanted and not external:
         database, _, short = name.rpartition(".")
         fresh = f"{database}.{short}_{uuid.uuid4().hex[:12]}" if database else f"{short}_{uuid.uuid4().hex[:12]}"
         _table_writer(df, "errorifexists", (), buckets).saveAsTable(fresh)
+        _define(spark, fresh, *definition)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
         spark.catalog.refreshTable(name)
@@ -113,6 +136,7 @@ def replace_table(
     else:
         writer = _table_writer(frozen, "overwrite", wanted, buckets)
         (writer.option("path", location.data_type) if location else writer).saveAsTable(name)
+        _define(spark, name, *definition)
     spark.catalog.refreshTable(name)
     return spark.table(name)
 

@@ -262,3 +262,21 @@ def test_optimized_write_leaves_the_session_alone(spark, scratch):
     before = spark.conf.getAll
     optimized_write(spark.range(10), f"{scratch}/o", target="1m")
     assert spark.conf.getAll == before
+
+
+@pytest.mark.parametrize("layout", ["", "PARTITIONED BY (p)"])
+def test_replace_table_keeps_its_definition(spark, db, layout):
+    from stevedore.operators import evolve_table, replace_table
+    from stevedore.operators.tables import _definition
+
+    name = f"{db}.described"
+    columns = "id INT COMMENT 'the key, isn\\'t null', v STRING, p STRING"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {layout} COMMENT 'what it\\'s for' TBLPROPERTIES ('owner.team' = 'a\\\\b', 'tier' = '1')")
+    spark.sql(f"INSERT INTO {name} VALUES (1, 'a', 'x'), (2, 'b', 'y')")
+    before = _definition(spark, name)
+    assert before[1] == "what it's for" and before[0]["owner.team"] == "a\\b" and before[2] == {"id": "the key, isn't null"}
+    replace_table(spark.table(name).filter("id = 2"), name)
+    evolve_table(spark.createDataFrame([(1 << 40, "c", "z", True)], "id LONG, v STRING, p STRING, w BOOLEAN"), name)  # rewritten with a wider key
+    properties, comment, described = _definition(spark, name)
+    assert comment == before[1] and described == before[2] and properties.items() >= {k: before[0][k] for k in ("owner.team", "tier")}.items()
+    assert sorted(r.id for r in spark.table(name).collect()) == [2, 1 << 40]
