@@ -2,8 +2,8 @@
 
 Each page is parsed once into blocks of text, each with the hashes of the element subtrees around it.
 Spark counts, for each host, on how many of its pages a subtree occurs; subtrees found on many pages
-of the host are its template, and their blocks go. Elements whose name, role or class says that they
-aren't the article (menus, footers, adverts, forms, comments) go by that alone.
+of the host are its template, and their blocks go. Elements whose name says that they aren't the article (menus,
+footers) go by that alone; those whose role, class or id says so, by whole words, go unless they hold the article.
 """
 
 from __future__ import annotations
@@ -23,58 +23,102 @@ from stevedore.llm.common import filter_bit, in_filter, key_filter, slices, stag
 #: A subtree is template if it occurs on at least MANY pages of its host and on this share of them.
 MANY, SHARE = 5, 0.3
 
-# Element names of HTML.
-_RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object|noembed|noframes|xmp"
-_DROPPED = frozenset("nav header footer aside form menu dialog button select option fieldset label input head canvas audio video figcaption".split())
+# Element names of HTML and MathML.
+_RAW = "script|style|textarea|title|noscript|template|iframe|svg|object|noembed|noframes|xmp|annotation|annotation-xml"
+_DROPPED = frozenset("nav header footer aside menu dialog button select option fieldset label input head canvas audio video".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br"
+    " math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split()
 )
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
-# Words in class, id and role that name what isn't the article.
-_NOT_ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent gdpr"
-    " notice notices alert popup modal overlay subscribe subscription newsletter signup login register promo promoted promotion sponsor sponsored sponsors footer header masthead menu menus nav"
-    " navbar navigation navigations pager pagination sidebar sidebars aside widget widgets related recommended recommendations share sharing social search searchform skip toolbar topbar tags"
-    " contentinfo complementary dialog form hidden".split()
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words in class, id and role that name what isn't the article. First what lies around it, ...
+_LAYOUT = frozenset(
+    "banner breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login register"
+    " footer header masthead menu menus nav navbar navigation navigations pager pagination sidebar sidebars aside widget widgets share sharing social search searchform"
+    " skip toolbar topbar tags contentinfo complementary dialog form hidden".split()
+)
+# ... then readers' comments, and what may itself be made of articles.
+_COMMENTS = frozenset("comment comments commentlist respond disqus".split())
+_OTHERS = _COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense promo promoted promotion sponsor sponsored sponsors related recommended recommendations".split()
+)
+#: Words before such a word: the element says whether there is one (no-sidebar), or is the article's own part (entry-header).
+_ABOUT = frozenset("has have no not with without show hide hides is js can if".split())
+_OWN = frozenset("entry article post story content section page main title chapter".split())
+#: Words after such a word: the element is one (sidebar-left, related-posts; but not search-algorithms).
+_KINDS = frozenset(
+    "area bar block body box button buttons container content form group holder inner item items left link links list menu outer panel posts articles stories primary region reply right"
+    " secondary section slot thread top bottom unit widget wrap wrapper zone".split()
 )
-_MAIN = frozenset("article main".split())
-
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _NAME_PART = re.compile(r"[a-z]+")
 
+#: What an element's name and attributes say: nothing, that it goes, or that it goes unless it holds the article.
+_STAYS, _GOES, _LAID_OUT, _LISTED = range(4)
+
 
-def _unwanted(name: str, rest: str, in_article: bool) -> bool:
+def _named(token: str) -> int:
+    """What one class, id or role says."""
+    if token in _OTHERS:
+        return _LISTED
+    if token in _LAYOUT:
+        return _LAID_OUT
+    parts = _NAME_PART.findall(token)
+    if len(parts) < 2 or parts[0] in _ABOUT:
+        return _STAYS
+    word = parts[-1] if parts[-1] in _OTHERS or parts[-1] in _LAYOUT else parts[0] if parts[1] in _KINDS else ""
+    if word in _OTHERS:
+        return _LISTED
+    return _LAID_OUT if word in _LAYOUT and not (word == "header" and parts[0] in _OWN) else _STAYS
+
+
+def _unwanted(name: str, rest: str, in_article: bool) -> int:
     if name in _DROPPED and not (name == "header" and in_article):
-        return True
+        return _GOES
+    found = _LAID_OUT if name == "form" else _STAYS
     if not rest or name in ("body", "html"):
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(rest):
         attribute, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if attribute == "hidden" or attribute == "aria-hidden" and value == "true":
-            return True
+            return _GOES
         if attribute == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if attribute in ("class", "id", "role") and any(p in _NOT_ARTICLE for token in value.split() for p in _NAME_PART.findall(token)):
-            return True
-    return False
+            return _GOES
+        if attribute in ("class", "id", "role") and name not in _HEADINGS and name != "main":
+            for token in value.split():
+                said = _named(token)
+                if attribute == "id" and in_article and token not in _COMMENTS or name == "article" and said == _LAID_OUT:
+                    continue
+                found = max(found, said)
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, list[int]]]:
-    """(text, hashes of the subtrees it is in, outermost last) of the wanted blocks, in page order. Where
-    there is an article or main element, only blocks inside one count."""
-    stack: list[list] = []  # [name, unwanted, first block inside, in article]
-    done: list[tuple[str, bool]] = []  # text, in article
-    around: list[list[int]] = []
+class _Element:
+    __slots__ = ("name", "said", "first", "last", "is_main", "is_article", "holds_main", "holds_article", "in_article")
+
+    def __init__(self, name: str, said: int, first: int, is_main: bool, is_article: bool, in_article: bool):
+        self.name, self.said, self.first, self.last = name, said, first, first
+        self.is_main, self.is_article, self.in_article = is_main, is_article, in_article
+        self.holds_main = self.holds_article = False
+
+
+def _parse(page: str) -> tuple[list[tuple[str, bool, bool]], list[_Element]]:
+    """The blocks that no element drops for certain, as (text, in main, in an article), and the elements that hold
+    some, inner ones first."""
+    stack: list[_Element] = []
+    done: list[tuple[str, bool, bool]] = []
+    closed: list[_Element] = []
     words: list[str] = []
-    skipping = articles = 0
+    skipping = mains = articles = 0
 
     def flush() -> None:
         if words:
@@ -82,19 +126,21 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             words.clear()
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text and not skipping:
-                done.append((text, articles > 0))
-                around.append([])
+                done.append((text, mains > 0, articles > 0))
 
     def leave() -> None:
-        nonlocal skipping, articles
+        nonlocal skipping, mains, articles
         flush()
-        name, unwanted, first, is_main = stack.pop()
-        skipping -= unwanted
-        articles -= is_main
-        if first < len(done) and not skipping and not unwanted:
-            key = xxhash.xxh64_intdigest("\n".join([name, *(t for t, _ in done[first:])])) - (1 << 63)
-            for inside in around[first:]:
-                inside.append(key)
+        e = stack.pop()
+        e.last = len(done)
+        skipping -= e.said == _GOES
+        mains -= e.is_main
+        articles -= e.is_article
+        if e.first < e.last:
+            closed.append(e)
+            if stack and e.said != _GOES:
+                stack[-1].holds_main |= e.is_main or e.holds_main
+                stack[-1].holds_article |= e.is_article and e.said == _STAYS or e.holds_article
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -109,29 +155,66 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                 words.append(" ")
             continue
         if m["close"]:
-            if any(e[0] == name for e in stack):
-                while stack[-1][0] != name:
+            if any(e.name == name for e in stack):
+                while stack[-1].name != name:
                     leave()
                 leave()
             continue
         flush()
-        if name in _CLOSES_P and stack and stack[-1][0] == "p":
+        if name in _CLOSES_P and stack and stack[-1].name == "p":
             leave()
-        if name in _SIBLING and stack and stack[-1][0] in _SIBLING[name]:
+        if name in _SIBLING and stack and stack[-1].name in _SIBLING[name]:
             leave()
         if name in _VOID:
             continue
-        unwanted = _unwanted(name, m["rest"], articles > 0)
-        is_main = name in _MAIN or 'role="main"' in m["rest"]
-        stack.append([name, unwanted, len(done), is_main])
-        skipping += unwanted
-        articles += is_main
+        in_article = mains + articles > 0
+        e = _Element(name, _unwanted(name, m["rest"], in_article), len(done), name == "main" or 'role="main"' in m["rest"], name == "article", in_article)
+        stack.append(e)
+        skipping += e.said == _GOES
+        mains += e.is_main
+        articles += e.is_article
     words.append(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)])
     while stack:
         leave()
     flush()
-    inside = any(in_article for _, in_article in done)
-    return [(text, path) for (text, in_article), path in zip(done, around, strict=True) if in_article or not inside]
+    return done, closed
+
+
+def blocks(page: str) -> list[tuple[str, list[int]]]:
+    """(text, hashes of the subtrees it is in, outermost last) of the wanted blocks, in page order.
+
+    What a class, id or role drops stays if it holds the main element; or, unless it is readers' comments, adverts
+    or other articles, an article or most of the page's text. Where there is a main element, only blocks inside one count;
+    where articles hold at least half of the text, only blocks inside those.
+    """
+    done, closed = _parse(page)
+    sums = [0]
+    for text, _, _ in done:
+        sums.append(sums[-1] + len(text))
+    total = sums[-1]
+    own = [0]  # text in an article or main element
+    for text, in_main, in_article in done:
+        own.append(own[-1] + (len(text) if in_main or in_article else 0))
+    wanted = [True] * len(done)
+    for e in closed:
+        if e.said in (_LAID_OUT, _LISTED) and not e.holds_main and not e.is_main:
+            size, inside = sums[e.last] - sums[e.first], own[e.last] - own[e.first]
+            most = 2 * size > total and (e.in_article or inside == own[-1])
+            if e.said == _LISTED or not (most or e.holds_article):
+                wanted[e.first : e.last] = [False] * (e.last - e.first)
+    kept = [x for x, w in zip(done, wanted, strict=True) if w]
+    if any(in_main for _, in_main, _ in kept):
+        wanted = [w and in_main for w, (_, in_main, _) in zip(wanted, done, strict=True)]
+    elif 2 * sum(len(t) for t, _, a in kept if a) >= sum(len(t) for t, _, _ in kept):
+        wanted = [w and in_article for w, (_, _, in_article) in zip(wanted, done, strict=True)]
+    around: list[list[int]] = [[] for _ in done]
+    for e in closed:
+        within = [i for i in range(e.first, e.last) if wanted[i]]
+        if within:
+            key = xxhash.xxh64_intdigest("\n".join([e.name, *(done[i][0] for i in within)])) - (1 << 63)
+            for i in within:
+                around[i].append(key)
+    return [(done[i][0], around[i]) for i in range(len(done)) if wanted[i]]
 
 
 def subtrees(page: str) -> list[int]:

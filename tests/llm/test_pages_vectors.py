@@ -155,3 +155,31 @@ def test_components_and_scores_beyond_64_bits_are_named(spark):
         topk.top_k(large, F.col("vec_id") == 100).collect()
     got = topk.top_k(large.filter("vec_id <> 7"), F.col("vec_id") == 100).collect()
     assert [(r.vec_id, r.score) for r in got] == [(8, 3 << 40)]
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        # Class words that only say what the page has, or that name the article's own parts.
+        ("<div class='site no-sidebar'><article><p>a</article></div>", ["a"]),
+        ("<div class='has-header'><p>a</div>", ["a"]),
+        ("<main class='with-sidebar'><p>a</main>", ["a"]),
+        ("<article><section id='search-algorithms'><p>a</section></article>", ["a"]),
+        ("<article><h2 id='related-work'>a</h2><p>b</article>", ["a", "b"]),
+        ("<article><div class='entry-header'><h1>a</h1></div><p>b</article>", ["a", "b"]),
+        # Captions and formulas belong to the text; a formula's source doesn't.
+        ("<article><figure><img><figcaption>a</figcaption></figure><p>b <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> c</article>", ["a", "b x=1 c"]),
+        # An article element beside the text, and elements by class that hold it.
+        ("<div><article><p>teaser</article></div><div><p>A body outside of any article element.</div>", ["teaser", "A body outside of any article element."]),
+        ("<div class='sidebar'><article><p>the text</article></div><p>no</p>", ["the text"]),
+        ("<div class='related'><main><p>a</main></div>", ["a"]),
+        ("<form><div class='menu'>no</div><p>The whole page is in a form.</form>", ["The whole page is in a form."]),
+        # These still go, however long.
+        ("<article><p>a</article><div id='comments'><article class='comment'><p>no, no, no, no</article></div>", ["a"]),
+        ("<article><p>a<div class='post-comments'><p>no, no, no, no</div></article>", ["a"]),
+        ("<div class='site-header'>no</div><article>a</article><div class='ad-slot'>no</div><div class='related-posts'><article>no</article></div>", ["a"]),
+        ("<p>a</p><div class='left-sidebar'>n</div><div class='search'>n</div>", ["a"]),
+    ],
+)
+def test_page_layouts(page, expected):
+    assert blocks(page) == expected
