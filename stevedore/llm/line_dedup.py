@@ -1,11 +1,13 @@
-"""Line dedup by fingerprints of lines.
-
-Each document is the sequence of its lines with a word. Every GRAM consecutive lines have a hash, their
-fingerprint; fewer lines with PASSAGE words together have fingerprints of their own, and so has a whole
-document of fewer than GRAM lines. Fingerprints are joined with the first place they occur at; each match is
-extended line by line both ways, and its lines in the later place are deleted. No hash is left out, as
-winnowing does: the first place of the one that is kept may be in a document where the run ends
-sooner. So each line of a run that stands earlier is found, by the fingerprints within the run.
+"""Line dedup by winnowing over line hashes.
+
+Each document is the sequence of its lines with a word. Of every WINDOW consecutive lines the least line hash is
+selected, and a place that several windows select is one fingerprint. A run of WINDOW lines that stands twice has the same
+minimum in both places, so both select it: what repeats is sure to hold a fingerprint that occurs twice. Only the windows
+around such fingerprints go on. They are joined by the hash of all their lines with the first place those stand at,
+and a match reaches over one window after another, on both sides of its fingerprint, as far as they stand earlier; these lines
+are deleted. A fingerprint by itself wouldn't do: its first place may be in a document where the run ends sooner.
+
+Fewer lines with PASSAGE words together, and whole documents of fewer than WINDOW lines, are fingerprints of their own.
 """
 
 from __future__ import annotations
@@ -15,19 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stevedore.llm.common import fresh, slices, staged, text_key
+from stevedore.llm.common import FILTER_BITS, fresh, in_filter, key_filter, slices, staged, text_key
 
-#: Runs of GRAM lines are found. WINDOW was the width for winnowing; nothing but a test reads it.
-GRAM, WINDOW = 3, 3
+#: Runs of WINDOW lines are found: the least line hash of each WINDOW lines is a fingerprint.
+WINDOW = 3
 _SPACES = " \t\n\v\f\r"
 
-
-#: Lines of so many words together are a passage, found even where they are fewer than GRAM.
+#: Lines of so many words together are a passage, found even where they are fewer than WINDOW.
 PASSAGE = 50
 #: Scripts without spaces between words: two characters count as a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -53,103 +55,118 @@ def _grams(lines: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return grams.view(np.int64)
 
 
-def passages(lines: np.ndarray) -> list[tuple[int, int]]:
-    """(hash, place) of the runs of fewer than GRAM lines that are passages by themselves: from each line
+def passages(lines: np.ndarray) -> list[tuple[int, int, int]]:
+    """(hash, place, lines) of the runs of fewer than WINDOW lines that are passages by themselves: from each line
     on and up to each line, the shortest with PASSAGE words; and all lines of a shorter document."""
     hashes, words = lines
-    out: set[tuple[int, int]] = set()
-    for size in range(1, min(GRAM, len(hashes) + 1)):
+    out: set[tuple[int, int, int]] = set()
+    for size in range(1, min(WINDOW, len(hashes) + 1)):
         total = np.lib.stride_tricks.sliding_window_view(words, size).sum(axis=1)
         # The shortest one from its first line on, or up to its last.
         whole = (total >= PASSAGE) & ((total - words[size - 1 :] < PASSAGE) | (total - words[: len(total)] < PASSAGE))
-        grams = _grams(hashes, size, size)
-        out.update((int(grams[p]), int(p)) for p in np.flatnonzero(whole))
-    if 0 < len(hashes) < GRAM:
-        out.add((int(_grams(hashes, len(hashes), GRAM + len(hashes))[0]), 0))
-    return sorted(out, key=lambda x: x[::-1])
-
-
-def fingerprints(lines: np.ndarray) -> list[tuple[int, int]]:
-    """(hash, place) of each GRAM consecutive lines, and of the passages of fewer lines."""
-    grams = _grams(lines[0], GRAM).tolist() if lines.shape[1] >= GRAM else []
-    return [*zip(grams, range(len(grams)), strict=True), *passages(lines)]
+        if whole.any():
+            grams = _grams(hashes, size, size)
+            out.update((int(grams[p]), int(p), size) for p in np.flatnonzero(whole))
+    if 0 < len(hashes) < WINDOW:
+        out.add((int(_grams(hashes, len(hashes), WINDOW + len(hashes))[0]), 0, len(hashes)))
+    return sorted(out, key=lambda x: (x[1:], x[0]))
+
+
+def winnow(lines: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each window of WINDOW lines: the fingerprint it selects (its least line hash, the last of equals), the hash of
+    all its lines, its place, its number of lines, and whether it is the first window to select that place. Then the
+    passages of fewer lines, each its own fingerprint."""
+    hashes = lines[0]
+    alone = passages(lines)
+    own, places, sizes = (np.array([x[i] for x in alone], np.int64) for i in range(3))
+    if len(hashes) < WINDOW:
+        return own, own, places, sizes, np.ones(len(alone), bool)
+    around = np.lib.stride_tricks.sliding_window_view(hashes.view(np.uint64), WINDOW)
+    at = np.arange(len(around)) + (WINDOW - 1 - around[:, ::-1].argmin(axis=1))
+    picked = np.concatenate([[True], at[1:] != at[:-1]])
+    return (
+        np.concatenate([hashes[at], own]),
+        np.concatenate([_grams(hashes, WINDOW), own]),
+        np.concatenate([np.arange(len(around)), places]),
+        np.concatenate([np.full(len(around), WINDOW), sizes]),
+        np.concatenate([picked, np.ones(len(alone), bool)]),
+    )
 
 
-def extend(here: np.ndarray, there: np.ndarray, shift: int, seeds: list[int]) -> list[tuple[int, int]]:
-    """Runs [from, to) of ``here`` around the seeds that equal ``there`` ``shift`` lines before."""
-    low, high = max(0, shift), min(len(here), len(there) + shift)
-    different = np.flatnonzero(here[low:high] != there[low - shift : high - shift]) + low
-    runs = set()
-    for seed in seeds:
-        k = int(np.searchsorted(different, seed))
-        runs.add((int(different[k - 1]) + 1 if k else low, int(different[k]) if k < len(different) else high))
-    return sorted(runs)
+def joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs [from, to) that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(runs):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
 
 
 def delete_lines(text: str, runs: list[tuple[int, int]]) -> str:
     """``text`` without the lines with a word whose numbers lie in one of the runs."""
-    gone = set()
-    for start, end in runs:
-        gone.update(range(start, end))
+    todo = iter(joined_runs(runs))
+    low, high = next(todo, (-1, -1))
     out, n = [], 0
     for line in text.split("\n"):
         if line.strip(_SPACES):
+            if n == high:
+                low, high = next(todo, (-1, -1))
             n += 1
-            if n - 1 in gone:
+            if low < n <= high:
                 continue
         out.append(line)
     return "\n".join(out)
 
 
-_RUN = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
-_ARROW_RUN = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-
-
 def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, key, runs) of each document with lines to delete: runs [low, high) of its lines with a word.
-    ``key`` is ``text_key`` of its text. Documents are in order of id (null first), then key."""
+    """(id, key, runs) of each document with lines to delete: runs [low, high) of its lines with a word, which may overlap.
+    ``key`` is ``text_key`` of its text. Documents are in order of id (null first), then key.
+
+    No more rows are made than the documents have windows and passages, however often a line or a run recurs."""
     given = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    marks = pa.list_(pa.struct([("hash", pa.int64()), ("place", pa.int64())]))
-    schema = T.StructType([given.schema["id"], given.schema["key"], T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("place", T.LongType())])))])
+    kinds = {"anchor": T.LongType(), "hash": T.LongType(), "place": T.LongType(), "size": T.LongType(), "picked": T.BooleanType()}
+    marks = T.StructType([T.StructField(n, t) for n, t in kinds.items()])
+    schema = T.StructType([given.schema["id"], given.schema["key"], T.StructField("marks", T.ArrayType(marks))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            lines = [line_hashes(t or "") for t in batch.column("text").to_pylist()]
-            found = [[{"hash": h, "place": p} for h, p in fingerprints(x)] for x in lines]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([x[0] for x in lines], pa.list_(pa.int64())), pa.array(found, marks)], names=schema.names)
+            found = [winnow(line_hashes(t or "")) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *(len(f[0]) for f in found)])
+            flat = [pa.array(np.concatenate([f[i] for f in found])) for i in range(len(kinds))]
+            each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=list(kinds)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), each], names=schema.names)
 
     # Rows equal in id and text are one document.
-    table = staged(given.mapInArrow(run, schema).dropDuplicates(["id", "key"]), "lines")
-    each = table.select("id", "key", F.inline("marks"))
+    table = staged(given.mapInArrow(run, schema).dropDuplicates(["id", "key"]), "windows")
+    # Fingerprints that occur once hold nothing that repeats. The filter never misses one that occurs twice.
+    twice = table.select(F.inline("marks")).filter("picked").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(twice.select(F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit"))))
+    single = T.StructType([*schema.fields[:2], *(f for f in marks.fields if f.name in ("hash", "place", "size"))])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("marks")
+            flat, row = pc.list_flatten(column), pc.list_parent_indices(column)
+            chosen = pa.array(np.flatnonzero(in_filter(bits.value, pc.struct_field(flat, "anchor").to_numpy() & (FILTER_BITS - 1))))
+            row, flat = row.take(chosen), flat.take(chosen)
+            parts = [pc.struct_field(flat, c) for c in single.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("key").take(row), *parts], names=single.names)
+
+    each = table.mapInArrow(near, single)
     place = F.struct("id", "key", "place")
     first = staged(each.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).select("hash", "first"), "first-places")
     later = each.join(first, "hash").filter(place > F.col("first"))
-    # Matches at the same distance in the same pair of documents are extended together.
-    pairs = staged(
-        later.groupBy("id", "key", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), (F.col("place") - F.col("first.place")).alias("shift"))
-        .agg(F.collect_list("place").alias("seeds")),
-        "line-matches",
-    )
-    here = table.select(F.col("id").alias("h_id"), F.col("key").alias("h_key"), F.col("lines").alias("here"))
-    there = table.select(F.col("id").alias("t_id"), F.col("key").alias("t_key"), F.col("lines").alias("there"))
-    both = pairs.join(there, (F.col("first_key") == F.col("t_key")) & F.col("first_id").eqNullSafe(F.col("t_id")))
-    both = both.join(here, (F.col("key") == F.col("h_key")) & F.col("id").eqNullSafe(F.col("h_id"))).select("id", "key", "shift", "seeds", "here", "there")
-    out = T.StructType([given.schema["id"], given.schema["key"], T.StructField("runs", _RUN)])
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("shift", "seeds", "here", "there")), strict=True)
-            runs = [[{"low": a, "high": b} for a, b in extend(np.array(h, np.int64), np.array(t, np.int64), s, seeds)] for s, seeds, h, t in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(runs, _ARROW_RUN)], names=out.names)
-
-    return both.mapInArrow(grow, out).groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    runs = F.collect_list(F.struct(F.col("place").alias("low"), (F.col("place") + F.col("size")).alias("high")))
+    return later.groupBy("id", "key").agg(runs.alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_deleted: str | None = None) -> DataFrame:
     """The same rows and columns, ``text`` without lines of later repeated runs (and, if named, a column
     with the number of deleted lines).
 
-    Each line goes that is in a run of GRAM lines or more, or of PASSAGE words or more, that stands
+    Each line goes that is in a run of WINDOW lines or more, or of PASSAGE words or more, that stands
     earlier too (in an earlier document by id, or earlier in the same one), wherever its parts stand
     first; so do the lines of a document of fewer lines that is the same as an earlier one. Other lines stay. Lines are compared without white space around them; lines without a
     word don't count and stay. Null and empty texts stay as they are; null ids come first. Rows equal in
@@ -175,7 +192,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([n if a is b else len(b) for a, b, n in zip(before, after, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             if n_deleted:
-                lost = [len(set().union(*(range(x["low"], x["high"]) for x in r))) if r else 0 for r in todo]
+                lost = [sum(high - low for low, high in joined_runs([(x["low"], x["high"]) for x in r or ()])) for r in todo]
                 columns[n_deleted] = pa.array(lost, pa.int64())
             yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
 

@@ -25,32 +25,26 @@ SPACES = " \t\n\v\f\r"
 
 
 def brute_lines(docs):
-    """{(id, text): text without later repeated runs}, from the definition: minima of windows of hashed grams,
-    matched with the first place of the same gram, extended line by line."""
-    order = lambda d: (d[0] is not None, d[0] or 0, keys[d])
+    """{(id, text): text without later repeated runs}, from the definition, over the lines themselves: runs of 3 lines, of
+    50 words in fewer lines, and whole documents of fewer lines."""
     keys = dict(docs)
-    lines = {d: [x for line in (d[1] or "").split("\n") if (x := line.strip(SPACES))] for d in keys}
-    first, marks = {}, {}
-    for d in sorted(keys, key=order):
-        hashes = line_dedup.line_hashes(d[1] or "")
-        marks[d] = line_dedup.fingerprints(hashes)
-        for h, p in marks[d]:
-            first.setdefault(h, (d, p))
-    out = {}
-    for d in keys:
+    seen, out = set(), {}
+    for d in sorted(keys, key=lambda d: (d[0] is not None, d[0] or 0, keys[d])):
+        at = [i for i, line in enumerate((d[1] or "").split("\n")) if line.strip(SPACES)]
+        lines = [(d[1] or "").split("\n")[i].strip(SPACES) for i in at]
+        words = [len(x.split()) + len(line_dedup._UNSPACED.findall(x)) // 2 for x in lines]
         gone = set()
-        for h, p in marks[d]:
-            e, q = first[h]
-            if (e, q) == (d, p):
-                continue
-            a, b = lines[d], lines[e]
-            low, high = 0, 0
-            while p - low > 0 and q - low > 0 and a[p - low - 1] == b[q - low - 1]:
-                low += 1
-            while p + high < len(a) and q + high < len(b) and a[p + high] == b[q + high]:
-                high += 1
-            gone.update(range(p - low, p + high))
-        out[d] = line_dedup.delete_lines(d[1], [(g, g + 1) for g in gone]) if gone else d[1]
+        if 0 < len(lines) < 3:
+            if ("whole", *lines) in seen:
+                gone.update(at)
+            seen.add(("whole", *lines))
+        for p in range(len(lines)):
+            for size in (1, 2, 3):
+                if p + size <= len(lines) and (size == 3 or sum(words[p : p + size]) >= 50):
+                    if tuple(lines[p : p + size]) in seen:
+                        gone.update(at[p : p + size])
+                    seen.add(tuple(lines[p : p + size]))
+        out[d] = "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone) if gone else d[1]
     return out
 
 
@@ -73,16 +67,36 @@ def test_line_query(spark):
 
 
 def test_runs_of_the_guaranteed_length_are_found(spark):
-    """Wherever a run stands in two documents: GRAM + WINDOW - 1 lines are enough."""
+    """Wherever a run stands in two documents: WINDOW lines are enough."""
     rng = random.Random(3)
     own = lambda n: [f"line {rng.random()}" for _ in range(n)]
-    length = line_dedup.GRAM + line_dedup.WINDOW - 1
+    length = line_dedup.WINDOW
     run = own(length)
     rows = [(i, "\n".join([*own(rng.randrange(6)), *([" "] if i % 2 else []), *run, *own(rng.randrange(6))])) for i in range(60)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4), n_deleted="n")
     assert {r.doc_id: r.n for r in got.collect()} == {i: length * (i > 0) for i in range(60)}
 
 
+def test_fingerprints_are_window_minima():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 3000)
+    hashes[100:200] = hashes[100]
+    anchor, _, place, size, picked = line_dedup.winnow(np.stack([hashes, np.ones(3000, np.int64)]))
+    assert place.tolist() == list(range(2998)) and set(size) == {line_dedup.WINDOW}
+    assert anchor.tolist() == [int(min(hashes[p : p + 3].view(np.uint64)).astype(np.int64)) for p in range(2998)]
+    assert 0.4 < picked.mean() < 0.65  # two of WINDOW + 1 places, and nearly all of the equal ones
+
+
+def test_periodic_text_makes_no_more_rows_than_it_has_lines(spark):
+    """100,000 equal lines, and two texts of the same period: one run to delete for each line at most."""
+    n = 100_000
+    rows = [(1, "x\n" * n), (2, "a\nb\n" * 5000), (3, "b\na\n" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert {r.id: len(r.runs) <= n for r in line_dedup.repeated_runs(df).collect()} == {1: True, 2: True, 3: True}
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, n_deleted="n").collect()}
+    assert {i: r.text for i, r in got.items()} == {1: "x\n", 2: "a\nb\n", 3: ""} and got[1].n == n - 1
+
+
 def test_lines_awkward_rows(spark, awkward):
     poem = "\n".join(f"verse {i} of the poem" for i in range(8))
     extra = [(8, poem, "x", 1, [1]), (9, "head\n" + poem.replace("\n", "\r\n \n") + "\ntail", "x", 1, [1]), (9, poem + "\n" + poem, "x", 1, [1])]
