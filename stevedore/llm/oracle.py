@@ -27,7 +27,7 @@ ORACLE_SQL: dict[str, str] = {
                  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
                  len(l) AS n_lines,
                  length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper,
-                 length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters
+                 length(regexp_replace(t, '[^\p{{L}}\p{{M}}]', '', 'g')) AS n_letters
           FROM d JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN covered ON covered.doc_id = d.doc_id),
         f AS (SELECT *, CAST({_FAILED} AS BIGINT) AS failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -7,6 +7,9 @@ decides (its ablation), then come from bitwise operations on the ledger, without
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,13 +78,17 @@ def measure(text: str) -> tuple[int, ...]:
     return n, len(text) - blank, sum(map(text.count, SYMBOLS)), duplicates, repeated, lines, upper, letters, digits
 
 
-#: Code points up to U+FFFF: 1 upper case, 2 other letter, 4 digit.
-_CLASS = np.array([1 if (c := chr(i)).isupper() else 2 if c.isalpha() else 4 if c.isdecimal() else 0 for i in range(1 << 16)], np.uint8)
+@functools.cache
+def _class_table() -> np.ndarray:
+    """Of each code point: 1 upper-case letter, 2 other letter or a mark on one (vowel signs), 4 digit."""
+    kinds = {"Lu": 1, "Nd": 4}
+    names = [unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)]
+    return np.array([kinds.get(c) or (2 if c[0] in "LM" else 0) for c in names], np.uint8)
 
 
 def _classes(text: str) -> tuple[int, int, int]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = np.bincount(_CLASS[np.minimum(codes, 0xFFFF)], minlength=5)
+    kinds = np.bincount(_class_table()[codes], minlength=5)
     return int(kinds[1]), int(kinds[1] + kinds[2]), int(kinds[4])
 
 

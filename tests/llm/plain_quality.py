@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -14,8 +15,8 @@ def keeps(text: str) -> bool:
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
     covered = {i + j for i, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for j in range(3)}
     lines = [line for line in text.split("\n") if WORD.search(line)]
-    upper = sum(c.isupper() for c in text)
-    letters = sum(c.isalpha() for c in text)
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    letters = sum(unicodedata.category(c)[0] in "LM" for c in text)
     return not (
         n < 50
         or 2 * len(covered) > n

@@ -240,7 +240,7 @@ def test_connected_components_of_paths_and_stars(spark):
 
 
 def test_pipeline_stages_against_brute_force(spark):
-    from tests_quality import keeps
+    from plain_quality import keeps
 
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}

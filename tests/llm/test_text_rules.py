@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -153,6 +154,24 @@ def test_quality_query(spark):
     assert wrong <= 0.01 * len(good)  # held against labels that no rule was fitted to
 
 
+def test_letters_of_every_script_as_the_sql_counts_them(spark):
+    """Letters above U+FFFF, and vowel signs, which are marks: Deseret, Burmese, Hindi."""
+    import duckdb
+
+    from stevedore.llm.oracle import ORACLE_SQL
+
+    rng = random.Random(8)
+    scripts = {1: range(0x10400, 0x10450), 2: [*range(0x1000, 0x1021), *range(0x102B, 0x1031)] * 2, 3: [*range(0x915, 0x939), *range(0x93E, 0x94D)], 4: range(0x21, 0x2F)}
+    rows = [(i, " ".join("".join(chr(rng.choice(list(letters))) for _ in range(8)) for _ in range(60))) for i, letters in scripts.items()]
+    got = {r.doc_id: r for r in quality.ledger(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    failed = dict(con.execute(f"SELECT doc_id, failed FROM ({ORACLE_SQL['op5_quality']})").fetchall())
+    assert {i: r.failed for i, r in got.items()} == failed
+    assert [got[i].measures.n_letters for i in sorted(got)] == [480, 480, 480, 0] and not any(failed[i] & 64 for i in (1, 2, 3)) and failed[4] & 64
+
+
 def test_ledger_answers_any_policy(spark, awkward):
     entries = quality.ledger(awkward)
     assert entries.columns == [*awkward.columns, "measures", "failed"] and entries.count() == awkward.count()
