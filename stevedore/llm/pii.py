@@ -181,6 +181,7 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     if not (any(w in low for w in (*_DOT_WORD.split("|"), "&#64;", "%40", " @", "@ ")) or " AT " in text or _BRACKETED.search(text)):
         return []
     edits = [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
+    began = {end: start for start, end, _ in edits}
     places = sorted([e[1] for e in edits] + [m.end() for m in re.finditer("@", text)])
     done = 0
     for place in places:
@@ -188,7 +189,7 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
             edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, place, m.end()) if d.end() <= m.end()]
             done = m.end()
     for k in range(len(places)):  # spelled dots in the name before the at
-        start = next((e[0] for e in edits if e[1] == places[k] and e[2] == "@"), places[k] - 1)
+        start = began.get(places[k], places[k] - 1)
         if m := re.search(rf"(?:{_LABEL}{_SPELLED_DOT})+[A-Za-z0-9._%+-]+$", text[max(0, start - 80) : start], re.IGNORECASE | re.ASCII):
             base = max(0, start - 80) + m.start()
             edits += [(base + d.start(), base + d.end(), ".") for d in _DOT.finditer(m[0])]
