@@ -1,9 +1,9 @@
 """Table, change, history, log and reconcile jobs."""
 
 from stevedore.operators.changes import evolve_append, evolve_table, fold_batches, merge_into_path, merge_upsert
-from stevedore.operators.history import latest_per_key, retain_history, snapshot_as_of
+from stevedore.operators.history import latest_per_key, retain_history, retain_in_place, snapshot_as_of
 from stevedore.operators.logs import error_tail, error_verdict, filter_severity, keep_newest_days, write_daily
-from stevedore.operators.reconcile import reconcile, reconcile_summary
+from stevedore.operators.reconcile import reconcile, reconcile_ranges, reconcile_summary
 from stevedore.operators.tables import (
     append_rows,
     compact,
@@ -38,9 +38,11 @@ __all__ = [
     "publish_table",
     "read_evolved",
     "reconcile",
+    "reconcile_ranges",
     "reconcile_summary",
     "replace_table",
     "retain_history",
+    "retain_in_place",
     "snapshot_as_of",
     "write_daily",
 ]

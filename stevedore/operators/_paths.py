@@ -52,6 +52,12 @@ def holds_data(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop) and any(f.isFile() and f.getPath().getName()[0] not in "._" for f in system.listStatus(hadoop))
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path`` (none where there is no such path)."""
+    hadoop, system = _path(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(hadoop) if f.isDirectory()] if system.exists(hadoop) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop, system = _path(spark, path)
     system.delete(hadoop, True)

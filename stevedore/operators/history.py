@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stevedore.operators._keys import SPREAD, check_keys, spread_column
+from stevedore.operators._paths import delete, reject_sink_log, subfolders
+from stevedore.operators._schemas import read_evolved
 
 
 def latest_per_key(history: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
@@ -115,3 +119,61 @@ def retain_history(
     # A change with no time sorts first, so it counts as old; it is never dropped unseen.
     older = latest_per_key(history.filter((F.col(time_col) < cutoff) | F.col(time_col).isNull()), keys, order_cols)
     return recent.unionByName(older)
+
+
+#: The day under which the newest changes from before the kept days are stored: earlier than any real one.
+BASELINE_DAY = "0001-01-01"
+
+
+def _days(spark: SparkSession, root: str, day_col: str) -> list[str]:
+    """The days that have a folder, in order (one name each, as in any listing); not the folder of NULL days."""
+    names = [unquote(n.partition("=")[2]) for n in subfolders(spark, root) if n.startswith(f"{day_col}=")]
+    return sorted(n for n in names if re.fullmatch(r"\d{4}-\d\d-\d\d", n))
+
+
+def retain_in_place(
+    spark: SparkSession,
+    path: str,
+    keys: Sequence[str],
+    order_cols: Sequence[str],
+    *,
+    day_col: str = "day",
+    hours: float = 168,
+    now=None,
+    time_col: str | None = None,
+) -> list[str]:
+    """Trim, in place, a history stored by day (``day_col`` is the date of ``time_col``); returns the days dropped.
+
+    Days that end before the cutoff (``retention_cutoff``; without ``now`` the newest day is read for it) are folded: per key,
+    the newest change of theirs goes to the one partition BASELINE_DAY, and the folded days are dropped by name.  So
+    ``snapshot_as_of`` answers as before for every ``as_of`` from the cutoff on, with ``day_col`` too.  The next run reads the
+    baseline and the days that have become old since: each old day is opened once, kept days and NULL days never.
+
+    The baseline is replaced when all its tasks have finished, and only then are folders deleted.  A run that is cut off in
+    between leaves changes in both places: answers are the same, and the next run folds them again.  Files may differ
+    in schema (``read_evolved``).  Rows lose nothing but their place: the baseline's rows have their own time, not their own day.
+    """
+    keys, order_cols, root = list(keys), list(order_cols), path.rstrip("/")
+    time_col = time_col or order_cols[0]
+    reject_sink_log(spark, root, "retain_in_place")
+    days = _days(spark, root, day_col)
+    real = [d for d in days if d != BASELINE_DAY]
+    day = None
+    for last in reversed(real):  # the newest day; an older one only where it has no row with a time
+        newest = read_evolved(spark, root, [day_col], folders=[f"{day_col}={last}"])
+        check_keys(newest, keys, "retain_in_place")
+        cutoff = newest.select(F.date_format(retention_cutoff(newest, time_col, hours, now), "yyyy-MM-dd").alias("day"))
+        day = cutoff.agg(F.max("day").alias("day")).first()["day"]
+        if day is not None:
+            break
+    old = [d for d in real if day is not None and d < day]
+    if not old:
+        return []
+    folded = [*([BASELINE_DAY] if BASELINE_DAY in days else []), *old]
+    rows = read_evolved(spark, root, [day_col], folders=[f"{day_col}={d}" for d in folded])
+    latest = latest_per_key(rows, keys, order_cols).withColumn(day_col, F.lit(BASELINE_DAY))
+    writer = latest.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(day_col).parquet(root)
+    for d in old:
+        delete(spark, f"{root}/{day_col}={d}")
+    return old

@@ -33,9 +33,11 @@ from stevedore.operators import (
     publish_table,
     read_evolved,
     reconcile,
+    reconcile_ranges,
     reconcile_summary,
     replace_table,
     retain_history,
+    retain_in_place,
     snapshot_as_of,
     write_daily,
 )
@@ -181,6 +183,16 @@ def retain_history_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retain_history(events, ["user_id"], ["ts", "event_id"], hours=168)
 
 
+def retain_in_place_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day, trimmed twice: the second run folds the first one's baseline with two more days."""
+    events = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "daily_events")
+    events.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    for hours in (168 + 48, 168):
+        retain_in_place(spark, path, ["user_id"], ["ts", "event_id"], hours=hours)
+    return read_evolved(spark, path, ["day"]).select(*events.columns)
+
+
 def optimized_write_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     path = scratch_path(spark, "optimized_orders")
@@ -466,7 +478,7 @@ def settings_drift_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_settings(spark, intended, "xml", rendered, "kv", keep=("o_orderpriority",))
 
 
-def reconcile_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reconcile_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     expected = orders.filter(F.col("o_orderdate") < ntz(RECONCILE_EXPECTED_TO))
     actual = (
@@ -479,7 +491,15 @@ def reconcile_case(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("o_orderpriority") == "1-URGENT", F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus")),
         )
     )
-    return reconcile(expected, actual, ["o_orderkey"])
+    return expected, actual
+
+
+def reconcile_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile(*_reconcile_sides(spark, sf_dir), ["o_orderkey"])
+
+
+def reconcile_ranges_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_ranges(*_reconcile_sides(spark, sf_dir), ["o_orderkey"])
 
 
 def reconcile_summary_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,6 +518,7 @@ CASES: dict[str, Case] = {
     "evolve_table": evolve_table_case,
     "snapshot_as_of": snapshot_as_of_case,
     "retain_history": retain_history_case,
+    "retain_in_place": retain_in_place_case,
     "optimized_write": optimized_write_case,
     "compact": compact_case,
     "compact_in_place": compact_in_place_case,
@@ -522,6 +543,7 @@ CASES: dict[str, Case] = {
     "extract_settings_kv": extract_settings_kv_case,
     "extract_settings_conf": extract_settings_conf_case,
     "reconcile": reconcile_case,
+    "reconcile_ranges": reconcile_ranges_case,
     "settings_drift": settings_drift_case,
     "reconcile_summary": reconcile_summary_case,
 }

@@ -104,6 +104,10 @@ ORACLE_SQL: dict[str, str] = {
         WITH h AS (SELECT *, ts < (SELECT max(ts) - INTERVAL 168 HOUR FROM events) AS old FROM events),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, old ORDER BY ts DESC, event_id DESC) AS rn FROM h)
         SELECT {EVENTS} FROM r WHERE NOT old OR rn = 1""",
+    "retain_in_place": f"""
+        WITH h AS (SELECT *, ts < (SELECT date_trunc('day', max(ts) - INTERVAL 168 HOUR) FROM events) AS old FROM events),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, old ORDER BY ts DESC, event_id DESC) AS rn FROM h)
+        SELECT {EVENTS} FROM r WHERE NOT old OR rn = 1""",
     "optimized_write": f"SELECT {ORDERS} FROM orders",
     "compact": """
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
@@ -199,6 +203,7 @@ ORACLE_SQL: dict[str, str] = {
            OR o_orderpriority IN ('5-LOW', '1-URGENT')""",
 }
 
+ORACLE_SQL["reconcile_ranges"] = ORACLE_SQL["reconcile"]
 ORACLE_SQL["merge_colocated"] = ORACLE_SQL["merge_upsert"]
 ORACLE_SQL["merge_table"] = ORACLE_SQL["merge_upsert"]
 ORACLE_SQL["ingest_daily"] = ORACLE_SQL["write_daily"]
