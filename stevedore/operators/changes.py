@@ -94,10 +94,10 @@ def merge_upsert(
     )
     added = complete.join(matched, [F.col(k) == F.col(f"__m_{k}") for k in keys], "left_anti")
     inserted = added.unionByName(src.filter(null_key)).filter(~F.col("__del")).select(*cols)
-    # No row comes from here: a key that occurs twice in the source raises.
-    twice = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
-    raised = twice.filter(F.when(F.col("__n") > 1, F.raise_error(F.lit("merge_upsert: duplicate key in source"))).isNull())
-    none = raised.filter(F.col("__n") < 1).select(*[(F.col(c) if c in keys else F.lit(None)).cast(types[c]).alias(c) for c in cols])
+    # No row comes from here: a key that occurs twice in the source raises, for others the condition is false.
+    counts = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    twice = F.when(F.col("__n") > 1, F.raise_error(F.lit("merge_upsert: duplicate key in source")))
+    none = counts.filter(twice.isNotNull()).select(*[(F.col(c) if c in keys else F.lit(None)).cast(types[c]).alias(c) for c in cols])
     return kept.unionByName(inserted).unionByName(none)
 
 
