@@ -4,21 +4,24 @@ One pass over the texts finds parts: strong ones, which count by themselves (an
 an access identifier, a long hex run), and weak ones, which may be anything (short access
 identifiers, identifier assignments, assignments of other secret-like names, bare tokens that look like keys,
 service endpoints). The parts
-go to a table. An interval join of parts within one scope (a row's text, ``REACH`` characters around)
-then reports a weak candidate only where it meets a complementary part. The texts themselves are
-never shuffled.
+go to a table, and so do the places where a scope ends: a blank line, a section header, a rule. An interval
+join gives each part its scope, and a weak candidate is reported only where a complementary part lies in
+the same one, however far off. The texts themselves are never shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stevedore.llm.common import staged
 
 KINDS = ("assign", "access", "hex")
-#: Weak parts are linked over at most this many characters between the end of one and the start of the other.
-REACH = 256
+#: Joins by place are on stretches of so many characters. It changes the work, not the results.
+STRETCH = 4096
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -37,6 +40,13 @@ WEAK_ASSIGN = (
 WEAK_TOKEN = rf"(?<![A-Za-z0-9+/_=-]){_NO_ACCESS}(?:(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{{20,}}|(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{{20,}})(?![A-Za-z0-9+/_-])={{0,6}}"
 WEAK_ENDPOINT = r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9._:@-]+"
 
+#: The line end at which a scope ends, always one character: before a blank line, a section header (``[name]``) or a rule (``---``) on a line of its own.
+BREAK = r"\n(?=[\x20\t\r]*\n|[\x20\t]*\[{1,2}[A-Za-z][^\[\]\n,]*\]{1,2}[\x20\t\r]*(?:\n|\z)|(?:-{3,}|={3,})[\x20\t\r]*(?:\n|\z))"
+#: Every text with a part matches this, and few others do: the patterns run on texts that pass only.
+GATE = (
+    r"""[:=]\x20*["']?[A-Za-z0-9+/_.=@-]{3}|://|A(?:KIA|SIA|ROA|IDA)[A-Z0-9]|[0-9a-f]{16}|[A-Za-z0-9+/_-]{20}"""
+)
+
 #: kind, pattern, role. Two parts are complementary if their roles differ.
 PARTS = (
     ("assign", ASSIGN, "secret"),
@@ -62,12 +72,9 @@ def parts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     """A staged table with one row for each row of ``docs``: row (a number), doc_id, and for each kind of
     part an array of (gap, size, ok): code points since the last match, in the match, and whether it counts.
     """
-    found = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(doc_id).alias("doc_id"),
-        F.col(text).alias("text"),
-        *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p, _ in PARTS),
-    )
+    held = F.col("text").rlike(GATE)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = rows.select("row", "doc_id", "text", *(F.when(held, F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"m_{k}") for k, p, _ in PARTS))
 
     def sized(kind: str, pattern: str) -> Column:
         matches = F.col(f"m_{kind}")
@@ -81,7 +88,10 @@ def parts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
         ))
         return F.when(F.size(matches) > 0, rows).alias(kind)
 
-    return staged(found.select("row", "doc_id", *(sized(k, p) for k, p, _ in PARTS)), "secret-parts")
+    # Scopes are needed only where there is something weak to report.
+    weak = reduce(or_, (F.coalesce(F.size(f"m_{k}") > 0, F.lit(False)) for k in REPORTED))
+    scopes = F.when(weak, F.transform(F.split("text", BREAK, -1), F.length)).alias("scopes")
+    return staged(found.select("row", "doc_id", *(sized(k, p) for k, p, _ in PARTS), scopes), "secret-parts")
 
 
 def located(table: DataFrame) -> DataFrame:
@@ -100,21 +110,38 @@ def located(table: DataFrame) -> DataFrame:
     return each.withColumn("end", end).filter("ok").select("row", "kind", role.alias("role"), (F.col("end") - F.col("size")).alias("start"), "end")
 
 
-def linked(places: DataFrame) -> DataFrame:
-    """Weak parts that meet a part of another role within REACH characters in the same row, and don't
-    overlap a strong part (nor, if LATE, one that comes before them). Both joins are on (row, stretch of REACH characters), so that a long
-    text is spread over many keys; semi and anti joins give no pairs."""
-    stretch = lambda low, high: F.explode(F.sequence(F.floor(low / REACH), F.floor(high / REACH)))
+def scoped(places: DataFrame, table: DataFrame) -> DataFrame:
+    """``places`` with ``scope``, where the part's scope begins; rows of ``table`` without scopes go.
+
+    Scopes and parts are intervals joined on (row, stretch of characters), so that a long text is spread over many
+    keys; a part begins in one scope and one stretch."""
+    ends = table.select("row", F.posexplode("scopes").alias("nth", "size"))
+    upto = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Each piece is followed by its break, one character.
+    scopes = ends.withColumn("high", F.sum(F.col("size") + 1).over(upto)).withColumn("scope", F.col("high") - F.col("size") - 1)
+    scopes = scopes.withColumn("bin", F.explode(F.sequence(F.floor(F.col("scope") / STRETCH), F.floor((F.col("high") - 1) / STRETCH)))).alias("s")
+    parts_at = places.withColumn("bin", F.floor(F.col("start") / STRETCH)).alias("p")
+    inside = (F.col("p.row") == F.col("s.row")) & (F.col("p.bin") == F.col("s.bin")) & (F.col("p.start") >= F.col("s.scope")) & (F.col("p.start") < F.col("s.high"))
+    return parts_at.join(scopes, inside).select("p.row", "s.scope", "kind", "role", "start", "end")
+
+
+def linked(places: DataFrame, table: DataFrame) -> DataFrame:
+    """Weak parts with a part of another role in their scope, that don't
+    overlap a strong part (nor, if LATE, one that comes before them). What a scope holds of a role is one row when
+    it meets the candidates: whether a part not LATE, the first end and the last start. So a scope of many parts makes no pairs."""
+    stretch = lambda low, high: F.explode(F.sequence(F.floor(low / STRETCH), F.floor(high / STRETCH)))
     strong = F.col("kind").isin(*KINDS)
-    weak = places.filter(F.col("kind").isin(*REPORTED))
-    wide = weak.withColumn("bin", stretch(F.col("start") - REACH, F.col("end") + REACH)).alias("w")
-    other = places.withColumn("bin", stretch(F.col("start"), F.col("end"))).alias("o")
+    within = scoped(places, table)
+    late = F.col("kind").isin(*LATE)
+    evidence = within.groupBy("row", "scope", "role").agg(
+        F.max(~late).alias("firm"), F.min("end").alias("first_end"), F.max("start").alias("last_start")
+    ).alias("o")
+    weak = within.filter(F.col("kind").isin(*REPORTED)).alias("w")
     meets = (
-        (F.col("w.row") == F.col("o.row")) & (F.col("w.bin") == F.col("o.bin")) & (F.col("w.role") != F.col("o.role"))
-        & (F.col("o.start") <= F.col("w.end") + REACH) & (F.col("o.end") >= F.col("w.start") - REACH)
-        & (~F.col("w.kind").isin(*LATE) & ~F.col("o.kind").isin(*LATE) | (F.col("o.start") >= F.col("w.end")) | (F.col("o.end") <= F.col("w.start")))
+        (F.col("w.row") == F.col("o.row")) & (F.col("w.scope") == F.col("o.scope")) & (F.col("w.role") != F.col("o.role"))
+        & (~F.col("w.kind").isin(*LATE) & F.col("o.firm") | (F.col("o.last_start") >= F.col("w.end")) | (F.col("o.first_end") <= F.col("w.start")))
     )
-    near = wide.join(other, meets, "left_semi").select("row", "kind", "start", "end").distinct()
+    near = weak.join(evidence, meets, "left_semi").select("row", "kind", "start", "end").distinct()
     narrow = near.withColumn("bin", stretch(F.col("start"), F.col("end"))).alias("w")
     order = lambda kind: F.when(kind.isin(*KINDS), 0).when(kind == "weak_assign", LATE["weak_assign"]).when(kind == "weak_token", LATE["weak_token"]).otherwise(1)
     certain = places.filter(strong).select("row", "kind", "start", "end").unionByName(near.filter(F.col("kind") != "weak_token")).withColumn("bin", stretch(F.col("start"), F.col("end"))).alias("o")
@@ -134,7 +161,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     places = staged(located(table), "secret-places")
     reported = F.create_map(*(F.lit(x) for kind in REPORTED.items() for x in kind))
     strong = places.filter(F.col("kind").isin(*KINDS)).select("row", "kind", "start", "end", F.lit(True).alias("base"))
-    weak = linked(places).select("row", reported[F.col("kind")].alias("kind"), "start", "end", F.lit(False).alias("base")).distinct()
+    weak = linked(places, table).select("row", reported[F.col("kind")].alias("kind"), "start", "end", F.lit(False).alias("base")).distinct()
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = strong.unionByName(weak).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "base"))).alias("spans"))
     none = F.expr("cast(array() as array<struct<start:bigint,rank:bigint,kind:string,end:bigint,base:boolean>>)")

@@ -240,13 +240,6 @@ def test_secrets_query_and_odd_texts(spark, awkward):
     assert secrets.digest(awkward).count() == awkward.count() and secrets.digest(awkward.limit(0)).count() == 0
 
 
-def test_links_reach_over_stretches_only(spark):
-    gap = lambda n: f"AKIA1234ABCD{'.' * n}aB3dE5gH7jK9mN1pQ3sT"
-    df = spark.createDataFrame([(n, "é" * 200 + " " + gap(n)) for n in (1, 200, 256, 257, 600)], "doc_id LONG, text STRING")
-    linked = {r.doc_id for r in secrets.digest(df).filter("spans <> ''").collect()}
-    assert linked == {1, 200, 256}
-
-
 # --- licenses -----------------------------------------------------------------------------
 
 
