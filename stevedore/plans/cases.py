@@ -57,6 +57,7 @@ from stevedore.session import scratch_path
 from stevedore.sources.logs import PLACE_COLUMNS, attach_records, parse_logs, read_log_lines
 from stevedore.sources.settings import compare_settings, extract_settings
 from stevedore.streaming.follow import compact_ingested, follow_logs, ingest_daily, run_to_path
+from stevedore.streaming.records import follow_records
 
 Case = Callable[[SparkSession, str], DataFrame]
 
@@ -380,6 +381,31 @@ def follow_logs_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def follow_records_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three logs in rolled files, cut between records and their traces; the later files come to a restarted query."""
+    events = table(spark, sf_dir, "events")
+    lines = event_log_lines(events).withColumn("log", F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("long"), F.lit(3)))
+    # ``seq`` is twice the event's number, one more for its trace: a file ends below the last record's first line.
+    lines = lines.withColumn("roll", F.floor((F.col("seq") + 1) / 512))
+    half = lines.agg(F.floor(F.max("roll") / 2)).first()[0] or 0
+    incoming = scratch_path(spark, "rolled_records")
+    out, checkpoint = scratch_path(spark, "record_counts"), scratch_path(spark, "record_counts_ckpt")
+    by_file = lines.repartition("log", "roll").sortWithinPartitions("log", "roll", "seq")
+    # A record of a day to come closes all windows but its own, which stays open.
+    beat = spark.range(1).select(F.lit("[2200-01-01 00:00:00] [INFO] end").alias("value"), F.lit(3).alias("log"), F.lit(0).alias("roll"))
+    for part in (by_file.filter(F.col("roll") <= half), by_file.filter(F.col("roll") > half), beat):
+        part.select("value", "log", "roll").write.mode("append").partitionBy("log", "roll").text(incoming)
+        stream = follow_records(
+            spark,
+            incoming,
+            series=lambda path: F.regexp_extract(path, r"/log=(\d+)/", 1),
+            place=lambda path: F.lpad(F.regexp_extract(path, r"/roll=(\d+)/", 1), 12, "0"),
+        )
+        run_to_path(stream, out, checkpoint).awaitTermination()
+    counts = spark.read.parquet(out)
+    return counts.groupBy("window_start", "window_end", "level").agg(F.sum("n").alias("n"))
+
+
 def ingest_daily_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of files, with a compaction of the output between them."""
     lines = event_log_lines(table(spark, sf_dir, "events"))
@@ -538,6 +564,7 @@ CASES: dict[str, Case] = {
     "write_daily_files": write_daily_files_case,
     "keep_newest_days": keep_newest_days_case,
     "follow_logs": follow_logs_case,
+    "follow_records": follow_records_case,
     "ingest_daily": ingest_daily_case,
     "extract_settings_xml": extract_settings_xml_case,
     "extract_settings_kv": extract_settings_kv_case,

@@ -176,6 +176,11 @@ ORACLE_SQL: dict[str, str] = {
                level, count(*) AS n
         FROM parsed WHERE ts IS NOT NULL
         GROUP BY date_trunc('hour', ts), level""",
+    "follow_records": f"""
+        WITH {PARSED_LOGS}
+        SELECT date_trunc('hour', record_ts) AS window_start, date_trunc('hour', record_ts) + INTERVAL 1 HOUR AS window_end,
+               record_level AS level, count(*) AS n
+        FROM parsed GROUP BY date_trunc('hour', record_ts), record_level""",
     "extract_settings_xml": """
         SELECT 'order.' || CAST(o_orderkey AS VARCHAR) || '.status' AS name, o_orderstatus AS value, o_orderpriority
         FROM orders
