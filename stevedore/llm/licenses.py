@@ -52,8 +52,36 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "commons attribution sharealike 4 0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "commons attribution noncommercial 4 0"),
     ("CC0-1.0", "Released into the public domain under CC0 1.0.", "cc0 1 0"),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0.", "cc by 3 0"),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0.", "cc by sa 3 0"),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "commons attribution 3 0"),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "commons attribution sharealike 3 0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "boost 1 0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse 2 0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", "eclipse v1 0"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "permission anyone alter freely"),
+    # Short names.
+    ("GPL-3.0", "Licensed under GPLv3.", "gplv3"),
+    ("GPL-3.0", "the GPL v3 license", "gpl v3"),
+    ("GPL-2.0", "Licensed under GPLv2.", "gplv2"),
+    ("GPL-2.0", "the GPL v2 license", "gpl v2"),
+    ("LGPL-3.0", "Licensed under LGPLv3.", "lgplv3"),
+    ("AGPL-3.0", "Licensed under AGPLv3.", "agplv3"),
+    # Headings of the licenses' own texts.
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gnu general 3 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "gnu general 2 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gnu lesser 3 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "gnu lesser 2 1 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "gnu affero 3 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "apache 2 0 2004"),
+    ("MIT", "The MIT License (MIT) Copyright (c)", "mit copyright"),
+    ("MIT", "MIT License Copyright (c)", "mit copyright"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
 )
+# Tags and fields: these short forms count only as they are, marks included.
+_NAMED = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "BSL-1.0", "EPL-2.0", "Unlicense", "Zlib")
+_PLAIN = len(TEMPLATES)
+TEMPLATES += tuple((name, f"{form}: {name}", " ".join(re.findall(r"[a-z0-9]+", name.lower()))) for form in ("SPDX-License-Identifier", "License") for name in _NAMED)
 _MENTION = re.compile(r"licen|permission|redistribut|public[\W_]+domain|free[\W_]+software|cc[\W_]+by|cc0", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 #: Words of a template that may be missing, and words that may stand between, as shares of the template's.
@@ -83,7 +111,8 @@ def confirm(template: int, words: list[str]) -> tuple[int, int, int, int] | None
             keys = set(TEMPLATES[template][2].split())
             between = set(words[first:end]) - set(wanted)
             rivals = {w for name, _, key in TEMPLATES if name != TEMPLATES[template][0] for w in key.split()} - keys
-            return (first, end, missing, extra) if keys <= found and not between & rivals else None
+            exact = template < _PLAIN or not missing and not extra
+            return (first, end, missing, extra) if exact and keys <= found and not between & rivals else None
         if extra > EXTRA * len(wanted) and len(blocks) > 1:
             blocks.pop(0 if blocks[0].size <= blocks[-1].size else -1)
         else:
@@ -91,6 +120,11 @@ def confirm(template: int, words: list[str]) -> tuple[int, int, int, int] | None
     return None
 
 
+def _marked(statement: str, after: str) -> bool:
+    """A tag's or field's colon stands where it should, and its value isn't the beginning of a longer name."""
+    return bool(re.match(r"(?:spdx-license-identifier|license)[\"']?[\x20\t]*[:=]", statement, re.IGNORECASE)) and after != "/"
+
+
 def best(block: str, words: list[str]) -> tuple[int, float, tuple[int, int, int, int]] | None:
     """(template, share of bytes saved, what ``confirm`` gives) of the confirmed template that saves the most."""
     _, with_each, alone = _prepared()
@@ -136,6 +170,9 @@ def scan(text: str) -> list[tuple[int, int, str, float, int, int]]:
                 continue
             template, saved, (first, stop, missing, extra) = hit
             first, stop = a + first, a + stop
+            if template >= _PLAIN and not _marked(text[starts[first] : found[stop - 1].end()], text[found[stop - 1].end() :][:1]):
+                blocks += [(a, first), (stop, b)]
+                continue
             # A statement without the mention, of which words may be missing because the block ends, has its own.
             reach = missing + EXTRA * len(_prepared()[0][template])
             cut = missing and (edges[0] >= 0 and first - edges[0] <= reach or edges[1] >= 0 and edges[1] - stop <= reach)
