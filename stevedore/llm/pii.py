@@ -13,6 +13,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -124,6 +125,9 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]{{1,3}})?(?:{_NAME}|[0-9]+)(?:{_GAP
 #: Words of a run: 2 for names of digits, 1 for spelled dots (and numbers).
 _RUN_PART = dict.fromkeys(_DOT_WORD.split("|"), 1) | dict.fromkeys(_DIGIT, 2)
 _THREE_NAMES = re.compile(b"\2\1*\2\1*\2")
+#: A name of a digit beside a number, with spelled dots between or not.
+_NAME_BESIDE = re.compile(b"\2\1|\1\2")
+_TOKEN = re.compile(rf"(?:{_NAME})(?!\w)|[0-9]+", re.IGNORECASE)
 _WORDS = re.compile(r"\w+")
 #: Letters that match i and s where case is ignored, but not in lower case.
 _SAME_LETTERS = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s"})
@@ -202,18 +206,31 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _few_spelled(text: str, run: re.Match[str]) -> bool:
+    """Whether the digits are a phone number or a card with the spelled ones, and not before the first of them
+    (a name may stand beside a whole number as an ordinary word)."""
+    tokens = _TOKEN.findall(run[0])
+    digits = "".join(_DIGIT.get(t.lower(), t) for t in tokens)
+    before = "".join(takewhile(str.isdecimal, tokens))
+    if run[0][:4].lower() == "plus" or text[run.start() - 1 : run.start()] == "+":
+        return len(before) < 10 <= len(digits) <= 15
+    return any(cards(digits)) and not any(cards(before))
+
+
 def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     """Runs with three spelled digits or more, real digits among them or not: white space and commas
-    between them go, a spelled dot is a dot."""
+    between them go, a spelled dot is a dot. Fewer among real digits count in a run that
+    with them has the digits of a phone number (after a plus) or of a card."""
     low = (text if text.isascii() else text.translate(_SAME_LETTERS)).lower()
     # Each part of a run is a whole word, so this holds wherever a run counts.
-    if not _THREE_NAMES.search(bytes([_RUN_PART.get(w) or w.isdecimal() for w in _WORDS.findall(low)])):
+    parts_of_runs = bytes([_RUN_PART.get(w) or w.isdecimal() for w in _WORDS.findall(low)])
+    if not (_THREE_NAMES.search(parts_of_runs) or _NAME_BESIDE.search(parts_of_runs)):
         return []
     edits = []
     for run in _SPELLED.finditer(text):
         parts = list(_PART.finditer(text, run.start(), run.end()))
         names = [p for p in parts if p[0].lower() in _DIGIT]
-        if len(names) < 3:
+        if len(names) < 3 and not (names and _few_spelled(text, run)):
             continue
         for p in parts:
             word = p[0].lower()
