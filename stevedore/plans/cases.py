@@ -48,9 +48,12 @@ from stevedore.plans.fixtures import (
     MERGE_TARGET_END,
     RECONCILE_ACTUAL_FROM,
     RECONCILE_EXPECTED_TO,
+    ROWS_PER_TASK,
     SPLIT_DATE,
+    dealt,
     event_log_lines,
     ntz,
+    rolled_files,
     table,
 )
 from stevedore.session import scratch_path
@@ -211,7 +214,7 @@ def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = scratch_path(spark, "lineitem_small")
     out = scratch_path(spark, "lineitem_compact")
     # The input as it arrives: many small files per partition value.
-    lineitem.repartition(40).write.partitionBy("l_returnflag").parquet(small)
+    dealt(lineitem, 40, lineitem.count()).write.partitionBy("l_returnflag").parquet(small)
     compact(spark, small, out, partition_by=["l_returnflag"])
     return spark.read.schema(lineitem.schema).parquet(out).select(*lineitem.columns)
 
@@ -219,10 +222,11 @@ def compact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_in_place_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem").withColumn("l_month", _month("l_shipdate"))
     path = scratch_path(spark, "lineitem_table")
+    rows = lineitem.count()
     # R and A arrive in many small files; N in few.
-    by_month = lambda flag, n: lineitem.filter(flag).repartition(n).write.mode("append").partitionBy("l_month").parquet(path)
-    by_month(F.col("l_returnflag") != "N", 8)
-    by_month(F.col("l_returnflag") == "N", 1)
+    by_month = lambda flag, *n: dealt(lineitem.filter(flag), *n).write.mode("append").partitionBy("l_month").parquet(path)
+    by_month(F.col("l_returnflag") != "N", 8, rows)
+    by_month(F.col("l_returnflag") == "N", 1, rows, 2 * ROWS_PER_TASK)
     compact_in_place(spark, path, ["l_month"])
     return spark.read.schema(lineitem.schema).parquet(path).select(*lineitem.columns)
 

@@ -30,6 +30,26 @@ def ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
+#: Rows of a task that writes a fixture's small files: its sort by partition value stays within about 150 MB.
+ROWS_PER_TASK = 1 << 20
+
+
+def dealt(df: DataFrame, least: int, rows: int, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df``, of at most ``rows`` rows, dealt evenly over ``least`` tasks, or over more where one would get more than ``per_task``.
+
+    Rows are dealt by a running number: ``repartition(n)`` alone would sort all that a task has read first.
+    """
+    numbered = df.withColumn("_dealt", F.monotonically_increasing_id())
+    return numbered.repartition(max(least, -(-rows // per_task)), "_dealt").drop("_dealt")
+
+
+def rolled_files(events: int, span: int) -> int:
+    """How many of a log's line numbers (``span`` in all) go into a rolled file: 256 events make one, in up to 256 files;
+    beyond, files grow to 2**18 events. Even, so that a file ends between a record and its trace."""
+    files = max(1, min(-(-events // 256), 256), -(-events // (1 << 18)))
+    return 2 * max(1, -(-span // (2 * files)))
+
+
 def event_level() -> F.Column:
     level = None
     for event_type, name in EVENT_LEVEL.items():
