@@ -239,9 +239,11 @@ def compact_evolved_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old files without the line status and with 32-bit keys, beside new ones, in the same partitions."""
     lineitem = table(spark, sf_dir, "lineitem").withColumn("l_month", _month("l_shipdate"))
     path = scratch_path(spark, "lineitem_evolved")
-    old = lineitem.filter(F.col("l_shipdate") < ntz(OLD_FILES_END)).drop("l_linestatus")
-    old.withColumn("l_orderkey", F.col("l_orderkey").cast("int")).repartition(4).write.partitionBy("l_month").parquet(path)
-    lineitem.filter(F.col("l_shipdate") >= ntz(OLD_FILES_END)).repartition(4).write.mode("append").partitionBy("l_month").parquet(path)
+    rows = lineitem.count()
+    old = lineitem.filter(F.col("l_shipdate") < ntz(OLD_FILES_END)).drop("l_linestatus").withColumn("l_orderkey", F.col("l_orderkey").cast("int"))
+    dealt(old, 4, rows).write.partitionBy("l_month").parquet(path)
+    new = lineitem.filter(F.col("l_shipdate") >= ntz(OLD_FILES_END))
+    dealt(new, 4, rows).write.mode("append").partitionBy("l_month").parquet(path)
     compact_in_place(spark, path, ["l_month"])
     return read_evolved(spark, path, ["l_month"]).select(*lineitem.columns)
 
