@@ -392,8 +392,10 @@ def follow_records_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     lines = event_log_lines(events).withColumn("log", F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("long"), F.lit(3)))
     # ``seq`` is twice the event's number, one more for its trace: a file ends below the last record's first line.
-    lines = lines.withColumn("roll", F.floor((F.col("seq") + 1) / 512))
-    half = lines.agg(F.floor(F.max("roll") / 2)).first()[0] or 0
+    count, low, high = events.agg(F.count("event_id"), F.coalesce(F.min("event_id"), F.lit(0)) * 2, F.coalesce(F.max("event_id"), F.lit(0)) * 2 + 1).first()
+    width = rolled_files(count, high - low + 1)
+    lines = lines.withColumn("roll", F.floor((F.col("seq") - low + 1) / width))
+    half = (high - low + 1) // width // 2
     incoming = scratch_path(spark, "rolled_records")
     out, checkpoint = scratch_path(spark, "record_counts"), scratch_path(spark, "record_counts_ckpt")
     by_file = lines.repartition("log", "roll").sortWithinPartitions("log", "roll", "seq")
