@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF01
@@ -14,6 +15,7 @@ from oracle_util import compare, duck
 
 from stevedore.llm import collocations as c
 from stevedore.llm.cases import CASES, ORACLE_SQL
+from stevedore.llm.common import FILTER_BITS
 
 
 def pieces(text):
@@ -91,3 +93,17 @@ def test_words_of(texts, skip):
 def test_products_beyond_64_bits():
     assert c.lowest_cut(10**12, [10**13], [10**12 + 1], 10**17) == (1000 * 10**12 * 10**17 // (10**13 * (10**12 + 1)), 10**13, 10**12 + 1)
     assert c.lowest_cut(2, [2, 4], [4, 2], 8) == (2000, 2, 4)
+
+
+def test_copies_make_phrase_rows_in_proportion_and_at_most_four_a_word():
+    texts = ["the same words here, and the same words there", "b a b a b a b a b a", "one two three four five six seven"]
+    every = np.full(FILTER_BITS // 64, -1, np.int64)
+
+    def made(*copies):
+        batches = (pa.record_batch({"text": texts * n, "lang": ["en"] * len(texts) * n}) for n in copies)
+        return sum(len(b) for b in c._count_phrases(batches, every, every))
+
+    words = sum(len(ws) for t in texts for ws in pieces(t))
+    assert 0 < made(1) <= 4 * words
+    assert made(*[1] * 25) == 25 * made(1)  # a group of 25 copies, spread: 25 times the rows, not 625 times
+    assert made(25) == made(1)  # side by side: counted in one batch
